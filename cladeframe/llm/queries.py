@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import ann, embedding_dedup, simhash
 from .common import table
 
-NAMES = ["op6_simhash_ball"]
+NAMES = ["op4_stable_projections", "op6_simhash_ball", "op9_projection_forest"]
+
+
+def op4_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op6_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, words=3)
+
+
+def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
