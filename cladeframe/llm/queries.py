@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, simhash
-from .common import table
+from . import ann, embedding_dedup, html_text, language_id, simhash, toxicity
+from .common import crc_mod, table
 
-NAMES = ["op4_stable_projections", "op6_simhash_ball", "op9_projection_forest"]
+NAMES = ["op2_error_correcting_codes", "op3_recurrent_toxicity", "op4_stable_projections", "op6_simhash_ball", "op7_tree_scoring", "op9_projection_forest"]
+
+
+def op2_error_correcting_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, crc_mod("doc_id", 5) != 0, "text", "lang")
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "second", "ambiguous")
+
+
+def op3_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    found = toxicity.score(docs, net)
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op4_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +33,9 @@ def op6_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, words=3)
 
 
+def op7_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
