@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, html_text, language_id, simhash, toxicity
+from . import ann, embedding_dedup, html_text, language_id, sentencepiece_scan, simhash, toxicity
 from .common import crc_mod, table
 
-NAMES = ["op2_error_correcting_codes", "op3_recurrent_toxicity", "op4_stable_projections", "op6_simhash_ball", "op7_tree_scoring", "op9_projection_forest"]
+NAMES = ["op2_error_correcting_codes", "op3_recurrent_toxicity", "op4_stable_projections", "op6_simhash_ball", "op7_tree_scoring", "op8_max_plus_scan", "op9_projection_forest"]
 
 
 def op2_error_correcting_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,5 +37,12 @@ def op7_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op8_max_plus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per part of a document (ordinary documents have one): ids, their count and hash, and the round trip."""
+    docs = table(spark, sf_dir, "documents")
+    parts = sentencepiece_scan.encode(docs, sentencepiece_scan.load_model(spark))
+    return parts.select("doc_id", "part", "ids", F.size("ids").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "n_chars", "exact")
+
+
 def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
