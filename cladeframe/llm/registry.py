@@ -5,4 +5,4 @@ from __future__ import annotations
 from . import queries as q
 
 QUERIES = {name: getattr(q, name) for name in q.NAMES}
-ORACLES = {}
+ORACLES = dict(q.SQL)
