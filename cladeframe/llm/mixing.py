@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import cut, table, unit_hash
 
 ROUNDS = 10
-KEEP = 0.7
+KEEP = 0.8
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.8}
 SCALES = 400
 SEED = 29
@@ -75,9 +75,20 @@ def probabilities(raked: DataFrame, keep: float = KEEP, scales: int = SCALES) ->
     return out.withColumn("p", F.round(F.least(F.lit(1.0), F.coalesce("c", F.lit(1.0)) * F.col("ratio")), 6)).drop("ratio", "c")
 
 
+def cell_of(docs: DataFrame) -> dict[str, Column]:
+    """Columns that tell a document's cell: null source and lang are `unknown`."""
+    return {"source": F.coalesce(docs["source"], F.lit("unknown")), "lang": F.coalesce(docs["lang"], F.lit("unknown")), "topic": topic_of()}
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """docs with null source and lang named, topic and tokens."""
-    return docs.select("doc_id", F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("lang", F.lit("unknown")).alias("lang"), topic_of().alias("topic"), tokens_of().alias("tokens"))
+    return docs.select("doc_id", *[c.alias(n) for n, c in cell_of(docs).items()], tokens_of().alias("tokens"))
+
+
+def plan(rows: DataFrame, powers: dict[str, float] = POWERS, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+    """(source, lang, topic, weight, p) of all cells of described rows."""
+    cell = cut(cells(rows))
+    raked = rake(cell, {d: targets(cell, d, a) for d, a in powers.items()}, rounds)
+    return cut(probabilities(raked, keep).select("source", "lang", "topic", F.round(F.col("w") / F.col("tokens"), 6).alias("weight"), "p"))
 
 
 def mix(docs: DataFrame, powers: dict[str, float] = POWERS, keep: float = KEEP, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
@@ -86,20 +97,20 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, keep: float = KEEP,
     weight is the cell's raked share of tokens over its share in the corpus; kept is decided by a hash of doc_id, so
     copies of an id share one fate and every run gives the same sample. Null source or lang counts as `unknown`, a
     null text has no tokens. Documents without tokens whose cell has none are not kept (weight and p 0). An empty
-    table gives an empty result.
+    table gives an empty result; other columns are ignored.
     """
     rows = cut(described(docs))
-    cell = cut(cells(rows))
-    raked = rake(cell, {d: targets(cell, d, a) for d, a in powers.items()}, rounds)
-    p = cut(probabilities(raked, keep).select("source", "lang", "topic", F.round(F.col("w") / F.col("tokens"), 6).alias("weight"), "p"))
-    out = rows.join(p, ["source", "lang", "topic"], "left").fillna({"weight": 0.0, "p": 0.0})
+    out = rows.join(plan(rows, powers, keep, rounds), ["source", "lang", "topic"], "left").fillna({"weight": 0.0, "p": 0.0})
     out = out.withColumn("kept", unit_hash(F.col("doc_id"), seed=seed) < F.col("p"))
     return out.select("doc_id", "source", "lang", "topic", "tokens", "weight", "p", "kept")
 
 
-def keep_sampled(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """Rows of docs that the mixture keeps, columns unchanged."""
-    return docs.join(mix(docs, keep=keep).where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+def keep_sampled(docs: DataFrame, powers: dict[str, float] = POWERS, keep: float = KEEP, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+    """Rows of docs that the mixture keeps, columns unchanged. Texts are not shuffled while the cells are few."""
+    p = plan(described(docs), powers, keep, rounds).select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "lang", "topic", "p")])
+    tagged = docs.select("*", *[c.alias(f"_own_{n}") for n, c in cell_of(docs).items()])
+    same = [F.col(f"_own_{c}") == F.col(f"_mix_{c}") for c in ("source", "lang", "topic")]
+    return tagged.join(p, same).where(unit_hash(F.col("doc_id"), seed=seed) < F.col("_mix_p")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_proportional_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from . import ann, embedding_dedup, html_text, language_id, sentencepiece_scan, simhash, toxicity
 from .common import crc_mod, table
 from .mixing import op5_proportional_fitting, op5_sql
+from .secrets import op10_random_forest
 from .warc import OP1_SQL, op1_revisit_resolution
 
-NAMES = ["op1_revisit_resolution", "op2_error_correcting_codes", "op3_recurrent_toxicity", "op4_stable_projections", "op5_proportional_fitting", "op6_simhash_ball", "op7_tree_scoring", "op8_max_plus_scan", "op9_projection_forest"]
+NAMES = ["op1_revisit_resolution", "op2_error_correcting_codes", "op3_recurrent_toxicity", "op4_stable_projections", "op5_proportional_fitting", "op6_simhash_ball", "op7_tree_scoring", "op8_max_plus_scan", "op9_projection_forest", "op10_random_forest"]
 
 SQL = {"op1_revisit_resolution": OP1_SQL, "op5_proportional_fitting": op5_sql()}
 

@@ -13,6 +13,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -293,3 +294,15 @@ def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "te
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, net: Net, text_col: str = "text", least: float = 0.7) -> DataFrame:
+    """Rows of docs whose score is below `least`, columns and values unchanged. Texts without words stay."""
+
+    def run(batches):
+        scorer = Scorer(net)
+        for batch in batches:
+            scores = scorer.scores(batch.column(text_col).to_pylist())
+            yield batch.filter(pa.array(scores < least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,13 +1,47 @@
-"""Corpus pipeline: toxicity, near-duplicates, secrets, mixing, tokens."""
+"""Corpus pipeline: toxic documents go, one document of each near-duplicate group stays, secrets are masked, sources
+are mixed to target weights, and what remains is encoded to tokens."""
 
-from cladeframe.llm import simhash
+from __future__ import annotations
 
-STAGES = [("simhash_near_dedup", lambda spark, docs, sf_dir: simhash.keep_one(docs))]
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
 
+from cladeframe.llm import mixing, secrets, sentencepiece_scan, simhash, toxicity
+from cladeframe.llm.common import crc_mod, cut, table
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    return toxicity.keep_clean(docs, net, least=0.7)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs, radius=2, words=3)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs, secrets.fit(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.keep_sampled(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encode(docs, sentencepiece_scan.load_model(spark))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("secret_scan", mask_secrets),
+    ("source_mixing", mix_sources),
+    ("sentencepiece", encode),
+]
+ORACLE_SQL = None  # the network, the forest and the encoder have no SQL form
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
