@@ -47,7 +47,8 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     pad = np.concatenate([c, np.zeros(5, np.uint32)])
     h4 = pad[: len(c)] * np.uint32(2654435761)
     for k in (1, 2, 3):
-        h4 = (h4 ^ pad[k : k + len(c)]) * np.uint32(2654435761)
+        inside = pad[k : k + len(c)] if k < 3 else np.where(np.repeat(size, size) < 4, np.uint32(0), pad[3 : 3 + len(c)])
+        h4 = (h4 ^ inside) * np.uint32(2654435761)
     h5 = (h4 ^ pad[4 : 4 + len(c)]) * np.uint32(2246822519)
     left = np.repeat(size, size) - place
     n4, n5 = np.maximum(size - 3, 1), np.maximum(size - 4, 0)
