@@ -30,7 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT_CHARS = 32_768
 CHUNK_CHARS = 16_384
 GROUP_CHUNKS = 256
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 MARK = "▁"
 START, END = (0, 0), (-1, -1)
 
@@ -188,6 +188,13 @@ def resolve(matrices: list, into: tuple, out: tuple) -> list[tuple]:
     return states[::-1]
 
 
+def slices(batches, rows: int = 256):
+    """Batches in pieces of few rows, so that no more than those are held as Python objects at once."""
+    for pdf in batches:
+        for at in range(0, max(1, len(pdf)), rows):
+            yield pdf.iloc[at : at + rows]
+
+
 def as_tuples(m) -> list[tuple]:
     return [tuple(int(v) for v in e) for e in m]
 
@@ -207,11 +214,15 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     def whole(batches):
         p = Pieces(model)
-        for pdf in batches:
-            ids = [p.encode(p.normal(t)) if t else [] for t in pdf["text"]]
-            back = [p.decode(i) for i in ids]
-            exact = [b == (t or "") for b, t in zip(back, pdf["text"])]
-            yield pd.DataFrame({"id": pdf["id"], "part": 0, "ids": [np.array(i, dtype=np.int32) for i in ids], "n_chars": list(map(len, back)), "exact": exact})
+        for pdf in slices(batches):
+            ids, chars, exact = [], [], []
+            for t in pdf["text"]:
+                own = p.encode(p.normal(t)) if t else []
+                text = p.decode(own)
+                ids.append(np.array(own, dtype=np.int32))
+                chars.append(len(text))
+                exact.append(text == (t or ""))
+            yield pd.DataFrame({"id": pdf["id"], "part": 0, "ids": ids, "n_chars": chars, "exact": exact})
 
     out = f"id {kind}, part long, ids array<int>, n_chars long, exact boolean"
     plain = rows.where(size <= giant).mapInPandas(whole, out)
@@ -270,7 +281,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     def backtrace(batches):
         p = Pieces(model)
-        for pdf in batches:
+        for pdf in slices(batches, 64):
             ids, chars, exact = [], [], []
             for s, lead, n, k, last, into, end in zip(pdf["s"], pdf["lead"], pdf["size"], pdf["k"], pdf["last"], pdf["into"], pdf["out"]):
                 a, b = lead + int(into[1]), lead + n if last else lead + n + int(end[0])
