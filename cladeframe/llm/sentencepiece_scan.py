@@ -16,8 +16,8 @@ encodes what lies between its two states on its own. Other documents are encoded
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT_CHARS = 32_768
 CHUNK_CHARS = 16_384
 GROUP_CHUNKS = 256
-CACHE_PIECES = 100_000
+CACHE_PIECES = 300_000
 MARK = "▁"
 START, END = (0, 0), (-1, -1)
 
@@ -63,26 +63,37 @@ class Pieces:
         self.by_words = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.scores)
         self.table = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else p.piece.encode() if p.type in (p.NORMAL, p.USER_DEFINED) else b"" for p in proto.pieces]
         self.runs = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.known_runs: dict[str, bytes] = {}
         self.split = lru_cache(maxsize=200_000)(self._split)
 
     def normal(self, text: str) -> str:
         return self.prefix + text.replace(" ", MARK) if text else ""
 
-    def encode(self, raw: str) -> list[int]:
+    def encode(self, raw: str) -> np.ndarray:
+        """Ids of a raw string. Words are encoded once and kept as bytes; all are forgotten when there are too many."""
         if not self.by_words:
-            return self.sp.encode(raw)
-        runs, known = self.runs.findall(raw), self.known
-        fresh = [r for r in dict.fromkeys(runs) if r not in known]
+            return np.array(self.sp.encode(raw), dtype=np.int32)
+        head, *words = raw.split(MARK)
+        if "" in words:  # runs of marks
+            head, words, known, lead = "", self.runs.findall(raw), self.known_runs, ""
+        else:
+            known, lead = self.known, MARK
+        fresh = list(set(words).difference(known))
         if fresh:
             if len(known) + len(fresh) > CACHE_PIECES:
                 known.clear()
-                fresh = list(dict.fromkeys(runs))
-            known.update(zip(fresh, self.sp.encode(fresh, num_threads=1)))
-        return list(chain.from_iterable(map(known.__getitem__, runs)))
+                fresh = list(set(words))
+            made = self.sp.encode([lead + w for w in fresh], num_threads=1)
+            known.update(zip(fresh, [array("i", m).tobytes() for m in made]))
+        coded = b"".join(map(known.__getitem__, words))
+        if head:
+            coded = array("i", self.sp.encode(head)).tobytes() + coded
+        return np.frombuffer(coded, dtype=np.int32)
 
     def decode(self, ids, first: bool = True) -> str:
         """Text of ids; a document's first ids lose the dummy prefix."""
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
         text = b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
         text = text[1:] if first and self.prefix and text[:1] == MARK else text
         return text.replace(MARK, " ")
@@ -217,9 +228,9 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         for pdf in slices(batches):
             ids, chars, exact = [], [], []
             for t in pdf["text"]:
-                own = p.encode(p.normal(t)) if t else []
+                own = p.encode(p.normal(t or ""))
                 text = p.decode(own)
-                ids.append(np.array(own, dtype=np.int32))
+                ids.append(own)
                 chars.append(len(text))
                 exact.append(text == (t or ""))
             yield pd.DataFrame({"id": pdf["id"], "part": 0, "ids": ids, "n_chars": chars, "exact": exact})
@@ -285,10 +296,10 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
             ids, chars, exact = [], [], []
             for s, lead, n, k, last, into, end in zip(pdf["s"], pdf["lead"], pdf["size"], pdf["k"], pdf["last"], pdf["into"], pdf["out"]):
                 a, b = lead + int(into[1]), lead + n if last else lead + n + int(end[0])
-                own = p.encode(s[a:b]) if a < b else []
+                own = p.encode(s[a:b]) if a < b else np.zeros(0, dtype=np.int32)
                 if not last and a <= b:  # else one piece covers the chunk, and an earlier chunk has it
-                    own = own + p.sp.encode(s[b : lead + n + int(end[1])])
-                ids.append(np.array(own, dtype=np.int32))
+                    own = np.concatenate([own, np.array(p.sp.encode(s[b : lead + n + int(end[1])]), dtype=np.int32)])
+                ids.append(own)
                 text, raw = p.decode(own, k == 0), s[a : b if last else max(a, lead + n + int(end[1]))]
                 raw = raw[len(p.prefix) :] if k == 0 else raw
                 chars.append(len(text))
