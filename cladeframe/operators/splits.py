@@ -121,3 +121,53 @@ def tree_of_clusters(clusters: DataFrame) -> DataFrame:
     met = x.join(y, ["set_id", "name"]).where("pn > n").groupBy("set_id", "cluster_id", "n", "parent_id", "pn").agg(F.count("*").alias("m")).where("m = n")
     best = met.groupBy("set_id", "cluster_id").agg(F.min_by("parent_id", F.struct("pn", "parent_id")).alias("parent_id"))
     return size.join(best, ["set_id", "cluster_id"], "left").select("set_id", "cluster_id", "n", "parent_id")
+
+
+def shared_clades(a: DataFrame, b: DataFrame) -> DataFrame:
+    """JT33: (tree_id, node_id, leaves): the largest clades of a that have the very same subtree in b.
+
+    A subtree is the same iff the clades of all its nodes are clades of the other tree. One pass over the closure
+    finds the nodes without a foreign clade below; the topmost of them are collapsed.
+    """
+    from cladeframe.functions.lineage import materialise
+    from cladeframe.operators.trees import ancestors
+
+    k = materialise(keyed(a))
+    other = keyed(b).select("tree_id", "clade", F.lit(True).alias("known")).distinct()
+    at = k.join(other, ["tree_id", "clade"], "left")
+    up = materialise(ancestors(a).drop("via"))
+    bad = up.join(at.where("known is null").select("tree_id", "node_id"), ["tree_id", "node_id"]).select("tree_id", F.col("anc").alias("node_id")).distinct()
+    fine = materialise(k.join(bad, ["tree_id", "node_id"], "left_anti").select("tree_id", "node_id", "parent_id", "leaves"))
+    top = fine.join(fine.select("tree_id", F.col("node_id").alias("parent_id")), ["tree_id", "parent_id"], "left_anti")
+    return top.where("leaves > 1").select("tree_id", "node_id", "leaves")
+
+
+def collapse(nodes: DataFrame, clades: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """JT33: nodes with each of clades (tree_id, node_id) as one leaf named "__" and its sorted leaf names joined by
+    "_", and the table (tree_id, name, leaf) that undoes it."""
+    from cladeframe.operators.trees import ancestors, renumber
+
+    inside = ancestors(nodes).drop("via").join(clades.select("tree_id", F.col("node_id").alias("anc")), ["tree_id", "anc"])
+    leaf = inside.join(nodes.where("is_leaf").select("tree_id", "node_id", F.col("name").alias("leaf")), ["tree_id", "node_id"])
+    named = leaf.groupBy("tree_id", F.col("anc").alias("node_id")).agg(F.concat(F.lit("__"), F.array_join(F.array_sort(F.collect_list("leaf")), "_")).alias("new"))
+    undo = leaf.select("tree_id", F.col("anc").alias("node_id"), "leaf").join(named, ["tree_id", "node_id"]).select("tree_id", F.col("new").alias("name"), "leaf")
+    gone = inside.where("node_id <> anc").select("tree_id", "node_id").distinct()
+    left = nodes.join(gone, ["tree_id", "node_id"], "left_anti").join(named, ["tree_id", "node_id"], "left")
+    w = Window.partitionBy("tree_id").orderBy("leaf_lo")
+    tips = left.where(F.col("new").isNotNull() | F.col("is_leaf")).select("tree_id", "node_id", (F.row_number().over(w) - 1).cast("int").alias("r"))
+    span = tips.join(ancestors(nodes).drop("via"), ["tree_id", "node_id"]).groupBy("tree_id", F.col("anc").alias("node_id")).agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
+    out = left.join(span, ["tree_id", "node_id"]).select("tree_id", F.coalesce("new", "name").alias("name"), "length", F.col("lo").alias("leaf_lo"), F.col("hi").alias("leaf_hi"))
+    return renumber(out), undo
+
+
+def all_clusters(taxa: DataFrame) -> DataFrame:
+    """JT14: (set_id, cluster_id, name): every subset of 2 to n - 1 of the names of a set, for small sets (n <= 16).
+
+    cluster_id is the bit mask of the names in order.
+    """
+    w, every = Window.partitionBy("set_id").orderBy("name"), Window.partitionBy("set_id")
+    t = taxa.withColumn("bit", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(every))
+    small = F.when(F.col("n") > 16, F.raise_error(F.lit("too many taxa for all clusters")).cast("int")).otherwise(F.col("n"))
+    mask = t.withColumn("cluster_id", F.explode(F.expr("sequence(1, cast(power(2, least(n, 16)) as int) - 1)"))).withColumn("n", small)
+    inside = mask.where((F.bit_count("cluster_id") > 1) & (F.bit_count("cluster_id") < F.col("n")) & (F.expr("getbit(cluster_id, bit)") == 1))
+    return inside.select("set_id", "cluster_id", "name")

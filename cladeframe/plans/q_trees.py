@@ -9,7 +9,7 @@ from cladeframe.functions.lineage import materialise
 from cladeframe.operators import decompose, placement, splits, trees
 from cladeframe.sources import documents, newick
 
-from .fixtures import SQL_DIST, SQL_LEAVES, forest, parents, placements, sql_tree, table
+from .fixtures import SQL_DENSE, SQL_DIST, SQL_LEAVES, forest, parents, placements, sql_tree, table
 
 ID = [F.col("tree_id.label").alias("label"), F.col("tree_id.block").alias("block")]
 
@@ -241,7 +241,86 @@ def event_properties(spark, d):
     return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-NAMES = """edge_leaf_counts root_distances centroid_edge longest_edge clade_edge product_edge bisected_leaves adjacent_edges leaf_distance tree_diameter nearest_taxa lca_pairs lca_of_sets
+def tree_from_clusters(spark, d):
+    """The inner clades of each tree as bare sets of leaves, put together again."""
+    n = forest(spark, d)
+    inner = n.where("not is_leaf").select("tree_id", F.col("node_id").alias("anc"), "node")
+    leaf = n.where("is_leaf").select("tree_id", "node_id", "name")
+    sets = leaf.join(trees.ancestors(n, strict=True).drop("via"), ["tree_id", "node_id"]).join(inner, ["tree_id", "anc"])
+    got = splits.tree_of_clusters(sets.select(F.col("tree_id").alias("set_id"), F.col("node").alias("cluster_id"), "name"))
+    return got.select(F.col("set_id.label").alias("label"), F.col("set_id.block").alias("block"), F.col("cluster_id").alias("node"), F.col("parent_id").alias("parent"), "n")
+
+
+def shared_clades(spark, d):
+    n = forest(spark, d)
+    return _named(n, splits.shared_clades(n, forest(spark, d, "x0")), "leaves")
+
+
+def collapsed_trees(spark, d):
+    n = forest(spark, d)
+    small = trees.leaf_counts(n).where("leaves between 2 and 3")
+    top = small.join(small.select("tree_id", F.col("node_id").alias("parent_id")), ["tree_id", "parent_id"], "left_anti")
+    out, _ = splits.collapse(n, top)
+    return out.where("is_leaf").select(*ID, "name", F.col("leaf_lo").alias("rank"))
+
+
+def fasta_round_trip(spark, d):
+    """Alignments rendered as FASTA text, cut at record starts and scanned again."""
+    from cladeframe.operators import sites
+    from cladeframe.sources import sinks, text
+
+    from .fixtures import KEYS, dense
+
+    whole = sinks.rendered(sites.to_rows(dense(spark, d), KEYS), KEYS)
+    raw = whole.select(F.posexplode(F.split("value", "\n>")).alias("file_pos", "r"))
+    return text.fasta_records(raw).select(F.col("name").cast("long").alias("name"), "seq")
+
+
+def stockholm_scan(spark, d):
+    """Alignments written as Stockholm text in two blocks, every fifth column an insertion, and scanned again."""
+    from cladeframe.operators import sites
+    from cladeframe.sources import text
+
+    from .fixtures import KEYS, dense
+
+    lower = dense(spark, d).withColumn("ch", F.when(F.col("pos") % 5 == 4, F.when(F.col("ch") == "-", ".").otherwise(F.lower("ch"))).otherwise(F.col("ch")))
+    rows = sites.to_rows(lower, KEYS)
+    line = lambda a, n: F.concat(F.col("name").cast("string"), F.lit(" "), F.substr("seq", F.lit(a), F.lit(n)))
+    part = lambda a, n: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", line(a, n).alias("l")))), lambda s: s["l"]), "\n")
+    file = rows.groupBy(*KEYS).agg(part(1, 32).alias("a"), part(33, 64).alias("b"))
+    body = F.concat(F.lit("# STOCKHOLM 1.0\n\n"), "a", F.lit("\n\n"), "b", F.lit("\n//\nignored text"))
+    seqs, cols = text.stockholm(text.numbered(file.select(F.concat_ws(":", *KEYS).alias("file"), body.alias("text"))))
+    kept = cols.where("label >= 0").groupBy("file").agg(F.count("*").alias("original"))
+    return seqs.join(kept, "file").select("file", F.col("name").cast("long").alias("name"), "seq", "original")
+
+
+def search_report_scan(spark, d):
+    """Hits written as search reports, one per event type, and scanned again."""
+    from cladeframe.sources import text
+
+    from .fixtures import hits
+
+    h = hits(spark, d).where("bitscore is not null and evalue is not null")
+    line = F.concat_ws("  ", F.format_string("%.3f", "evalue"), F.format_string("%.2f", "bitscore"), F.lit("0.1 1.0 2.0 0.1 1.0 1"), F.col("fragment").cast("string"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fragment", line.alias("l")))), lambda s: s["l"]), "\n")
+    file = h.groupBy(F.col("subset").alias("file")).agg(F.concat(F.lit("# report\n\n    E-value  score  bias  E-value  score  bias  exp  N  Sequence\n    ------- ------ ----- ------- ------ ----- --- -- --------\n"), body, F.lit("\n\nother 1 2 3 4 5 6 7 8 9")).alias("text"))
+    got = text.search_hits(text.numbered(file))
+    return got.select(F.col("file").alias("subset"), F.col("name").cast("long").alias("fragment"), "evalue", "bitscore")
+
+
+def viterbi_align(spark, d):
+    """Degapped rows aligned to their own block's profile: the share of residues that come back to their site."""
+    from cladeframe.operators import profile, sites
+
+    from .fixtures import KEYS, dense
+
+    s = dense(spark, d).withColumn("key", F.concat_ws(":", *KEYS))
+    rows = sites.to_rows(s.where("ch <> '-'"), ["key"])
+    got = profile.align(rows, profile.build(s, ["key"]), "key")
+    return got.groupBy("key", "name").agg(F.max("score").alias("score"), F.count("*").alias("residues"), F.sum((F.col("site") >= 0).cast("long")).alias("on_sites"))
+
+
+NAMES = """tree_from_clusters shared_clades collapsed_trees fasta_round_trip stockholm_scan search_report_scan viterbi_align edge_leaf_counts root_distances centroid_edge longest_edge clade_edge product_edge bisected_leaves adjacent_edges leaf_distance tree_diameter nearest_taxa lca_pairs lca_of_sets
 long_branches pruned_trees binary_trees scaled_lengths labelled_nodes newick_round_trip split_relabel shared_splits edge_support incompatible_splits same_leaf_sets decomposed_trees
 decomposed_by_diameter placement_hierarchy midpoint_edges rerooted_trees placement_normalise placement_threshold best_placements distal_clip taxonomic_rollup classified_fragments
 jplace_documents event_properties""".split()
@@ -270,6 +349,12 @@ TRIO = lambda: f"{two()}, {sql_tree('c', 'x1')}, ccl AS (SELECT u.label, u.block
 W = "w AS (SELECT l_orderkey AS fragment, l_suppkey AS edge_num, sum(l_extendedprice * (1 - l_discount)) AS w FROM lineitem GROUP BY ALL), p AS (SELECT fragment, edge_num, w / sum(w) OVER (PARTITION BY fragment) AS p FROM w)"
 
 ORACLES = {
+    "tree_from_clusters": f"WITH {TL} SELECT label, block, node, parent, leaves AS n FROM lv WHERE name IS NULL",
+    "shared_clades": f"WITH {two()}, bad AS (SELECT DISTINCT u.label, u.block, u.anc AS node FROM up u JOIN k USING (label, block, node) WHERE NOT EXISTS (SELECT 1 FROM bk WHERE bk.label = k.label AND bk.block = k.block AND bk.s = k.s)), fine AS (SELECT k.label, k.block, k.node, len(s) AS leaves FROM k LEFT JOIN bad USING (label, block, node) WHERE bad.node IS NULL) SELECT f.label, f.block, f.node, f.leaves FROM fine f LEFT JOIN fine g ON g.label = f.label AND g.block = f.block AND g.node = f.node // 2 AND f.node > 1 WHERE g.node IS NULL AND f.leaves > 1",
+    "collapsed_trees": f"WITH {TL}, small AS (SELECT label, block, node, key FROM lv WHERE leaves BETWEEN 2 AND 3), top AS (SELECT s.* FROM small s LEFT JOIN small t ON t.label = s.label AND t.block = s.block AND t.node = s.node // 2 WHERE t.node IS NULL), ins AS (SELECT t.label, t.block, t.node, t.key, n.name FROM top t JOIN up u ON u.label = t.label AND u.block = t.block AND u.anc = t.node JOIN nodes n ON n.label = u.label AND n.block = u.block AND n.node = u.node AND n.name IS NOT NULL), tips AS (SELECT label, block, key, '__' || string_agg(name, '_' ORDER BY name) AS name FROM ins GROUP BY label, block, node, key UNION ALL SELECT n.label, n.block, n.key, n.name FROM nodes n WHERE n.name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ins i WHERE i.label = n.label AND i.block = n.block AND i.name = n.name)) SELECT label, block, name, (row_number() OVER (PARTITION BY label, block ORDER BY key) - 1)::INT AS rank FROM tips",
+    "fasta_round_trip": f"WITH {SQL_DENSE} SELECT name, string_agg(ch, '' ORDER BY pos) AS seq FROM sites GROUP BY ALL",
+    "stockholm_scan": f"WITH {SQL_DENSE} SELECT label || ':' || block AS file, name, string_agg(CASE WHEN pos % 5 = 4 THEN lower(ch) ELSE ch END, '' ORDER BY pos) AS seq, count(*) FILTER (pos % 5 <> 4) AS original FROM sites GROUP BY ALL",
+    "search_report_scan": "WITH h AS (SELECT user_id AS fragment, event_type AS subset, max(value) AS b, min(value) AS e FROM events WHERE user_id IS NOT NULL GROUP BY ALL) SELECT subset, fragment, printf('%.3f', e)::DOUBLE AS evalue, printf('%.2f', b)::DOUBLE AS bitscore FROM h WHERE b IS NOT NULL AND e IS NOT NULL",
     "edge_leaf_counts": f"WITH {TL} SELECT label, block, node, leaves, total FROM lv",
     "root_distances": f"WITH {TD} SELECT label, block, node, round(d, 6) AS dist, length(key) - 1 AS depth FROM dist JOIN nodes USING (label, block, node)",
     "centroid_edge": f"WITH {TL} SELECT label, block, node, leaves, total FROM (SELECT *, row_number() OVER (PARTITION BY label, block ORDER BY abs(total / 2.0 - leaves), key) AS r FROM lv WHERE parent IS NOT NULL AND leaves >= 2 AND total - leaves >= 2) WHERE r = 1",

@@ -11,7 +11,7 @@ FIELDS = ["edge_num", "likelihood", "like_weight_ratio", "distal_length", "penda
 
 def read(spark: SparkSession, path: str, pattern: str = "*.{json,jplace}") -> DataFrame:
     """SRC11, SRC12: (doc_id, json) of whole files whose name does not hold `merged`."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
     return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("doc_id"), F.col("value").alias("json")).where(~F.contains("doc_id", F.lit("merged")))
 
 

@@ -46,11 +46,10 @@ def parse(trees: DataFrame, newick: str = "newick", tree_id: str = "tree_id") ->
     nodes = nodes.withColumn("node_id", (F.row_number().over(w) - 1).cast("int"))
     nodes = nodes.withColumn("leaf_lo", F.when(F.col("is_leaf"), F.col("leaves_upto") - 1).otherwise(F.col("opened"))).withColumn("leaf_hi", F.col("leaves_upto") - 1)
     # Parents: nodes look for the first later closing bracket one level up; both are put on that level.
-    up = nodes.select("tree_id", "node_id", "at", F.explode(F.array(F.struct((F.col("level") - 1).alias("l"), F.lit(False).alias("closes")), F.struct(F.col("level").alias("l"), (~F.col("is_leaf")).alias("closes")))).alias("x")).select("tree_id", "node_id", "at", "x.*")
+    up = nodes.select("tree_id", "node_id", "at", F.explode(F.array(F.struct((F.col("level") - 1).alias("l"), F.lit(False).alias("closes")), F.when(~F.col("is_leaf"), F.struct(F.col("level").alias("l"), F.lit(True).alias("closes"))))).alias("x")).where("x is not null").select("tree_id", "node_id", "at", "x.*")
     later = Window.partitionBy("tree_id", "l").orderBy("at", "node_id").rowsBetween(1, Window.unboundedFollowing)
     up = up.withColumn("parent_id", F.min(F.when(F.col("closes"), F.col("node_id"))).over(later)).where("not closes and l >= 0")
-    up = up.groupBy("tree_id", "node_id").agg(F.min("parent_id").alias("parent_id"))
-    nodes = nodes.join(up, ["tree_id", "node_id"], "left")
+    nodes = nodes.join(up.select("tree_id", "node_id", "parent_id"), ["tree_id", "node_id"], "left")
     kids = Window.partitionBy("tree_id", "parent_id").orderBy("node_id")
     text = F.coalesce("label", F.lit(""))
     name = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_extract(text, LABEL, 1)), "^'|'$", ""), "''", "'")
