@@ -16,7 +16,6 @@ encodes what lies between its two states on its own. Other documents are encoded
 from __future__ import annotations
 
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT_CHARS = 32_768
 CHUNK_CHARS = 16_384
 GROUP_CHUNKS = 256
-CACHE_PIECES = 300_000
+CACHE_WORDS = 300_000
 MARK = "▁"
 START, END = (0, 0), (-1, -1)
 
@@ -62,33 +61,33 @@ class Pieces:
         self.longest = max(map(len, self.scores), default=1)
         self.by_words = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.scores)
         self.table = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else p.piece.encode() if p.type in (p.NORMAL, p.USER_DEFINED) else b"" for p in proto.pieces]
-        self.runs = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.marked = np.array([p.piece.startswith(MARK) for p in proto.pieces])
         self.known: dict[str, bytes] = {}
-        self.known_runs: dict[str, bytes] = {}
         self.split = lru_cache(maxsize=200_000)(self._split)
 
     def normal(self, text: str) -> str:
         return self.prefix + text.replace(" ", MARK) if text else ""
 
     def encode(self, raw: str) -> np.ndarray:
-        """Ids of a raw string. Words are encoded once and kept as bytes; all are forgotten when there are too many."""
-        if not self.by_words:
-            return np.array(self.sp.encode(raw), dtype=np.int32)
+        """Ids of a raw string. Words are encoded once and kept as bytes; all are forgotten when there are too many.
+
+        New words are encoded in one go: as no piece holds an inner mark, the pieces that begin with one tell the
+        words apart again. Strings with runs of marks go to the library whole.
+        """
         head, *words = raw.split(MARK)
-        if "" in words:  # runs of marks
-            head, words, known, lead = "", self.runs.findall(raw), self.known_runs, ""
-        else:
-            known, lead = self.known, MARK
-        fresh = list(set(words).difference(known))
+        if not self.by_words or "" in words:
+            return np.array(self.sp.encode(raw), dtype=np.int32)
+        fresh = list(set(words).difference(self.known))
         if fresh:
-            if len(known) + len(fresh) > CACHE_PIECES:
-                known.clear()
+            if len(self.known) + len(fresh) > CACHE_WORDS:
+                self.known.clear()
                 fresh = list(set(words))
-            made = self.sp.encode([lead + w for w in fresh], num_threads=1)
-            known.update(zip(fresh, [array("i", m).tobytes() for m in made]))
-        coded = b"".join(map(known.__getitem__, words))
+            ids = np.array(self.sp.encode(MARK + MARK.join(fresh)), dtype=np.int32)
+            coded, at = ids.tobytes(), [*(4 * np.flatnonzero(self.marked[ids])).tolist(), 4 * len(ids)]
+            self.known.update(zip(fresh, [coded[i:j] for i, j in zip(at, at[1:])], strict=True))
+        coded = b"".join(map(self.known.__getitem__, words))
         if head:
-            coded = array("i", self.sp.encode(head)).tobytes() + coded
+            coded = np.array(self.sp.encode(head), dtype=np.int32).tobytes() + coded
         return np.frombuffer(coded, dtype=np.int32)
 
     def decode(self, ids, first: bool = True) -> str:
