@@ -11,21 +11,22 @@ from cladeframe.sources import documents, newick
 
 from .fixtures import SQL_DENSE, SQL_DIST, SQL_LEAVES, forest, parents, placements, sql_tree, table
 
-ID = [F.col("tree_id.label").alias("label"), F.col("tree_id.block").alias("block")]
+def _id():
+    return [F.col("tree_id.label").alias("label"), F.col("tree_id.block").alias("block")]
 
 
 def _named(nodes, found, *cols):
     """found (tree_id, node_id, …) with the heap node in place of node_id."""
     back = nodes.select("tree_id", "node_id", "node")
-    return found.join(back, ["tree_id", "node_id"]).select(*ID, "node", *cols)
+    return found.join(back, ["tree_id", "node_id"]).select(*_id(), "node", *cols)
 
 
 def edge_leaf_counts(spark, d):
-    return trees.leaf_counts(forest(spark, d)).select(*ID, "node", "leaves", "total")
+    return trees.leaf_counts(forest(spark, d)).select(*_id(), "node", "leaves", "total")
 
 
 def root_distances(spark, d):
-    return trees.root_distance(forest(spark, d)).select(*ID, "node", F.round("dist", 6).alias("dist"), "depth")
+    return trees.root_distance(forest(spark, d)).select(*_id(), "node", F.round("dist", 6).alias("dist"), "depth")
 
 
 def centroid_edge(spark, d):
@@ -50,14 +51,14 @@ def product_edge(spark, d):
 
 def bisected_leaves(spark, d):
     n = forest(spark, d)
-    return trees.bipartition(n, trees.breaking_edge(n, "centroid", 2)).select(*ID, "name", "below")
+    return trees.bipartition(n, trees.breaking_edge(n, "centroid", 2)).select(*_id(), "name", "below")
 
 
 def adjacent_edges(spark, d):
     n = forest(spark, d)
     a = trees.adjacent_edges(n)
     x, y = n.select("tree_id", F.col("node_id").alias("edge"), F.col("node").alias("a")), n.select("tree_id", F.col("node_id").alias("other"), F.col("node").alias("b"))
-    return a.join(x, ["tree_id", "edge"]).join(y, ["tree_id", "other"]).select(*ID, "a", "b")
+    return a.join(x, ["tree_id", "edge"]).join(y, ["tree_id", "other"]).select(*_id(), "a", "b")
 
 
 def leaf_distance(spark, d):
@@ -65,18 +66,18 @@ def leaf_distance(spark, d):
     got = trees.leaf_distances(n)
     x, y = n.select("tree_id", F.col("node_id").alias("a"), F.col("name").alias("x")), n.select("tree_id", F.col("node_id").alias("b"), F.col("name").alias("y"))
     pairs = got.join(x, ["tree_id", "a"]).join(y, ["tree_id", "b"])
-    return pairs.select(*ID, F.least(F.col("x").cast("long"), F.col("y").cast("long")).alias("a"), F.greatest(F.col("x").cast("long"), F.col("y").cast("long")).alias("b"), F.round("d", 6).alias("d"))
+    return pairs.select(*_id(), F.least(F.col("x").cast("long"), F.col("y").cast("long")).alias("a"), F.greatest(F.col("x").cast("long"), F.col("y").cast("long")).alias("b"), F.round("d", 6).alias("d"))
 
 
 def tree_diameter(spark, d):
-    return trees.diameter(forest(spark, d)).select(*ID, F.round("diameter", 6).alias("diameter"))
+    return trees.diameter(forest(spark, d)).select(*_id(), F.round("diameter", 6).alias("diameter"))
 
 
 def nearest_taxa(spark, d):
     n = forest(spark, d)
     got = trees.nearest_taxa(n, 3)
     x = n.select("tree_id", F.col("node_id").alias("a"), F.col("name").alias("x"))
-    return got.join(x, ["tree_id", "a"]).select(*ID, F.col("x").cast("long").alias("name"), "rank", F.round("d", 6).alias("d"))
+    return got.join(x, ["tree_id", "a"]).select(*_id(), F.col("x").cast("long").alias("name"), "rank", F.round("d", 6).alias("d"))
 
 
 def lca_pairs(spark, d):
@@ -86,18 +87,18 @@ def lca_pairs(spark, d):
     got = trees.lca_pairs(n, pairs)
     m = n.select("tree_id", "node_id", "node", "name")
     y = got.join(m.select("tree_id", F.col("node_id").alias("b"), F.col("name").alias("leaf")), ["tree_id", "b"])
-    return y.join(m.select("tree_id", F.col("node_id").alias("lca"), "node"), ["tree_id", "lca"]).select(*ID, F.col("leaf").cast("long").alias("name"), "node")
+    return y.join(m.select("tree_id", F.col("node_id").alias("lca"), "node"), ["tree_id", "lca"]).select(*_id(), F.col("leaf").cast("long").alias("name"), "node")
 
 
 def lca_of_sets(spark, d):
     n = forest(spark, d)
     sets = n.where("is_leaf").select("tree_id", (F.col("name").cast("long") % 7).alias("set_id"), "node_id")
     got = trees.lca_set(n, sets)
-    return got.join(n.select("tree_id", F.col("node_id").alias("lca"), "node"), ["tree_id", "lca"]).select(*ID, "set_id", "node")
+    return got.join(n.select("tree_id", F.col("node_id").alias("lca"), "node"), ["tree_id", "lca"]).select(*_id(), "set_id", "node")
 
 
 def long_branches(spark, d):
-    return trees.long_branches(forest(spark, d), 3.0).select(*ID, F.col("name").cast("long").alias("name"), "length", "median")
+    return trees.long_branches(forest(spark, d), 3.0).select(*_id(), F.col("name").cast("long").alias("name"), "length", "median")
 
 
 def pruned_trees(spark, d):
@@ -105,26 +106,26 @@ def pruned_trees(spark, d):
     keep = n.where("is_leaf and cast(name as long) % 3 <> 0").select("tree_id", "name")
     p = materialise(trees.prune(n, keep))
     dist = trees.root_distance(p)
-    return dist.where("is_leaf").select(*ID, F.col("name").cast("long").alias("name"), "depth", F.round("length", 6).alias("length"))
+    return dist.where("is_leaf").select(*_id(), F.col("name").cast("long").alias("name"), "depth", F.round("length", 6).alias("length"))
 
 
 def binary_trees(spark, d):
-    return trees.is_binary(forest(spark, d)).select(*ID, "binary")
+    return trees.is_binary(forest(spark, d)).select(*_id(), "binary")
 
 
 def scaled_lengths(spark, d):
-    return trees.scale(forest(spark, d), 2.5).select(*ID, "node", "length")
+    return trees.scale(forest(spark, d), 2.5).select(*_id(), "node", "length")
 
 
 def labelled_nodes(spark, d):
     n = trees.auto_label(forest(spark, d))
-    return n.groupBy(*ID).agg(F.count_distinct("name").alias("names"), F.sum(F.col("name").startswith("I").cast("long")).alias("fresh"))
+    return n.groupBy(*_id()).agg(F.count_distinct("name").alias("names"), F.sum(F.col("name").startswith("I").cast("long")).alias("fresh"))
 
 
 def newick_round_trip(spark, d):
     n = forest(spark, d)
     again = newick.parse(newick.write(n))
-    return again.where("is_leaf").select(*ID, F.col("name").cast("long").alias("name"), F.col("leaf_lo").alias("rank"), F.round("length", 6).alias("length"))
+    return again.where("is_leaf").select(*_id(), F.col("name").cast("long").alias("name"), F.col("leaf_lo").alias("rank"), F.round("length", 6).alias("length"))
 
 
 def split_relabel(spark, d):
@@ -132,11 +133,11 @@ def split_relabel(spark, d):
     a, b = forest(spark, d), forest(spark, d, "x0")
     x = splits.keyed(a).where("parent_id is not null").select("tree_id", "split", "node")
     y = splits.keyed(b).where("parent_id is not null").groupBy("tree_id", "split").agg(F.min("node").alias("other"))
-    return x.join(y, ["tree_id", "split"], "left").select(*ID, "node", "other")
+    return x.join(y, ["tree_id", "split"], "left").select(*_id(), "node", "other")
 
 
 def shared_splits(spark, d):
-    return splits.shared_splits(forest(spark, d), forest(spark, d, "x0")).select(*ID, "shared", "only_a", "only_b")
+    return splits.shared_splits(forest(spark, d), forest(spark, d, "x0")).select(*_id(), "shared", "only_a", "only_b")
 
 
 def edge_support(spark, d):
@@ -148,27 +149,27 @@ def edge_support(spark, d):
 
 
 def incompatible_splits(spark, d):
-    return splits.incompatible_clusters(forest(spark, d), forest(spark, d, "x0")).select(*ID, "incompatible")
+    return splits.incompatible_clusters(forest(spark, d), forest(spark, d, "x0")).select(*_id(), "incompatible")
 
 
 def same_leaf_sets(spark, d):
-    return splits.same_leaves(forest(spark, d), forest(spark, d, "x0")).select(*ID, "same")
+    return splits.same_leaves(forest(spark, d), forest(spark, d, "x0")).select(*_id(), "same")
 
 
 def decomposed_trees(spark, d):
     """Subsets of at most 12 leaves: their sizes."""
     got = decompose.numbered_subsets(decompose.decompose(forest(spark, d), 12, least=2))
-    return got.select(*ID, F.col("name").cast("long").alias("name"), "subset", "ordinal")
+    return got.select(*_id(), F.col("name").cast("long").alias("name"), "subset", "ordinal")
 
 
 def decomposed_by_diameter(spark, d):
     got = decompose.decompose(forest(spark, d), 40, "longest", widest=1.2)
-    return got.groupBy(*ID, "subset").agg(F.count("*").alias("leaves"))
+    return got.groupBy(*_id(), "subset").agg(F.count("*").alias("leaves"))
 
 
 def placement_hierarchy(spark, d):
     got = decompose.hierarchy(forest(spark, d), 24, 8)
-    return got.select(*ID, F.col("name").cast("long").alias("name"), "p_id", "a_id")
+    return got.select(*_id(), F.col("name").cast("long").alias("name"), "p_id", "a_id")
 
 
 def midpoint_edges(spark, d):
@@ -180,7 +181,7 @@ def rerooted_trees(spark, d):
     """Rooted at the middle edge: distances between leaves stay, so the diameter does."""
     n = forest(spark, d)
     r = trees.from_parents(trees.reroot(n, trees.midpoint_edge(n).select("tree_id", "node_id")))
-    return trees.diameter(materialise(r)).select(*ID, F.round("diameter", 5).alias("diameter"))
+    return trees.diameter(materialise(r)).select(*_id(), F.round("diameter", 5).alias("diameter"))
 
 
 def placement_normalise(spark, d):
@@ -261,7 +262,7 @@ def collapsed_trees(spark, d):
     small = trees.leaf_counts(n).where("leaves between 2 and 3")
     top = small.join(small.select("tree_id", F.col("node_id").alias("parent_id")), ["tree_id", "parent_id"], "left_anti")
     out, _ = splits.collapse(n, top)
-    return out.where("is_leaf").select(*ID, "name", F.col("leaf_lo").alias("rank"))
+    return out.where("is_leaf").select(*_id(), "name", F.col("leaf_lo").alias("rank"))
 
 
 def fasta_round_trip(spark, d):
