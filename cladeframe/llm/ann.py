@@ -112,10 +112,10 @@ def nearest(
     """The k nearest found of every query row: query_id, rank from 1, id_col, score = inner product.
 
     All usable rows are candidates except the query's own; fewer than k candidates give all of them. Ties go to the
-    smaller id. Vectors that are null, empty, zero or not finite take no part, nor do those whose length is not the
-    commonest. An empty table gives an empty result.
+    smaller id. Vectors that are null, empty, zero or not finite take no part, nor do rows without an id and those
+    whose length is not the commonest. An empty table gives an empty result.
     """
-    live = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(usable("vec"))
+    live = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(usable("vec") & F.col("id").isNotNull())
     lengths = live.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dims = lengths["n"] if lengths else 1
     live = live.where(F.size("vec") == dims)

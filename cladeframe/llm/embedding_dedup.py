@@ -127,13 +127,14 @@ def near_duplicates(
     """One row per row of vectors: id_col, n_links, component_id, kept.
 
     Only rows with equal labels that are not null are compared (label_col None: all rows), in double precision on
-    the original vectors. Null, empty, zero and non-finite vectors link with nothing: no links, a component of their
-    own, kept. Exact copies are one row with a count while comparing and each get n_links for all others. Vectors of
+    the original vectors. Null, empty, zero and non-finite vectors and rows without an id link with nothing: no links,
+    a component of their own, kept. Exact copies are one row with a count while comparing and each get n_links for all others. Vectors of
     different lengths never link. Ids are taken as distinct; an empty table gives an empty result.
     """
     spec = [F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), (F.col(label_col) if label_col else F.lit(0)).alias("label")]
     rows = vectors.select(*spec)
-    live = rows.where(usable("vec") & F.col("label").isNotNull()).withColumn("label", F.col("label").cast("string"))
+    fit = usable("vec") & F.col("label").isNotNull() & F.col("id").isNotNull()
+    live = rows.where(fit).withColumn("label", F.col("label").cast("string"))
     live = live.withColumn("label", F.concat_ws(":", F.size("vec"), "label"))
     live = live.withColumn("k1", F.xxhash64("label", "vec")).withColumn("k2", F.xxhash64("vec", F.lit(1), "label"))
     reps = cut(live.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vec").alias("vec"), F.first("label").alias("label")))
@@ -172,5 +173,5 @@ def near_duplicates(
     known = reps.select("k1", "k2", "id", "copies").join(counts, "id", "left").join(comps, "id", "left")
     known = cut(known.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
     told = live.select("id", "k1", "k2").join(known, ["k1", "k2"]).select("id", "n_links", "component_id")
-    dead = rows.where(~(usable("vec") & F.col("label").isNotNull())).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"))
+    dead = rows.where(~fit).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"))
     return told.unionByName(dead).select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

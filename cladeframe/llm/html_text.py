@@ -31,15 +31,17 @@ CLUTTER = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 BODY_WORDS = frozenset("article content post entry story main text body".split())
+LEVELS = 8
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "clutter", "points", "chars", "linked", "bonus")
+    __slots__ = ("tag", "parent", "kids", "clutter", "points", "chars", "linked", "bonus", "inside")
 
     def __init__(self, tag, parent=None, clutter=False, bonus=0.0):
         self.tag, self.parent, self.kids, self.clutter = tag, parent, [], clutter
         self.points, self.chars, self.linked, self.bonus = 0.0, 0, 0, bonus
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
 
 
 def judged(tag: str, attrs, inside: bool) -> tuple[bool, float]:
@@ -84,10 +86,7 @@ class Builder(HTMLParser):
             self._close(ENDS_SAME[tag], SCOPE - {tag})
         if tag == "body":
             self._close(("head",), ())
-        inside, up = False, self.at
-        while up is not None and not inside:
-            inside, up = up.tag in ("article", "main"), up.parent
-        clutter, bonus = judged(tag, attrs, inside)
+        clutter, bonus = judged(tag, attrs, self.at.inside)
         node = Node(tag, self.at, clutter, bonus)
         self.at.kids.append(node)
         if tag not in VOID:
@@ -130,7 +129,7 @@ def score(root: Node) -> None:
                 size = len(k.strip())
                 own, direct, commas = own + size, direct + size, commas + k.count(",")
             elif not k.clutter:
-                own, n.linked, n.bonus = own + k.chars, n.linked + k.linked, n.bonus
+                own, n.linked = own + k.chars, n.linked + k.linked
                 if k.tag not in BLOCKS:
                     direct += k.chars
         n.chars = own
@@ -139,7 +138,7 @@ def score(root: Node) -> None:
         if direct and (n.tag in PARAGRAPHS or n.tag in BLOCKS):
             gain = (1 + commas + min(direct / 100, 3)) * (1 - n.linked / max(1, n.chars))
             up, level = (n.parent if n.tag in PARAGRAPHS else n), 0
-            while up is not None:
+            while up is not None and level <= LEVELS:
                 up.points += gain / (1, 2, 6, 9, 12)[min(level, 4)]
                 up, level = up.parent, level + 1
 

@@ -167,25 +167,30 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
     return grow(labelled)
 
 
-def scan(docs: DataFrame, forest, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """docs with `found`: array of (value, lead, score, secret) of all candidates of the whole text, in text order.
+def scan(docs: DataFrame, forest, text_col: str = "text", least: float = 0.5, out: str = "found") -> DataFrame:
+    """docs with column `out`: array of (value, lead, score, secret) of all candidates of the whole text, in text order.
 
-    Null and empty texts have none. A column called found is replaced; all others stay.
+    Null and empty texts have none. A column of that name is replaced; all others stay.
     """
     rated = F.transform(candidates(text_col), lambda c: F.struct(c["value"].alias("value"), c["lead"].alias("lead"), forest_score(forest, c["f"]).alias("score")))
     rated = F.transform(rated, lambda c: F.struct(c["value"].alias("value"), c["lead"].alias("lead"), c["score"].alias("score"), (c["score"] >= least).alias("secret")))
-    return docs.drop("found").withColumn("found", rated)
+    return docs.withColumn(out, rated)
 
 
 def redact(docs: DataFrame, forest, text_col: str = "text", count_col: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every found secret replaced by `mark`, and count_col brought up to date where the text changed."""
+    """docs with every found secret replaced by `mark`, and count_col brought up to date where the text changed.
+
+    Columns and rows stay as they are otherwise, repeated rows and nulls too. A secret that is part of another
+    candidate is masked there as well; longer ones are masked first.
+    """
     names = docs.columns
-    hits = F.array_distinct(F.transform(F.filter("found", lambda c: c["secret"]), lambda c: c["value"]))
-    out = scan(docs, forest, text_col).withColumn("_hits", F.array_sort(hits, lambda a, b: F.length(b) - F.length(a)))
-    clean = F.aggregate("_hits", F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
-    out = out.withColumn(text_col, F.when(F.size("_hits") > 0, clean).otherwise(F.col(text_col)))
+    found, hits = "_cladeframe_found", "_cladeframe_hits"
+    values = F.array_distinct(F.transform(F.filter(found, lambda c: c["secret"]), lambda c: c["value"]))
+    out = scan(docs, forest, text_col, out=found).withColumn(hits, F.array_sort(values, lambda a, b: F.length(b) - F.length(a)))
+    clean = F.aggregate(hits, F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
+    out = out.withColumn(text_col, F.when(F.size(hits) > 0, clean).otherwise(F.col(text_col)))
     if count_col in names:
-        out = out.withColumn(count_col, F.when(F.size("_hits") > 0, F.length(text_col).cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col)))
+        out = out.withColumn(count_col, F.when(F.size(hits) > 0, F.length(text_col).cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col)))
     return out.select(*names)
 
 

@@ -248,22 +248,22 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                     lead = [min(a, 2 * p.longest) for a, _ in spans]
                     yield pd.DataFrame({"id": key, "row": pdf["row"].iloc[one], "k": range(at, at + len(spans)), "lead": lead, "size": [b - a for a, b in spans], "last": [b == n for _, b in spans], "s": [s[a - x : b + 2 * p.longest] for x, (a, b) in zip(lead, spans)]})
 
-    giants = rows.where(size > giant).withColumn("row", F.xxhash64("id", "text"))
+    giants = rows.where(size > giant).withColumn("row", F.md5(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), "text")))
     # Copies of a document under one id are told apart by nothing but their count; they are encoded once and repeated.
     giants = giants.groupBy("id", "row").agg(F.first("text").alias("text"), F.count("*").alias("times")).select("id", "row", "text", "times")
     giants = cut(giants)
-    times = giants.select(F.col("id").alias("tid"), F.col("row").alias("trow"), "times")
-    parts = giants.select("id", "row", "text").mapInPandas(pieces, f"id {kind}, row long, k long, lead int, size int, last boolean, s string")
-    parts = cut(parts.repartition("id", "row", "k"))
+    times = giants.select("row", "times")
+    parts = giants.select("id", "row", "text").mapInPandas(pieces, f"id {kind}, row string, k long, lead int, size int, last boolean, s string")
+    parts = cut(parts.repartition("row", "k"))
     entry = "array<array<int>>"
 
     def transfer(batches):
         p = Pieces(model)
         for pdf in batches:
             m = [[list(e) for e in p.matrix(s, lead, n, k == 0, last)] for s, lead, n, k, last in zip(pdf["s"], pdf["lead"], pdf["size"], pdf["k"], pdf["last"])]
-            yield pdf[["id", "row", "k"]].assign(m=m)
+            yield pdf[["row", "k"]].assign(m=m)
 
-    matrices = parts.mapInPandas(transfer, f"id {kind}, row long, k long, m {entry}").withColumn("g", F.floor(F.col("k") / group).cast("long"))
+    matrices = parts.mapInPandas(transfer, f"row string, k long, m {entry}").withColumn("g", F.floor(F.col("k") / group).cast("long"))
     matrices = cut(matrices)
 
     def product(pdf):
@@ -271,23 +271,23 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         total = as_tuples(pdf["m"].iloc[0])
         for m in pdf["m"].iloc[1:]:
             total = compose(total, as_tuples(m))
-        return pd.DataFrame({"id": pdf["id"].iloc[:1], "row": pdf["row"].iloc[:1], "g": pdf["g"].iloc[:1], "m": [[list(e) for e in total]]})
+        return pd.DataFrame({"row": pdf["row"].iloc[:1], "g": pdf["g"].iloc[:1], "m": [[list(e) for e in total]]})
 
-    grouped = matrices.groupBy("id", "row", "g").applyInPandas(product, f"id {kind}, row long, g long, m {entry}")
+    grouped = matrices.groupBy("row", "g").applyInPandas(product, f"row string, g long, m {entry}")
 
     def bounds(pdf):
         pdf = pdf.sort_values("g")
         states = resolve([as_tuples(m) for m in pdf["m"]], START, END)
-        return pd.DataFrame({"id": pdf["id"], "row": pdf["row"], "g": pdf["g"], "into": [list(s) for s in states[:-1]], "out": [list(s) for s in states[1:]]})
+        return pd.DataFrame({"row": pdf["row"], "g": pdf["g"], "into": [list(s) for s in states[:-1]], "out": [list(s) for s in states[1:]]})
 
-    tops = cut(grouped.groupBy("id", "row").applyInPandas(bounds, f"id {kind}, row long, g long, into array<int>, out array<int>"))
+    tops = cut(grouped.groupBy("row").applyInPandas(bounds, "row string, g long, into array<int>, out array<int>"))
 
     def inner(pdf):
         pdf = pdf.sort_values("k")
         states = resolve([as_tuples(m) for m in pdf["m"]], tuple(int(v) for v in pdf["into"].iloc[0]), tuple(int(v) for v in pdf["out"].iloc[0]))
-        return pd.DataFrame({"id": pdf["id"], "row": pdf["row"], "k": pdf["k"], "into": [list(s) for s in states[:-1]], "out": [list(s) for s in states[1:]]})
+        return pd.DataFrame({"row": pdf["row"], "k": pdf["k"], "into": [list(s) for s in states[:-1]], "out": [list(s) for s in states[1:]]})
 
-    solved = matrices.join(tops, ["id", "row", "g"]).groupBy("id", "row", "g").applyInPandas(inner, f"id {kind}, row long, k long, into array<int>, out array<int>")
+    solved = matrices.join(tops, ["row", "g"]).groupBy("row", "g").applyInPandas(inner, "row string, k long, into array<int>, out array<int>")
 
     def backtrace(batches):
         p = Pieces(model)
@@ -305,8 +305,8 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 exact.append(text == raw.replace(MARK, " "))
             yield pd.DataFrame({"id": pdf["id"], "row": pdf["row"], "part": pdf["k"], "ids": ids, "n_chars": chars, "exact": exact})
 
-    done = parts.join(solved, ["id", "row", "k"]).mapInPandas(backtrace, f"id {kind}, row long, part long, ids array<int>, n_chars long, exact boolean")
-    done = done.join(times, (F.col("id") == F.col("tid")) & (F.col("row") == F.col("trow")))
+    done = parts.join(solved, ["row", "k"]).mapInPandas(backtrace, f"id {kind}, row string, part long, ids array<int>, n_chars long, exact boolean")
+    done = done.join(times, "row")
     done = done.select("id", "part", "ids", "n_chars", "exact", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_")).drop("_")
     return plain.unionByName(done).withColumnRenamed("id", id_col)
 

@@ -31,12 +31,12 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     starts = [0, *ends[:-1]]
     k = min(words, len(parts))
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[s : e - 1], seed) for s, e in zip(starts, ends[k - 1 :])]
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), BLOCK):
-        part = np.array(hashes[at : at + BLOCK], dtype="<u8")
+    n, ones = len(parts) - k + 1, np.zeros(64, dtype=np.int64)
+    for at in range(0, n, BLOCK):
+        spans = zip(starts[at : min(at + BLOCK, n)], ends[at + k - 1 : at + k - 1 + BLOCK])
+        part = np.array([digest(joined[s : e - 1], seed) for s, e in spans], dtype="<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    bits = (2 * ones > len(hashes)).astype(np.uint8)
+    bits = (2 * ones > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
@@ -95,6 +95,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words: int = 3) -> DataFrame:
-    """Rows of docs whose id is the smallest of its component, columns unchanged."""
+    """Rows of docs whose id is the smallest of its component, columns unchanged.
+
+    Rows without an id stay, as nothing can name them; so do all rows that share a kept id.
+    """
     found = near_duplicates(docs, id_col, text_col, radius, words)
-    return docs.join(found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), id_col, "left_semi")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti")

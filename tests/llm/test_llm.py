@@ -260,6 +260,8 @@ def test_ball_finds_all_pairs_within_radius(spark):
         want = union_find(range(len(fps)), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= radius])
         assert all(comp.get(i, i) == want[i] for i in want)
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    some = spark.createDataFrame([(None, "a b c"), (None, "q"), (1, "a b c"), (2, "A b c"), (3, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0) for r in simhash.keep_one(some).collect()) == [0, 0, 1, 3]
 
 
 # ---------------------------------------------------------------- op7
@@ -313,6 +315,8 @@ def test_encoding_equals_the_library_and_round_trips(spark):
         assert parts[i] == sp.encode(t or "") and whole[i] == (t or "")
     twice = spark.createDataFrame([(1, "q" * 2000)] * 2, "doc_id long, text string")
     assert sentencepiece_scan.encode(twice, model, giant=1000, chunk=256).groupBy("part").count().where("count <> 2").count() == 0
+    nameless = spark.createDataFrame([(None, "q" * 2000), (None, "x")], "doc_id long, text string")
+    assert sentencepiece_scan.encode(nameless, model, giant=1000, chunk=256).agg(F.sum("n_chars")).first()[0] == 2001
     assert sentencepiece_scan.encode(df.limit(0), model).count() == 0
 
 
@@ -339,7 +343,7 @@ def test_embedding_groups_match_brute_force(spark):
     x = np.vstack([rng.standard_normal((500, 32)), np.repeat(centre, 25, axis=0) + rng.standard_normal((300, 32)) * 0.08, np.repeat(centre[:1], 40, axis=0)])
     label = [int(v) for v in rng.integers(0, 2, len(x))]
     rows = [(i, [float(v) for v in r], label[i]) for i, r in enumerate(x)]
-    rows += [(5000, None, 0), (5001, [0.0] * 32, 0), (5002, [float("inf")] * 32, 1), (5003, rows[0][1], None), (5004, [1.0, 0.0], 0)]
+    rows += [(5000, None, 0), (5001, [0.0] * 32, 0), (5002, [float("inf")] * 32, 1), (5003, rows[0][1], None), (5004, [1.0, 0.0], 0), (None, rows[0][1], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     for block in (512, 16):
         got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, leaf_rows=32, block_rows=block).collect()}
@@ -350,7 +354,7 @@ def test_embedding_groups_match_brute_force(spark):
         links = np.array([got[i].n_links for i in range(len(x))])
         assert (links <= near.sum(axis=1)).all() and links.sum() >= 0.97 * near.sum()
         assert np.mean([got[i].component_id == comp[i] for i in comp]) > 0.98
-        assert all(got[i].kept and got[i].n_links == 0 and got[i].component_id == i for i in range(5000, 5005)) and len(got) == len(rows)
+        assert all(got[i].kept and got[i].n_links == 0 and got[i].component_id == i for i in range(5000, 5005)) and len(got) == len(rows) and got[None].n_links == 0
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -368,6 +372,7 @@ def test_secrets_found_and_prose_left(spark):
     clean = secrets.redact(docs, forest)
     assert clean.columns == docs.columns
     rows = {r.doc_id: r for r in clean.collect()}
+    assert rows[10_000].found == 1 and rows[10_000].f == "x"
     assert "[SECRET]" in rows[10_000].text and rows[10_000].n_chars == len(rows[10_000].text)
     odd = spark.createDataFrame([(1, None, None, None, None), (2, "", None, None, 0), (3, "AKIA" + "Q1" * 8 + " " + "z" * 100_000, None, None, 1), (3, "k", None, None, 1)], DOCS)
     assert secrets.redact(odd, forest).count() == 4 and secrets.redact(odd.limit(0), forest).count() == 0
