@@ -319,3 +319,48 @@ def genealogical_index(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     out = size.join(used, ["tree_id", "group"], "left").join(every, "tree_id", "left")
     obs, low = (F.col("n") - 1) / F.col("extra"), (F.col("n") - 1) / F.col("all_extra")
     return out.select("tree_id", "group", F.when((F.col("n") < 2) | F.col("extra").isNull(), F.lit(-1.0)).when(low == 1, F.lit(1.0)).otherwise((obs - low) / (1 - low)).alias("gsi"))
+
+
+def sane(nodes: DataFrame) -> DataFrame:
+    """FLT13: (tree_id, fault): trees without exactly one root, unrooted ones whose root has two children, unary nodes."""
+    kids = nodes.where("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("k"))
+    at = nodes.join(kids, ["tree_id", "node_id"], "left").select("tree_id", "parent_id", "k", F.col("rooted") if "rooted" in nodes.columns else F.lit(True).alias("rooted"))
+    roots = at.groupBy("tree_id").agg(F.sum(F.col("parent_id").isNull().cast("int")).alias("n")).where("n <> 1").select("tree_id", F.lit("not one root").alias("fault"))
+    two = at.where("not rooted and parent_id is null and k = 2").select("tree_id", F.lit("unrooted tree with two root children").alias("fault"))
+    return roots.unionByName(two).unionByName(at.where("k = 1").select("tree_id", F.lit("unary node").alias("fault")).distinct())
+
+
+def unary(nodes: DataFrame) -> DataFrame:
+    """JT2: nodes with a single child."""
+    kids = nodes.where("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("k")).where("k = 1")
+    return nodes.join(kids.select("tree_id", "node_id"), ["tree_id", "node_id"], "left_semi")
+
+
+def shape(nodes: DataFrame) -> DataFrame:
+    """JT29: nodes with children, degree (the parent counts), siblings, depth and height (edges to the deepest leaf)."""
+    kids = nodes.where("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("children"))
+    depth = materialise(root_distance(nodes).select("tree_id", "node_id", "depth", "is_leaf"))
+    deep = depth.where("is_leaf").join(ancestors(nodes).drop("via"), ["tree_id", "node_id"]).groupBy("tree_id", F.col("anc").alias("node_id")).agg(F.max("depth").alias("deepest"))
+    up = kids.select("tree_id", F.col("node_id").alias("parent_id"), F.col("children").alias("peers"))
+    n = nodes.join(kids, ["tree_id", "node_id"], "left").join(up, ["tree_id", "parent_id"], "left").join(depth.drop("is_leaf"), ["tree_id", "node_id"]).join(deep, ["tree_id", "node_id"])
+    children = F.coalesce("children", F.lit(0))
+    return n.withColumn("children", children).withColumn("degree", children + F.col("parent_id").isNotNull().cast("long")).withColumn("siblings", F.coalesce(F.col("peers") - 1, F.lit(0))).withColumn("height", F.col("deepest") - F.col("depth")).drop("peers", "deepest")
+
+
+def leaf_positions(nodes: DataFrame) -> DataFrame:
+    """JT20: (tree_id, name, position): leaves by name, numbered from 0."""
+    w = Window.partitionBy("tree_id").orderBy("name")
+    return nodes.where("is_leaf").select("tree_id", "name", (F.row_number().over(w) - 1).cast("int").alias("position"))
+
+
+def unmapped_leaf(nodes: DataFrame, mapping: DataFrame) -> DataFrame:
+    """JT16: the first leaf, in postorder, of each tree that mapping (name, …) lacks."""
+    left = nodes.where("is_leaf").join(mapping.select("name"), "name", "left_anti")
+    return left.groupBy("tree_id").agg(F.min_by("name", "node_id").alias("name"))
+
+
+def random_node(nodes: DataFrame, seed: int, leaves: bool = True, root: bool = True) -> DataFrame:
+    """JT30: one node of each tree, picked by a hash; leaves or the root can be left out."""
+    some = nodes if leaves else nodes.where("not is_leaf")
+    some = some if root else some.where("parent_id is not null")
+    return some.groupBy("tree_id").agg(F.min_by("node_id", F.xxhash64(F.lit(seed), "tree_id", "node_id")).alias("node_id"))

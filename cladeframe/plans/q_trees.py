@@ -321,7 +321,22 @@ def viterbi_align(spark, d):
     return got.groupBy("key", "name").agg(F.max("score").alias("score"), F.count("*").alias("residues"), F.sum((F.col("site") >= 0).cast("long")).alias("on_sites"))
 
 
-NAMES = """tree_from_clusters shared_clades collapsed_trees fasta_round_trip stockholm_scan search_report_scan viterbi_align edge_leaf_counts root_distances centroid_edge longest_edge clade_edge product_edge bisected_leaves adjacent_edges leaf_distance tree_diameter nearest_taxa lca_pairs lca_of_sets
+def node_shapes(spark, d):
+    return trees.shape(forest(spark, d)).select(*_id(), "node", "children", "degree", "siblings", "depth", "height")
+
+
+def leaf_positions(spark, d):
+    return trees.leaf_positions(forest(spark, d)).select(*_id(), "name", "position")
+
+
+def genealogical_index(spark, d):
+    """Index of leaves in three groups by id, in every tree."""
+    n = forest(spark, d)
+    groups = n.where("is_leaf").select("name", (F.col("name").cast("long") % 3).alias("group")).distinct()
+    return trees.genealogical_index(n, groups).select(*_id(), "group", F.round("gsi", 6).alias("gsi"))
+
+
+NAMES = """node_shapes leaf_positions genealogical_index tree_from_clusters shared_clades collapsed_trees fasta_round_trip stockholm_scan search_report_scan viterbi_align edge_leaf_counts root_distances centroid_edge longest_edge clade_edge product_edge bisected_leaves adjacent_edges leaf_distance tree_diameter nearest_taxa lca_pairs lca_of_sets
 long_branches pruned_trees binary_trees scaled_lengths labelled_nodes newick_round_trip split_relabel shared_splits edge_support incompatible_splits same_leaf_sets decomposed_trees
 decomposed_by_diameter placement_hierarchy midpoint_edges rerooted_trees placement_normalise placement_threshold best_placements distal_clip taxonomic_rollup classified_fragments
 jplace_documents event_properties""".split()
@@ -350,6 +365,9 @@ TRIO = lambda: f"{two()}, {sql_tree('c', 'x1')}, ccl AS (SELECT u.label, u.block
 W = "w AS (SELECT l_orderkey AS fragment, l_suppkey AS edge_num, sum(l_extendedprice * (1 - l_discount)) AS w FROM lineitem GROUP BY ALL), p AS (SELECT fragment, edge_num, w / sum(w) OVER (PARTITION BY fragment) AS p FROM w)"
 
 ORACLES = {
+    "node_shapes": f"WITH {TL}, ch AS (SELECT label, block, parent AS node, count(*) AS c FROM nodes WHERE parent IS NOT NULL GROUP BY ALL), dp AS (SELECT u.label, u.block, u.anc AS node, max(length(n.key)) AS deep FROM up u JOIN nodes n USING (label, block, node) WHERE n.name IS NOT NULL GROUP BY ALL) SELECT n.label, n.block, n.node, coalesce(c, 0) AS children, coalesce(c, 0) + CASE WHEN n.parent IS NULL THEN 0 ELSE 1 END AS degree, CASE WHEN n.parent IS NULL THEN 0 ELSE 1 END AS siblings, length(n.key) - 1 AS depth, deep - length(n.key) AS height FROM nodes n LEFT JOIN ch USING (label, block, node) JOIN dp USING (label, block, node)",
+    "leaf_positions": f"WITH {T} SELECT label, block, name, (row_number() OVER (PARTITION BY label, block ORDER BY name) - 1)::INT AS position FROM nodes WHERE name IS NOT NULL",
+    "genealogical_index": f"WITH {T}, ex AS (SELECT label, block, parent AS node, count(*) + max(CASE WHEN parent > 1 THEN 1 ELSE 0 END) - 2 AS extra FROM nodes WHERE parent IS NOT NULL GROUP BY ALL), al AS (SELECT label, block, sum(extra) AS all_extra FROM ex GROUP BY ALL), g AS (SELECT label, block, node, name::BIGINT % 3 AS grp FROM nodes WHERE name IS NOT NULL), held AS (SELECT label, block, grp, anc, count(*) AS m FROM g JOIN up USING (label, block, node) GROUP BY ALL), sz AS (SELECT label, block, grp, count(*) AS n FROM g GROUP BY ALL), top AS (SELECT label, block, grp, max(anc) AS t FROM held JOIN sz USING (label, block, grp) WHERE m = n GROUP BY ALL), us AS (SELECT h.label, h.block, h.grp, sum(extra) AS extra FROM held h JOIN top USING (label, block, grp) JOIN ex ON ex.label = h.label AND ex.block = h.block AND ex.node = h.anc JOIN up u ON u.label = h.label AND u.block = h.block AND u.node = h.anc AND u.anc = t GROUP BY ALL) SELECT label, block, grp AS \"group\", round(CASE WHEN n < 2 OR extra IS NULL THEN -1.0 WHEN (n - 1) / all_extra = 1 THEN 1.0 ELSE ((n - 1) / extra - (n - 1) / all_extra) / (1 - (n - 1) / all_extra) END, 6) AS gsi FROM sz LEFT JOIN us USING (label, block, grp) LEFT JOIN al USING (label, block)",
     "tree_from_clusters": f"WITH {TL} SELECT label, block, node, parent, leaves AS n FROM lv WHERE name IS NULL",
     "shared_clades": f"WITH {two()}, bad AS (SELECT DISTINCT u.label, u.block, u.anc AS node FROM up u JOIN k USING (label, block, node) WHERE NOT EXISTS (SELECT 1 FROM bk WHERE bk.label = k.label AND bk.block = k.block AND bk.s = k.s)), fine AS (SELECT k.label, k.block, k.node, len(s) AS leaves FROM k LEFT JOIN bad USING (label, block, node) WHERE bad.node IS NULL) SELECT f.label, f.block, f.node, f.leaves FROM fine f LEFT JOIN fine g ON g.label = f.label AND g.block = f.block AND g.node = f.node // 2 AND f.node > 1 WHERE g.node IS NULL AND f.leaves > 1",
     "collapsed_trees": f"WITH {TL}, small AS (SELECT label, block, node, key FROM lv WHERE leaves BETWEEN 2 AND 3), top AS (SELECT s.* FROM small s LEFT JOIN small t ON t.label = s.label AND t.block = s.block AND t.node = s.node // 2 WHERE t.node IS NULL), ins AS (SELECT t.label, t.block, t.node, t.key, n.name FROM top t JOIN up u ON u.label = t.label AND u.block = t.block AND u.anc = t.node JOIN nodes n ON n.label = u.label AND n.block = u.block AND n.node = u.node AND n.name IS NOT NULL), tips AS (SELECT label, block, key, '__' || string_agg(name, '_' ORDER BY name) AS name FROM ins GROUP BY label, block, node, key UNION ALL SELECT n.label, n.block, n.key, n.name FROM nodes n WHERE n.name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ins i WHERE i.label = n.label AND i.block = n.block AND i.name = n.name)) SELECT label, block, name, (row_number() OVER (PARTITION BY label, block ORDER BY key) - 1)::INT AS rank FROM tips",

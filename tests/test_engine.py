@@ -301,6 +301,24 @@ def test_splits(spark):
     assert rows_of(small.where("is_leaf"), "name") == [("__c_d_e",), ("a",), ("b",)] and rows_of(undo, "leaf") == [("c",), ("d",), ("e",)]
 
 
+def test_cluster_algebra(spark):
+    from cladeframe.functions import clusters as c
+
+    df = spark.createDataFrame([(["a", "b"], ["b", "a", "c"], ["c", "d"], list("abcd"), [["c"], ["d"]])], "x array<string>, y array<string>, z array<string>, t array<string>, l array<array<string>>")
+    got = df.select(c.cluster("y"), c.compatible("x", "y"), c.compatible("y", "z"), c.complement("x", "t"), c.complementary("x", "z", "t"), c.is_branch("x", c.cluster("y"), "l"), c.merged("x", "z"), c.same_split("x", "z", "z", "x")).first()
+    assert tuple(got) == (["a", "b", "c"], True, False, ["c", "d"], True, True, ["a", "b", "c", "d"], True)
+    bits = spark.createDataFrame([([3], [6]), ([3], [7]), ([3], [12])], "a array<bigint>, b array<bigint>")
+    assert [r[0] for r in bits.select(c.compatible_bits("a", "b", 5)).collect()] == [False, True, True]
+
+
+def test_tree_checks(spark):
+    t = trees_df(spark, "((a,b),c);", "[&U](a,b);", "((a)x,b);")
+    assert rows_of(trees.sane(t), "tree_id", "fault") == [(1, "unrooted tree with two root children"), (2, "unary node")]
+    assert rows_of(trees.unary(t), "name") == [("x",)]
+    assert rows_of(trees.unmapped_leaf(t, spark.createDataFrame([("a",)], "name string")), "tree_id", "name") == [(0, "b"), (1, "b"), (2, "b")]
+    assert trees.random_node(t, 3, leaves=False, root=False).count() == 2
+
+
 # ---------------------------------------------------------------- placements
 
 
