@@ -182,16 +182,18 @@ def prune(nodes: DataFrame, leaves: DataFrame, keep: bool = True) -> DataFrame:
 
 
 def renumber(clades: DataFrame) -> DataFrame:
-    """Node table from distinct nested clades (tree_id, leaf_lo, leaf_hi, name, length); `old` is carried if there.
+    """Node table from distinct nested clades (tree_id, leaf_lo, leaf_hi, name, length); further columns are carried.
 
-    In postorder a clade comes after all that end before it or inside it; its parent is the next later one that
-    starts no later, found as the smallest such end.
+    In postorder a clade comes after all that end before it or lie inside it. Depths are running sums, and a clade's
+    parent is the next later one whose depth is less by one: two windows, and no clades are compared in pairs.
     """
     w = Window.partitionBy("tree_id").orderBy("leaf_hi", F.desc("leaf_lo"))
     n = materialise(clades.withColumn("node_id", (F.row_number().over(w) - 1).cast("int")))
-    p = n.select("tree_id", F.col("node_id").alias("pid"), F.col("leaf_lo").alias("plo"), F.col("leaf_hi").alias("phi"))
-    inside = (F.col("plo") <= F.col("leaf_lo")) & (F.col("phi") >= F.col("leaf_hi")) & (F.col("pid") > F.col("node_id"))
-    up = n.join(p, "tree_id").where(inside).groupBy("tree_id", "node_id").agg(F.min("pid").alias("parent_id"))
+    depth = root_distance(n.select("tree_id", "node_id", "leaf_lo", "leaf_hi", F.lit(0.0).alias("length"))).select("tree_id", "node_id", "depth")
+    roles = F.array(F.struct((F.col("depth") - 1).alias("l"), F.lit(False).alias("is_parent")), F.struct(F.col("depth").alias("l"), F.lit(True).alias("is_parent")))
+    at = depth.select("tree_id", "node_id", F.explode(roles).alias("x")).select("tree_id", "node_id", "x.*")
+    later = Window.partitionBy("tree_id", "l").orderBy("node_id", "is_parent").rowsBetween(1, Window.unboundedFollowing)
+    up = at.withColumn("parent_id", F.min(F.when(F.col("is_parent"), F.col("node_id"))).over(later)).where("not is_parent and l >= 0").select("tree_id", "node_id", "parent_id")
     kids = Window.partitionBy("tree_id", "parent_id").orderBy("node_id")
     out = n.join(up, ["tree_id", "node_id"], "left").withColumn("child_ord", F.when(F.col("parent_id").isNotNull(), F.row_number().over(kids) - 1).cast("int"))
     return out.withColumn("is_leaf", F.col("leaf_lo") == F.col("leaf_hi")).withColumn("length", F.when(F.col("parent_id").isNotNull(), F.col("length")))
