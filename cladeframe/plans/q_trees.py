@@ -9,7 +9,7 @@ from cladeframe.functions.lineage import materialise
 from cladeframe.operators import decompose, placement, splits, trees
 from cladeframe.sources import documents, newick
 
-from .fixtures import SQL_DENSE, SQL_DIST, SQL_LEAVES, forest, parents, placements, sql_tree, table
+from .fixtures import SQL_DENSE, SQL_DIST, SQL_LEAVES, forest, placements, sql_tree, table
 
 def _id():
     return [F.col("tree_id.label").alias("label"), F.col("tree_id.block").alias("block")]
