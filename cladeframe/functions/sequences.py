@@ -160,7 +160,7 @@ def joined(items, sep: str = "()") -> Column:
 
 def edge_number(token) -> Column:
     """FN14: the number in [n] or {n} of a newick token, null if there is none."""
-    return F.expr("try_cast(nullif(regexp_extract({0}, '[\\\\[{{](\\\\d+)[\\\\]}}]', 1), '') as int)".format(token if isinstance(token, str) else "token"))
+    return F.nullif(F.regexp_extract(column(token), r"[\[{](\d+)[\]}]", 1), F.lit("")).cast("int")
 
 
 def backtranslate(protein: DataFrame, dna: DataFrame) -> DataFrame:

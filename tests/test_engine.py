@@ -97,6 +97,8 @@ def test_hamming_names_and_bits(spark):
         spark.createDataFrame([("ACG", "A")], "a string, b string").select(seq.hamming("a", "b")).collect()
     n = spark.createDataFrame([("s_x_1_2_3_500000",)], "n string").select(seq.renamed("n"), seq.prior("n")).first()
     assert tuple(n) == ("s", 0.5)
+    e = spark.createDataFrame([("a:1[12]",), ("b{3}",), ("c",)], "t string").select(seq.edge_number("t"))
+    assert [r[0] for r in e.collect()] == [12, 3, None]
     b = spark.createDataFrame([([5, 1], [4, 1])], "a array<bigint>, b array<bigint>")
     assert tuple(b.select(seq.bits_count("a"), seq.bits_contain("a", "b"), seq.bits_xor("a", "b")).first()) == (3, True, [1, 0])
     assert seq.gcd(12, 18) == 6 and seq.lcm(4, 6) == 12 and routing.chunks_per_subset(6, 4) == 2
