@@ -43,8 +43,8 @@ def cells(docs: DataFrame) -> DataFrame:
 def targets(cell: DataFrame, dim: str, power: float) -> DataFrame:
     """(dim, target): every category's share of the tokens to a power, scaled to the sum of all tokens."""
     share = cell.groupBy(dim).agg(F.sum("tokens").alias("n")).withColumn("p", F.pow("n", F.lit(power)))
-    total = share.agg(F.sum("n").alias("all_n"), F.sum("p").alias("all_p"))
-    return share.crossJoin(F.broadcast(total)).select(dim, (F.col("p") / F.col("all_p") * F.col("all_n")).alias("target"))  # one row
+    total = share.agg(F.sum("n").alias("n"), F.sum("p").alias("p")).first()
+    return share.select(dim, (F.col("p") / F.lit(total["p"]) * F.lit(total["n"])).alias("target"))
 
 
 def rake(cell: DataFrame, goals: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
@@ -66,13 +66,15 @@ def probabilities(raked: DataFrame, keep: float = KEEP, scales: int = SCALES) ->
     """raked with p: least(1, c * w / tokens), c the largest of `scales` values, evenly spaced in logarithm between
     those that keep everything and nothing, that keeps at most the share `keep` of all tokens."""
     r = raked.withColumn("ratio", F.col("w") / F.col("tokens"))
-    ends = r.agg(F.min("ratio").alias("low"), F.max("ratio").alias("high"), F.sum("tokens").alias("all"))
-    grid = ends.select("low", "high", "all", F.explode(F.sequence(F.lit(0), F.lit(scales))).alias("k"))
-    grid = grid.select("k", "all", ((F.lit(keep) / F.col("high")) * F.pow(F.col("high") / F.col("low") / keep, F.col("k") / scales)).alias("c"))
-    kept = r.crossJoin(F.broadcast(grid)).groupBy("k", "c", "all").agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("c") * F.col("ratio"))).alias("kept"))
-    best = kept.where(F.col("kept") <= F.col("all") * keep + 1e-6).agg(F.max("c").alias("c"))
-    out = r.crossJoin(F.broadcast(best))
-    return out.withColumn("p", F.round(F.least(F.lit(1.0), F.coalesce("c", F.lit(1.0)) * F.col("ratio")), 6)).drop("ratio", "c")
+    ends = r.agg(F.min("ratio").alias("low"), F.max("ratio").alias("high"), F.sum("tokens").alias("all")).first()
+    if ends["all"] is None:
+        return r.withColumn("p", F.lit(0.0)).drop("ratio")
+    low, high = ends["low"], ends["high"]
+    c = F.lit(keep / high) * F.pow(F.lit(high / low / keep), F.col("k") / scales)
+    tried = r.select("tokens", "ratio", F.explode(F.sequence(F.lit(0), F.lit(scales))).alias("k")).withColumn("c", c)
+    kept = tried.groupBy("k", "c").agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("c") * F.col("ratio"))).alias("kept"))
+    best = kept.where(F.col("kept") <= ends["all"] * keep + 1e-6).agg(F.max("c")).first()[0]
+    return r.withColumn("p", F.round(F.least(F.lit(1.0), F.lit(1.0 if best is None else best) * F.col("ratio")), 6)).drop("ratio")
 
 
 def cell_of(docs: DataFrame) -> dict[str, Column]:
