@@ -54,5 +54,6 @@ def render(merged: DataFrame, cols: DataFrame, keys: list[str] = ()) -> DataFram
     padded = merged.withColumn("before", F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(-1)) - 1)
     piece = F.concat(F.repeat(F.lit(GAP), F.col("before")), F.col("ch"))
     rows = padded.withColumn("piece", piece).groupBy(*keys, "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda s: s["piece"]), "").alias("seq"))
-    joined = rows.join(F.broadcast(size), list(keys)) if keys else rows.crossJoin(F.broadcast(size))  # one row per alignment
-    return joined.select(*keys, "name", F.rpad("seq", F.col("n").cast("int"), GAP).alias("seq"))
+    if keys:
+        return rows.join(size, list(keys)).select(*keys, "name", F.rpad("seq", F.col("n").cast("int"), GAP).alias("seq"))
+    return rows.select("name", F.rpad("seq", F.lit(size.first()["n"]).cast("int"), F.lit(GAP)).alias("seq"))

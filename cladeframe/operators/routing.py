@@ -82,9 +82,8 @@ def length_quantile(rows: DataFrame, q: float = -1, seq: str = "seq", keys: list
 
 def length_band(rows: DataFrame, middle: DataFrame, tolerance: float = 0.25, seq: str = "seq") -> DataFrame:
     """FLT2: rows with full: the degapped length lies in int(M (1 - t)) … int(M (1 + t))."""
-    m = middle.select(F.floor(F.col("length") * (1 - tolerance)).alias("_low"), F.floor(F.col("length") * (1 + tolerance)).alias("_high"))
-    n = F.length(degap(seq))
-    return rows.crossJoin(F.broadcast(m)).withColumn("full", n.between(F.col("_low"), F.col("_high"))).drop("_low", "_high")  # one row
+    m = middle.first()["length"]
+    return rows.withColumn("full", F.length(degap(seq)).between(int(m * (1 - tolerance)), int(m * (1 + tolerance))) if m is not None else F.lit(None).cast("boolean"))
 
 
 def collisions(queries: DataFrame, reference: DataFrame, name: str = "name") -> DataFrame:
