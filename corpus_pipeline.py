@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeframe.llm import mixing, secrets, sentencepiece_scan, simhash, toxicity
+from cladeframe.llm import mixing, secrets, sentencepiece_scan, shingle_join, toxicity
 from cladeframe.llm.common import crc_mod, cut, table
 
 
@@ -15,7 +15,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, radius=2, words=3)
+    return shingle_join.keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cladeframe.llm import ann, common, embedding_dedup, html_text, language_id, mixing, queries, secrets, sentencepiece_scan, simhash, toxicity, warc
+from cladeframe.llm import ann, common, embedding_dedup, html_text, language_id, mixing, queries, secrets, sentencepiece_scan, shingle_join, simhash, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -264,6 +264,34 @@ def test_ball_finds_all_pairs_within_radius(spark):
     assert sorted((r.doc_id or 0) for r in simhash.keep_one(some).collect()) == [0, 0, 1, 3]
 
 
+def test_near_copies_match_brute_force(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    vocab = np.array([f"w{i}" for i in range(3000)])
+    docs, i = [], 0
+    line = list(rng.choice(vocab, 12))
+    for n in (12, 40, 150, 600):
+        for _ in range(5):
+            base = [*rng.choice(vocab, n), *line]
+            for edits in (0, 0, 1, 2, 3, n // 60, n // 30):
+                text = list(base)
+                for at in rng.integers(0, len(text), edits):
+                    text[at] = rng.choice(vocab)
+                docs.append((i := i + 1, " ".join(text)))
+    hub = list(rng.choice(vocab, 60))
+    docs += [(1000 + k, " ".join(hub[:k] + ["new"] + hub[k + 1 :])) for k in range(60)]  # one large group
+    docs += [(2000, None), (2001, ""), (2002, "a b"), (2003, "A b"), (2004, "a c"), (None, docs[0][1])]
+    sets = {i: set(shingle_join.shingles(t).tolist()) for i, t in docs if i is not None}
+    fps = {i: simhash.fingerprint(t) for i, t in docs if i is not None}
+    near = lambda a, b: sets[a] == sets[b] or 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])) or (fps[a] ^ fps[b]).bit_count() <= 2
+    want = union_find(sets, [(a, b) for a in sets for b in sets if a < b and near(a, b)])
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF)
+    assert got.columns == ["doc_id", "text"]
+    assert sorted((r.doc_id or -1) for r in got.collect()) == sorted({*want.values(), -1})
+    assert shingle_join.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 # ---------------------------------------------------------------- op7
 
 
