@@ -9,6 +9,8 @@ of all rows costs no task more than another.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ KEEP = 0.8
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.8}
 SCALES = 400
 SEED = 29
+BOUNDS = 40
+STEP = 0.96
+TOLERANCE = 1e-3
 
 
 def topic_of(text: str = "text") -> Column:
@@ -77,6 +82,53 @@ def probabilities(raked: DataFrame, keep: float = KEEP, scales: int = SCALES) ->
     return r.withColumn("p", F.round(F.least(F.lit(1.0), F.lit(1.0 if best is None else best) * F.col("ratio")), 6)).drop("ratio")
 
 
+def bounded_rake(cell: DataFrame, goals: dict[str, DataFrame], shares: list[float], rounds: int = ROUNDS) -> DataFrame:
+    """cell with share and w for each of shares: tokens fitted to the goals, where no cell gets more than tokens / share.
+
+    In every step the cells at their bound are held and the others of their category take what is missing.
+    """
+    at = cell.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("cap", F.col("tokens") / F.col("share"))
+    at = at.withColumn("w", F.least("tokens", "cap"))
+    goals = {d: cut(g) for d, g in goals.items()}
+    full = F.col("w") >= F.col("cap") * (1 - 1e-12)
+    for _ in range(rounds):
+        for dim, goal in goals.items():
+            held, free = F.coalesce(F.sum(F.when(full, F.col("w"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0))
+            now = at.groupBy("share", dim).agg(held.alias("held"), free.alias("free")).join(goal, dim)
+            now = now.withColumn("up", F.col("target") > F.col("held") + F.col("free"))
+            more = F.coalesce((F.col("target") - F.col("held")) / F.nullif("free", F.lit(0.0)), F.lit(1.0))
+            now = now.select("share", dim, "up", F.when(F.col("up"), more).otherwise(F.col("target") / (F.col("held") + F.col("free"))).alias("f"))
+            at = at.join(now, ["share", dim], "left")
+            at = at.withColumn("w", F.when(F.col("up") & full, F.col("w")).otherwise(F.least("cap", F.col("w") * F.coalesce("f", F.lit(1.0))))).drop("up", "f")
+        at = cut(at)
+    return at
+
+
+def calibrated(rows: DataFrame, powers: dict[str, float] = POWERS, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+    """(source, lang, topic, weight, p) of all cells of described rows, so that the sample itself meets the targets.
+
+    The share of tokens kept is the largest of BOUNDS values, at most `keep`, at which probabilities of at most 1 bring
+    every margin of the sample within TOLERANCE of its target. If none does, raked weights are scaled until no p is over 1.
+    """
+    cell = cut(cells(rows))
+    goals = {d: cut(targets(cell, d, a)) for d, a in powers.items()} if cell.head(1) else {}
+    if not goals:
+        return cell.select("source", "lang", "topic", F.lit(0.0).alias("weight"), F.lit(0.0).alias("p"))
+    most = [cell.groupBy(d).agg(F.sum("tokens").alias("n")).join(g, d).agg(F.min(F.col("n") / F.col("target"))).first()[0] for d, g in goals.items()]
+    top = min(keep, *most)
+    fitted = bounded_rake(cell, goals, [top * STEP**k for k in range(BOUNDS)], rounds)
+    off = [fitted.groupBy("share", d).agg(F.sum("w").alias("now")).join(g, d).select("share", F.abs(F.col("now") / F.col("target") - 1).alias("off")) for d, g in goals.items()]
+    worst = reduce(DataFrame.unionByName, off).groupBy("share").agg(F.max("off").alias("off"))
+    share = worst.where(F.col("off") <= TOLERANCE).agg(F.max("share")).first()[0]
+    if share is None:
+        fitted = rake(cell, goals, rounds)
+        share = min(keep, 1 / fitted.agg(F.max(F.col("w") / F.col("tokens"))).first()[0])
+    else:
+        fitted = fitted.where(F.col("share") == F.lit(share))
+    weight = F.col("w") / F.col("tokens")
+    return cut(fitted.select("source", "lang", "topic", weight.alias("weight"), F.least(F.lit(1.0), weight * F.lit(share)).alias("p")))
+
+
 def cell_of(docs: DataFrame) -> dict[str, Column]:
     """Columns that tell a document's cell: null source and lang are `unknown`."""
     return {"source": F.coalesce(docs["source"], F.lit("unknown")), "lang": F.coalesce(docs["lang"], F.lit("unknown")), "topic": topic_of()}
@@ -107,9 +159,12 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, keep: float = KEEP,
     return out.select("doc_id", "source", "lang", "topic", "tokens", "weight", "p", "kept")
 
 
-def keep_sampled(docs: DataFrame, powers: dict[str, float] = POWERS, keep: float = KEEP, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
-    """Rows of docs that the mixture keeps, columns unchanged. Texts are not shuffled while the cells are few."""
-    p = plan(described(docs), powers, keep, rounds).select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "lang", "topic", "p")])
+def keep_sampled(docs: DataFrame, powers: dict[str, float] = POWERS, keep: float = KEEP, rounds: int = ROUNDS, seed: int = SEED, exact: bool = False) -> DataFrame:
+    """Rows of docs that the mixture keeps, columns unchanged. Texts are not shuffled while the cells are few.
+
+    With `exact` the probabilities are calibrated, so that what is kept meets the targets; else they are those of mix.
+    """
+    p = (calibrated if exact else plan)(described(docs), powers, keep, rounds).select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "lang", "topic", "p")])
     tagged = docs.select("*", *[c.alias(f"_own_{n}") for n, c in cell_of(docs).items()])
     same = [F.col(f"_own_{c}") == F.col(f"_mix_{c}") for c in ("source", "lang", "topic")]
     return tagged.join(p, same).where(unit_hash(F.col("doc_id"), seed=seed) < F.col("_mix_p")).select(*[F.col(f"`{c}`") for c in docs.columns])

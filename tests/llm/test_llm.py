@@ -227,6 +227,25 @@ def test_mix_keeps_share_and_odd_rows(spark):
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.keep_sampled(odd.limit(0)).count() == 0
 
 
+def test_pipeline_sample_meets_the_targets(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = common.cut(mixing.described(docs))
+    cell = mixing.cells(rows).toPandas()
+    p = mixing.calibrated(rows).toPandas()
+    got = cell.merge(p, on=["source", "lang", "topic"])
+    got["kept"] = got.tokens * got.p
+    assert len(got) == len(cell) and got.p.max() <= 1 and 0 < got.kept.sum() <= mixing.KEEP * got.tokens.sum()
+    for d, a in mixing.POWERS.items():
+        want = cell.groupby(d).tokens.sum() ** a
+        assert np.allclose(got.groupby(d).kept.sum() / got.kept.sum(), want / want.sum(), rtol=5e-3)
+    kept = {r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, SF).select("doc_id").collect()}
+    own = rows.join(spark.createDataFrame(p), ["source", "lang", "topic"]).where(common.unit_hash(F.col("doc_id"), seed=mixing.SEED) < F.col("p"))
+    assert kept == {r.doc_id for r in own.select("doc_id").collect()}
+    assert mixing.keep_sampled(docs.limit(0), exact=True).count() == 0
+
+
 # ---------------------------------------------------------------- op6
 
 
