@@ -296,16 +296,20 @@ def stockholm_scan(spark, d):
 
 
 def search_report_scan(spark, d):
-    """Hits written as search reports, one per event type, and scanned again."""
+    """Hits written as lines of search reports, one report per event type, and scanned again. No report is ever one row."""
     from cladeframe.sources import text
 
     from .fixtures import hits
 
     h = hits(spark, d).where("bitscore is not null and evalue is not null")
     line = F.concat_ws("  ", F.format_string("%.3f", "evalue"), F.format_string("%.2f", "bitscore"), F.lit("0.1 1.0 2.0 0.1 1.0 1"), F.col("fragment").cast("string"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fragment", line.alias("l")))), lambda s: s["l"]), "\n")
-    file = h.groupBy(F.col("subset").alias("file")).agg(F.concat(F.lit("# report\n\n    E-value  score  bias  E-value  score  bias  exp  N  Sequence\n    ------- ------ ----- ------- ------ ----- --- -- --------\n"), body, F.lit("\n\nother 1 2 3 4 5 6 7 8 9")).alias("text"))
-    got = text.search_hits(text.numbered(file))
+    body = h.select(F.col("subset").alias("file"), "fragment", line.alias("line")).orderBy("file", "fragment")
+    body = body.select("file", (F.monotonically_increasing_id() + 4).alias("ln"), "line")
+    head = ["# report", "", "    E-value  score  bias  E-value  score  bias  exp  N  Sequence", "    ------- ------ ----- ------- ------ ----- --- -- --------"]
+    end = 1 << 62
+    around = F.array(*[F.struct(F.lit(n).cast("long").alias("ln"), F.lit(t).alias("line")) for n, t in [*enumerate(head), (end, ""), (end + 1, "other 1 2 3 4 5 6 7 8 9")]])
+    around = h.select(F.col("subset").alias("file")).distinct().select("file", F.inline(around))
+    got = text.search_hits(body.unionByName(around))
     return got.select(F.col("file").alias("subset"), F.col("name").cast("long").alias("fragment"), "evalue", "bitscore")
 
 

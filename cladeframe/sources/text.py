@@ -77,12 +77,13 @@ def stockholm(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def search_hits(rows: DataFrame) -> DataFrame:
     """SRC16: (file, name, evalue, bitscore) of search reports: the table from its E-value heading to the next blank line.
 
-    Rule and threshold lines (dashes only) are skipped; a name may hold dashes.
+    Rule and threshold lines (dashes only) are skipped; a name may hold dashes. The table's ends are minima of line
+    numbers, which need only rise within a file, so the lines of one file are divided among tasks.
     """
-    w = Window.partitionBy("file").orderBy("ln")
-    head = F.col("line").rlike(r"^\s*E-value\b")
-    x = rows.withColumn("heads", F.sum(head.cast("int")).over(w)).where("heads >= 1")
-    x = x.withColumn("blanks", F.sum((F.trim("line") == "").cast("int")).over(w)).where((F.col("blanks") == 0) & (F.col("heads") == 1) & ~head)
+    head, blank = F.col("line").rlike(r"^\s*E-value\b"), F.trim("line") == ""
+    x = rows.join(rows.where(head).groupBy("file").agg(F.min("ln").alias("first")), "file").where("ln > first")
+    ends = x.where(head | blank).groupBy("file").agg(F.min("ln").alias("end"))
+    x = x.join(ends, "file", "left").where("end is null or ln < end")
     f = F.split(F.trim("line"), r"\s+")
     x = x.select("file", f.alias("f")).where((F.size("f") >= 9) & ~F.forall("f", lambda v: v.rlike("^-+$")) & ~F.get("f", F.lit(0)).rlike("^-"))
     return x.select("file", F.get("f", F.lit(8)).alias("name"), F.get("f", F.lit(0)).cast("double").alias("evalue"), F.get("f", F.lit(1)).cast("double").alias("bitscore"))

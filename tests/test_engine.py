@@ -63,6 +63,17 @@ def test_other_formats(spark, tmp_path):
     assert rows_of(lengths, "edge_num", "length") == [(0, 0.5), (1, 2.0), (2, 0.001)]
 
 
+def test_search_reports_stay_rows(spark):
+    from cladeframe.plans import q_trees
+
+    hit = "1e-5 20.5 0.1 1 2 3 4 1 "
+    files = [("a", f"x\n\n E-value score\n --- --- --- --- --- --- --- --- ---\n{hit}n-1\n{hit}n2\n\n{hit}late"), ("b", f"{hit}early\nE-value s\n{hit}n3\nE-value s\n{hit}late"), ("c", "no table"), ("d", f"E-value s\n{hit}n4")]
+    got = text.search_hits(text.numbered(spark.createDataFrame(files, "file string, text string")))
+    assert rows_of(got, "file", "name", "evalue", "bitscore") == [("a", "n-1", 1e-5, 20.5), ("a", "n2", 1e-5, 20.5), ("b", "n3", 1e-5, 20.5), ("d", "n4", 1e-5, 20.5)]
+    plan = q_trees.search_report_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Window" not in plan
+
+
 def test_jplace_round_trip_and_bad_documents(spark):
     p = spark.createDataFrame([("d", "f", 3, -1.0, 0.75, 0.5, 0.25), ("d", "f", 4, -2.0, 0.25, 0.5, 0.25), ("d", "g", 1, -1.0, 1.0, 0.0, 0.0)], "doc_id string, fragment string, edge_num int, likelihood double, lwr double, distal_length double, pendant_length double")
     back = documents.from_jplace(documents.to_jplace(p))
