@@ -67,8 +67,14 @@ def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[: len(s) - (4 * len(s) + 4) // 5 + 1]
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """1024 bits, the parity of the set's shingles by their upper ten bits: two sets differ in no fewer shingles than bits."""
+    odd = np.bincount((s.view(np.uint64) >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int = 5) -> DataFrame:
-    """(id, t, fp, sig, n, prefix): hash of the text, SimHash of three-word shingles, hash, size and prefix of the set."""
+    """(id, t, fp, sig, n, prefix, bits): hash of the text, SimHash of three-word shingles, hash, size, prefix and parities of the set."""
     common, counts = common_shingles(docs, text_col, words)
 
     def run(batches):
@@ -77,17 +83,23 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int = 5) -> Dat
             fps = np.array([simhash.fingerprint(t) for t in pdf["text"]], dtype=np.uint64)
             yield pd.DataFrame({
                 "id": pdf["id"], "t": pdf["t"], "fp": fps.view(np.int64), "sig": [signature(s) for s in sets],
-                "n": [len(s) for s in sets], "prefix": [prefix(s, common, counts) for s in sets],
+                "n": [len(s) for s in sets], "prefix": [prefix(s, common, counts) for s in sets], "bits": [parities(s) for s in sets],
             })
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    return own.mapInPandas(run, f"id {kind}, t long, fp long, sig long, n int, prefix array<long>")
+    return own.mapInPandas(run, f"id {kind}, t long, fp long, sig long, n int, prefix array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, text_col: str, words: int = 5) -> DataFrame:
-    """Those of pairs (a, b) of signatures whose sets have a similarity of at least 4/5, by the sets themselves."""
-    pairs = cut(pairs)
+    """Those of pairs (a, b) of signatures whose sets have a similarity of at least 4/5, by the sets themselves.
+
+    Such sets differ in at most a ninth of their sizes' sum; pairs whose parities differ in more are left out first.
+    """
+    own_bits = own.select("sig", "n", "bits")
+    pairs = pairs.join(own_bits.toDF("a", "na", "ba"), "a").join(own_bits.toDF("b", "nb", "bb"), "b")
+    apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda k, x: k + x)
+    pairs = cut(pairs.where(9 * apart <= F.col("na") + F.col("nb")).select("a", "b"))
     ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     need = own.join(ends, "sig", "left_semi").select("t").distinct()
 
@@ -97,7 +109,7 @@ def verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, text_col: str, w
             yield pd.DataFrame({"sig": [signature(s) for s in sets], "u": sets})
 
     texts = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).join(need, "t", "left_semi")
-    sets = cut(texts.dropDuplicates(["t"]).select("text").mapInPandas(run, "sig long, u array<long>").dropDuplicates(["sig"]))
+    sets = cut(texts.dropDuplicates(["t"]).select("text").mapInPandas(run, "sig long, u array<long>"))
     both = pairs.join(sets.toDF("a", "ua"), "a").join(sets.toDF("b", "ub"), "b")
     shared = F.size(F.array_intersect("ua", "ub"))
     return cut(both.where(9 * shared >= 4 * (F.size("ua") + F.size("ub"))).select("a", "b"))
@@ -132,7 +144,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     (the links of op6). Rows without an id stay, as nothing can name them; so do all rows that share a kept id.
     """
     rows = cut(sketches(docs, id_col, text_col, words))
-    own = cut(rows.groupBy("sig").agg(F.min("id").alias("id"), F.any_value("t").alias("t"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")))
+    own = cut(rows.groupBy("sig").agg(F.min("id").alias("id"), F.any_value("t").alias("t"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits")))
     fps = cut(rows.groupBy("fp").agg(F.min("sig").alias("id")))
     same = rows.select("fp", F.col("sig").alias("a")).distinct().join(fps, "fp").select("a", F.col("id").alias("b")).where("a <> b")
     edges = same.unionByName(simhash.links(fps, 2).select("a", "b")).unionByName(links(own, docs, text_col, words))
