@@ -4,7 +4,8 @@ A text is the set of its five-word shingles' hashes. Sets are put into one order
 last. If two sets have a Jaccard similarity of at least 4/5, each holds at least 4/5 of the other's size in common
 shingles, so their first n - ceil(4n/5) + 1 shingles share one: texts meet in a shuffle on these and no pair is missed,
 whatever the order. The sample decides on speed only. Common prefixes of many near copies do not make all their pairs:
-neighbours in a bucket are verified first, and then only pairs that the links found so far leave apart.
+of the neighbours in the buckets every text verifies its nearest first, and then come only pairs that the links found so
+far leave apart. Before sets are compared, parities of theirs must be close: a lower bound of their true difference.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from .common import connected_components, cut
 
 SAMPLE_DOCS = 8192
 COMMON = 65_536
-LAGS = 3
+SENT_ROWS = 1_000_000
+ROWS_AT_ONCE = 512
 TEXT = "_near_text"
 
 
@@ -68,73 +70,123 @@ def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def parities(s: np.ndarray) -> np.ndarray:
-    """1024 bits, the parity of the set's shingles by their upper ten bits: two sets differ in no fewer shingles than bits."""
-    odd = np.bincount((s.view(np.uint64) >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """At least 1024 and 2n bits, as longs: the parity of the set's shingles by their lower bits.
+
+    Two sets differ in no fewer shingles than bits. The number of bits is a power of two, so the two halves of the
+    longs, one laid over the other by exclusive or, are the parities of half as many bits.
+    """
+    bits = 1024
+    while bits < 2 * len(s):
+        bits *= 2
+    odd = np.bincount((s.view(np.uint64) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def pieces(batches):
+    """Batches in pieces of ROWS_AT_ONCE rows, which bounds the Python objects that live at once."""
+    for pdf in batches:
+        for at in range(0, max(1, len(pdf)), ROWS_AT_ONCE):
+            yield pdf.iloc[at : at + ROWS_AT_ONCE]
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int = 5) -> DataFrame:
-    """(id, t, fp, sig, n, prefix, bits): hash of the text, SimHash of three-word shingles, hash, size, prefix and parities of the set."""
+    """(id, t, fp, sig, n, prefix, bits, short) of all rows: hash of the text, SimHash of three-word shingles, hash and
+    size of the set; prefix, parities and their 1024-bit form only where a task meets a set for the first time."""
     common, counts = common_shingles(docs, text_col, words)
 
     def run(batches):
-        for pdf in batches:
-            sets = [shingles(t, words) for t in pdf["text"]]
-            fps = np.array([simhash.fingerprint(t) for t in pdf["text"]], dtype=np.uint64)
-            yield pd.DataFrame({
-                "id": pdf["id"], "t": pdf["t"], "fp": fps.view(np.int64), "sig": [signature(s) for s in sets],
-                "n": [len(s) for s in sets], "prefix": [prefix(s, common, counts) for s in sets], "bits": [parities(s) for s in sets],
-            })
+        met = set()
+        for pdf in pieces(batches):
+            out = []
+            for key, t, text in zip(pdf["id"], pdf["t"], pdf["text"]):
+                s = shingles(text, words)
+                sig, fp = signature(s), int(np.uint64(simhash.fingerprint(text)).view(np.int64))
+                if sig in met:
+                    out.append((key, t, fp, sig, len(s), [], None, None))
+                else:
+                    met.add(sig)
+                    bits = parities(s)
+                    out.append((key, t, fp, sig, len(s), prefix(s, common, counts), bits, np.bitwise_xor.reduce(bits.reshape(-1, 16), axis=0)))
+            yield pd.DataFrame(out, columns=["id", "t", "fp", "sig", "n", "prefix", "bits", "short"]).astype({"id": pdf["id"].dtype})
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    return own.mapInPandas(run, f"id {kind}, t long, fp long, sig long, n int, prefix array<long>, bits array<long>")
+    return own.mapInPandas(run, f"id {kind}, t long, fp long, sig long, n int, prefix array<long>, bits array<long>, short array<long>")
 
 
-def verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, text_col: str, words: int = 5) -> DataFrame:
-    """Those of pairs (a, b) of signatures whose sets have a similarity of at least 4/5, by the sets themselves.
+def one_each(rows: DataFrame) -> DataFrame:
+    """(sig, id, rep, n, bits, short) of every set: the smallest id of its rows, and (id, t) of one of them."""
+    some = lambda c: F.first(c, ignorenulls=True).alias(c)
+    return rows.groupBy("sig").agg(F.min("id").alias("id"), F.min(F.struct("id", "t")).alias("rep"), F.any_value("n").alias("n"), some("bits"), some("short"))
 
-    Such sets differ in at most a ninth of their sizes' sum; pairs whose parities differ in more are left out first.
+
+def differing(x, y):
+    """Number of bits in which two arrays of longs differ; the longer one is folded to half its length."""
+    k = F.least(F.size(x), F.size(y))
+    fold = lambda v: F.when(F.size(v) > k, F.zip_with(F.slice(v, F.lit(1), k), F.slice(v, k + 1, k), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(v))
+    return F.aggregate(F.zip_with(fold(x), fold(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, p: n + p)
+
+
+def similar(n: str, m: str):
+    return (5 * F.least(n, m)) >= (4 * F.greatest(n, m))
+
+
+def close(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b, apart) of those of pairs (a, b) of sets of similar size whose parities do not rule a similarity of 4/5 out.
+
+    Such sets differ in at most a ninth of their sizes' sum. apart: the bits that differ over that sum.
     """
-    own_bits = own.select("sig", "n", "bits")
-    pairs = pairs.join(own_bits.toDF("a", "na", "ba"), "a").join(own_bits.toDF("b", "nb", "bb"), "b")
-    apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda k, x: k + x)
-    pairs = cut(pairs.where(9 * apart <= F.col("na") + F.col("nb")).select("a", "b"))
+    bits = own.select("sig", "n", "bits")
+    both = pairs.join(bits.toDF("a", "na", "ba"), "a").join(bits.toDF("b", "nb", "bb"), "b").withColumn("d", differing("ba", "bb"))
+    return both.where(9 * F.col("d") <= F.col("na") + F.col("nb")).select("a", "b", (F.col("d") / (F.col("na") + F.col("nb"))).alias("apart"))
+
+
+def verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int = 5) -> DataFrame:
+    """Those of pairs (a, b) whose sets have a similarity of at least 4/5, by the sets themselves."""
+    pairs = cut(pairs.select("a", "b"))
     ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    need = own.join(ends, "sig", "left_semi").select("t").distinct()
+    need = cut(own.join(ends, "sig", "left_semi").select("rep.id", "rep.t"))
+    if need.count() <= SENT_ROWS:  # 16 bytes a row; beyond that the texts are shuffled
+        need = F.broadcast(need)
 
     def run(batches):
-        for pdf in batches:
+        met = set()
+        for pdf in pieces(batches):
             sets = [shingles(t, words) for t in pdf["text"]]
-            yield pd.DataFrame({"sig": [signature(s) for s in sets], "u": sets})
+            fresh = [(sig, s) for s in sets if not ((sig := signature(s)) in met or met.add(sig))]
+            yield pd.DataFrame(fresh, columns=["sig", "u"]).astype({"sig": "int64"})
 
-    texts = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).join(need, "t", "left_semi")
-    sets = cut(texts.dropDuplicates(["t"]).select("text").mapInPandas(run, "sig long, u array<long>"))
+    texts = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_t"), F.col(text_col).alias("text"))
+    texts = texts.join(need, (F.col("own_t") == F.col("t")) & F.col("own_id").eqNullSafe(F.col("id")), "left_semi")
+    sets = cut(texts.select("text").mapInPandas(run, "sig long, u array<long>").dropDuplicates(["sig"]))
     both = pairs.join(sets.toDF("a", "ua"), "a").join(sets.toDF("b", "ub"), "b")
     shared = F.size(F.array_intersect("ua", "ub"))
     return cut(both.where(9 * shared >= 4 * (F.size("ua") + F.size("ub"))).select("a", "b"))
 
 
-def similar(n: str, m: str):
-    return (5 * F.least(n, m)) >= (4 * F.greatest(n, m))
+def links(rows: DataFrame, own: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """Verified links (a, b) that connect all sets of own with a similarity of at least 4/5.
 
-
-def links(own: DataFrame, docs: DataFrame, text_col: str = "text", words: int = 5) -> DataFrame:
-    """Verified links (a, b) that connect all signatures of own (sig, t, n, prefix) with a similarity of at least 4/5."""
-    spread = own.select("sig", "n", F.explode("prefix").alias("h"))
-    met = cut(spread.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1").select("h", "sig", "n"))
+    A bucket is sorted by size, and each set in it paired with the one before. Of its pairs with close parities every set
+    verifies the closest. Then pairs in one bucket that are still in different components are compared.
+    """
+    spread = rows.select("sig", "n", F.explode("prefix").alias("h")).repartition("h").dropDuplicates(["h", "sig", "n"])
     w = Window.partitionBy("h").orderBy("n", "sig")
-    back = F.array(*[F.struct(F.lag("sig", k).over(w).alias("b"), F.lag("n", k).over(w).alias("m")) for k in range(1, LAGS + 1)])
-    near = met.withColumn("back", back).select("sig", "n", F.explode("back").alias("o"))
-    near = near.where(F.col("o.b").isNotNull() & similar("n", "o.m"))
-    first = verified(near.select(F.least("sig", "o.b").alias("a"), F.greatest("sig", "o.b").alias("b")).distinct(), own, docs, text_col, words)
+    met = spread.withColumn("o", F.lag(F.struct("sig", "n")).over(w)).withColumn("next", F.lead("sig").over(w))
+    met = cut(met.where(F.col("o").isNotNull() | F.col("next").isNotNull()).select("h", "sig", "n", F.col("o.sig").alias("b"), F.col("o.n").alias("m")))
+    near = met.where(F.col("b").isNotNull() & similar("n", "m")).select(F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b")).distinct()
+    near = cut(close(near, own))
+    ends = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    best = ends.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    first = verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), own, docs, id_col, text_col, words)
     comps = connected_components(first).withColumnRenamed("node", "sig")
-    met = cut(met.join(comps, "sig", "left").withColumn("component", F.coalesce("component", "sig")))
-    mixed = met.groupBy("h").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(f"lo < hi and c > {LAGS + 1}").select("h")
-    left = cut(met.join(mixed, "h", "left_semi"))
-    x, y = left.toDF("h", "a", "n", "ca"), left.toDF("h", "b", "m", "cb")
-    rest = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar("n", "m")).select("a", "b").distinct()
-    return first.unionByName(verified(rest, own, docs, text_col, words))
+    met = cut(met.select("h", "sig", "n").join(comps, "sig", "left").withColumn("component", F.coalesce("component", "sig")))
+    mixed = met.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
+    left = cut(met.join(mixed, "h", "left_semi").join(own.select("sig", "short"), "sig").select("h", "sig", "n", "component", "short"))
+    x, y = left.toDF("h", "a", "n", "ca", "sa"), left.toDF("h", "b", "m", "cb", "sb")
+    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar("n", "m") & (9 * differing("sa", "sb") <= F.col("n") + F.col("m"))
+    rest = close(x.join(y, "h").where(apart).select("a", "b").distinct(), own).join(first, ["a", "b"], "left_anti")
+    return first.unionByName(verified(rest, own, docs, id_col, text_col, words))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -144,10 +196,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     (the links of op6). Rows without an id stay, as nothing can name them; so do all rows that share a kept id.
     """
     rows = cut(sketches(docs, id_col, text_col, words))
-    own = cut(rows.groupBy("sig").agg(F.min("id").alias("id"), F.any_value("t").alias("t"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits")))
+    own = cut(one_each(rows))
     fps = cut(rows.groupBy("fp").agg(F.min("sig").alias("id")))
     same = rows.select("fp", F.col("sig").alias("a")).distinct().join(fps, "fp").select("a", F.col("id").alias("b")).where("a <> b")
-    edges = same.unionByName(simhash.links(fps, 2).select("a", "b")).unionByName(links(own, docs, text_col, words))
+    edges = same.unionByName(simhash.links(fps, 2).select("a", "b")).unionByName(links(rows, own, docs, id_col, text_col, words))
     comps = connected_components(edges).withColumnRenamed("node", "sig")
     own = cut(own.select("sig", "id").join(comps, "sig", "left").withColumn("component", F.coalesce("component", "sig")))
     kept = own.groupBy("component").agg(F.min("id").alias("kept"))
