@@ -3,8 +3,9 @@
 Inputs per word: an embedding of the word's hash and the mean of the embeddings of its hashed character 4- and
 5-grams (with word ends marked). Two gated recurrent networks read each window of words in both directions; attention
 weights pool their states to one vector and one logit. All overlapping windows of a text are scored, and the text
-gets its highest window score. Training knows labels of texts only: in every step the highest window of a text takes
-the gradient. The first coordinate of both embeddings starts as a smoothed log-odds of the training texts.
+gets its highest window score. Training knows labels of texts only: in every epoch all windows of the whole training
+texts are scored, and a text's highest window takes the gradient. The first coordinate of both embeddings starts as a
+smoothed log-odds of the training texts.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample
 
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 6
 EMBED, HIDDEN = 8, 8
 WORD_ROWS, GRAM_ROWS = 4096, 16384
 TRAIN_ROWS = {0: 2700, 1: 900}
-TRAIN_WINDOWS = 12
+TRAIN_STRIDE = 6
 CACHE_WORDS = 150_000
+ROWS_AT_ONCE = 512
 WORDS = re.compile(r"[^\W\d_]+")
 G = 3 * HIDDEN
 
@@ -62,13 +64,22 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return whole.astype(np.int64), out, begin
 
 
-def windows(n: int) -> np.ndarray:
-    """Word positions of all windows of a text of n words; -1 beyond its end."""
-    starts = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE)
-    at = starts[:, None] + np.arange(WINDOW)
+def n_windows(n: int, stride: int) -> int:
+    """Windows that start every `stride` words of a text of n words, the last at or beyond its end."""
+    return 1 + max(0, -(-(n - WINDOW) // stride))
+
+
+def window(start: int, n: int) -> np.ndarray:
+    """Word positions of a window of a text of n words; -1 beyond its end."""
+    at = start + np.arange(WINDOW)
     return np.where(at < n, at, -1)
 
 
+def windows(n: int, stride: int = STRIDE) -> np.ndarray:
+    """Word positions of all windows of a text of n words."""
+    return np.stack([window(k * stride, n) for k in range(n_windows(n, stride))])
+
+
 def sigmoid(x):
     return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
 
@@ -118,6 +129,70 @@ class Net:
         logit = ctx @ self.p["w"] + self.p["b"][0]
         return (logit, (h, a, ctx, s0, s1)) if keep else logit
 
+    def scan(self, rows, texts, stride: int = STRIDE, at_once: int = 2048):
+        """For each text, as row numbers of its words: the highest logit of its windows, and where that one starts.
+
+        Texts are laid end to end, each padded to the end of its last window, so that step t of all windows is one
+        strided view; windows over a seam are computed and ignored.
+        """
+        best, place = np.full(len(texts), -np.inf), np.zeros(len(texts), dtype=np.int64)
+        many = [n_windows(len(t), stride) for t in texts]
+        i = 0
+        while i < len(texts):
+            j, seen = i, 0
+            while j < len(texts) and (j == i or seen + many[j] + WINDOW // stride <= at_once):
+                seen, j = seen + many[j] + WINDOW // stride - 1, j + 1
+            size = [(k - 1) * stride + WINDOW for k in many[i:j]]
+            first = np.concatenate([[0], np.cumsum(size)])
+            code, live = np.zeros(first[-1], dtype=np.int64), np.zeros(first[-1], dtype=bool)
+            for t, a in zip(texts[i:j], first):
+                code[a : a + len(t)], live[a : a + len(t)] = t, True
+            logit = self._strided(rows[code], live, stride, at_once)
+            for k in range(i, j):
+                a = first[k - i] // stride
+                own = logit[a : a + many[k]]
+                place[k] = stride * int(np.argmax(own))
+                best[k] = own[place[k] // stride]
+            i = j
+        return best, place
+
+    def _strided(self, inputs, live, stride, at_once):
+        """Logits of the windows that start every `stride` words of a run of projected words."""
+        p, half = self.p, np.float32(0.5)
+        n, gates = (len(live) - WINDOW) // stride + 1, np.ascontiguousarray(inputs.T)
+        out = np.zeros(n)
+        for s in range(0, n, at_once):
+            c = min(at_once, n - s)
+            view = lambda t: slice(s * stride + t, s * stride + t + (c - 1) * stride + 1, stride)
+            seen = np.zeros((2, WINDOW, c), np.float32)  # of every state its part of the attention and of the logit
+            for d in (0, 1):
+                u = np.ascontiguousarray(p[f"u{d}"].T)
+                read = np.ascontiguousarray(np.stack([p["v"][d * HIDDEN : (d + 1) * HIDDEN], p["w"][d * HIDDEN : (d + 1) * HIDDEN]]))
+                h = np.zeros((HIDDEN, c), np.float32)
+                for t in range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1):
+                    g, m = gates[d * G : (d + 1) * G, view(t)], live[view(t)]
+                    x = u @ h
+                    zr = x[: 2 * HIDDEN]
+                    zr += g[: 2 * HIDDEN]
+                    zr *= half
+                    np.tanh(zr, out=zr)
+                    zr *= half
+                    zr += half
+                    new = x[2 * HIDDEN :]
+                    new *= zr[HIDDEN:]
+                    new += g[2 * HIDDEN :]
+                    np.tanh(new, out=new)
+                    step = h - new
+                    step *= zr[:HIDDEN]
+                    step += new
+                    h = step if m.all() else np.where(m, step, h)
+                    seen[:, t] += read @ h
+            score = np.stack([live[view(t)] for t in range(WINDOW)])
+            e = np.where(score, seen[0], np.float32(-1e9))
+            a = np.exp(e - e.max(axis=0))
+            out[s : s + c] = (a * seen[1]).sum(axis=0) / a.sum(axis=0) + p["b"][0]
+        return out
+
     def gradient(self, x, at, y, weight):
         """Gradients of all dense parameters, and of x (inputs of words)."""
         p, rows = self.p, self.project(x)
@@ -158,7 +233,7 @@ class Net:
             self.p[name][:, 0] = np.clip(np.log(share[1] / share[0]), -3, 3) * 0.5
 
     def train(self, docs: list[list[str]], y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 2) -> Net:
-        """docs: words of each training text, already cut to runs of windows."""
+        """docs: all words of each training text."""
         rng = np.random.default_rng(seed)
         if len(set(y.tolist())) < 2:
             self.p["b"][0] = 8.0 if len(y) and y[0] else -8.0
@@ -166,18 +241,18 @@ class Net:
             return self
         self.start_from_odds(docs, y)
         vocab = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
+        if not vocab:
+            return self
         whole, gram, begin = word_features(list(vocab))
         coded = [np.fromiter((vocab[w] for w in d), np.int64, len(d)) for d in docs]
         m, v, k = {n: np.zeros_like(q) for n, q in self.p.items()}, {n: np.zeros_like(q) for n, q in self.p.items()}, 0
-        for epoch in range(epochs):
+        for _ in range(epochs):
+            _, place = self.scan(self.project(self.inputs(whole, gram, begin)), coded, TRAIN_STRIDE)
             order = rng.permutation(len(docs))
             for s in range(0, len(order), batch):
-                own, at, of = order[s : s + batch], [], []
-                for j, i in enumerate(own):
-                    w = windows(len(coded[i]))
-                    at.append(np.where(w >= 0, coded[i][np.maximum(w, 0)], -1) if len(coded[i]) else np.full((1, WINDOW), -1))
-                    of += [j] * len(w)
-                at, of = np.vstack(at), np.array(of)
+                own = order[s : s + batch]
+                at = np.stack([window(int(place[i]), len(coded[i])) for i in own])
+                at = np.stack([np.where(w >= 0, coded[i][np.maximum(w, 0)], -1) if len(coded[i]) else w for i, w in zip(own, at)])
                 used, back = np.unique(at[at >= 0], return_inverse=True)
                 if not len(used):
                     continue
@@ -187,10 +262,7 @@ class Net:
                 spot = np.concatenate([[0], np.cumsum(n)])
                 g_rows = gram[np.repeat(begin[used] - spot[:-1], n) + np.arange(spot[-1])]
                 x = self.inputs(whole[used], g_rows, spot)
-                logit = self.forward(self.project(x), local)
-                rank = np.lexsort((-logit, of))
-                top = rank[np.unique(of[rank], return_index=True)[1]]
-                grads, dx, _ = self.gradient(x, local[top], y[own].astype(np.float32), 1 / len(own))
+                grads, dx, _ = self.gradient(x, local, y[own].astype(np.float32), 1 / len(own))
                 grads["word"], grads["gram"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["gram"])
                 np.add.at(grads["word"], whole[used], dx[:, :EMBED])
                 np.add.at(grads["gram"], g_rows, np.repeat(dx[:, EMBED:] / n[:, None].astype(np.float32), n, axis=0))
@@ -203,20 +275,12 @@ class Net:
         return self
 
 
-def spread_words(text: str | None, most_windows: int) -> list[str]:
-    """Words of a training text, at most `most_windows` windows of them, taken from evenly spaced places."""
-    words = WORDS.findall((text or "").lower())
-    size = most_windows * STRIDE
-    if len(words) <= size:
-        return words
-    step = len(words) / most_windows
-    return [w for k in range(most_windows) for w in words[int(k * step) : int(k * step) + STRIDE]]
-
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_label: dict = TRAIN_ROWS) -> Net:
+    """Train on the whole texts of at most rows_per_label[label] labelled rows of each label where `usable` holds.
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_label: dict = TRAIN_ROWS, most_windows: int = TRAIN_WINDOWS) -> Net:
-    """Train on at most rows_per_label[label] labelled rows of each label where `usable` holds, picked by hash of the id.
-
-    Of a training text at most `most_windows` windows' worth of words comes to the driver.
+    They are picked by hash of the id, and only their words come to the driver. Labels other than 0 and 1 are ignored; of
+    several labels of an id the highest counts, of several texts the first in order. Without labelled rows of both kinds
+    every text scores next to 0, or next to 1 where all labels are 1.
     """
     known = labels.where(usable & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
     known = known.join(docs.select(id_col), id_col, "left_semi")
@@ -229,19 +293,23 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "words": [" ".join(spread_words(t, most_windows)) for t in pdf["text"]]})
+            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "words": [" ".join(words_of(t)) for t in pdf["text"]]})
 
     texts = docs.select(id_col, F.col(text_col).alias("text")).join(ids, id_col).select(F.col(id_col).alias("id"), "y", "text")
-    got = texts.mapInPandas(run, f"id {kind}, y int, words string").dropDuplicates(["id"]).collect()
+    got = texts.mapInPandas(run, f"id {kind}, y int, words string").groupBy("id", "y").agg(F.min("words").alias("words")).collect()
     got = sorted(got, key=lambda r: r.id)
     return Net().train([r.words.split() for r in got], np.array([r.y for r in got], dtype=int))
 
 
+def words_of(text: str | None) -> list[str]:
+    return WORDS.findall((text or "").lower())
+
+
 class Scorer:
     """Scores texts; keeps projected inputs of words it has met, and forgets them all when there are too many."""
 
-    def __init__(self, net: Net, at_once: int = 4096):
-        self.net, self.at_once = net, at_once
+    def __init__(self, net: Net):
+        self.net = net
         self.known, self.rows = {}, np.zeros((0, 2 * G), np.float32)
 
     def codes(self, words: list[str]) -> np.ndarray:
@@ -260,50 +328,59 @@ class Scorer:
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def scores(self, texts, words_at_once: int = 30_000) -> np.ndarray:
-        out, words, spans, seen = np.zeros(len(texts)), [], [], 0
+        out, runs, of, held = np.zeros(len(texts)), [], [], 0
 
         def flush():
-            nonlocal words, spans
-            if spans:
-                code = self.codes(words)
-                at = [np.where(w >= 0, code[first + w], -1) for first, w, _ in spans]
-                at, of = np.vstack(at), np.repeat([i for *_, i in spans], [len(w) for _, w, _ in spans])
-                for s in range(0, len(at), self.at_once):
-                    logit = self.net.forward(self.rows, at[s : s + self.at_once])
-                    np.maximum.at(out, of[s : s + self.at_once], sigmoid(logit).astype(np.float64))
-            words, spans = [], []
+            nonlocal runs, of, held
+            if runs:
+                code = self.codes([w for r in runs for w in r])
+                parts = np.split(code, np.cumsum([len(r) for r in runs])[:-1])
+                logit, _ = self.net.scan(self.rows, parts)
+                np.maximum.at(out, np.array(of), sigmoid(logit.astype(np.float32)).astype(np.float64))
+            runs, of, held = [], [], 0
 
         for i, text in enumerate(texts):
-            own = WORDS.findall((text or "").lower())
+            own = words_of(text)
             for s in range(0, len(own), words_at_once):  # very long texts in runs that overlap by a window
-                part = own[max(0, s - WINDOW) : s + words_at_once]
-                spans.append((len(words), windows(len(part)), i))
-                words += part
-                if len(words) >= words_at_once:
+                runs.append(own[max(0, s - WINDOW + 1) : s + words_at_once])
+                of.append(i)
+                held += len(runs[-1])
+                if held >= words_at_once:
                     flush()
         flush()
         return out
 
 
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, score) of every whole text: the highest score of its windows; 0 where there is no word."""
+    """(id_col, score) of every row's whole text: the highest score of its windows; 0 where there is no word.
+
+    Null and empty texts score 0. Rows are scored one by one, so repeated rows and ids repeat in the result; equal texts
+    score the same. An empty table gives an empty result; other columns, whatever their names, are ignored.
+    """
 
     def run(batches):
         scorer = Scorer(net)
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "score": scorer.scores(pdf["text"].tolist())})
+            for at in range(0, len(pdf), ROWS_AT_ONCE):
+                part = pdf.iloc[at : at + ROWS_AT_ONCE]
+                yield pd.DataFrame({"id": part["id"], "score": scorer.scores(part["text"].tolist())})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, net: Net, text_col: str = "text", least: float = 0.7) -> DataFrame:
-    """Rows of docs whose score is below `least`, columns and values unchanged. Texts without words stay."""
+    """Rows of docs whose score is below `least`, columns and values unchanged.
+
+    Texts that are null or without words stay. Repeated rows share one fate and are kept as often as they stand; an empty
+    table gives an empty result. No column is added, so names cannot clash.
+    """
 
     def run(batches):
         scorer = Scorer(net)
         for batch in batches:
-            scores = scorer.scores(batch.column(text_col).to_pylist())
-            yield batch.filter(pa.array(scores < least))
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                yield part.filter(pa.array(scorer.scores(part.column(text_col).to_pylist()) < least))
 
     return docs.mapInArrow(run, docs.schema)

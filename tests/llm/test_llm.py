@@ -155,6 +155,28 @@ def test_windows_cover_all_words():
         assert set(w[w >= 0].tolist()) == set(range(n))
 
 
+def test_scan_equals_one_window_at_a_time():
+    net, rng = toxicity.Net(), np.random.default_rng(4)
+    rows = net.project(rng.standard_normal((50, 16)).astype(np.float32))
+    texts = [rng.integers(0, 50, n) for n in (1, 7, 23, 24, 25, 31, 200, 3, 90)] + [np.zeros(0, dtype=np.int64)]
+    for stride in (1, 6):
+        best, place = net.scan(rows, texts, stride, at_once=16)
+        for t, score, at in zip(texts, best, place):
+            if len(t):
+                plain = [float(net.forward(rows, np.where(w >= 0, t[np.maximum(w, 0)], -1)[None])[0]) for w in toxicity.windows(len(t), stride)]
+                assert abs(score - max(plain)) < 1e-4 and abs(plain[at // stride] - score) < 1e-4
+
+
+def test_training_sees_whole_texts(spark):
+    rng = np.random.default_rng(6)
+    vocab = ["wor" + "abcdefghij"[i % 10] + "klmnopqrst"[i // 10] for i in range(100)]
+    rows = [(i, " ".join([*rng.choice(vocab, 900), *(["grulmok"] if i % 2 else []), *rng.choice(vocab, 900)]), i % 2) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("words", F.lit("x")).withColumn("y", F.lit(3))
+    net = toxicity.fit(df, df.select("doc_id", "toxic").unionByName(df.select("doc_id", F.lit(None).cast("int").alias("toxic"))), F.col("doc_id") < 120)
+    got = {r.doc_id: r.score for r in toxicity.score(df.where("doc_id >= 120"), net).collect()}
+    assert all((got[i] >= 0.7) == (i % 2 == 1) for i in got)
+
+
 def test_toxicity_finds_words_and_survives_odd_texts(spark):
     rng = np.random.default_rng(3)
     vocab = ["wor" + "abcdefghij"[i % 10] + "klmnopqrst"[i // 10] for i in range(100)]
