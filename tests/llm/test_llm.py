@@ -210,7 +210,7 @@ def test_nearest_recall_and_odd_vectors(spark):
     x[100:140] = x[100] + rng.standard_normal((40, 24)) * 0.01
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(2000, None), (2020, [0.0] * 24), (2040, [float("nan")] * 24), (2060, []), (2080, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=10, candidate_rows=400, query_rows=30).collect()
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=10, cell_rows=400, block_rows=150).collect()
     want = set()
     for i in range(0, 1500, 20):
         s = x @ x[i]
@@ -224,6 +224,25 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_with_repeated_ids_copies_and_extra_columns(spark):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.standard_normal((400, 6)), 3)
+    x[50:250] = x[50]  # half of all rows are copies of one vector
+    rows = [(i, [float(v) for v in r], "a") for i, r in enumerate(x)]
+    rows += [rows[0], rows[60], (20, [9.0] * 6, "b")]  # two rows repeated, and one id with two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").withColumn("rank", F.lit(1)).withColumn("query_id", F.lit("q")).withColumn("k1", F.lit(0))
+    y = np.array([min([9.0] * 6, list(x[i])) if i == 20 else x[i] for i in range(400)])
+    got = collections.defaultdict(list)
+    for r in sorted(ann.nearest(df, F.col("vec_id") % 20 == 0, k=7, sure=0.999, cell_rows=50, block_rows=30).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+        assert r["rank"] == len(got[r.query_id]) and 0 < r.verified <= 400
+    assert sorted(got) == list(range(0, 400, 20))
+    for i, found in got.items():
+        s = y @ y[i]
+        want = [(int(j), round(float(s[j]), 9)) for j in np.lexsort((np.arange(400), -np.round(s, 9))) if j != i][:7]
+        assert found == want
+
+
 # ---------------------------------------------------------------- op5
 
 
