@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
-Paragraphs give points for length and commas to their ancestors, less with every level; an element's points are
-discounted by the share of its text that stands in links. The best container and those of its siblings that score
-well are kept, without the parts that are never text of an article (menus, forms, scripts, notices and so on).
+Paragraphs give points for length and commas to all their ancestors, less with every level; an element's points are
+discounted by the share of its text that stands in links. The best container and its siblings are kept, whatever their
+size, without the parts that are never text of an article (menus, forms, scripts, notices and so on) and siblings that
+are mostly links.
 """
 
 from __future__ import annotations
@@ -31,16 +32,18 @@ CLUTTER = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 BODY_WORDS = frozenset("article content post entry story main text body".split())
-LEVELS = 8
+LINKED = 0.5
+TEXTS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "clutter", "points", "chars", "linked", "bonus", "inside")
+    __slots__ = ("tag", "parent", "kids", "clutter", "points", "chars", "linked", "bonus", "inside", "below")
 
     def __init__(self, tag, parent=None, clutter=False, bonus=0.0):
         self.tag, self.parent, self.kids, self.clutter = tag, parent, [], clutter
         self.points, self.chars, self.linked, self.bonus = 0.0, 0, 0, bonus
+        self.below = [0.0] * 5  # gains of paragraphs this many levels down; the last for all deeper ones
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
 
 
@@ -132,15 +135,16 @@ def score(root: Node) -> None:
                 own, n.linked = own + k.chars, n.linked + k.linked
                 if k.tag not in BLOCKS:
                     direct += k.chars
+                shift = k.below if k.tag not in PARAGRAPHS else k.below[1:]  # a paragraph's own gain begins at its parent
+                for level, gain in enumerate(shift, 1 if k.tag not in PARAGRAPHS else 0):
+                    n.below[min(level, 4)] += gain
         n.chars = own
         if n.tag == "a":
             n.linked = own
         if direct and (n.tag in PARAGRAPHS or n.tag in BLOCKS):
             gain = (1 + commas + min(direct / 100, 3)) * (1 - n.linked / max(1, n.chars))
-            up, level = (n.parent if n.tag in PARAGRAPHS else n), 0
-            while up is not None and level <= LEVELS:
-                up.points += gain / (1, 2, 6, 9, 12)[min(level, 4)]
-                up, level = up.parent, level + 1
+            n.below[0] += gain
+        n.points = sum(g / by for g, by in zip(n.below, (1, 2, 6, 9, 12)))
 
 
 def value(n: Node) -> float:
@@ -193,23 +197,33 @@ def main_text(html: str | None) -> str:
             break
         best = best.parent
     if best.parent is None or best.tag == "body":
-        return "\n".join(blocks([best]))
-    kept = []
-    for k in best.parent.kids:
-        if k is best:
-            kept.append(k)
-        elif isinstance(k, Node) and not k.clutter:
-            dense = k.linked / max(1, k.chars)
-            if k.tag in ("article", "section", "div") and value(k) >= max(10, 0.2 * top) or k.tag == "p" and k.chars > 80 and dense < 0.25:
-                kept.append(k)
-    return "\n".join(blocks(kept))
+        return "\n".join(blocks([k for k in best.kids if belongs(k, best)]))
+    return "\n".join(blocks([k for k in best.parent.kids if k is best or belongs(k, best)]))
+
+
+def belongs(k: Node | str, best: Node) -> bool:
+    """Whether a sibling of the best container (or a child of the page's body, if that is the best) is text of the article
+    as well: not clutter and no division, list or table of mostly links.
+
+    Beside an article or main element, which should hold it all, other divisions without a paragraph are not.
+    """
+    if isinstance(k, str):
+        return True
+    if k.clutter or k.tag not in TEXTS and k.linked > LINKED * k.chars:
+        return False
+    return best.tag not in ("article", "main") or k.tag in PARAGRAPHS or k.tag not in ("div", "section") or holds_paragraph(k)
+
+
+def holds_paragraph(n: Node) -> bool:
+    return any(k.tag in PARAGRAPHS and k.chars for k in walk(n))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without html_col, with text (main text of the whole page) and n_chars (its code points).
 
-    Null, empty and textless pages give the empty text. Rows are kept one by one, repeated ones too; columns called
-    text or n_chars are replaced. An empty table gives an empty result.
+    Null, empty and textless pages give the empty text. Of containers of equal value the one that ends first in the page
+    is the best. Rows are kept one by one, repeated ones too; columns called text or n_chars are replaced. An empty table
+    gives an empty result.
     """
     rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in rest)

@@ -367,6 +367,10 @@ def test_near_copies_match_brute_force(spark):
         ("<body><article><p><b>bold, text.<br><p>next", "bold, text.\nnext"),
         ("<p>plain paragraph only</p>", "plain paragraph only"),
         ("no markup", "no markup"),
+        ("<div class=post><h1><a href=x>T</a></h1><div class=entry><p>One, two, three and more.</p><p>Four, five.</p></div><ul><li>a<li>b</ul>end</div>", "T\nOne, two, three and more.\nFour, five.\na\nb\nend"),
+        ("<nav>m</nav><div class=content><p>Intro.</p><div><p>Long, long, text.</p><p>And, more, here.</p></div><p>The end.</p></div><footer>x</footer>", "Intro.\nLong, long, text.\nAnd, more, here.\nThe end."),
+        ("<body><h1>T</h1><div id=c><p>Body, text, more.</p></div><section><p>S.</p></section><table><tr><td>1<td>2</table><div><a href=2>only</a> <a href=3>links</a></div></body>", "T\nBody, text, more.\nS.\n1 2"),
+        ("<body><div>" + "<div>" * 30 + "<p>deep, deep text</p>" + "</div>" * 30 + "<p>beside</p></div><div class=ad>buy, buy, buy</div></body>", "deep, deep text\nbeside"),
     ],
 )
 def test_main_text(html, text):
