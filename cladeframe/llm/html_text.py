@@ -38,12 +38,12 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "clutter", "points", "chars", "linked", "bonus", "inside", "below")
+    __slots__ = ("tag", "parent", "kids", "clutter", "points", "chars", "linked", "bonus", "inside", "gain", "below")
 
     def __init__(self, tag, parent=None, clutter=False, bonus=0.0):
         self.tag, self.parent, self.kids, self.clutter = tag, parent, [], clutter
         self.points, self.chars, self.linked, self.bonus = 0.0, 0, 0, bonus
-        self.below = [0.0] * 5  # gains of paragraphs this many levels down; the last for all deeper ones
+        self.gain, self.below = 0.0, [0.0] * 5  # gains from this many levels down; the last for all deeper ones
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
 
 
@@ -135,15 +135,18 @@ def score(root: Node) -> None:
                 own, n.linked = own + k.chars, n.linked + k.linked
                 if k.tag not in BLOCKS:
                     direct += k.chars
-                shift = k.below if k.tag not in PARAGRAPHS else k.below[1:]  # a paragraph's own gain begins at its parent
-                for level, gain in enumerate(shift, 1 if k.tag not in PARAGRAPHS else 0):
-                    n.below[min(level, 4)] += gain
+                n.below[0] += k.gain
+                for level, gains in enumerate(k.below, 1):
+                    n.below[min(level, 4)] += gains
         n.chars = own
         if n.tag == "a":
             n.linked = own
         if direct and (n.tag in PARAGRAPHS or n.tag in BLOCKS):
             gain = (1 + commas + min(direct / 100, 3)) * (1 - n.linked / max(1, n.chars))
-            n.below[0] += gain
+            if n.tag in PARAGRAPHS:
+                n.gain = gain  # counts for its parent and further up
+            else:
+                n.below[0] += gain
         n.points = sum(g / by for g, by in zip(n.below, (1, 2, 6, 9, 12)))
 
 
@@ -192,8 +195,8 @@ def main_text(html: str | None) -> str:
     best = max(candidates, key=value)
     top = value(best)
     while best.parent is not None and best.parent.tag not in ("body", "html") and best.tag not in ("article", "main"):
-        peers = [k for k in best.parent.kids if isinstance(k, Node) and not k.clutter and k is not best and value(k) >= 0.25 * top]
-        if not peers:
+        beside = [k for k in best.parent.kids if k is not best and (k.strip() if isinstance(k, str) else not k.clutter and k.chars)]
+        if beside and not any(isinstance(k, Node) and value(k) + k.gain >= 0.25 * top for k in beside):
             break
         best = best.parent
     if best.parent is None or best.tag == "body":
