@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives. DataFrame functions only.
 
-Candidates are runs of key characters, with what stands before and after them. A forest over their length, character
+Candidates are runs of key characters and any value that a key word is assigned, with what stands before and after
+them. A forest over their length, character
 transitions, dictionary coverage, path and neighbouring words tells secrets from the rest. Trees grow level by level:
 one aggregation gives the label counts of every (tree, node, feature, bin), and only these counts, whose number is
 bounded by the forest's size, reach the driver, which chooses the splits. The grown forest is a Column expression, so
@@ -15,12 +16,20 @@ from pyspark.sql import functions as F
 from .common import cut, table, unit_hash
 
 TRAIN_DOCS = 20_000
-TREES, DEPTH, LEAST = 12, 4, 6
+MADE_DOCS = 500
+TREES, DEPTH, LEAST = 12, 5, 6
 LEFT, RIGHT = 40, 24
 RUN = "[A-Za-z0-9+/_-]"
 # A run of 12 key characters with a digit among the first 64, or of 20 of any kind, with its surroundings.
 CANDIDATE = rf"(?s)(?<!{RUN})(?={RUN}{{12}})(?={RUN}{{20}}|{RUN}{{0,63}}?[0-9])(?<=(^.{{0,{LEFT - 1}}}|.{{{LEFT}}}))({RUN}{{12,}}={{0,2}})(?=(.{{0,{RIGHT}}}))"
 
+# Words before secrets, and before look-alikes of secrets.
+KEY_WORDS = "passw|passwd|pwd|secret|token|api.?key|apikey|access.?key|private.?key|credential|auth|bearer"
+PLAIN_WORDS = "commit|revision|sha-?[0-9]{1,3}|md5|checksum|digest|integrity|etag|uuid|guid|base64|image|build|version|count|hint"
+# Any value of six or more characters that a key word is assigned, unless it is a candidate of the first kind.
+ASSIGNED = "(?i:passw(?:or)?d|passphrase|passwd|pwd|secret|token|api[_-]?key|credential)[\"']?[ \\t]{0,2}[=:][ \\t]{0,2}[\"'`]?"
+ASSIGNED_VALUE = rf"(?s)(?<=[=:\"'` \t])(?<={ASSIGNED})(?!(?={RUN}{{12}})(?:{RUN}{{20}}|{RUN}{{0,63}}?[0-9]))(?<=(^.{{0,{LEFT - 1}}}|.{{{LEFT}}}))([^\s\"'`<>,;]{{6,}})(?=(.{{0,{RIGHT}}}))"
+
 # Frequent word parts of English, French, German and Spanish, for dictionary coverage.
 WORD_PARTS = (
     "the and ing tion that with for ent ion ers ter est ble ness ment able from this have our ight ould ance ence ous ive "
@@ -28,7 +37,6 @@ WORD_PARTS = (
     "der die das und ein sch ich ung heit keit lich schaft ver ber gen ten nen auf aus "
     "los las que para con ado ada dad mente ar er ir ando endo ero era on en er re an at or es st ed nd th ea ou he in ti ly ha"
 ).split()
-KEY_WORDS = "passw|passwd|pwd|secret|token|api.?key|apikey|access.?key|private.?key|credential|auth|bearer"
 
 # Split points of each feature.
 CUTS = {
@@ -39,7 +47,9 @@ CUTS = {
     "variety": [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8],
     "words": [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8],
     "path": [1, 2, 3],
+    "symbols": [0.01, 0.1, 0.3],
     "key_left": [1],
+    "plain_left": [1],
     "assigned": [1],
     "quoted": [1],
     "plain_next": [1],
@@ -57,33 +67,74 @@ def features(value: Column, left: Column, right: Column) -> Column:
     path = F.regexp_count(value, F.lit("/")) + 2 * url + left.rlike(r"[./\\@]$").cast("int")
     made = {
         "length": n, "transitions": F.length(kinds), "digits": share("[0-9]"), "uppers": share("[A-Z]"), "variety": F.size(F.array_distinct(F.split(F.lower(value), ""))) / n,
-        "words": covered / n, "path": path, "key_left": left.rlike(f"(?i)({KEY_WORDS})[^\\n]{{0,12}}$").cast("int"), "assigned": left.rlike("[=:]\\s?[\"']?$").cast("int"),
+        "words": covered / n, "path": path, "symbols": share("[^A-Za-z0-9]"), "key_left": left.rlike(f"(?i)({KEY_WORDS})[^\\n]{{0,12}}$").cast("int"), "plain_left": left.rlike(f"(?i)({PLAIN_WORDS})[^\\n]{{0,12}}$").cast("int"), "assigned": left.rlike("[=:]\\s?[\"']?$").cast("int"),
         "quoted": (left.rlike("[\"'`]$") & right.rlike("^[\"'`]")).cast("int"), "plain_next": right.rlike(r"^[.,;]?\s+\p{L}+").cast("int"),
     }
     return F.struct(*[F.coalesce(made[k].cast("double"), F.lit(0.0)).alias(k) for k in FEATURES])
 
 
 def candidates(text: str) -> Column:
-    """Array of (value, lead, trail, f) for all candidates of a text column; empty for null text."""
+    """Array of (value, lead, trail, f) for all candidates of a text column: runs of key characters in text order, then
+    other assigned values in text order; empty for null text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    group = lambda k: F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(k))
-    zipped = F.arrays_zip(group(2).alias("value"), group(1).alias("lead"), group(3).alias("trail"))
-    return F.transform(zipped, lambda c: F.struct(c["value"].alias("value"), c["lead"].alias("lead"), c["trail"].alias("trail"), features(c["value"], c["lead"], c["trail"]).alias("f")))
+
+    def found(pattern):
+        group = lambda k: F.regexp_extract_all(t, F.lit(pattern), F.lit(k))
+        return F.arrays_zip(group(2).alias("value"), group(1).alias("lead"), group(3).alias("trail"))
+
+    runs, assigned = found(CANDIDATE), F.when(t.rlike(ASSIGNED), found(ASSIGNED_VALUE))
+    both = F.concat(runs, F.coalesce(assigned, F.slice(runs, 1, 0)))
+    return F.transform(both, lambda c: F.struct(c["value"].alias("value"), c["lead"].alias("lead"), c["trail"].alias("trail"), features(c["value"], c["lead"], c["trail"]).alias("f")))
 
 
 def format_label(value: Column, left: Column) -> Column:
-    """1 or 0 for findings whose label their format settles, else null.
+    """1 or 0 for findings whose label their value's own format or an address before it settles, else null.
 
-    There is no table of labelled findings here; these rules stand for a reviewer. 1: an access-key id of the usual
-    form, or a run of hexadecimal digits right after a key word. 0: natural words, dates and numbers, addresses.
+    1: an access-key id of the usual form. 0: natural words, dates and numbers that nothing is assigned, runs of one character, addresses.
     """
-    keyed = left.rlike(f"(?i)({KEY_WORDS})[^\\n]{{0,12}}$")
     return (
-        F.when(value.rlike("^AKIA[0-9A-Z]{16}$"), 1).when(keyed & value.rlike("^[0-9a-f]{16,64}$"), 1)
-        .when(value.rlike(r"^[A-Za-z]?[a-z]+(-[a-z]+)*$") | value.rlike(r"^[0-9+-]+$") | left.rlike(r"(://|www\.)\S*$") | value.rlike("^(.)\\1+$"), 0)
+        F.when(value.rlike("^AKIA[0-9A-Z]{16}$"), 1)
+        .when(value.rlike(r"^[A-Za-z]?[a-z]+(-[a-z]+)*$") | value.rlike(r"^[0-9+-]+$") & ~left.rlike("[=:]\\s?[\"']?$") | left.rlike(r"(://|www\.)\S*$") | value.rlike("^(.)\\1+$"), 0)
     )
 
 
+# Findings whose label is known because they are made. (lead, kind of value, trail, label, left-out words)
+MADE = [
+    ('token = "', "hex40", '"', 1), ("api_key: ", "base64", "\n", 1), ("SECRET_KEY='", "base64", "'", 1), ("password=", "hex20", " and more", 1), ("access_key_id = ", "akia", "\n", 1),
+    ("Authorization: Bearer ", "base64", "\n", 1), ('passwd: "', "symbols", '"', 1), ("password = ", "symbols", "\n", 1), ("API-KEY ", "upper40", " ", 1), ('"token": "', "dotted", '"', 1), ("password=", "digits", " and", 1), ("secret: ", "digits", "\n", 1),
+    ("commit ", "hex40", "\nthen", 0), ("sha256:", "hex64", " ok", 0), ("see uuid=", "uuid", "&b", 0), ("data:image/png;base64,", "base64", "iVBO", 0), ("src=/assets/app-", "hex20", ".js", 0), ('ETag: "', "hex32", '"', 0),
+    ('checksum = "', "hex40", '"', 0), ("token count: ", "digits", " in all", 0), ("password: ", "stars", "\n", 0), ("the ", "word", " of it", 0), ("call ", "digits", " now", 0), ("token: ", "word", " of it", 0), ("build ", "hex20", ", done", 0),
+]
+LEFT_OUT = [('db_password: "', "hex32", '"', 1), ("credentials = ", "base64", "\n", 1), ("auth_token=", "hex40", "&x", 1), ("MD5 ", "hex32", " of", 0), ("revision ", "hex40", ", by", 0), ("guid ", "uuid", " is", 0), ("integrity=sha384-", "base64", ">", 0)]
+
+
+def made_findings(docs: DataFrame, id_col: str, made: list, most: int = MADE_DOCS) -> DataFrame:
+    """(value, lead, trail, y): one finding of each made form for about `most` documents, whose ids give the values."""
+    n = docs.select(id_col).count()
+    keys = docs.where(unit_hash(F.col(id_col), seed=37) < F.lit(most / max(1, n))).select(F.col(id_col).cast("string").alias("key")).distinct()
+
+    def value(kind: str, k: int) -> Column:
+        seed = F.concat_ws(":", "key", F.lit(str(k)))
+        h, long = F.sha1(seed), F.sha2(seed, 256)
+        return {
+            "hex40": h, "hex20": F.substring(h, 1, 20), "hex32": F.md5(seed), "hex64": long, "upper40": F.upper(h), "base64": F.base64(F.unhex(long)),
+            "akia": F.concat(F.lit("AKIA"), F.upper(F.translate(F.substring(h, 1, 16), "abcdef", "QRSTUV"))), "symbols": F.concat(F.substring(F.base64(F.unhex(long)), 1, 6), F.lit("!"), F.substring(h, 1, 3), F.lit("@#")),
+            "dotted": F.concat_ws(".", F.substring(F.base64(F.unhex(long)), 1, 12), F.substring(h, 1, 16), F.substring(F.base64(F.unhex(long)), 20, 14)),
+            "uuid": F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)),
+            "digits": F.translate(F.substring(h, 1, 16), "abcdef", "012345"), "stars": F.lit("********"), "word": F.translate(F.substring(h, 1, 22), "0123456789", "etaoinshrl"),
+        }[kind]
+
+    rows = F.array(*[F.struct(value(kind, k).alias("value"), F.lit(lead).alias("lead"), F.lit(trail).alias("trail"), F.lit(y).alias("y")) for k, (lead, kind, trail, y) in enumerate(made)])
+    return keys.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def quality(findings: DataFrame, forest, least: float = 0.5) -> tuple[float, float]:
+    """Precision and recall of a forest on labelled findings (value, lead, trail, y)."""
+    told = findings.select("y", (forest_score(forest, features(F.col("value"), F.col("lead"), F.col("trail"))) >= least).alias("told"))
+    right, said, real = told.agg(F.count_if(F.col("told") & (F.col("y") == 1)), F.count_if("told"), F.count_if(F.col("y") == 1)).first()
+    return right / max(1, said), right / max(1, real)
+
+
 def split_expr(tree: dict, node: int, get, leaf) -> Column:
     """Nested CASE of a tree: get(feature) is a Column; leaf(node) the value of a node without a split."""
     if node not in tree:
@@ -154,13 +205,19 @@ def forest_score(forest: list[tuple[dict, dict]], f: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, findings: DataFrame | None = None) -> list[tuple[dict, dict]]:
-    """Train on labelled findings (lead, value, trail, y), or, without, on those of about train_docs documents, picked
-    by hash of the id, whose format settles the label."""
+    """Train on labelled findings (value, lead, trail, y); rows whose y is null are ignored, repeated ones count once each.
+
+    Without findings, which the tables here lack, they are made: values of known kinds in known surroundings, for about
+    MADE_DOCS documents, and the candidates of about train_docs documents, picked by hash of the id, whose own format
+    settles the label. No documents give a forest that finds nothing; columns beyond id and text are ignored.
+    """
     if findings is None:
         n = docs.select(id_col).count()
         some = docs.where(unit_hash(F.col(id_col), seed=31) < F.lit(train_docs / max(1, n)))
         c = some.select(F.explode(candidates(text_col)).alias("c")).select("c.value", "c.lead", "c.f")
         labelled = c.withColumn("y", format_label(F.col("value"), F.col("lead")))
+        made = made_findings(docs, id_col, MADE).withColumn("f", features(F.col("value"), F.col("lead"), F.col("trail")))
+        labelled = labelled.unionByName(made.select("value", "lead", "f", "y"))
     else:
         labelled = findings.select("value", "lead", "trail", "y").withColumn("f", features(F.col("value"), F.col("lead"), F.col("trail")))
     labelled = labelled.where(F.col("y").isNotNull()).select(F.xxhash64("value", "lead").alias("id"), "f", "y")
@@ -168,7 +225,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
 
 
 def scan(docs: DataFrame, forest, text_col: str = "text", least: float = 0.5, out: str = "found") -> DataFrame:
-    """docs with column `out`: array of (value, lead, score, secret) of all candidates of the whole text, in text order.
+    """docs with column `out`: array of (value, lead, score, secret) of all candidates of the whole text.
 
     Null and empty texts have none. A column of that name is replaced; all others stay.
     """

@@ -472,6 +472,39 @@ def test_secrets_found_and_prose_left(spark):
     assert secrets.scan(odd, empty).where(F.exists("found", lambda c: c["secret"])).count() == 0
 
 
+def test_forest_on_left_out_findings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    forest = secrets.fit(docs.where(~fold))
+    precision, recall = secrets.quality(secrets.made_findings(docs.where(fold), "doc_id", secrets.MADE), forest)
+    assert precision > 0.95 and recall > 0.95
+    precision, recall = secrets.quality(secrets.made_findings(docs.where(fold), "doc_id", secrets.LEFT_OUT), forest)
+    assert precision > 0.8 and recall > 0.8
+    texts = ["password=hunter2!x and", 'my pwd: "Tr0ub4dor&3" ok', "commit 0a1b2c3d4e5f60718293a4b5c6d7e8f901234567 fixed", "secret = ", None]
+    found = secrets.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), forest).orderBy("doc_id").collect()
+    assert [[c.value for c in r.found] for r in found] == [["hunter2!x"], ["Tr0ub4dor&3"], ["0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"], [], []]
+    assert not found[2].found[0].secret
+
+
+def test_forest_equals_a_plain_one(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, *(float(v) for v in rng.integers(0, 60, len(secrets.FEATURES)))) for i in range(300)]
+    names = ", ".join(f"{f} double" for f in secrets.FEATURES)
+    df = spark.createDataFrame([(i, tuple(v), int(v[0] + v[1] > 50)) for i, *v in rows], f"id long, f struct<{names.replace(' double', ':double')}>, y int")
+    forest = secrets.grow(df, trees=3, depth=3)
+    got = {r.id: r.s for r in df.select("id", secrets.forest_score(forest, F.col("f")).alias("s")).collect()}
+    for i, *v in rows:
+        f, total = dict(zip(secrets.FEATURES, v)), 0.0
+        for splits, probs in forest:
+            node = 1
+            while node in splits:
+                name, at = splits[node]
+                node = 2 * node + (f[name] >= at)
+            total += round(probs[node], 6)
+        assert abs(got[i] - total / 3) < 1e-5
+    assert np.mean([(got[i] >= 0.5) == (v[0] + v[1] > 50) for i, *v in rows]) > 0.8
+
+
 def test_forest_from_labelled_findings(spark):
     rows = [("0123456789abcdef" if i % 2 else "internationalisations", "x password=" if i % 2 else "some ", " end", i % 2) for i in range(200)]
     forest = secrets.fit(None, findings=spark.createDataFrame(rows, "value string, lead string, trail string, y int"))
