@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import cut, table, unit_hash
 
 TRAIN_DOCS = 20_000
-MADE_DOCS = 500
-TREES, DEPTH, LEAST = 12, 5, 6
+MADE_DOCS = 120
+TREES, DEPTH, LEAST = 12, 4, 6
 LEFT, RIGHT = 40, 24
 RUN = "[A-Za-z0-9+/_-]"
 # A run of 12 key characters with a digit among the first 64, or of 20 of any kind, with its surroundings.

@@ -423,7 +423,21 @@ def test_matrix_product_is_associative(spark):
     right = m[-1]
     for x in reversed(m[:-1]):
         right = sentencepiece_scan.compose(x, right)
-    assert left == right == [(*sentencepiece_scan.START, *sentencepiece_scan.END)]
+    weight = sum(p.weights[i] for i in p.sp.encode(s))
+    for product in (left, right):
+        assert [e[:4] for e in product] == [(*sentencepiece_scan.START, *sentencepiece_scan.END)] and abs(product[0][4] - weight) < 1e-6
+    states = sentencepiece_scan.resolve(m, sentencepiece_scan.START, sentencepiece_scan.END)
+    assert len(states) == len(m) + 1
+    with pytest.raises(ValueError, match="no path"):
+        sentencepiece_scan.resolve([m[0], []], sentencepiece_scan.START, sentencepiece_scan.END)
+
+
+def test_marks_in_giant_texts_are_not_exact(spark):
+    model = sentencepiece_scan.load_model(spark)
+    df = spark.createDataFrame([(1, "ab cd " * 300 + "\u2581" + " ef gh" * 300)], "doc_id long, text string").withColumn("part", F.lit(1)).withColumn("ids", F.lit("x"))
+    rows = sentencepiece_scan.encode(df, model, giant=1000, chunk=512).collect()
+    assert sum(not r.exact for r in rows) == 1 and sum(r.n_chars for r in rows) == 3601
+    assert sentencepiece_scan.decode(spark.createDataFrame([(1, 0, None, "x")] * 2, "doc_id long, part long, ids array<int>, text string"), model).where("text = ''").count() == 2
 
 
 # ---------------------------------------------------------------- op9
