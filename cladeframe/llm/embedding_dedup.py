@@ -129,7 +129,8 @@ def near_duplicates(
     Only rows with equal labels that are not null are compared (label_col None: all rows), in double precision on
     the original vectors. Null, empty, zero and non-finite vectors and rows without an id link with nothing: no links,
     a component of their own, kept. Exact copies are one row with a count while comparing and each get n_links for all others. Vectors of
-    different lengths never link. Ids are taken as distinct; an empty table gives an empty result.
+    different lengths never link. Rows that repeat an id are rows of their own and link like any others; what is said of
+    them stands once for each. An empty table gives an empty result; other columns, whatever their names, are ignored.
     """
     spec = [F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), (F.col(label_col) if label_col else F.lit(0)).alias("label")]
     rows = vectors.select(*spec)
@@ -140,6 +141,7 @@ def near_duplicates(
     reps = cut(live.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vec").alias("vec"), F.first("label").alias("label")))
     most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     depth = max(0, math.ceil(math.log2(max(1, most / leaf_rows))))
+    trees = trees if depth else 1  # without a split all trees are one leaf
     taken = bounded_sample(reps.select("id", "vec"), "id", sample_rows).collect()
     width = max((len(v.vec) for v in taken), default=1)
     sample = np.array([v.vec for v in taken if len(v.vec) == width], dtype=np.float64).reshape(-1, width)

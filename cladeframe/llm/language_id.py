@@ -20,6 +20,7 @@ from .common import unit_hash
 
 DIMS = 4096
 TRAIN_ROWS_PER_LANGUAGE = 600
+TRAIN_ROWS = 6000
 CHUNK = 256
 
 
@@ -103,15 +104,16 @@ def train(x: np.ndarray, y: list, steps: int = 80, rate: float = 0.5, decay: flo
 
 
 def fit(docs: DataFrame, usable: Column, text_col: str, lang_col: str, rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE, dims: int = DIMS, key: str = "doc_id") -> Model:
-    """Train on about rows_per_language rows of every language (at most 1.5 times as many), picked by hash of key.
+    """Train on about rows_per_language rows of every language, and on at most TRAIN_ROWS in all, picked by hash of key.
 
-    Feature vectors are made on the executors; only they come to the driver (2 * dims bytes a row).
+    Feature vectors are made on the executors; only they come to the driver (2 * dims bytes a row, 49 MB at the bound).
+    Rows without a language or a letter are not learned from. Repeated rows count as often as they stand.
     """
     known = docs.where(usable & F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col(lang_col) == lang, F.lit(rows_per_language / n)).otherwise(rate)
+    each = min(float(rows_per_language), TRAIN_ROWS / max(1, len(counts)) / 1.5)
+    rates = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, each / n)]) if counts else F.lit(None).cast("map<string,double>")
+    rate = F.coalesce(F.element_at(rates, F.col(lang_col)), F.lit(0.0))
     picked = known.where(unit_hash(F.col(key), seed=23) < rate).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def run(batches):
@@ -120,7 +122,7 @@ def fit(docs: DataFrame, usable: Column, text_col: str, lang_col: str, rows_per_
             made = [(v, lang) for t, lang in zip(pdf["text"], pdf["lang"]) if (v := features(t, letters, dims)) is not None]
             yield pd.DataFrame([(v.astype(np.float16).tobytes(), lang) for v, lang in made], columns=["x", "lang"])
 
-    rows = picked.mapInPandas(run, "x binary, lang string").limit(int(1.5 * rows_per_language * max(1, len(counts))) + 50).collect()
+    rows = picked.mapInPandas(run, "x binary, lang string").limit(TRAIN_ROWS).collect()
     x = np.array([np.frombuffer(r.x, np.float16) for r in rows], dtype=np.float32).reshape(-1, dims)
     return train(x, [r.lang for r in rows])
 
@@ -129,7 +131,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(id_col, lang_pred, score, second, ambiguous) for whole texts.
 
     `und` with score 0 where the text is null or has no letter, or where no language was learned. score is the
-    posterior of the best codeword; ambiguous means that the second is less than `close` below it.
+    posterior of the best codeword; ambiguous means that the second is less than `close` below it. Of codewords of equal
+    loss the language first in order counts. Rows are told one by one, repeated ones too; an empty table gives an empty
+    result; other columns, whatever their names, are ignored.
     """
 
     def run(batches):

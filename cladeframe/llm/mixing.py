@@ -163,11 +163,17 @@ def keep_sampled(docs: DataFrame, powers: dict[str, float] = POWERS, keep: float
     """Rows of docs that the mixture keeps, columns unchanged. Texts are not shuffled while the cells are few.
 
     With `exact` the probabilities are calibrated, so that what is kept meets the targets; else they are those of mix.
+    Null source and lang count as `unknown`; rows without tokens are kept as their cell is, and not if it has none. Rows
+    of one id share one fate; an empty table gives an empty result. Columns of docs may have any names.
     """
-    p = (calibrated if exact else plan)(described(docs), powers, keep, rounds).select(*[F.col(c).alias(f"_mix_{c}") for c in ("source", "lang", "topic", "p")])
-    tagged = docs.select("*", *[c.alias(f"_own_{n}") for n, c in cell_of(docs).items()])
-    same = [F.col(f"_own_{c}") == F.col(f"_mix_{c}") for c in ("source", "lang", "topic")]
-    return tagged.join(p, same).where(unit_hash(F.col("doc_id"), seed=seed) < F.col("_mix_p")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mark = "_mix"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark = "_" + mark
+    parts = ("source", "lang", "topic")
+    p = (calibrated if exact else plan)(described(docs), powers, keep, rounds).select(*[F.col(c).alias(f"{mark}_{c}") for c in (*parts, "p")])
+    tagged = docs.select("*", *[c.alias(f"{mark}_own_{n}") for n, c in cell_of(docs).items()])
+    same = [F.col(f"{mark}_own_{c}") == F.col(f"{mark}_{c}") for c in parts]
+    return tagged.join(p, same).where(unit_hash(F.col("doc_id"), seed=seed) < F.col(f"{mark}_p")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_proportional_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:

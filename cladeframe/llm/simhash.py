@@ -65,12 +65,16 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Verified links (a, b, distance) that connect all of (id, fp) within `radius` bits.
 
     In each bucket neighbours in id order are linked; since a bucket is a clique, these chains connect exactly what
-    all pairs would, and no fingerprint gets more than two links from a bucket.
+    all pairs would, and no fingerprint gets more than two links from a bucket. At radius 1 a bucket is no clique: its
+    members are linked to the fingerprint that the bucket is named by, if there is one.
     """
     if radius not in (0, 1, 2):
         raise ValueError("radius must be 0, 1 or 2")
     half = (radius + 1) // 2
     spread = distinct.select("id", "fp", F.explode(ball("fp", half)).alias("variant"))
+    if radius == 1:
+        centre = distinct.select(F.col("id").alias("a"), F.col("fp").alias("variant"))
+        return spread.where("variant <> fp").join(centre, "variant").select("a", F.col("id").alias("b"), F.lit(1).alias("distance"))
     w = Window.partitionBy("variant").orderBy("id")
     met = spread.withColumn("a", F.lag("id").over(w)).withColumn("fa", F.lag("fp").over(w)).where(F.col("a").isNotNull())
     met = met.withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("fa"))))

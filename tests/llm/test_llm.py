@@ -110,6 +110,26 @@ def test_language_held_out_accuracy_and_odd_texts(spark):
     assert {r.lang_pred for r in language_id.predict(odd.where("doc_id = 4"), one).collect()} == {"a"}
 
 
+def test_decoding_matches_brute_force(spark):
+    rng = np.random.default_rng(7)
+    words = {lang: ["".join(rng.choice(list(letters), 5)) for _ in range(40)] for lang, letters in (("a", "abcde"), ("b", "cdefg"), ("c", "efghi"))}
+    rows = [(i, " ".join(rng.choice(words["abc"[i % 3]], 12)), "abc"[i % 3]) for i in range(240)]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, lang string").withColumn("score", F.lit("x")).withColumn("id", F.lit(0))
+    model = language_id.fit(docs, F.col("doc_id") < 200, "text", "lang")
+    got = language_id.predict(docs, model).collect()
+    letters = language_id.letter_table()
+    text = {i: t for i, t, _ in rows}
+    assert len(got) == 242
+    for r in got:
+        margin = [float(m) for m in language_id.features(text[r.doc_id], letters) @ model.weights + model.bias]
+        loss = {lang: sum(w * float(np.log1p(np.exp(-b * m))) for w, b, m in zip(model.trust, code, margin)) for lang, code in zip(model.classes, model.code)}
+        odds = {lang: np.exp(-model.scale * (v - min(loss.values()))) for lang, v in loss.items()}
+        best = sorted(odds, key=lambda v: (-odds[v], v))
+        assert r.lang_pred == best[0] and r.second == best[1] and abs(r.score - odds[best[0]] / sum(odds.values())) < 1e-4
+        assert r.ambiguous == ((odds[best[0]] - odds[best[1]]) / sum(odds.values()) < 0.2)
+    assert language_id.predict(docs.limit(0), model).count() == 0
+
+
 def test_language_fit_without_labels(spark):
     empty = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     model = language_id.fit(empty, F.lit(True), "text", "lang")
@@ -260,8 +280,8 @@ def test_mix_keeps_share_and_odd_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = mixing.mix(docs).toPandas()
     assert len(got) == 1000 and abs((got.tokens * got.p).sum() / got.tokens.sum() - mixing.KEEP) < 0.02
-    again = mixing.keep_sampled(docs.withColumn("topic", F.lit(1)).withColumn("_p", F.lit(2)))
-    assert again.columns == [*docs.columns, "topic", "_p"] and {r.doc_id for r in again.select("doc_id").collect()} == set(got[got.kept].doc_id)
+    again = mixing.keep_sampled(docs.withColumn("topic", F.lit(1)).withColumn("_p", F.lit(2)).withColumn("_mix_own_topic", F.lit(3)))
+    assert again.columns == [*docs.columns, "topic", "_p", "_mix_own_topic"] and {r.doc_id for r in again.select("doc_id").collect()} == set(got[got.kept].doc_id)
     odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "a", 0), (3, "a b", None, "a", 3), (3, "a b", None, "a", 3)], DOCS)
     rows = {r.doc_id: r for r in mixing.mix(odd).collect()}
     assert mixing.mix(odd).count() == 4 and rows[1].source == "unknown" and not rows[1].kept
@@ -319,6 +339,8 @@ def test_ball_finds_all_pairs_within_radius(spark):
         comp = {r.node: r.component for r in common.connected_components(simhash.links(df, radius)).collect()}
         want = union_find(range(len(fps)), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= radius])
         assert all(comp.get(i, i) == want[i] for i in want)
+    four = spark.createDataFrame([(1, 0b1100), (10, 0b1101), (5, 0b0100), (6, 0b1001)], "id long, fp long")
+    assert {r.component for r in common.connected_components(simhash.links(four, 1)).collect()} == {1}
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     some = spark.createDataFrame([(None, "a b c"), (None, "q"), (1, "a b c"), (2, "A b c"), (3, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0) for r in simhash.keep_one(some).collect()) == [0, 0, 1, 3]
