@@ -10,6 +10,8 @@ scanning is one pass over the text inside the row, without joins, shuffles or UD
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ KEY_WORDS = "passw|passwd|pwd|secret|token|api.?key|apikey|access.?key|private.?
 PLAIN_WORDS = "commit|revision|sha-?[0-9]{1,3}|md5|checksum|digest|integrity|etag|uuid|guid|base64|image|build|version|count|hint"
 # Any value of six or more characters that a key word is assigned, unless it is a candidate of the first kind.
 ASSIGNED = "(?i:passw(?:or)?d|passphrase|passwd|pwd|secret|token|api[_-]?key|credential)[\"']?[ \\t]{0,2}[=:][ \\t]{0,2}[\"'`]?"
+ASSIGNED_WORDS = ["passw", "passphrase", "pwd", "secret", "token", "api", "credential"]
 ASSIGNED_VALUE = rf"(?s)(?<=[=:\"'` \t])(?<={ASSIGNED})(?!(?={RUN}{{12}})(?:{RUN}{{20}}|{RUN}{{0,63}}?[0-9]))(?<=(^.{{0,{LEFT - 1}}}|.{{{LEFT}}}))([^\s\"'`<>,;]{{6,}})(?=(.{{0,{RIGHT}}}))"
 
 # Frequent word parts of English, French, German and Spanish, for dictionary coverage.
@@ -82,7 +85,9 @@ def candidates(text: str) -> Column:
         group = lambda k: F.regexp_extract_all(t, F.lit(pattern), F.lit(k))
         return F.arrays_zip(group(2).alias("value"), group(1).alias("lead"), group(3).alias("trail"))
 
-    runs, assigned = found(CANDIDATE), F.when(t.rlike(ASSIGNED), found(ASSIGNED_VALUE))
+    low = F.lower(t)
+    named = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in ASSIGNED_WORDS])
+    runs, assigned = found(CANDIDATE), F.when(named & t.rlike(ASSIGNED), found(ASSIGNED_VALUE))
     both = F.concat(runs, F.coalesce(assigned, F.slice(runs, 1, 0)))
     return F.transform(both, lambda c: F.struct(c["value"].alias("value"), c["lead"].alias("lead"), c["trail"].alias("trail"), features(c["value"], c["lead"], c["trail"]).alias("f")))
 

@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, cut
 
 WINDOW, STRIDE = 24, 6
 EMBED, HIDDEN = 8, 8
 WORD_ROWS, GRAM_ROWS = 4096, 16384
 TRAIN_ROWS = {0: 2700, 1: 900}
 TRAIN_STRIDE = 6
+LEAST_STEPS = 120
 CACHE_WORDS = 150_000
 ROWS_AT_ONCE = 512
 WORDS = re.compile(r"[^\W\d_]+")
@@ -64,6 +65,18 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return whole.astype(np.int64), out, begin
 
 
+def grams_of(gram: np.ndarray, begin: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gram rows of the words `own` in a row, and where each word's begin."""
+    n = begin[own + 1] - begin[own]
+    spot = np.concatenate([[0], np.cumsum(n)])
+    return gram[np.repeat(begin[own] - spot[:-1], n) + np.arange(spot[-1])], spot
+
+
+def codes_of(vocab: dict[str, int], words: list[str]) -> np.ndarray:
+    """Numbers of words in vocab, to which new ones are added."""
+    return np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words))
+
+
 def n_windows(n: int, stride: int) -> int:
     """Windows that start every `stride` words of a text of n words, the last at or beyond its end."""
     return 1 + max(0, -(-(n - WINDOW) // stride))
@@ -222,33 +235,47 @@ class Net:
         g["wx"], g["bx"] = x.T @ drows, drows.sum(axis=0)
         return g, drows @ p["wx"].T, logit
 
-    def start_from_odds(self, docs: list[list[str]], y: np.ndarray):
+    def start_from_odds(self, whole, gram, begin, coded, y):
         """Set the first coordinate of both embeddings to the clipped log-odds of their rows' presence in texts."""
-        for name, rows, pick in (("word", WORD_ROWS, 0), ("gram", GRAM_ROWS, 1)):
-            n = np.ones((2, rows))
-            for d, label in zip(docs, y.astype(int)):
-                if d:
-                    n[label, np.unique(word_features(list(dict.fromkeys(d)))[pick])] += 1
+        n_word, n_gram = np.ones((2, WORD_ROWS)), np.ones((2, GRAM_ROWS))
+        for code, label in zip(coded, y.astype(int)):
+            own = np.unique(code)
+            n_word[label, np.unique(whole[own])] += 1
+            n_gram[label, np.unique(grams_of(gram, begin, own)[0])] += 1
+        for name, n in (("word", n_word), ("gram", n_gram)):
             share = n / (np.bincount(y.astype(int), minlength=2)[:, None] + 2)
             self.p[name][:, 0] = np.clip(np.log(share[1] / share[0]), -3, 3) * 0.5
 
-    def train(self, docs: list[list[str]], y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 2) -> Net:
+    def projected(self, whole, gram, begin, at_once: int = 8192):
+        """Projected inputs of all words of a vocabulary."""
+        out = np.zeros((len(whole), 2 * G), np.float32)
+        for s in range(0, len(whole), at_once):
+            own = np.arange(s, min(s + at_once, len(whole)))
+            out[own] = self.project(self.inputs(whole[own], *grams_of(gram, begin, own)))
+        return out
+
+    def train(self, docs: list[list[str]], y: np.ndarray, **how) -> Net:
         """docs: all words of each training text."""
+        vocab: dict[str, int] = {}
+        return self.train_coded(vocab, [codes_of(vocab, d) for d in docs], y, **how)
+
+    def train_coded(self, vocab: dict[str, int], coded: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 2) -> Net:
+        """coded: all words of each training text, as their numbers in vocab. Few texts get more epochs: LEAST_STEPS in all."""
         rng = np.random.default_rng(seed)
         if len(set(y.tolist())) < 2:
             self.p["b"][0] = 8.0 if len(y) and y[0] else -8.0
             self.p["w"][:] = 0
             return self
-        self.start_from_odds(docs, y)
-        vocab = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
         if not vocab:
             return self
         whole, gram, begin = word_features(list(vocab))
-        coded = [np.fromiter((vocab[w] for w in d), np.int64, len(d)) for d in docs]
+        gram = gram.astype(np.int32)
+        self.start_from_odds(whole, gram, begin, coded, y)
         m, v, k = {n: np.zeros_like(q) for n, q in self.p.items()}, {n: np.zeros_like(q) for n, q in self.p.items()}, 0
+        epochs = max(epochs, -(-LEAST_STEPS // max(1, -(-len(coded) // batch))))
         for _ in range(epochs):
-            _, place = self.scan(self.project(self.inputs(whole, gram, begin)), coded, TRAIN_STRIDE)
-            order = rng.permutation(len(docs))
+            _, place = self.scan(self.projected(whole, gram, begin), coded, TRAIN_STRIDE)
+            order = rng.permutation(len(coded))
             for s in range(0, len(order), batch):
                 own = order[s : s + batch]
                 at = np.stack([window(int(place[i]), len(coded[i])) for i in own])
@@ -258,9 +285,8 @@ class Net:
                     continue
                 local = np.full(at.shape, -1)
                 local[at >= 0] = back
-                n = begin[used + 1] - begin[used]
-                spot = np.concatenate([[0], np.cumsum(n)])
-                g_rows = gram[np.repeat(begin[used] - spot[:-1], n) + np.arange(spot[-1])]
+                g_rows, spot = grams_of(gram, begin, used)
+                n = np.diff(spot)
                 x = self.inputs(whole[used], g_rows, spot)
                 grads, dx, _ = self.gradient(x, local, y[own].astype(np.float32), 1 / len(own))
                 grads["word"], grads["gram"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["gram"])
@@ -296,9 +322,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "words": [" ".join(words_of(t)) for t in pdf["text"]]})
 
     texts = docs.select(id_col, F.col(text_col).alias("text")).join(ids, id_col).select(F.col(id_col).alias("id"), "y", "text")
-    got = texts.mapInPandas(run, f"id {kind}, y int, words string").groupBy("id", "y").agg(F.min("words").alias("words")).collect()
-    got = sorted(got, key=lambda r: r.id)
-    return Net().train([r.words.split() for r in got], np.array([r.y for r in got], dtype=int))
+    texts = texts.mapInPandas(run, f"id {kind}, y int, words string").groupBy("id", "y").agg(F.min("words").alias("words"))
+    vocab: dict[str, int] = {}
+    got = []
+    for r in cut(texts).orderBy("id").toLocalIterator():  # a partition of at most rows_per_label rows at a time
+        got.append((r.y, codes_of(vocab, r.words.split())))
+    return Net().train_coded(vocab, [c for _, c in got], np.array([y for y, _ in got], dtype=int))
 
 
 def words_of(text: str | None) -> list[str]:
