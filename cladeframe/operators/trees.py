@@ -22,9 +22,9 @@ def from_parents(nodes: DataFrame) -> DataFrame:
     while True:
         far = up.select("tree_id", F.col("node").alias("anc"), F.col("anc").alias("top"), F.col("path").alias("head"))
         longer = up.join(far, ["tree_id", "anc"], "left")
-        grown = materialise(longer.select("tree_id", "node", F.coalesce("top", "anc").alias("anc"), F.when(F.col("head").isNotNull(), F.concat("head", "path")).otherwise(F.col("path")).alias("path")))
-        more = longer.where("top is not null").limit(1).count()
-        up = grown
+        grown = materialise(longer.select("tree_id", "node", F.coalesce("top", "anc").alias("anc"), F.when(F.col("head").isNotNull(), F.concat("head", "path")).otherwise(F.col("path")).alias("path"), F.col("top").isNotNull().alias("more")))
+        more = grown.where("more").limit(1).count()
+        up = grown.drop("more")
         if not more:
             break
     at = nodes.join(up.select("tree_id", "node", "path"), ["tree_id", "node"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<int>")))

@@ -71,7 +71,7 @@ def length_quantiles(spark, d):
 
 
 def hash_sample(spark, d):
-    return routing.sample_names(table(spark, d, "documents").select(F.col("doc_id").alias("name")), 1000)
+    return routing.sample_names(table(spark, d, "documents").select(F.col("doc_id").alias("name")), 100)
 
 
 def last_value_wins(spark, d):
@@ -265,7 +265,7 @@ ORACLES = {
     "fragment_split": "SELECT doc_id, length(text) <= 1500 AS is_fragment, length(text) AS n FROM documents",
     "length_quantile_band": f"WITH lens AS (SELECT 0 AS g, length(replace(text, '-', '')) AS n FROM documents), {QUANT.format(q=0.5)} SELECT doc_id, length(replace(text, '-', '')) BETWEEN floor((SELECT length FROM q) * 0.75) AND floor((SELECT length FROM q) * 1.25) AS \"full\" FROM documents",
     "length_quantiles": f"WITH lens AS (SELECT source AS g, length(replace(text, '-', '')) AS n FROM documents), {QUANT.format(q=0.25)} SELECT g AS source, length FROM q",
-    "hash_sample": "SELECT doc_id AS name FROM documents ORDER BY md5('297834|' || doc_id), doc_id LIMIT 1000",
+    "hash_sample": "SELECT doc_id AS name FROM documents ORDER BY md5('297834|' || doc_id), doc_id LIMIT 100",
     "last_value_wins": "SELECT user_id AS name, min(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "degapped_rows": f"WITH {SQL_DENSE}, {ROWS} SELECT name, replace(seq, '-', '') AS seq FROM rows_",
     "gap_columns": f"WITH {SQL_GAPPY}, {COLS} SELECT label, block, pos, residues = 0 AS all_gap, residues FROM cols",

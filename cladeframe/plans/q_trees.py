@@ -131,9 +131,34 @@ def newick_round_trip(spark, d):
 def split_relabel(spark, d):
     """Edges of the tree over ranks by id, matched to those of the same block's tree over ranks by first component."""
     a, b = forest(spark, d), forest(spark, d, "x0")
-    x = splits.keyed(a).where("parent_id is not null").select("tree_id", "split", "node")
-    y = splits.keyed(b).where("parent_id is not null").groupBy("tree_id", "split").agg(F.min("node").alias("other"))
-    return x.join(y, ["tree_id", "split"], "left").select(*_id(), "node", "other")
+    moved = splits.relabel_edges(numbered(a), numbered(b))
+    return moved.select(*_id(), F.pmod("edge_num", F.lit(4096)).cast("int").alias("node"), F.pmod("to_edge", F.lit(4096)).cast("int").alias("other"))
+
+
+def numbered(nodes):
+    """Edge numbers over a whole forest: the tree's label and block, and the heap node below the edge (under 2 * 640)."""
+    num = (F.col("tree_id.label").cast("long") * 1_000_000 + F.col("tree_id.block")) * 4096 + F.col("node")
+    return nodes.withColumn("edge_num", F.when(F.col("parent_id").isNotNull(), num))
+
+
+def merged_placements(spark, d):
+    """Every leaf placed on its own edge of the tree by id, moved to the tree by first component, distal lengths clipped."""
+    a, b = numbered(forest(spark, d)), numbered(forest(spark, d, "x0"))
+    p = a.where("is_leaf and edge_num is not null").select(F.col("tree_id").alias("doc_id"), F.col("name").cast("long").alias("fragment"), "edge_num", F.lit(0.1).alias("distal_length"))
+    got = placement.merge_documents(p, a, b)
+    return got.select("doc_id.label", "doc_id.block", "fragment", F.pmod("edge_num", F.lit(4096)).cast("int").alias("edge"), F.round("distal_length", 6).alias("distal"))
+
+
+def edge_taxa(spark, d):
+    """The lowest taxon over all leaves below each edge; leaf k belongs to nation k % 25."""
+    n = table(spark, d, "nation")
+    nation = n.select(F.concat(F.lit("n"), "n_nationkey").alias("tax_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"))
+    region = n.select(F.concat(F.lit("r"), "n_regionkey").alias("tax_id"), F.lit("root").alias("parent_id")).distinct()
+    taxa = nation.unionByName(region).unionByName(region.select(F.lit("root").alias("tax_id"), F.lit("root").alias("parent_id")).distinct())
+    main = numbered(forest(spark, d))
+    mapping = main.where("is_leaf").select("name", F.concat(F.lit("n"), F.col("name").cast("long") % 25).alias("tax_id")).join(nation.select("tax_id"), "tax_id", "left_semi")
+    got = placement.edge_taxa(main, mapping, placement.taxonomy_closure(taxa))
+    return main.select("tree_id", "edge_num", "node").join(got, "edge_num").select(*_id(), "node", "tax_id")
 
 
 def shared_splits(spark, d):
@@ -341,7 +366,7 @@ def genealogical_index(spark, d):
 
 
 NAMES = """node_shapes leaf_positions genealogical_index tree_from_clusters shared_clades collapsed_trees fasta_round_trip stockholm_scan search_report_scan viterbi_align edge_leaf_counts root_distances centroid_edge longest_edge clade_edge product_edge bisected_leaves adjacent_edges leaf_distance tree_diameter nearest_taxa lca_pairs lca_of_sets
-long_branches pruned_trees binary_trees scaled_lengths labelled_nodes newick_round_trip split_relabel shared_splits edge_support incompatible_splits same_leaf_sets decomposed_trees
+merged_placements edge_taxa long_branches pruned_trees binary_trees scaled_lengths labelled_nodes newick_round_trip split_relabel shared_splits edge_support incompatible_splits same_leaf_sets decomposed_trees
 decomposed_by_diameter placement_hierarchy midpoint_edges rerooted_trees placement_normalise placement_threshold best_placements distal_clip taxonomic_rollup classified_fragments
 jplace_documents event_properties""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
@@ -398,6 +423,8 @@ ORACLES = {
     "labelled_nodes": f"WITH {T} SELECT label, block, count(*) AS names, count(*) FILTER (name IS NULL) AS fresh FROM nodes GROUP BY ALL",
     "newick_round_trip": f"WITH {T} SELECT label, block, name::BIGINT AS name, (row_number() OVER (PARTITION BY label, block ORDER BY key) - 1)::INT AS rank, round(length, 6) AS length FROM nodes WHERE name IS NOT NULL",
     "split_relabel": f"WITH {two()}, o AS (SELECT label, block, canon, min(node) AS other FROM bk WHERE node > 1 GROUP BY ALL) SELECT k.label, k.block, k.node, o.other FROM k LEFT JOIN o USING (label, block, canon) WHERE k.node > 1",
+    "merged_placements": f"WITH {two()}, o AS (SELECT label, block, canon, min(node) AS other FROM bk WHERE node > 1 GROUP BY ALL) SELECT k.label, k.block, n.name::BIGINT AS fragment, other AS edge, round(CASE WHEN 0.1 > m.length THEN m.length * 0.99 ELSE 0.1 END, 6) AS distal FROM k JOIN nodes n USING (label, block, node) JOIN o USING (label, block, canon) JOIN bnodes m ON m.label = k.label AND m.block = k.block AND m.node = o.other WHERE k.node > 1 AND n.name IS NOT NULL",
+    "edge_taxa": f"WITH {T}, h AS (SELECT u.label, u.block, u.anc AS node, count(DISTINCT n_nationkey) AS n1, count(DISTINCT n_regionkey) AS n2, min(n_nationkey) AS a, min(n_regionkey) AS r FROM up u JOIN nodes n USING (label, block, node) JOIN nation ON n_nationkey = n.name::BIGINT % 25 WHERE n.name IS NOT NULL GROUP BY ALL) SELECT label, block, node, CASE WHEN n1 = 1 THEN 'n' || a WHEN n2 = 1 THEN 'r' || r ELSE 'root' END AS tax_id FROM h WHERE node > 1",
     "shared_splits": f"WITH {two()}, x AS (SELECT DISTINCT label, block, canon, 1 AS a FROM k WHERE node > 1 AND len(s) > 1 AND len(r) > 1), y AS (SELECT DISTINCT label, block, canon, 1 AS b FROM bk WHERE node > 1 AND len(s) > 1 AND len(r) > 1) SELECT label, block, count(*) FILTER (a = 1 AND b = 1) AS shared, count(*) FILTER (b IS NULL) AS only_a, count(*) FILTER (a IS NULL) AS only_b FROM x FULL JOIN y USING (label, block, canon) GROUP BY ALL",
     "edge_support": f"WITH {TRIO()}, every_ AS (SELECT DISTINCT label, block, 0 AS t, canon FROM k WHERE node > 1 UNION ALL SELECT DISTINCT label, block, 1, canon FROM bk WHERE node > 1 UNION ALL SELECT DISTINCT label, block, 2, canon FROM ck WHERE node > 1), held AS (SELECT label, block, canon, count(*) AS n FROM every_ GROUP BY ALL) SELECT label, block, node, round(n / 3.0, 6) AS support FROM k JOIN held USING (label, block, canon) WHERE node > 1 AND len(s) > 1 AND len(r) > 1",
     "incompatible_splits": f"WITH {two()}, x AS (SELECT label, block, node, s, len(s) AS n FROM k WHERE node > 1 AND len(s) > 1), y AS (SELECT label, block, node AS m, s AS t, len(s) AS o FROM bk WHERE node > 1 AND len(s) > 1), bad AS (SELECT DISTINCT label, block, node FROM x JOIN y USING (label, block) WHERE len(list_intersect(s, t)) > 0 AND len(list_intersect(s, t)) < n AND len(list_intersect(s, t)) < o) SELECT a.label, a.block, count(bad.node) AS incompatible FROM (SELECT DISTINCT label, block FROM nodes) a LEFT JOIN bad USING (label, block) GROUP BY ALL",
