@@ -4,8 +4,8 @@ A text is the set of its five-word shingles' hashes. Sets are put into one order
 last. If two sets have a Jaccard similarity of at least 4/5, each holds at least 4/5 of the other's size in common
 shingles, so their first n - ceil(4n/5) + 1 shingles share one: texts meet in a shuffle on these and no pair is missed,
 whatever the order. The sample decides on speed only. Common prefixes of many near copies do not make all their pairs:
-of the neighbours in the buckets every text verifies its nearest first, and then come only pairs that the links found so
-far leave apart. Before sets are compared, parities of theirs must be close: a lower bound of their true difference.
+of the neighbours in the buckets every text verifies its nearest first, then all meet a few hubs, and then come only
+pairs that the links found so far leave apart. Before sets are compared, parities of theirs must be close: a lower bound of their true difference.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ SAMPLE_DOCS = 8192
 COMMON = 65_536
 SENT_ROWS = 1_000_000
 ROWS_AT_ONCE = 512
+HUBS = 4
+PAIRS_A_ROW = 4
+SETS_A_LINK = 256
 TEXT = "_near_text"
 
 
@@ -164,11 +167,48 @@ def verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, id_col: str, tex
     return cut(both.where(9 * shared >= 4 * (F.size("ua") + F.size("ub"))).select("a", "b"))
 
 
+def may_link():
+    return similar("n", "m") & (9 * differing("sa", "sb") <= F.col("n") + F.col("m"))
+
+
+def mixed(met: DataFrame) -> DataFrame:
+    """Rows (h, component, ...) of the buckets h that hold several components."""
+    several = met.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
+    return met.join(several, "h", "left_semi")
+
+
+def crossing(left: DataFrame) -> int:
+    """Number of pairs of different components in the buckets of left, by counts only."""
+    n = left.groupBy("h", "component").count().groupBy("h").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
+    return n.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
+
+
+def to_hubs(left: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of every set with HUBS sets of its bucket, drawn anew each turn, if it is in another component."""
+    drawn = [F.min_by(F.struct("sig", "n", "component", "short"), F.xxhash64(F.lit(turn * HUBS + i), "sig")) for i in range(HUBS)]
+    hubs = left.groupBy("h").agg(F.array_distinct(F.array(*drawn)).alias("hubs"))
+    met = left.toDF("h", "a", "n", "ca", "sa").join(hubs, "h").withColumn("o", F.explode("hubs"))
+    met = met.select("a", "n", "ca", "sa", F.col("o.sig").alias("b"), F.col("o.n").alias("m"), F.col("o.component").alias("cb"), F.col("o.short").alias("sb"))
+    met = met.where((F.col("ca") != F.col("cb")) & may_link())
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def joined(left: DataFrame, found: DataFrame) -> DataFrame:
+    """left after the links found (a, b) have joined components: the buckets that still hold several."""
+    own = left.select("sig", "component").distinct()
+    ends = found.join(own.toDF("a", "u"), "a").join(own.toDF("b", "v"), "b").select("u", "v")
+    moved = connected_components(ends, "u", "v").toDF("component", "to")
+    moved = left.join(moved, "component", "left").select("h", "sig", "n", F.coalesce("to", "component").alias("component"), "short")
+    return cut(mixed(cut(moved)))
+
+
 def links(rows: DataFrame, own: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """Verified links (a, b) that connect all sets of own with a similarity of at least 4/5.
 
     A bucket is sorted by size, and each set in it paired with the one before. Of its pairs with close parities every set
-    verifies the closest. Then pairs in one bucket that are still in different components are compared.
+    verifies the closest. While that finds many links, and the buckets would make many pairs of different components, all
+    their sets are compared with a few hubs, which joins most of a large group at a linear cost. Then all pairs in one
+    bucket that are still in different components are compared, so no two linked sets stay apart.
     """
     spread = rows.select("sig", "n", F.explode("prefix").alias("h")).repartition("h").dropDuplicates(["h", "sig", "n"])
     w = Window.partitionBy("h").orderBy("n", "sig")
@@ -180,13 +220,17 @@ def links(rows: DataFrame, own: DataFrame, docs: DataFrame, id_col: str = "doc_i
     best = ends.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
     first = verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), own, docs, id_col, text_col, words)
     comps = connected_components(first).withColumnRenamed("node", "sig")
-    met = cut(met.select("h", "sig", "n").join(comps, "sig", "left").withColumn("component", F.coalesce("component", "sig")))
-    mixed = met.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
-    left = cut(met.join(mixed, "h", "left_semi").join(own.select("sig", "short"), "sig").select("h", "sig", "n", "component", "short"))
+    met = met.select("h", "sig", "n").join(comps, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    left = cut(mixed(cut(met)).join(own.select("sig", "short"), "sig").select("h", "sig", "n", "component", "short"))
+    found, known, turn, few = first, first, 0, left.select("sig").distinct().count() / SETS_A_LINK
+    while found.count() > few and crossing(left) > PAIRS_A_ROW * left.count():
+        pairs = close(to_hubs(left, turn).join(known, ["a", "b"], "left_anti"), own)
+        found = verified(pairs, own, docs, id_col, text_col, words)
+        known, left, turn = known.unionByName(found), joined(left, found), turn + 1
     x, y = left.toDF("h", "a", "n", "ca", "sa"), left.toDF("h", "b", "m", "cb", "sb")
-    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar("n", "m") & (9 * differing("sa", "sb") <= F.col("n") + F.col("m"))
-    rest = close(x.join(y, "h").where(apart).select("a", "b").distinct(), own).join(first, ["a", "b"], "left_anti")
-    return first.unionByName(verified(rest, own, docs, id_col, text_col, words))
+    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link()
+    rest = close(x.join(y, "h").where(apart).select("a", "b").distinct(), own).join(known, ["a", "b"], "left_anti")
+    return known.unionByName(verified(rest, own, docs, id_col, text_col, words))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
