@@ -374,6 +374,29 @@ def test_near_copies_match_brute_force(spark):
     assert shingle_join.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_hub_rounds_keep_the_groups(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vocab = np.array([f"w{i}" for i in range(500)])
+    docs, i = [], 0
+    for size in (45, 20, 1):
+        base = list(rng.choice(vocab, 60))
+        for k in range(size):
+            text = list(base)
+            text[k] = "new"
+            docs.append((i := i + 1, " ".join(text)))
+    sets = {i: set(shingle_join.shingles(t).tolist()) for i, t in docs}
+    fps = {i: simhash.fingerprint(t) for i, t in docs}
+    near = lambda a, b: 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])) or (fps[a] ^ fps[b]).bit_count() <= 2
+    want = union_find(sets, [(a, b) for a in sets for b in sets if a < b and near(a, b)])
+    turns, to_hubs = [], shingle_join.to_hubs
+    monkeypatch.setattr(shingle_join, "PAIRS_A_ROW", 0)
+    monkeypatch.setattr(shingle_join, "SETS_A_LINK", 1 << 40)
+    monkeypatch.setattr(shingle_join, "to_hubs", lambda left, turn: turns.append(turn) or to_hubs(left, turn))
+    kept = shingle_join.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    assert turns
+
+
 # ---------------------------------------------------------------- op7
 
 
