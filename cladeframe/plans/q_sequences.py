@@ -189,8 +189,8 @@ def hamming_of_neighbours(spark, d):
     return near.select("name", F.round(seq.hamming("before", "seq"), 6).alias("d"))
 
 
-def _dna(spark, d):
-    v = values(spark, d).where("pos < 63")
+def _dna(spark, d, whole=False):
+    v = values(spark, d) if whole else values(spark, d).where("pos < 63")
     base = F.when(F.col("x") >= 0.08, "T").when(F.col("x") >= 0, "C").when(F.col("x") >= -0.08, "A").otherwise("G")
     return sites.to_rows(v.withColumn("ch", base), KEYS)
 
@@ -200,6 +200,15 @@ def translated(spark, d):
     return codons.select("name", F.col("k").alias("pos"), "codon", seq.amino_of("codon").alias("amino"), seq.is_compatible("codon", seq.amino_of("codon")).alias("fits"))
 
 
+def codon_checks(spark, d):
+    dna = _dna(spark, d, whole=True).withColumn("codons", F.expr("transform(sequence(1, greatest(length(seq) div 3, 1)), k -> substr(seq, k * 3 - 2, 3))"))
+    each = dna.select("name", "codons", F.posexplode("codons").alias("k", "codon")).where("length(codon) = 3")
+    after = F.coalesce(seq.amino_of(F.get("codons", F.col("k") + 1)), F.lit("X"))
+    third = F.concat(F.substr("codon", F.lit(1), F.lit(2)), F.lit("N"))
+    each = each.select("name", F.col("k").alias("pos"), "codon", after.alias("next_amino"), third.alias("open_codon"))
+    return each.withColumn("fits", seq.is_compatible("codon", "next_amino")).withColumn("ambiguous", seq.is_ambiguous("open_codon"))
+
+
 def backtranslate(spark, d):
     dna = _dna(spark, d)
     aa = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.concat(F.when((k + F.col("name")) % 4 == 0, "-").otherwise(""), seq.amino_of(F.substr("seq", k * 3 + 1, F.lit(3)))))
@@ -225,7 +234,7 @@ def routed_rows(spark, d):
 NAMES = """best_hit_routing unscored_fragments fragment_chunks all_scores score_lines name_collisions collision_free_queries whitespace_names fragment_split
 length_quantile_band length_quantiles hash_sample last_value_wins degapped_rows gap_columns compact_subsets compacted_rows kept_columns removed_columns added_column
 alignment_shapes mask_insertions insertion_ranges relabelled_columns extended_merge merged_columns pairwise_p_distance subset_p_distance p_distance_gap_as_state
-hamming_of_neighbours translated backtranslate model_scores routed_rows""".split()
+hamming_of_neighbours translated codon_checks backtranslate model_scores routed_rows""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 COLS = "cols AS (SELECT label, block, pos, count(*) FILTER (ch <> '-') AS residues FROM sites GROUP BY ALL)"
@@ -284,6 +293,12 @@ ORACLES = {
     "subset_p_distance": f"WITH {SQL_DENSE}, {PAIRS.format(where=NOGAP)} SELECT label, block, count(*) AS pairs, round(avg(d), 6) AS mean, round(max(d), 6) AS largest FROM pr GROUP BY ALL",
     "p_distance_gap_as_state": f"WITH {SQL_DENSE}, {PAIRS.format(where='')} SELECT label, block, count(*) AS pairs, round(avg(d), 6) AS mean, round(max(d), 6) AS largest FROM pr GROUP BY ALL",
     "hamming_of_neighbours": f"WITH {SQL_DENSE}, nb AS (SELECT label, block, name, lag(name) OVER (PARTITION BY label, block ORDER BY name) AS prev FROM (SELECT DISTINCT label, block, name FROM sites)) SELECT nb.name, round(coalesce(sum(CASE WHEN x.ch <> y.ch THEN 1 ELSE 0 END) FILTER (x.ch <> '-' AND y.ch <> '-') / nullif(count(*) FILTER (x.ch <> '-' AND y.ch <> '-'), 0), 0.0), 6) AS d FROM nb JOIN sites x ON x.label = nb.label AND x.block = nb.block AND x.name = nb.name JOIN sites y ON y.label = nb.label AND y.block = nb.block AND y.name = nb.prev AND y.pos = x.pos GROUP BY nb.name",
+    "codon_checks": f"""WITH {SQL_VALUES}, nt AS (SELECT name, string_agg(CASE WHEN x >= 0.08 THEN 'T' WHEN x >= 0 THEN 'C' WHEN x >= -0.08 THEN 'A' ELSE 'G' END, '' ORDER BY pos) AS seq FROM vals GROUP BY name),
+cod AS (SELECT name, k, substr(seq, k * 3 + 1, 3) AS codon FROM (SELECT name, seq, unnest(range(0, length(seq) // 3)) AS k FROM nt)),
+boxed AS (SELECT *, (instr('TCAG', substr(codon, 1, 1)) - 1) * 16 + (instr('TCAG', substr(codon, 2, 1)) - 1) * 4 AS box FROM cod),
+tr AS (SELECT *, substr('{seq.AMINO}', (box + instr('TCAG', substr(codon, 3, 1)))::INT, 1) AS amino, substr('{seq.AMINO}', (box + 1)::INT, 4) AS four FROM boxed),
+nx AS (SELECT *, coalesce(lead(amino) OVER (PARTITION BY name ORDER BY k), 'X') AS next_amino FROM tr)
+SELECT name, k::INT AS pos, codon, next_amino, substr(codon, 1, 2) || 'N' AS open_codon, next_amino IN ('X', amino) AS fits, four <> repeat(substr(four, 1, 1), 4) AS ambiguous FROM nx""",
     "translated": f"WITH {DNA} SELECT name, k AS pos, codon, amino, true AS fits FROM tr",
     "backtranslate": f"WITH {DNA} SELECT name, string_agg(CASE WHEN (k + name) % 4 = 0 THEN '---' ELSE '' END || codon, '' ORDER BY k) AS seq FROM tr GROUP BY name",
     "model_scores": f"WITH {SCORES} SELECT label, block, name, score FROM sc",
