@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FEWEST_TASKS = 8
-ROWS_A_TASK = 1 << 16
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,35 +52,29 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 17) -> DataFr
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(rows)
 
 
-def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """df dealt by key to as few tasks as `rows` rows need; left to Spark where those are as many as the session's."""
-    tasks = FEWEST_TASKS + rows // ROWS_A_TASK
-    return df if tasks >= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(tasks, key)
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Component of every node that an edge touches: (node, component = smallest node reachable).
 
     Alternates the large-star and small-star steps until the edges are stars. A node's neighbours never meet in
     one task: minima are partial aggregates, and the joins that carry them back are plain equi-joins of two
-    exchanged sides, which adaptive execution splits when a node has very many edges. Few edges go to few tasks, as
-    most of the steps have little left to do. Self loops and nulls are ignored; no edges give no rows.
+    exchanged sides, which adaptive execution splits when a node has very many edges. Self loops and nulls are
+    ignored; no edges give no rows.
     """
     pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = cut(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    rows, before = e.count(), None
+    before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(dealt(both, "u", rows).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(dealt(large, "u", rows).distinct())
-        low = cut(dealt(e, "u", rows).groupBy("u").agg(F.min("v").alias("m")))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = cut(large)
+        low = cut(e.groupBy("u").agg(F.min("v").alias("m")))
         small = e.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(dealt(small.unionByName(low.select("u", F.col("m").alias("v"))), "u", rows).distinct())
+        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.count_distinct("u")).first())
         if now == before:
             break
-        rows, before = now[0], now
+        before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
