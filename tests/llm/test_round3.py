@@ -1,0 +1,205 @@
+"""Quality, fill-in-the-middle and spelling variants: against brute force, round trips, held-out accuracy, odd inputs."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from cladeframe.llm import fill_in_middle, quality, queries, spelling
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [
+    (1, None), (2, ""), (3, "   \n"), (4, "one"), (5, "a <S> b"), (6, "Ünïcode, wörds — 你好 🙂!"), (7, "x" * 70_000), (8, "ab, " * 30_000), (4, "one"), (None, "no id here"), (9, "<P"), (10, "S><"),
+]
+
+
+def odd(spark):
+    clash = [(i, t, f"w{k}", "key", "form", 3.0) for k, (i, t) in enumerate(ODD)]
+    return spark.createDataFrame(clash, "doc_id long, text string, word string, key string, form string, n double")
+
+
+# ---------------------------------------------------------------- fill in the middle
+
+
+def brute_middle(key, text):
+    text = text or ""
+    units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text)
+    digest = hashlib.sha256(f"1:{'' if key is None else key}".encode()).hexdigest()
+    h = [int(digest[k : k + 8], 16) for k in range(0, 32, 8)]
+    a, b = sorted(x % (len(units) + 1) for x in h[:2])
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return len(units), "plain", None, None, text
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    return (len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}") if h[3] % 100 < 20 else (len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}")
+
+
+def test_middle_matches_brute_force_and_restores_odd_texts(spark):
+    docs = odd(spark)
+    got = fill_in_middle.transform(docs).withColumn("back", fill_in_middle.restored()).collect()
+    want = collections.Counter((k, *brute_middle(k, t), t or "") for k, t in ODD)
+    assert collections.Counter((r.doc_id, r.n, r.form, r.prefix_chars, r.middle_chars, r.output, r.back) for r in got) == want
+    assert fill_in_middle.transform(docs.limit(0)).count() == 0
+
+
+def test_middle_query_matches_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = queries.op12_learned_rank_index(spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        n, form, p, m, out = brute_middle(r.doc_id, docs[r.doc_id])
+        assert (r.n, r.form, r.prefix_chars, r.middle_chars, r.output_sha256, r.restored_sha256) == (n, form, p, m, sha(out), sha(docs[r.doc_id] or ""))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3000), min_size=1, max_size=400), st.integers(0, 40))
+def test_rank_index_is_exact_within_its_error(steps, error):
+    offsets = np.cumsum(steps)
+    index = fill_in_middle.RankIndex(offsets, error)
+    ranks = np.arange(len(offsets))
+    assert (index.offsets(ranks) == offsets).all()
+    assert np.abs(index.residual.astype(int)).max() <= error + 1  # the line errs by `error`, rounding by less than one more
+    assert index.first[0] == 0 and (np.diff(index.first) > 0).all()
+
+
+def test_rank_index_has_few_segments_and_small_residuals():
+    text = "several words of some length, again and again. " * 20_000
+    offsets = fill_in_middle.boundaries(text)
+    index = fill_in_middle.RankIndex(offsets)
+    assert len(index.first) < len(offsets) / 1000 and index.residual.dtype == np.int8
+    assert [text[a:b] for a, b in zip(offsets[:5], offsets[1:6])] == ["several", " ", "words", " ", "of"]
+
+
+# ---------------------------------------------------------------- quality
+
+
+def test_quality_of_left_out_documents(spark):
+    d = "/root/testdata/sf0.01"
+    got = queries.op11_naive_bayes_svm(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
+    good, bad = [r for r in got if r.quality == 1], [r for r in got if r.quality == 0]
+    assert sum(r.predicted for r in good) >= 0.95 * len(good) and sum(1 - r.predicted for r in bad) >= 0.9 * len(bad)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_quality_ignores_held_out_labels_and_other_columns(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    usable = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
+    lied = labels.withColumn("quality", F.when(usable, F.col("quality")).otherwise(1 - F.col("quality")))
+    a, b = quality.fit(docs, labels, usable), quality.fit(docs.select("doc_id", "text", F.lit("x").alias("y"), F.lit(1).alias("_own")), lied, usable)
+    assert np.array_equal(a.ratio, b.ratio) and np.array_equal(a.weight, b.weight) and (a.slope, a.shift) == (b.slope, b.shift)
+
+
+def test_quality_of_odd_rows_and_labels(spark):
+    docs = odd(spark)
+    labels = spark.createDataFrame([(4, 1), (4, 0), (6, 0), (8, None), (9, 7), (None, 1), (77, 1)], "doc_id long, quality int")
+    scored = {}
+    for l in (labels, labels.limit(0), labels.where("quality = 1"), labels.where("doc_id = 6")):
+        got = quality.score(docs, quality.fit(docs, l, F.lit(True))).collect()
+        assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
+        scored[len(scored)] = {r.doc_id: r.score for r in got}
+    assert scored[0][1] == scored[0][2] == scored[0][3] and scored[1][4] == 0.5 and scored[2][4] > 0.99 and scored[3][4] < 0.01
+    assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels, F.lit(True))).count() == 0
+
+
+def test_dual_descent_meets_the_optimum_of_the_hinge_loss():
+    rng = np.random.default_rng(3)
+    x = [np.sort(rng.choice(30, 6, replace=False)) for _ in range(80)]
+    y = np.array([1.0 if rng.random() < 0.2 + 0.6 * (0 in r or 1 in r) else -1.0 for r in x])
+    v = [np.ones(6) / np.sqrt(6)] * 80
+    cost = np.full(80, 0.7)
+    loss = lambda w: (w @ w) / 2 + sum(c * max(0, 1 - s * (w[r] @ u + w[-1])) for r, u, s, c in zip(x, v, y, cost))
+    w = quality.descend(x, v, y, cost, 30, epochs=4000, least=1e-10)
+    best = loss(w)
+    for _ in range(300):
+        assert loss(w + rng.normal(0, 10.0 ** -rng.integers(0, 6), 31)) >= best - 1e-7
+
+
+def test_log_ratios_by_hand():
+    got = quality.log_ratios(np.array([[3.0, 0.0, 0.0], [1.0, 2.0, 0.0]]))
+    assert np.allclose(got, [np.log((2 / 6) / (4 / 6)), np.log((3 / 6) / (1 / 6)), 0])
+
+
+# ---------------------------------------------------------------- spelling
+
+
+def brute_words(rows):
+    n = collections.Counter()
+    for key, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    return {w: c for w, c in n.items() if len(w) >= 7 and c >= 2}
+
+
+def apart_by_one(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    p = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[p + 1 :] == b[p + 1 :] if len(a) == len(b) else a[p:] == b[p + 1 :]
+
+
+def brute_variants(n):
+    by = collections.defaultdict(set)  # words by their remains: near words share one
+    for w in n:
+        for i in range(len(w) + 1):
+            by[w[:i] + w[i + 1 :]].add(w)
+    near = {w: {x for i in range(len(w) + 1) for x in by[w[:i] + w[i + 1 :]] if apart_by_one(w, x)} for w in n}
+    form = {w: (min(near[w], key=lambda x: (-n[x], x)) if near[w] else None) for w in n}
+    form = {w: f if f is not None and n[f] >= 10 * n[w] else None for w, f in form.items()}
+    out = {}
+    for w in n:
+        r = w
+        while form[r] is not None:
+            r = form[r]
+        out[w] = (form[w], r, n[w], len(near[w]), n[form[w]] if form[w] is not None else None)
+    return out
+
+
+def as_dict(df):
+    rows = df.collect()
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in rows}
+    assert len(got) == len(rows)
+    return got
+
+
+def test_spelling_query_matches_brute_force(spark):
+    for d in (SF, "/root/testdata/sf0.01"):
+        rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+        assert as_dict(queries.op13_bit_sliced_index(spark, d)) == brute_variants(brute_words(rows))
+
+
+def test_spelling_of_odd_rows(spark):
+    rows = [*ODD, (20, "ÀÿÖdeßword ÀÿÖdeßword Àÿödeßword"), (21, "ABCDEFG abcdefg abcdefgh ×××××××÷ ×××××××÷"), (22, "q" * 3000 + " " + "q" * 2999), (23, "q" * 3000 + " " + "q" * 2999)]
+    docs = spark.createDataFrame([(i, t, "w", 1) for i, t in rows], "doc_id long, text string, word string, n int")
+    assert as_dict(spelling.variants(spelling.vocabulary(docs))) == brute_variants(brute_words(rows))
+    assert spelling.variants(spelling.vocabulary(docs.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("largest", [4, 64, 4096])
+def test_spelling_groups_of_any_size_give_the_same(spark, largest):
+    """A third of all words share a long beginning, another part a long end, and words of few letters are dense."""
+    rng = np.random.default_rng(4)
+    some = lambda k, letters="abc": "".join(rng.choice(list(letters), k))
+    words = {"commonbeginning" + some(rng.integers(1, 6)) for _ in range(150)} | {some(rng.integers(1, 6)) + "commonend" for _ in range(100)}
+    words |= {some(rng.integers(1, 8), "ab") for _ in range(120)} | {some(9, "aé漢") for _ in range(60)}
+    n = {w: int(10 ** rng.uniform(0, 4)) for w in words}
+    vocab = spark.createDataFrame(list(n.items()), "word string, n long")
+    assert as_dict(spelling.variants(vocab, largest=largest)) == brute_variants(n)
+
+
+def test_spelling_chains_reach_their_root(spark):
+    n = {"abcdefg": 1, "abcdefgh": 10, "abcdefghi": 100, "abcdefghij": 1000, "abcdefghijk": 10000, "zzzzzzz": 5}
+    got = as_dict(spelling.variants(spark.createDataFrame(list(n.items()), "word string, n long")))
+    assert got == brute_variants(n) and got["abcdefg"][1] == "abcdefghijk" and got["zzzzzzz"] == (None, "zzzzzzz", 5, 0, None)
