@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cladeframe.llm import fill_in_middle, quality, queries, spelling
+from cladeframe.llm import fill_in_middle, html_text, quality, queries, spelling
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -203,3 +203,93 @@ def test_spelling_chains_reach_their_root(spark):
     n = {"abcdefg": 1, "abcdefgh": 10, "abcdefghi": 100, "abcdefghij": 1000, "abcdefghijk": 10000, "zzzzzzz": 5}
     got = as_dict(spelling.variants(spark.createDataFrame(list(n.items()), "word string, n long")))
     assert got == brute_variants(n) and got["abcdefg"][1] == "abcdefghijk" and got["zzzzzzz"] == (None, "zzzzzzz", 5, 0, None)
+
+
+# ---------------------------------------------------------------- main text of pages
+
+P, C = "<p>Real text of the article, with commas, and more.</p>", "<p>Nice, thanks.</p>"
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<div class='content-with-sidebar'>{P}</div>", "Real text of the article, with commas, and more."),
+        (f"<div class='page header-fixed'>{P}</div>", "Real text of the article, with commas, and more."),
+        (f"<div class='main has-sidebar'>{P}</div><div class='other'><p>Short.</p></div>", "Real text of the article, with commas, and more.\nShort."),
+        (f"<article><div class='entry-header'><h1>Title</h1></div>{P}</article>", "Title\nReal text of the article, with commas, and more."),
+        (f"<article>{P}</article><section class='responses'>{C}</section>", "Real text of the article, with commas, and more."),
+        (f"<main>{P}</main><div>A closing text.</div>", "Real text of the article, with commas, and more.\nA closing text."),
+        (f"<div class=sidebar>{P}{P}{P}</div><div class=x>{C}</div>", "\n".join(["Real text of the article, with commas, and more."] * 3 + ["Nice, thanks."])),
+        (f"<form id=aspnet><div>{P}</div></form>", "Real text of the article, with commas, and more."),
+        (f"<article>{P}</article><form>{C}</form>", "Real text of the article, with commas, and more."),
+        (f"<article>{P}</article><ul class=thread><li><cite>Ann</cite>{C}</li><li><cite>Bob</cite>{C}</li></ul>", "Real text of the article, with commas, and more."),
+        (f"<article>{P}<ul><li><time>1999</time> one<li><time>2000</time> two</ul></article>", "Real text of the article, with commas, and more.\n1999 one\n2000 two"),
+        (f"<article class='post comments-open'>{P}</article><article class='comment-body'>{C}</article>", "Real text of the article, with commas, and more."),
+        (f"<div class='cookie-banner'>{C}</div><div class='overflow-hidden'>{P}</div><div class='post-share'>{C}</div>", "Real text of the article, with commas, and more."),
+    ],
+)
+def test_layout_words_and_comments(html, text):
+    assert html_text.main_text(html) == text
+
+
+def plain_points(n):
+    """Points by the definition: every paragraph's gain to each of its ancestors, divided by 1, 2, 6, 9, 12, 12, ..."""
+    got = {}
+
+    def kids(n):
+        return [k for k in n.kids if isinstance(k, html_text.Node) and not k.clutter]
+
+    def chars(n, linked=False):
+        own = sum(len(k.strip()) for k in n.kids if isinstance(k, str)) + sum(chars(k) for k in kids(n))
+        return (own if n.tag == "a" else sum(chars(k, True) for k in kids(n))) if linked else own
+
+    def direct(n):
+        return sum(len(k.strip()) for k in n.kids if isinstance(k, str)) + sum(chars(k) for k in kids(n) if k.tag not in html_text.BLOCKS)
+
+    def visit(n, above):
+        got.setdefault(n, 0.0)
+        for k in kids(n):
+            visit(k, [n, *above])
+        if direct(n) and (n.tag in html_text.PARAGRAPHS or n.tag in html_text.BLOCKS):
+            commas = sum(k.count(",") for k in n.kids if isinstance(k, str))
+            gain = (1 + commas + min(direct(n) / 100, 3)) * (1 - chars(n, True) / max(1, chars(n)))
+            for level, x in enumerate(above if n.tag in html_text.PARAGRAPHS else [n, *above]):
+                got[x] += gain / (1, 2, 6, 9, 12)[min(level, 4)]
+
+    visit(n, [])
+    return got
+
+
+def random_page(rng, depth=0):
+    tags = ["div", "p", "section", "article", "ul", "li", "a", "b", "span", "blockquote", "td", "h2", "div class=ad", "div class=sidebar", "div class=content"]
+    out = ""
+    for _ in range(rng.integers(1, 5)):
+        if depth > 6 or rng.random() < 0.3:
+            out += " ".join(rng.choice(["word", "comma,", "x", "&amp;", "longer words here,"], rng.integers(1, 9)))
+        else:
+            tag = rng.choice(tags)
+            out += f"<{tag}>{random_page(rng, depth + 1)}</{tag.split()[0]}>"
+    return out
+
+
+def test_points_match_a_plain_recursive_scorer(spark):
+    rng = np.random.default_rng(12)
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()] + [random_page(rng) for _ in range(150)]
+    for html in pages:
+        b = html_text.Builder()
+        b.feed(html or "")
+        b.close()
+        html_text.settle(b)
+        html_text.score(b.root)
+        want = plain_points(b.root)
+        assert all(abs(n.points - want[n]) < 1e-6 for n in html_text.walk(b.root))
+
+
+def test_given_pages_are_whole_articles(spark):
+    """Of the given pages exactly the article's text, told here by a pattern, is found."""
+    import html as lib
+
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        inside = re.search("(?s)<article>(.*?)</article>", r.html)[1]
+        words = lib.unescape(re.sub("<[^>]*>", " ", inside)).split()
+        assert html_text.main_text(r.html).split() == words
