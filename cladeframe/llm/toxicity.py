@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, cut
 
-WINDOW, STRIDE = 24, 6
+WINDOW, STRIDE = 24, 1
 EMBED, HIDDEN = 8, 8
 WORD_ROWS, GRAM_ROWS = 4096, 16384
 TRAIN_ROWS = {0: 2700, 1: 900}
+TRAIN_WORDS = 12_000_000
 TRAIN_STRIDE = 6
 LEAST_STEPS = 120
 CACHE_WORDS = 150_000
@@ -171,39 +172,54 @@ class Net:
 
     def _strided(self, inputs, live, stride, at_once):
         """Logits of the windows that start every `stride` words of a run of projected words."""
-        p, half = self.p, np.float32(0.5)
-        n, gates = (len(live) - WINDOW) // stride + 1, np.ascontiguousarray(inputs.T)
-        out = np.zeros(n)
+        p, half, gates = self.p, np.float32(0.5), np.ascontiguousarray(inputs.T)
+        n = (len(live) - WINDOW) // stride + 1
+        out, most = np.zeros(n), min(at_once, n)
+        # Everything that a step makes goes to arrays that are made once: fresh ones cost more than the arithmetic.
+        x, state, step, part = np.empty((G, most), np.float32), np.empty((HIDDEN, most), np.float32), np.empty((HIDDEN, most), np.float32), np.empty((2, most), np.float32)
+        seen = np.empty((2, WINDOW, most), np.float32)  # of every state its part of the attention and of the logit
         for s in range(0, n, at_once):
             c = min(at_once, n - s)
             view = lambda t: slice(s * stride + t, s * stride + t + (c - 1) * stride + 1, stride)
-            seen = np.zeros((2, WINDOW, c), np.float32)  # of every state its part of the attention and of the logit
+            full = live[s * stride : s * stride + (c - 1) * stride + WINDOW].all()
+            if c < most:
+                x, state, step, part, seen, most = x[:, :c].copy(), state[:, :c].copy(), step[:, :c].copy(), part[:, :c].copy(), seen[:, :, :c].copy(), c
+            zr, new, z, r = x[: 2 * HIDDEN], x[2 * HIDDEN :], x[:HIDDEN], x[HIDDEN : 2 * HIDDEN]
             for d in (0, 1):
                 u = np.ascontiguousarray(p[f"u{d}"].T)
                 read = np.ascontiguousarray(np.stack([p["v"][d * HIDDEN : (d + 1) * HIDDEN], p["w"][d * HIDDEN : (d + 1) * HIDDEN]]))
-                h = np.zeros((HIDDEN, c), np.float32)
+                state[:] = 0
                 for t in range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1):
-                    g, m = gates[d * G : (d + 1) * G, view(t)], live[view(t)]
-                    x = u @ h
-                    zr = x[: 2 * HIDDEN]
+                    g = gates[d * G : (d + 1) * G, view(t)]
+                    np.matmul(u, state, out=x)
                     zr += g[: 2 * HIDDEN]
                     zr *= half
                     np.tanh(zr, out=zr)
                     zr *= half
                     zr += half
-                    new = x[2 * HIDDEN :]
-                    new *= zr[HIDDEN:]
+                    new *= r
                     new += g[2 * HIDDEN :]
                     np.tanh(new, out=new)
-                    step = h - new
-                    step *= zr[:HIDDEN]
+                    np.subtract(state, new, out=step)
+                    step *= z
                     step += new
-                    h = step if m.all() else np.where(m, step, h)
-                    seen[:, t] += read @ h
-            score = np.stack([live[view(t)] for t in range(WINDOW)])
-            e = np.where(score, seen[0], np.float32(-1e9))
-            a = np.exp(e - e.max(axis=0))
-            out[s : s + c] = (a * seen[1]).sum(axis=0) / a.sum(axis=0) + p["b"][0]
+                    if full:
+                        state, step = step, state
+                    else:
+                        np.copyto(state, step, where=live[view(t)])
+                    np.matmul(read, state, out=part)
+                    if d == 0:
+                        seen[:, t] = part
+                    else:
+                        seen[:, t] += part
+            if not full:
+                for t in range(WINDOW):
+                    seen[0, t, ~live[view(t)]] = -1e9
+            e = seen[0]
+            e -= e.max(axis=0)
+            np.exp(e, out=e)
+            seen[1] *= e
+            out[s : s + c] = seen[1].sum(axis=0) / e.sum(axis=0) + p["b"][0]
         return out
 
     def gradient(self, x, at, y, weight):
@@ -304,7 +320,8 @@ class Net:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows_per_label: dict = TRAIN_ROWS) -> Net:
     """Train on the whole texts of at most rows_per_label[label] labelled rows of each label where `usable` holds.
 
-    They are picked by hash of the id, and only their words come to the driver. Labels other than 0 and 1 are ignored; of
+    They are picked by hash of the id, and only their words come to the driver (4 bytes a word): a text with which a label
+    would have more than half of TRAIN_WORDS is left out. Labels other than 0 and 1 are ignored; of
     several labels of an id the highest counts, of several texts the first in order. Without labelled rows of both kinds
     every text scores next to 0, or next to 1 where all labels are 1.
     """
@@ -323,10 +340,17 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
 
     texts = docs.select(id_col, F.col(text_col).alias("text")).join(ids, id_col).select(F.col(id_col).alias("id"), "y", "text")
     texts = texts.mapInPandas(run, f"id {kind}, y int, words string").groupBy("id", "y").agg(F.min("words").alias("words"))
+    texts = cut(texts.withColumn("n", F.when(F.col("words") == "", 0).otherwise(F.size(F.split("words", " ")))))
+    left, fits = {0: TRAIN_WORDS // 2, 1: TRAIN_WORDS // 2}, set()
+    for r in texts.select("id", "y", "n").orderBy(F.xxhash64(F.lit(19), "id"), "id").collect():  # at most as many as rows_per_label
+        if r.n <= left[r.y]:
+            left[r.y] -= r.n
+            fits.add(r.id)
     vocab: dict[str, int] = {}
     got = []
-    for r in cut(texts).orderBy("id").toLocalIterator():  # a partition of at most rows_per_label rows at a time
-        got.append((r.y, codes_of(vocab, r.words.split())))
+    for r in texts.orderBy("id").toLocalIterator():
+        if r.id in fits:
+            got.append((r.y, codes_of(vocab, r.words.split())))
     return Net().train_coded(vocab, [c for _, c in got], np.array([y for y, _ in got], dtype=int))
 
 
