@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -19,3 +20,10 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_and_count(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """df as materialise returns it, and how many of its rows meet the condition, counted while they are written."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count_if(condition).alias("n")))
+    return out, seen.get["n"]

@@ -10,36 +10,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.lineage import materialise
+from cladeframe.operators import ranges
 
 
 def from_parents(nodes: DataFrame) -> DataFrame:
     """Node table with postorder ids and leaf ranks from (tree_id, node, parent, child_ord, name, length).
 
-    Paths from the root are found by doubling: k rounds reach depth 2^k. The order of a tree's nodes is that of their
-    paths.
+    Leaves and nodes of every clade are summed upwards; what older siblings hold, summed downwards, tells where a clade
+    begins. Both take one equi-join of all nodes a round, and as many rounds as the logarithm of the depth.
     """
-    up = materialise(nodes.where("parent is not null").select("tree_id", "node", F.col("parent").alias("anc"), F.array("child_ord").alias("path")))
-    while True:
-        far = up.select("tree_id", F.col("node").alias("anc"), F.col("anc").alias("top"), F.col("path").alias("head"))
-        longer = up.join(far, ["tree_id", "anc"], "left")
-        grown = materialise(longer.select("tree_id", "node", F.coalesce("top", "anc").alias("anc"), F.when(F.col("head").isNotNull(), F.concat("head", "path")).otherwise(F.col("path")).alias("path"), F.col("top").isNotNull().alias("more")))
-        more = grown.where("more").limit(1).count()
-        up = grown.drop("more")
-        if not more:
-            break
-    at = nodes.join(up.select("tree_id", "node", "path"), ["tree_id", "node"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<int>")))
-    parents = nodes.where("parent is not null").select("tree_id", F.col("parent").alias("node"), F.lit(False).alias("_l")).distinct()
-    at = at.join(parents, ["tree_id", "node"], "left").withColumn("is_leaf", F.coalesce("_l", F.lit(True))).drop("_l")
-    # Postorder: children before the parent, so the end of a path sorts last.
-    at = at.withColumn("key", F.concat("path", F.array(F.lit(2147483647))))
-    w = Window.partitionBy("tree_id").orderBy("key")
-    at = at.withColumn("node_id", (F.row_number().over(w) - 1).cast("int")).withColumn("upto", F.sum(F.col("is_leaf").cast("int")).over(w))
-    size = at.select("tree_id", "node_id", "upto", "is_leaf", "node", "parent", "child_ord", "name", "length", F.size("path").alias("depth"), "path")
-    # The first leaf of a clade: the leaves before its first node in postorder.
-    pre = Window.partitionBy("tree_id").orderBy("path")
-    size = size.withColumn("leaf_lo", (F.sum(F.col("is_leaf").cast("int")).over(pre) - F.col("is_leaf").cast("int")).cast("int")).withColumn("leaf_hi", (F.col("upto") - 1).cast("int"))
-    ids = size.select("tree_id", F.col("node").alias("parent"), F.col("node_id").alias("parent_id"))
-    out = size.join(ids, ["tree_id", "parent"], "left")
+    inner = nodes.where("parent is not null").select("tree_id", F.col("parent").alias("node"), F.lit(False).alias("_l")).distinct()
+    at = materialise(nodes.join(inner, ["tree_id", "node"], "left").withColumn("is_leaf", F.coalesce("_l", F.lit(True))).drop("_l"))
+    held = ranges.clade_sums(at.withColumn("leaves", F.col("is_leaf").cast("int")).withColumn("size", F.lit(1)), "node", "parent", ["leaves", "size"])
+    w = Window.partitionBy("tree_id", "parent").orderBy("child_ord", "node").rowsBetween(Window.unboundedPreceding, -1)
+    older = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("int").alias(f"{c}_before")
+    both = at.join(held, ["tree_id", "node"]).where("parent is not null").select("tree_id", "node", "parent", older("leaves"), older("size"))
+    tops = at.where("parent is null").select("tree_id", "node", "parent", F.lit(0).alias("leaves_before"), F.lit(0).alias("size_before"))
+    begin = ranges.path_sums(both.unionByName(tops), "node", "parent", ["leaves_before", "size_before"])
+    out = at.join(held, ["tree_id", "node"]).join(begin, ["tree_id", "node"]).withColumn("node_id", (F.col("size_before") + F.col("size") - 1).cast("int"))
+    out = materialise(out.withColumn("leaf_lo", F.col("leaves_before").cast("int")).withColumn("leaf_hi", (F.col("leaves_before") + F.col("leaves") - 1).cast("int")))
+    ids = out.select("tree_id", F.col("node").alias("parent"), F.col("node_id").alias("parent_id"))
+    out = out.join(ids, ["tree_id", "parent"], "left")
     return out.select("tree_id", "node_id", "parent_id", F.when(F.col("parent_id").isNotNull(), F.col("child_ord")).alias("child_ord"), "name", "length", "is_leaf", "leaf_lo", "leaf_hi", "node")
 
 
@@ -108,43 +99,72 @@ def ancestors(nodes: DataFrame, strict: bool = False) -> DataFrame:
     return up if strict else up.unionByName(own)
 
 
+def meetings(at: DataFrame) -> DataFrame:
+    """Sparse table of the nodes (node_id, dist) in which neighbouring leaves meet; at: nodes with dist.
+
+    Of a node's children every one but the last ends at the leaf whose meeting with the next leaf that node is. Of any two
+    leaves the lowest common ancestor is the largest, in postorder, of the meetings between them.
+    """
+    up = at.select("tree_id", F.col("node_id").alias("parent_id"), F.col("leaf_hi").alias("_hi"), F.struct("node_id", "dist").alias("v"))
+    return ranges.sparse(at.join(up, ["tree_id", "parent_id"]).where("leaf_hi < _hi").select("tree_id", F.col("leaf_hi").alias("r"), "v"))
+
+
 def lca_pairs(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """JT32: lowest common ancestor of (tree_id, a, b): the first in postorder of those above both."""
-    up = materialise(ancestors(nodes).drop("via"))
-    x = pairs.join(up.select("tree_id", F.col("node_id").alias("a"), "anc"), ["tree_id", "a"])
-    both = x.join(up.select("tree_id", F.col("node_id").alias("b"), "anc"), ["tree_id", "b", "anc"])
-    return both.groupBy("tree_id", "a", "b").agg(F.min("anc").alias("lca"))
+    """JT32: lowest common ancestor of (tree_id, a, b), in four equi-joins whatever the depth.
+
+    Either node may be the other's ancestor: its clade then holds the other's. Pairs with unknown nodes give no row.
+    """
+    at = nodes.select("tree_id", "node_id", "leaf_lo", "leaf_hi")
+    x = at.toDF("tree_id", "a", "alo", "ahi")
+    y = at.toDF("tree_id", "b", "blo", "bhi")
+    both = materialise(pairs.select("tree_id", "a", "b").distinct().join(x, ["tree_id", "a"]).join(y, ["tree_id", "b"]))
+    within = F.greatest("alo", "blo") <= F.least("ahi", "bhi")
+    far = both.where(~within).select("tree_id", "a", "b", F.least("ahi", "bhi").alias("lo"), (F.greatest("alo", "blo") - 1).alias("hi"))
+    met = ranges.largest(meetings(nodes.withColumn("dist", F.lit(0.0))), far, "lo", "hi", "v").select("tree_id", "a", "b", F.col("v.node_id").alias("lca"))
+    return met.unionByName(both.where(within).select("tree_id", "a", "b", F.greatest("a", "b").alias("lca")))
 
 
 def lca_set(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """JT32: lowest common ancestor of sets (tree_id, set_id, node_id): the first node above all members."""
-    members = sets.select("tree_id", "set_id", "node_id").distinct()
-    size = members.groupBy("tree_id", "set_id").agg(F.count("*").alias("n"))
-    above = members.join(ancestors(nodes).drop("via"), ["tree_id", "node_id"]).groupBy("tree_id", "set_id", "anc").agg(F.count("*").alias("m"))
-    return above.join(size, ["tree_id", "set_id"]).where("m = n").groupBy("tree_id", "set_id").agg(F.min("anc").alias("lca"))
+    """JT32: lowest common ancestor of sets (tree_id, set_id, node_id): that of their first and last leaf, unless a member
+    is above all others. Unknown members are ignored."""
+    held = sets.join(nodes.select("tree_id", "node_id", "leaf_lo", "leaf_hi"), ["tree_id", "node_id"])
+    top = F.max(F.struct("node_id", "leaf_lo", "leaf_hi"))  # in postorder, the only one that can be above all
+    span = materialise(held.groupBy("tree_id", "set_id").agg(F.min("leaf_lo").alias("lo"), F.max("leaf_hi").alias("hi"), top.alias("t")))
+    above = (F.col("t.leaf_lo") == F.col("lo")) & (F.col("t.leaf_hi") == F.col("hi"))
+    far = span.where(~above).select("tree_id", "set_id", "lo", (F.col("hi") - 1).alias("hi"))
+    met = ranges.largest(meetings(nodes.withColumn("dist", F.lit(0.0))), far, "lo", "hi", "v").select("tree_id", "set_id", F.col("v.node_id").alias("lca"))
+    return met.unionByName(span.where(above).select("tree_id", "set_id", F.col("t.node_id").alias("lca")))
 
 
 def leaf_distances(nodes: DataFrame) -> DataFrame:
     """JT1: (tree_id, a, b, d) of all leaf pairs a < b: both distances from the root less twice their meeting point's."""
     at = materialise(root_distance(nodes))
-    leaves = at.where("is_leaf").select("tree_id", F.col("node_id").alias("n"), "dist")
-    a, b = leaves.withColumnsRenamed({"n": "a", "dist": "da"}), leaves.withColumnsRenamed({"n": "b", "dist": "db"})
-    pairs = a.join(b, "tree_id").where("a < b")
-    meet = lca_pairs(at, pairs.select("tree_id", "a", "b")).join(at.select("tree_id", F.col("node_id").alias("lca"), F.col("dist").alias("dm")), ["tree_id", "lca"])
-    return pairs.join(meet, ["tree_id", "a", "b"]).select("tree_id", "a", "b", (F.col("da") + F.col("db") - 2 * F.col("dm")).alias("d"))
+    leaves = at.where("is_leaf").select("tree_id", F.col("node_id").alias("n"), F.col("leaf_lo").alias("r"), "dist")
+    a, b = leaves.withColumnsRenamed({"n": "a", "r": "lo", "dist": "da"}), leaves.withColumnsRenamed({"n": "b", "r": "hi", "dist": "db"})
+    pairs = a.join(b, "tree_id").where("lo < hi").withColumn("hi", F.col("hi") - 1)
+    return ranges.largest(meetings(at), pairs, "lo", "hi", "v").select("tree_id", "a", "b", (F.col("da") + F.col("db") - 2 * F.col("v.dist")).alias("d"))
 
 
-def diameter(nodes: DataFrame) -> DataFrame:
-    """JT10, TR11: longest leaf-to-leaf path of each tree: the two deepest branches of every node, then the largest sum.
+def widest_nodes(at: DataFrame) -> DataFrame:
+    """Of each tree the node (tree_id, node_id) on which the longest leaf-to-leaf path bends, that path's diameter, and its
+    deeper end: anchor and its distance deep.
 
-    No pairs of leaves are made; a node's deepest leaf is a partial aggregate over the closure.
+    at: nodes with dist. The deepest leaf of a clade is the largest of a range of leaves; no pairs of leaves are made, and
+    of the children of a node only the two deepest meet. Of equals the first in postorder counts. Trees without two
+    leaves give no row.
     """
-    at = materialise(root_distance(nodes))
-    leaf = at.where("is_leaf").select("tree_id", "node_id", F.col("dist").alias("deep"))
-    far = leaf.join(ancestors(nodes, strict=True), ["tree_id", "node_id"]).groupBy("tree_id", "anc", "via").agg(F.max("deep").alias("deep"))
-    two = far.groupBy("tree_id", "anc").agg(F.slice(F.sort_array(F.collect_list("deep"), asc=False), 1, 2).alias("d")).join(at.select("tree_id", F.col("node_id").alias("anc"), F.col("dist").alias("dt")), ["tree_id", "anc"])
-    path = F.when(F.size("d") == 2, F.element_at("d", 1) + F.element_at("d", F.least(F.lit(2), F.size("d"))) - 2 * F.col("dt")).otherwise(F.lit(0.0))
-    some = two.groupBy("tree_id").agg(F.max(path).alias("diameter"))
+    leaf = at.where("is_leaf").select("tree_id", F.col("leaf_lo").alias("r"), F.struct("dist", (-F.col("leaf_lo")).alias("o"), F.col("node_id").alias("leaf")).alias("v"))
+    deep = ranges.largest(ranges.sparse(leaf), at.where("parent_id is not null").select("tree_id", "node_id", "parent_id", "leaf_lo", "leaf_hi"), "leaf_lo", "leaf_hi", "v")
+    two = ranges.two_largest(deep.select("tree_id", "parent_id", "node_id", "v"), ["tree_id", "parent_id"], "v")
+    both = two.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("c"), F.sum("v.dist").alias("s"), F.max("v").alias("v")).where("c = 2")
+    bent = both.join(at.select("tree_id", "node_id", "dist"), ["tree_id", "node_id"]).withColumn("diameter", F.col("s") - 2 * F.col("dist"))
+    best = F.max_by(F.struct("node_id", "diameter", F.col("v.leaf").alias("anchor"), F.col("v.dist").alias("deep")), F.struct("diameter", (-F.col("node_id")).alias("o")))
+    return bent.groupBy("tree_id").agg(best.alias("b")).select("tree_id", "b.*")
+
+
+def diameter(nodes: DataFrame) -> DataFrame:
+    """JT10, TR11: longest leaf-to-leaf path of each tree; 0 for a single leaf."""
+    some = widest_nodes(materialise(root_distance(nodes))).select("tree_id", "diameter")
     return nodes.select("tree_id").distinct().join(some, "tree_id", "left").select("tree_id", F.coalesce("diameter", F.lit(0.0)).alias("diameter"))
 
 
@@ -171,11 +191,14 @@ def prune(nodes: DataFrame, leaves: DataFrame, keep: bool = True) -> DataFrame:
     What is left of a clade is known from its surviving leaves. Of nodes with the same surviving leaves only the
     lowest stays, with the lengths of those above it added, so no contraction loop is needed.
     """
-    some = nodes.where("is_leaf").join(leaves.select("tree_id", "name").distinct(), ["tree_id", "name"], "left_semi" if keep else "left_anti").select("tree_id", "leaf_lo")
-    w = Window.partitionBy("tree_id").orderBy("leaf_lo")
-    rank = some.withColumn("new", (F.row_number().over(w) - 1).cast("int")).withColumnRenamed("leaf_lo", "r")
-    rank = rank.join(nodes.where("is_leaf").select("tree_id", F.col("leaf_lo").alias("r"), "node_id"), ["tree_id", "r"])
-    left = rank.join(ancestors(nodes), ["tree_id", "node_id"]).groupBy("tree_id", F.col("anc").alias("node_id")).agg(F.min("new").alias("lo"), F.max("new").alias("hi"))
+    named = leaves.select("tree_id", "name", F.lit(1).alias("_in")).distinct()
+    w = Window.partitionBy("tree_id").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    some = nodes.where("is_leaf").join(named, ["tree_id", "name"], "left").select("tree_id", F.col("leaf_lo").alias("r"), (F.coalesce("_in", F.lit(0)) if keep else 1 - F.coalesce("_in", F.lit(0))).alias("in_"))
+    upto = materialise(some.withColumn("upto", F.sum("in_").over(w).cast("int")))
+    # A clade's surviving leaves are those counted up to its last leaf and not before its first.
+    lo = upto.select("tree_id", F.col("r").alias("leaf_lo"), (F.col("upto") - F.col("in_")).alias("lo"))
+    hi = upto.select("tree_id", F.col("r").alias("leaf_hi"), (F.col("upto") - 1).alias("hi"))
+    left = nodes.join(lo, ["tree_id", "leaf_lo"]).join(hi, ["tree_id", "leaf_hi"]).where("lo <= hi").select("tree_id", "node_id", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))
     at = nodes.join(left, ["tree_id", "node_id"]).withColumn("length", F.col("length"))
     same = at.groupBy("tree_id", "lo", "hi").agg(F.min_by(F.struct("node_id", "name", "is_leaf", "child_ord"), "node_id").alias("b"), F.sum("length").alias("length"), F.max("node_id").alias("top"))
     return renumber(same.select("tree_id", F.col("b.node_id").alias("old"), F.col("b.name").alias("name"), "length", F.col("lo").alias("leaf_lo"), F.col("hi").alias("leaf_hi")))
@@ -241,19 +264,12 @@ def collapse_low_support(nodes: DataFrame, least: float) -> DataFrame:
 def midpoint_edge(nodes: DataFrame) -> DataFrame:
     """TR12: the edge that holds the middle of the longest leaf-to-leaf path: (tree_id, node_id, diameter).
 
-    Of the two ends of the longest path (the smallest ids, if several) the one farther from the meeting point climbs
-    until half of the path is passed.
+    From its deeper end (the first leaf, if both are as deep) the path is climbed until half of it is passed: jumps over
+    powers of two edges, so the joins are the logarithm of the depth. Trees without two leaves give no row.
     """
     at = materialise(root_distance(nodes))
-    d = leaf_distances(nodes)
-    w = Window.partitionBy("tree_id").orderBy(F.desc("d"), "a", "b")
-    ends = d.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    dist = at.select("tree_id", F.col("node_id").alias("n"), F.col("dist").alias("x"))
-    e = ends.join(dist.withColumnsRenamed({"n": "a", "x": "da"}), ["tree_id", "a"]).join(dist.withColumnsRenamed({"n": "b", "x": "db"}), ["tree_id", "b"])
-    e = e.select("tree_id", F.when(F.col("da") >= F.col("db"), F.col("a")).otherwise(F.col("b")).alias("node_id"), F.greatest("da", "db").alias("deep"), "d")
-    up = ancestors(at).join(e, ["tree_id", "node_id"]).join(at.select("tree_id", F.col("node_id").alias("anc"), F.col("dist").alias("y"), F.coalesce("length", F.lit(0.0)).alias("al"), F.col("parent_id").alias("ap")), ["tree_id", "anc"])
-    passed = up.where(F.col("ap").isNotNull() & (F.col("deep") - F.col("y") + F.col("al") >= F.col("d") / 2))
-    return passed.groupBy("tree_id").agg(F.min("anc").alias("node_id"), F.first("d").alias("diameter"))
+    start = widest_nodes(at).select("tree_id", F.col("anchor").alias("node_id"), (F.col("deep") - F.col("diameter") / 2).alias("above"), "diameter")
+    return ranges.climbed(*ranges.ladder(at), materialise(start)).select("tree_id", "node_id", "diameter")
 
 
 def heaviest_path_edge(nodes: DataFrame) -> DataFrame:
@@ -264,10 +280,9 @@ def heaviest_path_edge(nodes: DataFrame) -> DataFrame:
     """
     n = leaf_counts(nodes)
     w = Window.partitionBy("tree_id", "parent_id").orderBy(F.desc("leaves"), "node_id")
-    heavy = materialise(n.where("parent_id is not null").withColumn("_r", F.row_number().over(w)))
-    light = heavy.where("_r > 1").select("tree_id", F.col("node_id").alias("anc"))
-    off = ancestors(n).join(light, ["tree_id", "anc"], "left_semi").select("tree_id", "node_id").distinct()
-    path = heavy.join(off, ["tree_id", "node_id"], "left_anti")
+    light = n.withColumn("light", F.when(F.col("parent_id").isNotNull(), (F.row_number().over(w) > 1).cast("int")).otherwise(F.lit(0)))
+    off = ranges.path_sums(materialise(light), "node_id", "parent_id", ["light"])
+    path = n.where("parent_id is not null").join(off.where("light = 0"), ["tree_id", "node_id"], "left_semi")
     key = F.struct((-F.col("leaves").cast("long") * (F.col("total") - F.col("leaves"))).alias("p"), (-F.col("node_id")).alias("o"))
     return path.groupBy("tree_id").agg(F.min_by(F.struct("node_id", "leaves", "total"), key).alias("b")).select("tree_id", "b.*")
 
@@ -309,15 +324,21 @@ def genealogical_index(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     nodes. A node's degree counts its parent, too; a node joins the group if two of its branches hold members.
     """
     kids = nodes.where("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("k"))
-    inner = nodes.join(kids, ["tree_id", "node_id"]).withColumn("extra", F.col("k") + F.col("parent_id").isNotNull().cast("int") - 2)
+    inner = nodes.join(kids, ["tree_id", "node_id"], "left").withColumn("extra", F.when(F.col("k").isNotNull(), F.col("k") + F.col("parent_id").isNotNull().cast("int") - 2).otherwise(F.lit(0)))
     every = inner.groupBy("tree_id").agg(F.sum("extra").alias("all_extra"))
-    leaf = nodes.where("is_leaf").join(groups, "name").select("tree_id", "group", F.col("leaf_lo").alias("r"), "node_id")
-    up = ancestors(nodes).join(leaf.select("tree_id", "node_id", "group"), ["tree_id", "node_id"])
-    held = up.groupBy("tree_id", "group", "anc").agg(F.count("*").alias("m"))
-    size = leaf.groupBy("tree_id", "group").agg(F.count("*").alias("n"))
-    top = held.join(size, ["tree_id", "group"]).where("m = n").groupBy("tree_id", "group").agg(F.min("anc").alias("top"))
-    below = held.join(top, ["tree_id", "group"]).where("anc <= top").join(inner.select("tree_id", F.col("node_id").alias("anc"), "extra"), ["tree_id", "anc"])
-    used = below.groupBy("tree_id", "group").agg(F.sum("extra").alias("extra"))
+    # dist is the extra of all nodes from the root down to a node, both included.
+    at = materialise(root_distance(inner.withColumn("length", F.col("extra").cast("double"))))
+    leaf = at.where("is_leaf").join(groups.distinct(), "name").select("tree_id", "group", F.col("leaf_lo").alias("r"), "dist")
+    w = Window.partitionBy("tree_id", "group").orderBy("r")
+    near = leaf.withColumn("lo", F.lag("r").over(w)).withColumn("hi", F.col("r") - 1)
+    # Paths of the members to the root, one after the other, each without what it shares with the one before.
+    met = ranges.largest(meetings(at), near.where("lo is not null").select("tree_id", "group", "lo", "hi"), "lo", "hi", "v")
+    shared = met.groupBy("tree_id", "group").agg(F.sum("v.dist").alias("shared"), F.max("v").alias("top"))
+    size = leaf.groupBy("tree_id", "group").agg(F.count("*").alias("n"), F.sum("dist").alias("paths"))
+    tops = at.select("tree_id", F.col("node_id").alias("t"), F.col("extra").alias("top_extra"), "dist")
+    used = size.join(shared, ["tree_id", "group"]).withColumn("t", F.col("top.node_id")).join(tops, ["tree_id", "t"])
+    used = used.select("tree_id", "group", (F.col("paths") - F.col("shared") - F.col("dist") + F.col("top_extra")).alias("extra"))
+    size = size.drop("paths")
     out = size.join(used, ["tree_id", "group"], "left").join(every, "tree_id", "left")
     obs, low = (F.col("n") - 1) / F.col("extra"), (F.col("n") - 1) / F.col("all_extra")
     return out.select("tree_id", "group", F.when((F.col("n") < 2) | F.col("extra").isNull(), F.lit(-1.0)).when(low == 1, F.lit(1.0)).otherwise((obs - low) / (1 - low)).alias("gsi"))
@@ -341,8 +362,10 @@ def unary(nodes: DataFrame) -> DataFrame:
 def shape(nodes: DataFrame) -> DataFrame:
     """JT29: nodes with children, degree (the parent counts), siblings, depth and height (edges to the deepest leaf)."""
     kids = nodes.where("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("children"))
-    depth = materialise(root_distance(nodes).select("tree_id", "node_id", "depth", "is_leaf"))
-    deep = depth.where("is_leaf").join(ancestors(nodes).drop("via"), ["tree_id", "node_id"]).groupBy("tree_id", F.col("anc").alias("node_id")).agg(F.max("depth").alias("deepest"))
+    depth = materialise(root_distance(nodes).select("tree_id", "node_id", "depth", "is_leaf", "leaf_lo", "leaf_hi"))
+    lowest = ranges.sparse(depth.where("is_leaf").select("tree_id", F.col("leaf_lo").alias("r"), F.col("depth").alias("v")))
+    deep = ranges.largest(lowest, depth, "leaf_lo", "leaf_hi", "deepest").select("tree_id", "node_id", "deepest")
+    depth = depth.drop("leaf_lo", "leaf_hi")
     up = kids.select("tree_id", F.col("node_id").alias("parent_id"), F.col("children").alias("peers"))
     n = nodes.join(kids, ["tree_id", "node_id"], "left").join(up, ["tree_id", "parent_id"], "left").join(depth.drop("is_leaf"), ["tree_id", "node_id"]).join(deep, ["tree_id", "node_id"])
     children = F.coalesce("children", F.lit(0))
