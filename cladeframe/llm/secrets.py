@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, unit_hash
+from .common import cut, free_name, table, unit_hash
 
 TRAIN_DOCS = 20_000
 MADE_DOCS = 120
@@ -246,14 +246,14 @@ def redact(docs: DataFrame, forest, text_col: str = "text", count_col: str | Non
     candidate is masked there as well; longer ones are masked first.
     """
     names = docs.columns
-    found, hits = "_cladeframe_found", "_cladeframe_hits"
+    found, hits = free_name(docs, "_found"), free_name(docs, "_hits")
     values = F.array_distinct(F.transform(F.filter(found, lambda c: c["secret"]), lambda c: c["value"]))
     out = scan(docs, forest, text_col, out=found).withColumn(hits, F.array_sort(values, lambda a, b: F.length(b) - F.length(a)))
     clean = F.aggregate(hits, F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
     out = out.withColumn(text_col, F.when(F.size(hits) > 0, clean).otherwise(F.col(text_col)))
     if count_col in names:
         out = out.withColumn(count_col, F.when(F.size(hits) > 0, F.length(text_col).cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col)))
-    return out.select(*names)
+    return out.select(*[F.col(f"`{c}`") for c in names])
 
 
 def op10_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

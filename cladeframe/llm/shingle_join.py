@@ -4,8 +4,9 @@ A text is the set of its five-word shingles' hashes. Sets are put into one order
 last. If two sets have a Jaccard similarity of at least 4/5, each holds at least 4/5 of the other's size in common
 shingles, so their first n - ceil(4n/5) + 1 shingles share one: texts meet in a shuffle on these and no pair is missed,
 whatever the order. The sample decides on speed only. Common prefixes of many near copies do not make all their pairs:
-of the neighbours in the buckets every text verifies its nearest first, then all meet a few hubs, and then come only
-pairs that the links found so far leave apart. Before sets are compared, parities of theirs must be close: a lower bound of their true difference.
+of the neighbours in the buckets every text verifies its nearest, and in large buckets all meet the same few hubs; then come
+only pairs that the links found so far leave apart. Before sets are compared, parities of theirs must be close: a lower bound
+of their true difference.
 """
 
 from __future__ import annotations
@@ -19,16 +20,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import connected_components, cut
+from .common import connected_components, cut, free_name
 
 SAMPLE_DOCS = 8192
 COMMON = 65_536
 SENT_ROWS = 1_000_000
 ROWS_AT_ONCE = 512
 HUBS = 4
-PAIRS_A_ROW = 4
+LARGE = 8
+PAIRS_A_ROW = 64
 SETS_A_LINK = 256
-TEXT = "_near_text"
 
 
 def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -135,13 +136,13 @@ def similar(n: str, m: str):
 
 
 def close(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """(a, b, apart) of those of pairs (a, b) of sets of similar size whose parities do not rule a similarity of 4/5 out.
+    """Those of pairs (a, b, …) with apart, of sets of similar size whose parities do not rule a similarity of 4/5 out.
 
     Such sets differ in at most a ninth of their sizes' sum. apart: the bits that differ over that sum.
     """
     bits = own.select("sig", "n", "bits")
     both = pairs.join(bits.toDF("a", "na", "ba"), "a").join(bits.toDF("b", "nb", "bb"), "b").withColumn("d", differing("ba", "bb"))
-    return both.where(9 * F.col("d") <= F.col("na") + F.col("nb")).select("a", "b", (F.col("d") / (F.col("na") + F.col("nb"))).alias("apart"))
+    return both.where(9 * F.col("d") <= F.col("na") + F.col("nb")).select(*pairs.columns, (F.col("d") / (F.col("na") + F.col("nb"))).alias("apart"))
 
 
 def verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int = 5) -> DataFrame:
@@ -183,6 +184,15 @@ def crossing(left: DataFrame) -> int:
     return n.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
 
 
+def first_hubs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every set in a bucket of more than LARGE sets with HUBS sets of it, if of similar size. Hubs are drawn
+    by hash, so a group that meets in many buckets has the same hubs in all of them, and few different pairs."""
+    large = met.where(F.col("c") > LARGE)
+    hubs = large.groupBy("h").agg(F.array_distinct(F.array(*[F.min_by(F.struct("sig", "n"), F.xxhash64(F.lit(-1 - i), "sig")) for i in range(HUBS)])).alias("hubs"))
+    pairs = large.select("h", F.col("sig").alias("a"), "n").join(hubs, "h").select("a", "n", F.explode("hubs").alias("o")).select("a", "n", F.col("o.sig").alias("b"), F.col("o.n").alias("m"))
+    return pairs.where((F.col("a") != F.col("b")) & similar("n", "m")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def to_hubs(left: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of every set with HUBS sets of its bucket, drawn anew each turn, if it is in another component."""
     drawn = [F.min_by(F.struct("sig", "n", "component", "short"), F.xxhash64(F.lit(turn * HUBS + i), "sig")) for i in range(HUBS)]
@@ -206,19 +216,22 @@ def links(rows: DataFrame, own: DataFrame, docs: DataFrame, id_col: str = "doc_i
     """Verified links (a, b) that connect all sets of own with a similarity of at least 4/5.
 
     A bucket is sorted by size, and each set in it paired with the one before. Of its pairs with close parities every set
-    verifies the closest. While that finds many links, and the buckets would make many pairs of different components, all
-    their sets are compared with a few hubs, which joins most of a large group at a linear cost. Then all pairs in one
-    bucket that are still in different components are compared, so no two linked sets stay apart.
+    verifies the closest, and those with the hubs of its large buckets, which joins most of a large group at a linear cost.
+    While that finds many links, and the buckets would still make many pairs of different components, all their sets are
+    compared with further hubs. Then all pairs in one bucket that are in different components are compared, so no two
+    linked sets stay apart.
     """
     spread = rows.select("sig", "n", F.explode("prefix").alias("h")).repartition("h").dropDuplicates(["h", "sig", "n"])
-    w = Window.partitionBy("h").orderBy("n", "sig")
-    met = spread.withColumn("o", F.lag(F.struct("sig", "n")).over(w)).withColumn("next", F.lead("sig").over(w))
-    met = cut(met.where(F.col("o").isNotNull() | F.col("next").isNotNull()).select("h", "sig", "n", F.col("o.sig").alias("b"), F.col("o.n").alias("m")))
+    w, every = Window.partitionBy("h").orderBy("n", "sig"), Window.partitionBy("h")
+    met = spread.withColumn("o", F.lag(F.struct("sig", "n")).over(w)).withColumn("c", F.count("*").over(every))
+    met = cut(met.where("c > 1").select("h", "sig", "n", F.col("o.sig").alias("b"), F.col("o.n").alias("m"), "c"))
     near = met.where(F.col("b").isNotNull() & similar("n", "m")).select(F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b")).distinct()
-    near = cut(close(near, own))
-    ends = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    both = near.withColumn("hub", F.lit(False)).unionByName(first_hubs(met).withColumn("hub", F.lit(True))).groupBy("a", "b").agg(F.max("hub").alias("hub"))
+    both = cut(close(both, own))
+    ends = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart", "hub"))
     best = ends.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
-    first = verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), own, docs, id_col, text_col, words)
+    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(both.where("hub").select("a", "b")).distinct()
+    first = verified(tried, own, docs, id_col, text_col, words)
     comps = connected_components(first).withColumnRenamed("node", "sig")
     met = met.select("h", "sig", "n").join(comps, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     left = cut(mixed(cut(met)).join(own.select("sig", "short"), "sig").select("h", "sig", "n", "component", "short"))
@@ -248,5 +261,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     own = cut(own.select("sig", "id").join(comps, "sig", "left").withColumn("component", F.coalesce("component", "sig")))
     kept = own.groupBy("component").agg(F.min("id").alias("kept"))
     gone = rows.join(own.select("sig", "component").join(kept, "component"), "sig").where("id <> kept")
-    gone = cut(gone.select(F.col("id").alias(id_col), F.col("t").alias(TEXT)).distinct())
-    return docs.withColumn(TEXT, F.xxhash64(text_col)).join(gone, [id_col, TEXT], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = free_name(docs, "_text")
+    gone = cut(gone.select(F.col("id").alias(id_col), F.col("t").alias(text)).distinct())
+    return docs.withColumn(text, F.xxhash64(text_col)).join(gone, [id_col, text], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -238,6 +238,7 @@ def variants(vocab: DataFrame, factor: int = FACTOR, largest: int = GROUP) -> Da
     A word's form is its near word of largest n, if that is at least `factor` times its own, else null; root is the word
     at the end of the chain of forms, the word itself if it has no form. An empty vocabulary gives an empty result.
     """
+    vocab = cut(vocab)
     near = cut(neighbours(vocab, largest))
     all_ = vocab.select("word", "n").join(near, "word", "left")
     much = F.col("form_n") >= factor * F.col("n")
