@@ -44,7 +44,7 @@ class Features:
     def codes(self, tokens: list[str]) -> np.ndarray:
         if len(self.known) > CACHE_TOKENS:
             self.known = {}
-        for t in set(tokens) - self.known.keys():
+        for t in (t for t in set(tokens) if t not in self.known):  # no set difference, which would read all of the cache
             self.known[t] = zlib.crc32(t.lower().encode("utf-8", "surrogatepass")) << 11 | shape(t)
         return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens)).view(np.uint64)
 
