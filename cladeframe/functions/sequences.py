@@ -89,10 +89,10 @@ def is_ambiguous(codon) -> Column:
 
 
 def renamed(name, suffix: int = 4, sep: str = "_") -> Column:
-    """FN8: name without its last `suffix` + 1 parts, which number is an error if there are too few parts."""
+    """FN8: name without its last `suffix` parts, which number is an error if there are too few parts."""
     parts = F.split(column(name), sep)
     short = F.size(parts) < suffix + 1
-    return F.when(short, F.raise_error(F.concat(F.lit("too few parts: "), column(name)))).otherwise(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - suffix - 1, F.lit(0))), sep))
+    return F.when(short, F.raise_error(F.concat(F.lit("too few parts: "), column(name)))).otherwise(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - suffix, F.lit(0))), sep))
 
 
 def prior(name, sep: str = "_") -> Column:

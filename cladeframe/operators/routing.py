@@ -122,9 +122,10 @@ def sample_names(rows: DataFrame, k: int, seed: int = 297834, name: str = "name"
 
 
 def size_rule(n: int, alignment: int | None = None, placement: int | None = None) -> tuple[int, int]:
-    """FLT11: alignment and placement subset sizes from n leaves and what is given."""
+    """FLT11: alignment and placement subset sizes from n leaves and what is given; neither exceeds n, nor the first the second."""
     tenth = int(0.10 * n)
-    alignment_size = alignment if alignment is not None else (tenth if placement is None else placement)
-    placement_size = placement if placement is not None else max(tenth, alignment_size)
-    placement_size = max(placement_size, alignment_size) if placement_size < alignment_size else placement_size
-    return min(alignment_size, n), min(placement_size, n)
+    if alignment is None:
+        alignment = tenth if placement is None else placement
+    if placement is None:
+        placement = max(tenth, alignment)
+    return min(alignment, placement, n), min(placement, n)

@@ -182,14 +182,26 @@ def same_leaf_sets(spark, d):
 
 
 def decomposed_trees(spark, d):
-    """Subsets of at most 12 leaves: their sizes."""
+    """Subsets of at most 12 leaves, numbered in depth-first order."""
     got = decompose.numbered_subsets(decompose.decompose(forest(spark, d), 12, least=2))
     return got.select(*_id(), F.col("name").cast("long").alias("name"), "subset", "ordinal")
 
 
 def decomposed_by_diameter(spark, d):
-    got = decompose.decompose(forest(spark, d), 40, "longest", widest=1.2)
-    return got.groupBy(*_id(), "subset").agg(F.count("*").alias("leaves"))
+    """Subsets of at most 40 leaves whose longest path is at most 1.2, cut at the middle of that path."""
+    got = decompose.decompose(forest(spark, d), 40, "midpoint", least=2, widest=1.2)
+    return got.select(*_id(), F.col("name").cast("long").alias("name"), "subset")
+
+
+def decomposed_by_distance(spark, d):
+    """Subsets of at most 60 leaves whose rows in the alignment differ by at most 0.70 on average."""
+    from cladeframe.operators import distance
+
+    from .fixtures import KEYS, dense
+
+    far = distance.pairs(dense(spark, d), KEYS).select(F.struct(*KEYS).alias("tree_id"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "d")
+    got = decompose.decompose(forest(spark, d), 60, least=2, farthest=0.70, distances=materialise(far))
+    return got.select(*_id(), F.col("name").cast("long").alias("name"), "subset")
 
 
 def placement_hierarchy(spark, d):
@@ -209,6 +221,16 @@ def rerooted_trees(spark, d):
     return trees.diameter(materialise(r)).select(*_id(), F.round("diameter", 5).alias("diameter"))
 
 
+def rerooted_distances(spark, d):
+    """Every leaf's distance from the new root in the middle of the middle edge, and whether it lies below that edge."""
+    n = forest(spark, d)
+    edge = materialise(trees.midpoint_edge(n).select("tree_id", "node_id"))
+    r = materialise(trees.root_distance(trees.from_parents(trees.reroot(n, edge))))
+    first = r.join(r.where("node = -1").select("tree_id", F.col("node_id").alias("parent_id")), ["tree_id", "parent_id"]).join(edge.select("tree_id", F.col("node_id").alias("node")), ["tree_id", "node"]).select("tree_id", F.col("leaf_lo").alias("lo"), F.col("leaf_hi").alias("hi"))
+    got = r.where("is_leaf").join(first, "tree_id")
+    return got.select(*_id(), F.col("name").cast("long").alias("name"), F.col("leaf_lo").between(F.col("lo"), F.col("hi")).alias("below"), F.round("dist", 6).alias("dist"))
+
+
 def placement_normalise(spark, d):
     p = placement.normalised(placement.weighted(placements(spark, d)))
     return p.select("fragment", "edge_num", F.round("p", 6).alias("p"))
@@ -367,7 +389,7 @@ def genealogical_index(spark, d):
 
 NAMES = """node_shapes leaf_positions genealogical_index tree_from_clusters shared_clades collapsed_trees fasta_round_trip stockholm_scan search_report_scan viterbi_align edge_leaf_counts root_distances centroid_edge longest_edge clade_edge product_edge bisected_leaves adjacent_edges leaf_distance tree_diameter nearest_taxa lca_pairs lca_of_sets
 merged_placements edge_taxa long_branches pruned_trees binary_trees scaled_lengths labelled_nodes newick_round_trip split_relabel shared_splits edge_support incompatible_splits same_leaf_sets decomposed_trees
-decomposed_by_diameter placement_hierarchy midpoint_edges rerooted_trees placement_normalise placement_threshold best_placements distal_clip taxonomic_rollup classified_fragments
+decomposed_by_diameter decomposed_by_distance placement_hierarchy midpoint_edges rerooted_trees rerooted_distances placement_normalise placement_threshold best_placements distal_clip taxonomic_rollup classified_fragments
 jplace_documents event_properties""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
@@ -393,7 +415,53 @@ def two(order: str = "x0") -> str:
 TRIO = lambda: f"{two()}, {sql_tree('c', 'x1')}, ccl AS (SELECT u.label, u.block, u.anc AS node, list_sort(list(n.name)) AS s FROM cup u JOIN cnodes n USING (label, block, node) WHERE n.name IS NOT NULL GROUP BY ALL), ck AS (SELECT c.label, c.block, c.node, least(array_to_string(c.s, '()'), array_to_string(list_filter(every, lambda x: NOT list_contains(c.s, x)), '()')) AS canon FROM ccl c JOIN al USING (label, block))"
 W = "w AS (SELECT l_orderkey AS fragment, l_suppkey AS edge_num, sum(l_extendedprice * (1 - l_discount)) AS w FROM lineitem GROUP BY ALL), p AS (SELECT fragment, edge_num, w / sum(w) OVER (PARTITION BY fragment) AS p FROM w)"
 
+# Leaf sets of pieces, round by round. Each round keeps the leaves of pieces that are too large (big: label, block, s, n) and
+# gives them their side of the piece's edge; an edge is the lowest node with its leaves of the piece.
+ROUND = """
+sz AS (SELECT label, block, s, count(*) AS n FROM piece GROUP BY ALL), {big},
+held AS (SELECT p.label, p.block, p.s, up.anc, any_value(n) AS n, count(*) AS m, min(k.key) AS lo, max(k.key) AS hi FROM piece p JOIN big USING (label, block, s) JOIN up USING (label, block, node) JOIN nodes k USING (label, block, node) GROUP BY ALL),
+edge AS (SELECT label, block, s, max(anc) AS c, any_value(n) AS n, any_value(m) AS m FROM held GROUP BY label, block, s, lo, hi),
+best AS (SELECT edge.label, edge.block, edge.s, arg_min(c, (abs(n / 2.0 - m), e.key)) AS c FROM edge JOIN nodes e ON e.label = edge.label AND e.block = edge.block AND e.node = edge.c WHERE m >= {least} AND n - m >= {least} GROUP BY ALL), {cut}
+SELECT p.label, p.block, p.node, p.s || CASE WHEN u.anc IS NULL THEN '1' ELSE '0' END AS s FROM piece p JOIN cut_ USING (label, block, s) LEFT JOIN up u ON u.label = p.label AND u.block = p.block AND u.node = p.node AND u.anc = cut_.c"""
+
+
+def pieces(big: str, least: int, cut: str = "cut_ AS (SELECT * FROM best)", start: str = "SELECT label, block, node, '' AS s FROM nodes WHERE name IS NOT NULL", name: str = "piece") -> str:
+    """Recursive CTE `name` (label, block, node, s): the leaves of every piece that is cut or left, with the path of its cuts."""
+    one = ROUND.format(big=big, least=least, cut=cut)
+    return f"{name} AS ({start} UNION ALL (WITH {one.replace('piece', name)}))"
+
+
+def last(name: str = "piece", out: str = "last") -> str:
+    """CTE of every leaf's last piece (label, block, name, node, subset)."""
+    return f"{out} AS (SELECT label, block, n.name::BIGINT AS name, node, arg_max(s, length(s)) AS subset FROM {name} JOIN nodes n USING (label, block, node) GROUP BY ALL)"
+
+
+LONG = f"{PAIRS}, ln AS (SELECT mt.label, mt.block, x, y, a.d + b.d - 2 * c.d AS d, CASE WHEN a.d >= b.d THEN x ELSE y END AS anchor, greatest(a.d, b.d) AS deep FROM mt JOIN lf a ON a.label = mt.label AND a.block = mt.block AND a.node = mt.x JOIN lf b ON b.label = mt.label AND b.block = mt.block AND b.node = mt.y JOIN dist c ON c.label = mt.label AND c.block = mt.block AND c.node = mt.l)"
+# The lowest node above the deeper end whose parent is at least half of the path away.
+MIDDLE = "SELECT f.label, f.block, {s} max(u.anc) AS c, any_value(f.d) AS d FROM far f JOIN up u ON u.label = f.label AND u.block = f.block AND u.node = f.anchor JOIN nodes k ON k.label = f.label AND k.block = f.block AND k.node = u.anc JOIN dist q ON q.label = f.label AND q.block = f.block AND q.node = k.parent WHERE f.deep - q.d >= f.d / 2 GROUP BY ALL"
+WIDE_BIG = """far AS (SELECT p.label, p.block, p.s, max(ln.d) AS d, arg_max(anchor, ln.d) AS anchor, arg_max(deep, ln.d) AS deep FROM piece p JOIN ln ON ln.label = p.label AND ln.block = p.block AND ln.x = p.node JOIN piece o ON o.label = p.label AND o.block = p.block AND o.s = p.s AND o.node = ln.y GROUP BY ALL),
+big AS (SELECT sz.* FROM sz JOIN far USING (label, block, s) WHERE n > 40 OR d > 1.2)"""
+WIDE_CUT = f"""mid AS ({MIDDLE.format(s="f.s,")}), good AS (SELECT m.label, m.block, m.s, m.c FROM mid m JOIN held h ON h.label = m.label AND h.block = m.block AND h.s = m.s AND h.anc = m.c WHERE h.m >= 2 AND h.n - h.m >= 2),
+cut_ AS (SELECT label, block, s, coalesce(good.c, best.c) AS c FROM good FULL JOIN best USING (label, block, s))"""
+FAR_BIG = "mean AS (SELECT p.label, p.block, p.s, avg(d) AS d FROM piece p JOIN pn ON pn.label = p.label AND pn.block = p.block AND pn.x = p.node JOIN piece o ON o.label = p.label AND o.block = p.block AND o.s = p.s AND o.node = pn.y GROUP BY ALL), big AS (SELECT sz.* FROM sz JOIN mean USING (label, block, s) WHERE n > 60 OR d > 0.70)"
+ROOTED = f"{LONG}, far AS (SELECT label, block, max(d) AS d, arg_max(anchor, d) AS anchor, arg_max(deep, d) AS deep FROM ln GROUP BY ALL), mid AS ({MIDDLE.format(s='')})"
+
+
+def differing_pairs() -> str:
+    """CTE pn (label, block, x, y, d): p-distances of the leaves of a tree, by node."""
+    from .q_sequences import NOGAP
+    from .q_sequences import PAIRS as ROWS
+
+    return f"{SQL_DENSE}, {ROWS.format(where=NOGAP)}, {T}, pn AS (SELECT pr.label, pr.block, x.node AS x, y.node AS y, d FROM pr JOIN nodes x ON x.label = pr.label AND x.block = pr.block AND x.name = pr.a::VARCHAR JOIN nodes y ON y.label = pr.label AND y.block = pr.block AND y.name = pr.b::VARCHAR)"
+
+
 ORACLES = {
+    "decomposed_trees": f"WITH RECURSIVE {T}, {pieces('big AS (SELECT * FROM sz WHERE n > 12)', 2)}, {last()}, o AS (SELECT label, block, subset, row_number() OVER (PARTITION BY label, block ORDER BY subset) - 1 AS ordinal FROM (SELECT DISTINCT label, block, subset FROM last)) SELECT label, block, name, subset, ordinal FROM last JOIN o USING (label, block, subset)",
+    "decomposed_by_diameter": f"WITH RECURSIVE {LONG}, {pieces(WIDE_BIG, 2, WIDE_CUT)}, {last()} SELECT label, block, name, subset FROM last",
+    "decomposed_by_distance": f"WITH RECURSIVE {differing_pairs()}, {pieces(FAR_BIG, 2)}, {last()} SELECT label, block, name, subset FROM last",
+    "placement_hierarchy": f"WITH RECURSIVE {T}, {pieces('big AS (SELECT * FROM sz WHERE n > 24)', 6)}, {last()}, {pieces('big AS (SELECT * FROM sz WHERE n > 8)', 1, start='SELECT label, block, node, subset || chr(124) AS s FROM last', name='part')}, {last('part', 'ends')} SELECT label, block, name, split_part(subset, '|', 1) AS p_id, split_part(subset, '|', 2) AS a_id FROM ends",
+    "midpoint_edges": f"WITH {ROOTED} SELECT label, block, c AS node, round(d, 6) AS diameter FROM mid",
+    "rerooted_distances": f"WITH {ROOTED}, m AS (SELECT m.label, m.block, m.c, q.d AS dc, k.length AS len FROM mid m JOIN dist q ON q.label = m.label AND q.block = m.block AND q.node = m.c JOIN nodes k ON k.label = m.label AND k.block = m.block AND k.node = m.c), lc AS (SELECT l.label, l.block, l.name, l.d, m.c, m.dc, m.len, max(u.anc) AS meet FROM lf l JOIN m ON m.label = l.label AND m.block = l.block JOIN up u ON u.label = l.label AND u.block = l.block AND u.node = l.node JOIN up v ON v.label = l.label AND v.block = l.block AND v.node = m.c AND v.anc = u.anc GROUP BY ALL) SELECT lc.label, lc.block, name, meet = c AS below, round(CASE WHEN meet = c THEN lc.d - dc + len / 2 ELSE lc.d + dc - 2 * q.d - len / 2 END, 6) AS dist FROM lc JOIN dist q ON q.label = lc.label AND q.block = lc.block AND q.node = lc.meet",
     "node_shapes": f"WITH {TL}, ch AS (SELECT label, block, parent AS node, count(*) AS c FROM nodes WHERE parent IS NOT NULL GROUP BY ALL), dp AS (SELECT u.label, u.block, u.anc AS node, max(length(n.key)) AS deep FROM up u JOIN nodes n USING (label, block, node) WHERE n.name IS NOT NULL GROUP BY ALL) SELECT n.label, n.block, n.node, coalesce(c, 0) AS children, coalesce(c, 0) + CASE WHEN n.parent IS NULL THEN 0 ELSE 1 END AS degree, CASE WHEN n.parent IS NULL THEN 0 ELSE 1 END AS siblings, length(n.key) - 1 AS depth, deep - length(n.key) AS height FROM nodes n LEFT JOIN ch USING (label, block, node) JOIN dp USING (label, block, node)",
     "leaf_positions": f"WITH {T} SELECT label, block, name, (row_number() OVER (PARTITION BY label, block ORDER BY name) - 1)::INT AS position FROM nodes WHERE name IS NOT NULL",
     "genealogical_index": f"WITH {T}, ex AS (SELECT label, block, parent AS node, count(*) + max(CASE WHEN parent > 1 THEN 1 ELSE 0 END) - 2 AS extra FROM nodes WHERE parent IS NOT NULL GROUP BY ALL), al AS (SELECT label, block, sum(extra) AS all_extra FROM ex GROUP BY ALL), g AS (SELECT label, block, node, name::BIGINT % 3 AS grp FROM nodes WHERE name IS NOT NULL), held AS (SELECT label, block, grp, anc, count(*) AS m FROM g JOIN up USING (label, block, node) GROUP BY ALL), sz AS (SELECT label, block, grp, count(*) AS n FROM g GROUP BY ALL), top AS (SELECT label, block, grp, max(anc) AS t FROM held JOIN sz USING (label, block, grp) WHERE m = n GROUP BY ALL), us AS (SELECT h.label, h.block, h.grp, sum(extra) AS extra FROM held h JOIN top USING (label, block, grp) JOIN ex ON ex.label = h.label AND ex.block = h.block AND ex.node = h.anc JOIN up u ON u.label = h.label AND u.block = h.block AND u.node = h.anc AND u.anc = t GROUP BY ALL) SELECT label, block, grp AS \"group\", round(CASE WHEN n < 2 OR extra IS NULL THEN -1.0 WHEN (n - 1) / all_extra = 1 THEN 1.0 ELSE ((n - 1) / extra - (n - 1) / all_extra) / (1 - (n - 1) / all_extra) END, 6) AS gsi FROM sz LEFT JOIN us USING (label, block, grp) LEFT JOIN al USING (label, block)",
@@ -429,7 +497,6 @@ ORACLES = {
     "edge_support": f"WITH {TRIO()}, every_ AS (SELECT DISTINCT label, block, 0 AS t, canon FROM k WHERE node > 1 UNION ALL SELECT DISTINCT label, block, 1, canon FROM bk WHERE node > 1 UNION ALL SELECT DISTINCT label, block, 2, canon FROM ck WHERE node > 1), held AS (SELECT label, block, canon, count(*) AS n FROM every_ GROUP BY ALL) SELECT label, block, node, round(n / 3.0, 6) AS support FROM k JOIN held USING (label, block, canon) WHERE node > 1 AND len(s) > 1 AND len(r) > 1",
     "incompatible_splits": f"WITH {two()}, x AS (SELECT label, block, node, s, len(s) AS n FROM k WHERE node > 1 AND len(s) > 1), y AS (SELECT label, block, node AS m, s AS t, len(s) AS o FROM bk WHERE node > 1 AND len(s) > 1), bad AS (SELECT DISTINCT label, block, node FROM x JOIN y USING (label, block) WHERE len(list_intersect(s, t)) > 0 AND len(list_intersect(s, t)) < n AND len(list_intersect(s, t)) < o) SELECT a.label, a.block, count(bad.node) AS incompatible FROM (SELECT DISTINCT label, block FROM nodes) a LEFT JOIN bad USING (label, block) GROUP BY ALL",
     "same_leaf_sets": f"WITH {T} SELECT DISTINCT label, block, true AS same FROM nodes",
-    "midpoint_edges": None,
     "rerooted_trees": f"WITH {PAIRS} SELECT label, block, round(max(d), 5) AS diameter FROM ld GROUP BY ALL",
     "placement_normalise": f"WITH {W} SELECT fragment, edge_num, round(p, 6) AS p FROM p",
     "placement_threshold": f"WITH {W}, r AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY fragment ORDER BY p DESC, edge_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, max(CASE WHEN p <= 0.05 THEN 1 ELSE 0 END) OVER (PARTITION BY fragment ORDER BY p DESC, edge_num ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop FROM p), k AS (SELECT * FROM r WHERE b < 0.6 AND stop = 0) SELECT fragment, edge_num, round(p, 6) AS p, round(p / (sum(p) OVER (PARTITION BY fragment) * count(*) OVER (PARTITION BY fragment)), 6) AS share FROM k",
