@@ -129,3 +129,11 @@ def size_rule(n: int, alignment: int | None = None, placement: int | None = None
     if placement is None:
         placement = max(tenth, alignment)
     return min(alignment, placement, n), min(placement, n)
+
+
+def size_columns(n: Column, alignment: Column, placement: Column) -> tuple[Column, Column]:
+    """FLT11 for many trees at once: size_rule on columns, of which the last two may be null."""
+    tenth = F.floor(n / 10).cast("long")
+    a = F.coalesce(alignment.cast("long"), placement.cast("long"), tenth)
+    p = F.coalesce(placement.cast("long"), F.greatest(tenth, a))
+    return F.least(a, p, n.cast("long")), F.least(p, n.cast("long"))

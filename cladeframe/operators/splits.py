@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.functions.lineage import materialise
+
 
 def keyed(nodes: DataFrame) -> DataFrame:
     """JT19, JT22: nodes with clade (rooted key) and split (unrooted key), and leaves and total counts."""
@@ -92,35 +94,65 @@ def missed_labels(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def incompatible_clusters(a: DataFrame, b: DataFrame) -> DataFrame:
-    """AG11, JT13: (tree_id, incompatible): clades of a that overlap one of b without either holding the other.
-
-    Clades of b seen from a's leaf ranks: overlaps are counted from shared leaves, so only clades with a leaf in
-    common ever meet.
+    """AG11, JT13: (tree_id, incompatible): inner clades of a that overlap one of b without either holding the other.
+
+    Ranks of leaves in a turn every clade of b into a range of ranks, which the clade of a where its ends meet is the
+    smallest to hold. The clades of b inside one of a are therefore sums over a's clades, and so are the parents of the
+    largest of them: each clade adds its parent once and takes back its own number for each of its children. A clade of a
+    has no conflict iff all largest clades of b inside it have one parent, which is so iff count times sum of squares is
+    the square of the sum. Leaves of a that b lacks make a clade of a only compatible if that parent is b's root; a clade
+    of b with leaves that a lacks is inside none.
     """
-    from cladeframe.operators.trees import ancestors
-
-    def members(t):
-        leaf = t.where("is_leaf").select("tree_id", "node_id", "name")
-        inner = t.where("not is_leaf and parent_id is not null").select("tree_id", F.col("node_id").alias("anc"), (F.col("leaf_hi") - F.col("leaf_lo") + 1).alias("n"))
-        return leaf.join(ancestors(t, strict=True).drop("via"), ["tree_id", "node_id"]).join(inner, ["tree_id", "anc"]).select("tree_id", "name", F.col("anc").alias("clade"), "n")
-
-    x, y = members(a).withColumnsRenamed({"clade": "ca", "n": "na"}), members(b).withColumnsRenamed({"clade": "cb", "n": "nb"})
-    met = x.join(y, ["tree_id", "name"]).groupBy("tree_id", "ca", "cb").agg(F.count("*").alias("m"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    bad = met.where("m < na and m < nb").groupBy("tree_id").agg(F.count_distinct("ca").alias("incompatible"))
-    return a.select("tree_id").distinct().join(bad, "tree_id", "left").select("tree_id", F.coalesce("incompatible", F.lit(0)).alias("incompatible"))
+    from cladeframe.operators import ranges, trees
+
+    x, y = materialise(a.select("tree_id", "node_id", "parent_id", "name", "is_leaf", "leaf_lo", "leaf_hi")), materialise(b.select("tree_id", "node_id", "parent_id", "name", "is_leaf", "leaf_lo", "leaf_hi"))
+    rank = x.where("is_leaf").select("tree_id", "name", F.col("leaf_lo").alias("v"))
+    leaf = y.where("is_leaf").join(rank, ["tree_id", "name"], "left").join(x.select("tree_id").distinct(), "tree_id", "left_semi").select("tree_id", F.col("leaf_lo").alias("r"), F.coalesce("v", F.lit(1 << 30)).alias("v"))
+    tall, low = ranges.sparse(leaf), ranges.sparse(leaf.withColumn("v", -F.col("v")))
+    hull = ranges.largest(low, ranges.largest(tall, y, "leaf_lo", "leaf_hi", "mx"), "leaf_lo", "leaf_hi", "mn").withColumn("mn", -F.col("mn"))
+    kids = y.where("parent_id is not null").groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("k"))
+    held = hull.where(F.col("mx") < (1 << 30)).join(kids, ["tree_id", "node_id"], "left")
+    met = trees.meetings(x.withColumn("dist", F.lit(0.0)))
+    wide = ranges.largest(met, held.where("mn < mx").withColumn("to", F.col("mx") - 1), "mn", "to", "v").withColumn("at", F.col("v.node_id")).drop("v", "to")
+    tips = held.where("mn = mx").join(x.where("is_leaf").select("tree_id", F.col("leaf_lo").alias("mn"), F.col("node_id").alias("at")), ["tree_id", "mn"])
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    p, own, k = big("parent_id"), big("node_id"), F.coalesce("k", F.lit(0)).cast("decimal(9,0)")
+    add = lambda v, mine: (F.coalesce(v, F.lit(0)) - k * mine).cast("decimal(38,0)")
+    one = F.when(F.col("parent_id").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("decimal(38,0)")
+    sums = [(one - k).cast("decimal(38,0)").alias("c"), add(p, own).alias("s"), add((p * p).cast("decimal(38,0)"), (own * own).cast("decimal(19,0)")).alias("q")]
+    put = wide.unionByName(tips.select(*wide.columns)).select("tree_id", F.col("at").alias("node_id"), *sums).groupBy("tree_id", "node_id").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    zero = F.lit(0).cast("decimal(38,0)")
+    mass = x.join(put, ["tree_id", "node_id"], "left").select("tree_id", "node_id", "parent_id", *[F.coalesce(F.col(n).cast("decimal(38,0)"), zero).alias(n) for n in ("c", "s", "q")])
+    known = F.when(F.col("is_leaf"), F.lit(1)).otherwise(F.lit(0))
+    have = x.join(y.where("is_leaf").select("tree_id", "name", F.lit(True).alias("_there")), ["tree_id", "name"], "left").select("tree_id", "node_id", known.alias("all_"), F.when(F.col("_there"), known).otherwise(F.lit(0)).alias("there"))
+    total = ranges.clade_sums(mass.join(have, ["tree_id", "node_id"]), "node_id", "parent_id", ["c", "s", "q", "all_", "there"])
+    root = y.where("parent_id is null").select("tree_id", F.col("node_id").cast("decimal(38,0)").alias("root"))
+    inner = x.where("not is_leaf and parent_id is not null").select("tree_id", "node_id").join(total, ["tree_id", "node_id"]).join(root, "tree_id")
+    spread = F.col("c").cast("decimal(12,0)") * F.col("q").cast("decimal(26,0)") != F.col("s").cast("decimal(19,0)") * F.col("s").cast("decimal(19,0)")
+    alien = (F.col("there") < F.col("all_")) & (F.col("s") != F.col("c").cast("decimal(12,0)") * F.col("root").cast("decimal(12,0)"))
+    bad = inner.where((F.col("there") > 0) & (spread | alien)).groupBy("tree_id").agg(F.count("*").alias("incompatible"))
+    return x.select("tree_id").distinct().join(bad, "tree_id", "left").select("tree_id", F.coalesce("incompatible", F.lit(0)).alias("incompatible"))
 
 
 def tree_of_clusters(clusters: DataFrame) -> DataFrame:
     """JT12: parent of each cluster (set_id, cluster_id, name): the smallest strict superset; null at the top.
 
-    Clusters are taken to be compatible, so supersets are nested and sizes tell them apart.
+    In the list of a leaf's clusters by size the next larger one is the parent, if the clusters make a tree: then all
+    leaves of a cluster name the same. Where they do not, or two different clusters of one size share a leaf, the set is
+    incompatible, which is an error. Clusters of equal leaves are one; each gets a row. Rows are as many as memberships.
     """
-    size = clusters.groupBy("set_id", "cluster_id").agg(F.count("*").alias("n"))
-    x = clusters.join(size, ["set_id", "cluster_id"])
-    y = x.withColumnsRenamed({"cluster_id": "parent_id", "n": "pn"})
-    met = x.join(y, ["set_id", "name"]).where("pn > n").groupBy("set_id", "cluster_id", "n", "parent_id", "pn").agg(F.count("*").alias("m")).where("m = n")
-    best = met.groupBy("set_id", "cluster_id").agg(F.min_by("parent_id", F.struct("pn", "parent_id")).alias("parent_id"))
-    return size.join(best, ["set_id", "cluster_id"], "left").select("set_id", "cluster_id", "n", "parent_id")
+    member = clusters.select("set_id", "cluster_id", "name").distinct()
+    mark = lambda seed: F.expr(f"bit_xor(xxhash64({seed}, name))")
+    size = materialise(member.groupBy("set_id", "cluster_id").agg(F.count("*").alias("n"), F.struct(mark(1), mark(2)).alias("leaves")))
+    first = size.groupBy("set_id", "n", "leaves").agg(F.min("cluster_id").alias("cluster_id"))
+    w = Window.partitionBy("set_id", "name").orderBy(F.desc("n"), "cluster_id")
+    at = member.join(first, ["set_id", "cluster_id"]).withColumn("up", F.lag(F.struct("cluster_id", "n")).over(w))
+    named = at.groupBy("set_id", "cluster_id").agg(F.min("up.cluster_id").alias("lo"), F.max("up.cluster_id").alias("hi"), F.count("up.cluster_id").alias("c"), F.count("*").alias("m"), F.max((F.col("up.n") == F.col("n")).cast("int")).alias("even"))
+    odd = (F.col("c") > 0) & ((F.col("lo") != F.col("hi")) | (F.col("c") < F.col("m"))) | (F.coalesce("even", F.lit(0)) > 0)
+    kind = clusters.schema["cluster_id"].dataType
+    parent = F.when(odd, F.raise_error(F.lit("incompatible clusters")).cast(kind)).otherwise(F.col("lo"))
+    up = first.join(named.select("set_id", "cluster_id", parent.alias("parent_id")), ["set_id", "cluster_id"]).select("set_id", "n", "leaves", "parent_id")
+    return size.join(up, ["set_id", "n", "leaves"]).select("set_id", "cluster_id", "n", "parent_id")
 
 
 def shared_clades(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -129,7 +161,6 @@ def shared_clades(a: DataFrame, b: DataFrame) -> DataFrame:
     A subtree is the same iff the clades of all its nodes are clades of the other tree. One pass over the closure
     finds the nodes without a foreign clade below; the topmost of them are collapsed.
     """
-    from cladeframe.functions.lineage import materialise
     from cladeframe.operators.trees import ancestors
 
     k = materialise(keyed(a))

@@ -54,6 +54,20 @@ def whitespace_names(spark, d):
     return routing.whitespace_names(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name")))
 
 
+def fragment_names(spark, d):
+    """Names made of documents with four parts to drop, and the prior in the last of them."""
+    t = table(spark, d, "documents")
+    name = F.concat_ws("_", F.lit("frag"), "doc_id", F.coalesce("lang", F.lit("x")), F.coalesce("source", F.lit("x")), F.col("n_chars") % 7, F.col("n_chars") * 13 % 1_000_001)
+    return t.select("doc_id", seq.renamed(name).alias("name"), seq.prior(name).alias("prior"))
+
+
+def subset_sizes(spark, d):
+    """Subset sizes for as many leaves as a part's key says, given its size and price or not."""
+    t = table(spark, d, "part").withColumn("n", F.col("p_partkey") % 997 + 1)
+    a, p = routing.size_columns(F.col("n"), F.when(F.col("p_size") % 3 > 0, F.col("p_size")), F.when(F.col("p_size") % 5 > 0, F.col("p_partkey") % 60))
+    return t.select("p_partkey", "n", a.alias("alignment"), p.alias("placement"))
+
+
 def fragment_split(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("seq"))
     return routing.split_by_length(rows, 1500).select("doc_id", "is_fragment", F.length("seq").cast("long").alias("n"))
@@ -233,7 +247,7 @@ def routed_rows(spark, d):
 
 NAMES = """best_hit_routing unscored_fragments fragment_chunks all_scores score_lines name_collisions collision_free_queries whitespace_names fragment_split
 length_quantile_band length_quantiles hash_sample last_value_wins degapped_rows gap_columns compact_subsets compacted_rows kept_columns removed_columns added_column
-alignment_shapes mask_insertions insertion_ranges relabelled_columns extended_merge merged_columns pairwise_p_distance subset_p_distance p_distance_gap_as_state
+fragment_names subset_sizes alignment_shapes mask_insertions insertion_ranges relabelled_columns extended_merge merged_columns pairwise_p_distance subset_p_distance p_distance_gap_as_state
 hamming_of_neighbours translated codon_checks backtranslate model_scores routed_rows""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
@@ -289,6 +303,8 @@ ORACLES = {
     "relabelled_columns": f"WITH {SQL_GAPPY}, {COLS}, {LABELS} SELECT label AS grp, block, pos, (CASE WHEN l < 0 THEN -1 ELSE l * 2 + 5 END)::INT AS label FROM labelled",
     "extended_merge": f"WITH {EXT} SELECT s.name, mc.pos, s.ch FROM sites s JOIN co USING (label, block, pos) JOIN mc ON mc.anchor = co.anchor AND mc.ord = co.ord WHERE s.ch <> '-'",
     "merged_columns": f"WITH {EXT} SELECT anchor, ord, pos FROM mc",
+    "fragment_names": "SELECT doc_id, 'frag_' || doc_id AS name, (n_chars * 13 % 1000001) / 1000000.0 AS prior FROM documents",
+    "subset_sizes": "WITH t AS (SELECT p_partkey, p_partkey % 997 + 1 AS n, CASE WHEN p_size % 3 > 0 THEN p_size END AS a, CASE WHEN p_size % 5 > 0 THEN p_partkey % 60 END AS p FROM part), u AS (SELECT *, CASE WHEN a IS NOT NULL THEN a WHEN p IS NOT NULL THEN p ELSE n // 10 END AS b FROM t), v AS (SELECT *, CASE WHEN p IS NOT NULL THEN p WHEN b > n // 10 THEN b ELSE n // 10 END AS q FROM u) SELECT p_partkey, n, CASE WHEN (CASE WHEN q < b THEN q ELSE b END) > n THEN n ELSE (CASE WHEN q < b THEN q ELSE b END) END AS alignment, CASE WHEN q > n THEN n ELSE q END AS placement FROM v",
     "pairwise_p_distance": f"WITH {SQL_DENSE}, {PAIRS.format(where=NOGAP)} SELECT label, block, a, b, shared, round(d, 6) AS d FROM pr",
     "subset_p_distance": f"WITH {SQL_DENSE}, {PAIRS.format(where=NOGAP)} SELECT label, block, count(*) AS pairs, round(avg(d), 6) AS mean, round(max(d), 6) AS largest FROM pr GROUP BY ALL",
     "p_distance_gap_as_state": f"WITH {SQL_DENSE}, {PAIRS.format(where='')} SELECT label, block, count(*) AS pairs, round(avg(d), 6) AS mean, round(max(d), 6) AS largest FROM pr GROUP BY ALL",

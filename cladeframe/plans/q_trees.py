@@ -161,6 +161,51 @@ def edge_taxa(spark, d):
     return main.select("tree_id", "edge_num", "node").join(got, "edge_num").select(*_id(), "node", "tax_id")
 
 
+def _nations(spark, d):
+    """Taxonomy (tax_id, parent_id, rank, tax_name): nations, regions and their root."""
+    n = table(spark, d, "nation")
+    nation = n.select(F.concat(F.lit("n"), "n_nationkey").alias("tax_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.lit("nation").alias("rank"))
+    region = n.select(F.concat(F.lit("r"), "n_regionkey").alias("tax_id"), F.lit("root").alias("parent_id"), F.lit("region").alias("rank")).distinct()
+    root = n.select(F.lit("root").alias("tax_id"), F.lit("root").alias("parent_id"), F.lit("root").alias("rank")).distinct()
+    return nation.unionByName(region).unionByName(root).withColumn("tax_name", F.upper("tax_id"))
+
+
+def classified_placements(spark, d):
+    """Every leaf placed on its own edge and the one above; leaf k belongs to nation k % 25."""
+    main = materialise(numbered(forest(spark, d)))
+    up = main.select("tree_id", F.col("node_id").alias("parent_id"), F.col("edge_num").alias("up"))
+    both = main.where("is_leaf and edge_num is not null").join(up, ["tree_id", "parent_id"]).where("up is not null")
+    p = both.select(F.col("name").alias("fragment"), F.explode(F.array(F.struct("edge_num", (F.col("length") + 0.1).alias("lwr")), F.struct(F.col("up").alias("edge_num"), F.lit(0.5).cast("double").alias("lwr")))).alias("x")).select("fragment", "x.*", F.lit(1.0).alias("prior"))
+    taxa = _nations(spark, d)
+    mapping = main.where("is_leaf").select("name", F.concat(F.lit("n"), F.col("name").cast("long") % 25).alias("tax_id")).join(taxa.select("tax_id"), "tax_id", "left_semi")
+    got = placement.classify(p, main, taxa, mapping, total=0.9, cutoff=0.05, least=0.5)
+    return got.select(F.col("fragment").cast("long").alias("fragment"), "id", "name", "rank", "prob")
+
+
+def insertion_trees(spark, d):
+    """Fragments put into the trees: one on each leaf's edge, others with several on the edge above; leaves by distance."""
+    main = materialise(numbered(forest(spark, d)))
+    up = main.select("tree_id", F.col("node_id").alias("parent_id"), F.col("edge_num").alias("up"))
+    leaf = main.where("is_leaf and edge_num is not null").join(up, ["tree_id", "parent_id"]).where("up is not null").withColumn("k", F.col("name").cast("long"))
+    own = leaf.where("k % 3 = 0").select("k", "edge_num", (F.col("length") / 2).alias("distal_length"))
+    high = leaf.where("k % 3 = 1").select("k", F.col("up").alias("edge_num"), (F.col("k") % 7 * 0.01).alias("distal_length"))
+    p = own.unionByName(high).select(F.format_string("q%d", "k").alias("fragment"), "edge_num", "distal_length", F.lit(0.25).alias("pendant_length"), F.lit(1.0).alias("lwr"))
+    got = trees.from_parents(placement.insertion_tree(main, p))
+    return trees.root_distance(materialise(got)).where("is_leaf").select(*_id(), "name", F.round("dist", 6).alias("dist"))
+
+
+def transferred_labels(spark, d):
+    """Names of the inner nodes of the trees by id, given to the nodes of the trees by first component with the same split."""
+    old = forest(spark, d).withColumn("name", F.when(F.col("is_leaf"), F.col("name")).otherwise(F.concat(F.lit("N"), "node")))
+    got = splits.transfer_labels(old, forest(spark, d, "x0"))
+    return got.where("not is_leaf and name is not null").select(*_id(), "node", "name")
+
+
+def missed_labels(spark, d):
+    old = forest(spark, d).withColumn("name", F.when(F.col("is_leaf"), F.col("name")).otherwise(F.concat(F.lit("N"), "node")))
+    return splits.missed_labels(old, forest(spark, d, "x0")).select(*_id(), "name")
+
+
 def shared_splits(spark, d):
     return splits.shared_splits(forest(spark, d), forest(spark, d, "x0")).select(*_id(), "shared", "only_a", "only_b")
 
@@ -388,7 +433,7 @@ def genealogical_index(spark, d):
 
 
 NAMES = """node_shapes leaf_positions genealogical_index tree_from_clusters shared_clades collapsed_trees fasta_round_trip stockholm_scan search_report_scan viterbi_align edge_leaf_counts root_distances centroid_edge longest_edge clade_edge product_edge bisected_leaves adjacent_edges leaf_distance tree_diameter nearest_taxa lca_pairs lca_of_sets
-merged_placements edge_taxa long_branches pruned_trees binary_trees scaled_lengths labelled_nodes newick_round_trip split_relabel shared_splits edge_support incompatible_splits same_leaf_sets decomposed_trees
+merged_placements edge_taxa classified_placements insertion_trees transferred_labels missed_labels long_branches pruned_trees binary_trees scaled_lengths labelled_nodes newick_round_trip split_relabel shared_splits edge_support incompatible_splits same_leaf_sets decomposed_trees
 decomposed_by_diameter decomposed_by_distance placement_hierarchy midpoint_edges rerooted_trees rerooted_distances placement_normalise placement_threshold best_placements distal_clip taxonomic_rollup classified_fragments
 jplace_documents event_properties""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
@@ -415,6 +460,8 @@ def two(order: str = "x0") -> str:
 TRIO = lambda: f"{two()}, {sql_tree('c', 'x1')}, ccl AS (SELECT u.label, u.block, u.anc AS node, list_sort(list(n.name)) AS s FROM cup u JOIN cnodes n USING (label, block, node) WHERE n.name IS NOT NULL GROUP BY ALL), ck AS (SELECT c.label, c.block, c.node, least(array_to_string(c.s, '()'), array_to_string(list_filter(every, lambda x: NOT list_contains(c.s, x)), '()')) AS canon FROM ccl c JOIN al USING (label, block))"
 W = "w AS (SELECT l_orderkey AS fragment, l_suppkey AS edge_num, sum(l_extendedprice * (1 - l_discount)) AS w FROM lineitem GROUP BY ALL), p AS (SELECT fragment, edge_num, w / sum(w) OVER (PARTITION BY fragment) AS p FROM w)"
 
+# The nations and regions of the leaves below every node.
+TAXA = "h AS (SELECT u.label, u.block, u.anc AS node, count(DISTINCT n_nationkey) AS n1, count(DISTINCT n_regionkey) AS n2, min(n_nationkey) AS a, min(n_regionkey) AS r_ FROM up u JOIN nodes n USING (label, block, node) JOIN nation ON n_nationkey = n.name::BIGINT % 25 WHERE n.name IS NOT NULL GROUP BY ALL)"
 # Leaf sets of pieces, round by round. Each round keeps the leaves of pieces that are too large (big: label, block, s, n) and
 # gives them their side of the piece's edge; an edge is the lowest node with its leaves of the piece.
 ROUND = """
@@ -493,6 +540,10 @@ ORACLES = {
     "split_relabel": f"WITH {two()}, o AS (SELECT label, block, canon, min(node) AS other FROM bk WHERE node > 1 GROUP BY ALL) SELECT k.label, k.block, k.node, o.other FROM k LEFT JOIN o USING (label, block, canon) WHERE k.node > 1",
     "merged_placements": f"WITH {two()}, o AS (SELECT label, block, canon, min(node) AS other FROM bk WHERE node > 1 GROUP BY ALL) SELECT k.label, k.block, n.name::BIGINT AS fragment, other AS edge, round(CASE WHEN 0.1 > m.length THEN m.length * 0.99 ELSE 0.1 END, 6) AS distal FROM k JOIN nodes n USING (label, block, node) JOIN o USING (label, block, canon) JOIN bnodes m ON m.label = k.label AND m.block = k.block AND m.node = o.other WHERE k.node > 1 AND n.name IS NOT NULL",
     "edge_taxa": f"WITH {T}, h AS (SELECT u.label, u.block, u.anc AS node, count(DISTINCT n_nationkey) AS n1, count(DISTINCT n_regionkey) AS n2, min(n_nationkey) AS a, min(n_regionkey) AS r FROM up u JOIN nodes n USING (label, block, node) JOIN nation ON n_nationkey = n.name::BIGINT % 25 WHERE n.name IS NOT NULL GROUP BY ALL) SELECT label, block, node, CASE WHEN n1 = 1 THEN 'n' || a WHEN n2 = 1 THEN 'r' || r ELSE 'root' END AS tax_id FROM h WHERE node > 1",
+    "classified_placements": f"WITH {T}, {TAXA}, pl AS (SELECT label, block, name::BIGINT AS fragment, node AS edge, length + 0.1 AS w FROM nodes WHERE name IS NOT NULL AND parent > 1 UNION ALL SELECT label, block, name::BIGINT, parent, 0.5 FROM nodes WHERE name IS NOT NULL AND parent > 1), pp AS (SELECT *, w / sum(w) OVER (PARTITION BY fragment) AS p FROM pl), r AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY fragment ORDER BY p DESC, edge ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pp), kept AS (SELECT r.*, h.* EXCLUDE (label, block, node) FROM r JOIN h ON h.label = r.label AND h.block = r.block AND h.node = r.edge WHERE before < 0.9 AND p > 0.05), lines AS (SELECT fragment, p, CASE WHEN n1 = 1 THEN ['n' || a, 'r' || r_, 'root'] WHEN n2 = 1 THEN ['r' || r_, 'root'] ELSE ['root'] END AS ids FROM kept), every_ AS (SELECT fragment, p, unnest(ids) AS id FROM lines) SELECT fragment, id, upper(id) AS name, CASE id[1] WHEN 'n' THEN 'nation' WHEN 'r' THEN CASE WHEN id = 'root' THEN 'root' ELSE 'region' END END AS rank, printf('%.4f', sum(p)) AS prob FROM every_ GROUP BY ALL HAVING sum(p) >= 0.5",
+    "insertion_trees": f"WITH {TD} SELECT label, block, n.name, round(d, 6) AS dist FROM nodes n JOIN dist USING (label, block, node) WHERE n.name IS NOT NULL UNION ALL SELECT n.label, n.block, 'q' || n.name, round(CASE WHEN n.name::BIGINT % 3 = 0 THEN x.d - n.length / 2 ELSE y.d - least(n.name::BIGINT % 7 * 0.01, m.length) END + 0.25, 6) FROM nodes n JOIN nodes m ON m.label = n.label AND m.block = n.block AND m.node = n.parent JOIN dist x ON x.label = n.label AND x.block = n.block AND x.node = n.node JOIN dist y ON y.label = n.label AND y.block = n.block AND y.node = n.parent WHERE n.name IS NOT NULL AND n.parent > 1 AND n.name::BIGINT % 3 < 2",
+    "transferred_labels": f"WITH {two()}, o AS (SELECT label, block, canon, min('N' || node) AS name FROM k WHERE node > 1 AND len(s) > 1 GROUP BY ALL) SELECT bk.label, bk.block, bk.node, o.name FROM bk JOIN o USING (label, block, canon) WHERE len(bk.s) > 1",
+    "missed_labels": f"WITH {two()} SELECT k.label, k.block, 'N' || k.node AS name FROM k WHERE k.node > 1 AND len(s) > 1 AND NOT EXISTS (SELECT 1 FROM bk WHERE bk.label = k.label AND bk.block = k.block AND bk.canon = k.canon AND bk.node > 1)",
     "shared_splits": f"WITH {two()}, x AS (SELECT DISTINCT label, block, canon, 1 AS a FROM k WHERE node > 1 AND len(s) > 1 AND len(r) > 1), y AS (SELECT DISTINCT label, block, canon, 1 AS b FROM bk WHERE node > 1 AND len(s) > 1 AND len(r) > 1) SELECT label, block, count(*) FILTER (a = 1 AND b = 1) AS shared, count(*) FILTER (b IS NULL) AS only_a, count(*) FILTER (a IS NULL) AS only_b FROM x FULL JOIN y USING (label, block, canon) GROUP BY ALL",
     "edge_support": f"WITH {TRIO()}, every_ AS (SELECT DISTINCT label, block, 0 AS t, canon FROM k WHERE node > 1 UNION ALL SELECT DISTINCT label, block, 1, canon FROM bk WHERE node > 1 UNION ALL SELECT DISTINCT label, block, 2, canon FROM ck WHERE node > 1), held AS (SELECT label, block, canon, count(*) AS n FROM every_ GROUP BY ALL) SELECT label, block, node, round(n / 3.0, 6) AS support FROM k JOIN held USING (label, block, canon) WHERE node > 1 AND len(s) > 1 AND len(r) > 1",
     "incompatible_splits": f"WITH {two()}, x AS (SELECT label, block, node, s, len(s) AS n FROM k WHERE node > 1 AND len(s) > 1), y AS (SELECT label, block, node AS m, s AS t, len(s) AS o FROM bk WHERE node > 1 AND len(s) > 1), bad AS (SELECT DISTINCT label, block, node FROM x JOIN y USING (label, block) WHERE len(list_intersect(s, t)) > 0 AND len(list_intersect(s, t)) < n AND len(list_intersect(s, t)) < o) SELECT a.label, a.block, count(bad.node) AS incompatible FROM (SELECT DISTINCT label, block FROM nodes) a LEFT JOIN bad USING (label, block) GROUP BY ALL",
