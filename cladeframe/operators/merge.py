@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.functions.ordinals import ordinal
 from cladeframe.functions.sequences import GAP
 
 
@@ -26,8 +27,7 @@ def merged_columns(coords: DataFrame, keys: list[str] = ()) -> DataFrame:
     """EXT2: (…keys, anchor, ord, pos) of the merge: the widest run counts for every anchor."""
     wide = coords.groupBy(*keys, "anchor").agg(F.max("ord").alias("width"), F.max((F.col("ord") == 0).cast("int")).alias("there"))
     cols = wide.select(*keys, "anchor", F.explode(F.when(F.col("there") == 1, F.sequence(F.lit(0), "width")).otherwise(F.sequence(F.lit(1), "width"))).alias("ord"))
-    w = Window.partitionBy(*keys).orderBy("anchor", "ord") if keys else Window.partitionBy(F.lit(0)).orderBy("anchor", "ord")
-    return cols.withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
+    return ordinal(cols, list(keys), ["anchor", "ord"], "pos").withColumn("pos", F.col("pos").cast("int"))
 
 
 def mixed_columns(coords: DataFrame, source: str, keys: list[str] = ()) -> DataFrame:
@@ -41,8 +41,8 @@ def merge(sites: DataFrame, source: str, keys: list[str] = ()) -> DataFrame:
 
     sites: (…keys, source, name, pos, ch, anchor, ord). A name in several inputs keeps the rows of the first source.
     """
-    first = Window.partitionBy(*keys, "name")
-    own = sites.withColumn("_first", F.min(source).over(first)).where(F.col(source) == F.col("_first")).drop("_first")
+    first = sites.groupBy(*keys, "name").agg(F.min(source).alias(source))
+    own = sites.join(first, [*keys, "name", source], "left_semi")
     cols = merged_columns(sites.select(*keys, "anchor", "ord").distinct(), keys)
     return own.where(F.col("ch") != GAP).select(*keys, "name", "anchor", "ord", "ch").join(cols, [*keys, "anchor", "ord"])
 

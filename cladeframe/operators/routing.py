@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.functions.ordinals import ordinal, running
 from cladeframe.functions.sequences import degap, lcm
 
 
@@ -49,9 +50,8 @@ def chunks_per_subset(subsets: int, cpus: int) -> int:
 
 def round_robin(rows: DataFrame, chunks: int | Column, order: list[str], keys: list[str] = ()) -> DataFrame:
     """WN1, WN4: rows with chunk = place in order, modulo chunks, within each of keys."""
-    w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.partitionBy(F.lit(0)).orderBy(*order)
     n = F.lit(chunks) if isinstance(chunks, int) else chunks
-    return rows.withColumn("chunk", ((F.row_number().over(w) - 1) % n).cast("int"))
+    return ordinal(rows, list(keys), order, "chunk").withColumn("chunk", (F.col("chunk") % n).cast("int"))
 
 
 def split_by_length(rows: DataFrame, most: int, seq: str = "seq") -> DataFrame:
@@ -64,16 +64,16 @@ def length_quantile(rows: DataFrame, q: float = -1, seq: str = "seq", keys: list
 
     With n lengths in order and i = floor(n q): the i-th from 0 if n is odd or i the last, else the mean of it and
     the next. For even n that is not the usual median. Counts per length are aggregated first, so the order statistic
-    costs a window over different lengths only.
+    costs running sums over different lengths only.
     """
     n = F.length(degap(seq))
     if q >= 1:
         return rows.groupBy(*keys).agg(F.lit(float(q)).alias("length"))
     q = 0.5 if q == -1 else q
     counts = rows.groupBy(*keys, n.alias("len")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy("len") if keys else Window.partitionBy(F.lit(0)).orderBy("len")
-    every = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(every)).withColumn("i", F.floor(F.col("n") * q))
+    total = counts.groupBy(*keys).agg(F.sum("c").alias("n"))
+    upto = running(counts, list(keys), ["len"], F.col("c"), "upto").withColumn("upto", F.col("upto") + F.col("c"))
+    ranked = (upto.join(total, list(keys)) if keys else upto.withColumn("n", F.lit(total.first()["n"]))).withColumn("i", F.floor(F.col("n") * q))
     has = lambda i: F.max(F.when((F.col("upto") > i) & (F.col("upto") - F.col("c") <= i), F.col("len")))
     out = ranked.groupBy(*keys).agg(has(F.col("i")).alias("a"), has(F.col("i") + 1).alias("b"), F.first("n").alias("n"), F.first("i").alias("i"))
     single = (F.col("n") % 2 == 1) | (F.col("i") == F.col("n") - 1)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.functions.ordinals import ordinal
 from cladeframe.functions.sequences import GAP, letters
 
 
@@ -36,8 +37,7 @@ def is_all_gap(sites: DataFrame, pos: int, keys: list[str] = ()) -> DataFrame:
 
 def renumbered(cols: DataFrame, keys: list[str] = ()) -> DataFrame:
     """cols with new_pos: 0, 1, … in order of pos."""
-    w = Window.partitionBy(*keys).orderBy("pos") if keys else Window.partitionBy(F.lit(0)).orderBy("pos")
-    return cols.withColumn("new_pos", (F.row_number().over(w) - 1).cast("int"))
+    return ordinal(cols, list(keys), ["pos"], "new_pos").withColumn("new_pos", F.col("new_pos").cast("int"))
 
 
 def delete_all_gap(sites: DataFrame, keys: list[str] = ()) -> DataFrame:
@@ -101,9 +101,8 @@ def reset_labels(cols: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 def islands(cols: DataFrame, keys: list[str] = ()) -> DataFrame:
     """GI1: runs of neighbouring positions as inclusive ranges (…keys, first, last)."""
-    w = Window.partitionBy(*keys).orderBy("pos") if keys else Window.partitionBy(F.lit(0)).orderBy("pos")
-    run = F.col("pos") - F.row_number().over(w)
-    return cols.withColumn("_run", run).groupBy(*keys, "_run").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).drop("_run")
+    run = F.col("pos") - F.col("_k")
+    return ordinal(cols, list(keys), ["pos"], "_k").withColumn("_run", run).groupBy(*keys, "_run").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).drop("_run")
 
 
 def ranges_text(ranges: DataFrame, keys: list[str] = ()) -> DataFrame:
