@@ -29,6 +29,16 @@ def path_sums(nodes: DataFrame, node: str, parent: str, columns: list[str]) -> D
     return now.select("tree_id", F.col("node").alias(node), *columns)
 
 
+def path_largest(nodes: DataFrame, column: str) -> DataFrame:
+    """(tree_id, node_id, column): the largest value of the column over the path from every node up to the root's child."""
+    now, left = materialise_and_count(nodes.select("tree_id", "node_id", F.col("parent_id").alias("at"), column), F.col("at").isNotNull())
+    while left:
+        far = now.select("tree_id", F.col("node_id").alias("at"), F.col("at").alias("to"), F.col(column).alias("_v"))
+        both = now.join(far, ["tree_id", "at"], "left").select("tree_id", "node_id", F.col("to").alias("at"), F.greatest(column, "_v").alias(column))
+        now, left = materialise_and_count(both, F.col("at").isNotNull())
+    return now.select("tree_id", "node_id", column)
+
+
 def clade_sums(nodes: DataFrame, node: str, parent: str, columns: list[str]) -> DataFrame:
     """(tree_id, node, …): the sums of columns over every node and all below it.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.lineage import materialise
-from cladeframe.operators import decompose, placement, splits, trees
+from cladeframe.operators import decompose, placement, resolutions, splits, trees
 from cladeframe.sources import documents, newick
 
 from .fixtures import SQL_DENSE, SQL_DIST, SQL_LEAVES, forest, placements, sql_tree, table
@@ -266,6 +266,45 @@ def rerooted_trees(spark, d):
     return trees.diameter(materialise(r)).select(*_id(), F.round("diameter", 5).alias("diameter"))
 
 
+def all_binary_trees(spark, d):
+    """Every binary tree over the nations of a region, as its sorted clades of more than one nation."""
+    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("set_id"), F.format_string("%02d", "n_nationkey").alias("name"))
+    names = n.groupBy("set_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    t = resolutions.all_trees(n).join(names, "set_id")
+    named = lambda c: F.array_join(F.filter(F.col("names"), lambda x, i: F.getbit(c, i) == 1), ",")
+    clades = F.array_sort(F.transform(F.filter("clades", lambda c: F.bit_count(c) > 1), named))
+    return t.select("set_id", F.array_join(clades, ";").alias("clades"))
+
+
+def _quartered(spark, d):
+    """The trees by id without the inner nodes of odd depth: up to four children a node."""
+    n = materialise(trees.root_distance(forest(spark, d)))
+    return materialise(trees.renumber(n.where("is_leaf or depth % 2 = 0").select("tree_id", "node", "name", "length", "leaf_lo", "leaf_hi")))
+
+
+def child_unions(spark, d):
+    """Unions of two or more, but not all, children of nodes with more than two; their leaves and the places of the children."""
+    n = _quartered(spark, d)
+    return resolutions.unions(n).join(n.select("tree_id", "node_id", "node"), ["tree_id", "node_id"]).select(*_id(), "node", "children", F.col("leaves").cast("long").alias("leaves"))
+
+
+def resolved_pieces(spark, d):
+    """How often each union of children is a node of a resolution of the tree's first node with more than two children."""
+    n = _quartered(spark, d)
+    p = resolutions.polytomies(n).groupBy("tree_id").agg(F.min("node_id").alias("node_id"))
+    own = n.join(p.select("tree_id", F.col("node_id").alias("_p")), "tree_id").where("node_id = _p or parent_id = _p")
+    own = own.withColumn("parent_id", F.when(F.col("node_id") != F.col("_p"), F.col("parent_id")))
+    got = resolutions.all_resolutions(own)
+    return got.join(n.select("tree_id", "node_id", "node"), ["tree_id", "node_id"]).groupBy(*_id(), "node", "children").agg(F.count("*").alias("resolutions"))
+
+
+def all_rootings(spark, d):
+    """For every edge as the root: leaves on both sides, and how far the farthest of each is from the edge's middle."""
+    n = forest(spark, d)
+    got = resolutions.directed(n).join(n.select("tree_id", "node_id", "node"), ["tree_id", "node_id"])
+    return got.select(*_id(), "node", "below_leaves", "above_leaves", F.round("below_far", 6).alias("below_far"), F.round("above_far", 6).alias("above_far"))
+
+
 def rerooted_distances(spark, d):
     """Every leaf's distance from the new root in the middle of the middle edge, and whether it lies below that edge."""
     n = forest(spark, d)
@@ -434,7 +473,7 @@ def genealogical_index(spark, d):
 
 NAMES = """node_shapes leaf_positions genealogical_index tree_from_clusters shared_clades collapsed_trees fasta_round_trip stockholm_scan search_report_scan viterbi_align edge_leaf_counts root_distances centroid_edge longest_edge clade_edge product_edge bisected_leaves adjacent_edges leaf_distance tree_diameter nearest_taxa lca_pairs lca_of_sets
 merged_placements edge_taxa classified_placements insertion_trees transferred_labels missed_labels long_branches pruned_trees binary_trees scaled_lengths labelled_nodes newick_round_trip split_relabel shared_splits edge_support incompatible_splits same_leaf_sets decomposed_trees
-decomposed_by_diameter decomposed_by_distance placement_hierarchy midpoint_edges rerooted_trees rerooted_distances placement_normalise placement_threshold best_placements distal_clip taxonomic_rollup classified_fragments
+decomposed_by_diameter decomposed_by_distance placement_hierarchy midpoint_edges rerooted_trees rerooted_distances all_rootings all_binary_trees child_unions resolved_pieces placement_normalise placement_threshold best_placements distal_clip taxonomic_rollup classified_fragments
 jplace_documents event_properties""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
@@ -460,6 +499,8 @@ def two(order: str = "x0") -> str:
 TRIO = lambda: f"{two()}, {sql_tree('c', 'x1')}, ccl AS (SELECT u.label, u.block, u.anc AS node, list_sort(list(n.name)) AS s FROM cup u JOIN cnodes n USING (label, block, node) WHERE n.name IS NOT NULL GROUP BY ALL), ck AS (SELECT c.label, c.block, c.node, least(array_to_string(c.s, '()'), array_to_string(list_filter(every, lambda x: NOT list_contains(c.s, x)), '()')) AS canon FROM ccl c JOIN al USING (label, block))"
 W = "w AS (SELECT l_orderkey AS fragment, l_suppkey AS edge_num, sum(l_extendedprice * (1 - l_discount)) AS w FROM lineitem GROUP BY ALL), p AS (SELECT fragment, edge_num, w / sum(w) OVER (PARTITION BY fragment) AS p FROM w)"
 
+# Children (ord from 0, of k) of the nodes that stay when inner nodes of odd depth go.
+QUARTERS = "keep_ AS (SELECT * FROM lv WHERE name IS NOT NULL OR length(key) % 2 = 1), pa AS (SELECT k.label, k.block, k.node AS child, k.key, k.leaves, max(u.anc) AS node FROM keep_ k JOIN up u ON u.label = k.label AND u.block = k.block AND u.node = k.node AND u.anc < k.node JOIN keep_ p ON p.label = u.label AND p.block = u.block AND p.node = u.anc GROUP BY ALL), kid AS (SELECT *, (row_number() OVER (PARTITION BY label, block, node ORDER BY key) - 1)::INT AS ord, (count(*) OVER (PARTITION BY label, block, node))::INT AS k FROM pa)"
 # The nations and regions of the leaves below every node.
 TAXA = "h AS (SELECT u.label, u.block, u.anc AS node, count(DISTINCT n_nationkey) AS n1, count(DISTINCT n_regionkey) AS n2, min(n_nationkey) AS a, min(n_regionkey) AS r_ FROM up u JOIN nodes n USING (label, block, node) JOIN nation ON n_nationkey = n.name::BIGINT % 25 WHERE n.name IS NOT NULL GROUP BY ALL)"
 # Leaf sets of pieces, round by round. Each round keeps the leaves of pieces that are too large (big: label, block, s, n) and
@@ -508,6 +549,10 @@ ORACLES = {
     "decomposed_by_distance": f"WITH RECURSIVE {differing_pairs()}, {pieces(FAR_BIG, 2)}, {last()} SELECT label, block, name, subset FROM last",
     "placement_hierarchy": f"WITH RECURSIVE {T}, {pieces('big AS (SELECT * FROM sz WHERE n > 24)', 6)}, {last()}, {pieces('big AS (SELECT * FROM sz WHERE n > 8)', 1, start='SELECT label, block, node, subset || chr(124) AS s FROM last', name='part')}, {last('part', 'ends')} SELECT label, block, name, split_part(subset, '|', 1) AS p_id, split_part(subset, '|', 2) AS a_id FROM ends",
     "midpoint_edges": f"WITH {ROOTED} SELECT label, block, c AS node, round(d, 6) AS diameter FROM mid",
+    "all_rootings": f"WITH {LONG}, {SQL_LEAVES}, lk AS (SELECT n.label, n.block, n.node, n.length, l.node AS leaf, l.d AS ld, max(u.anc) AS meet FROM nodes n JOIN lf l ON l.label = n.label AND l.block = n.block JOIN up u ON u.label = n.label AND u.block = n.block AND u.node = n.node JOIN up v ON v.label = n.label AND v.block = n.block AND v.node = l.node AND v.anc = u.anc WHERE n.node > 1 GROUP BY ALL), ds AS (SELECT k.label, k.block, k.node, k.length, meet = k.node AS inside, ld + a.d - 2 * b.d AS d FROM lk k JOIN dist a ON a.label = k.label AND a.block = k.block AND a.node = k.node JOIN dist b ON b.label = k.label AND b.block = k.block AND b.node = k.meet) SELECT ds.label, ds.block, ds.node, any_value(leaves) AS below_leaves, any_value(total - leaves) AS above_leaves, round(max(CASE WHEN inside THEN d END) + any_value(ds.length) / 2, 6) AS below_far, round(max(CASE WHEN NOT inside THEN d END) - any_value(ds.length) / 2, 6) AS above_far FROM ds JOIN lv USING (label, block, node) GROUP BY ALL",
+    "all_binary_trees": "WITH RECURSIVE nm AS (SELECT n_regionkey AS set_id, list(lpad(n_nationkey::VARCHAR, 2, '0') ORDER BY n_nationkey) AS names FROM nation GROUP BY ALL), t AS (SELECT set_id, names, 1 AS i, [[names[1]]] AS clades FROM nm UNION ALL SELECT set_id, names, i + 1, list_concat(list_transform(clades, lambda c: CASE WHEN len(list_intersect(c, e)) = len(e) AND len(c) > len(e) THEN list_append(c, names[i + 1]) ELSE c END), [list_append(e, names[i + 1]), [names[i + 1]]]) FROM (SELECT *, unnest(clades) AS e FROM t WHERE i < len(names))) SELECT set_id, array_to_string(list_sort(list_transform(list_filter(clades, lambda c: len(c) > 1), lambda c: array_to_string(list_sort(c), ','))), ';') AS clades FROM t WHERE i = len(names)",
+    "child_unions": f"WITH {TL}, {QUARTERS}, ms AS (SELECT unnest(range(3, 15)) AS children), pick AS (SELECT q.label, q.block, q.node, k, m.children, sum(leaves) AS leaves, count(*) AS c FROM kid q JOIN ms m ON (m.children >> ord) & 1 = 1 AND m.children < (1 << k) WHERE k > 2 GROUP BY ALL) SELECT label, block, node, children, leaves FROM pick WHERE c > 1 AND c < k",
+    "resolved_pieces": f"WITH {TL}, {QUARTERS}, top AS (SELECT label, block, k, arg_min(q.node, n.key) AS node FROM kid q JOIN nodes n USING (label, block, node) WHERE k > 2 GROUP BY label, block, k), one AS (SELECT t.* FROM top t JOIN nodes n USING (label, block, node) QUALIFY row_number() OVER (PARTITION BY t.label, t.block ORDER BY n.key) = 1), ms AS (SELECT unnest(range(3, 15)) AS children) SELECT label, block, node, children, CASE WHEN k = 3 THEN 1 ELSE 3 END AS resolutions FROM one JOIN ms ON children < (1 << k) AND bit_count(children) BETWEEN 2 AND k - 1",
     "rerooted_distances": f"WITH {ROOTED}, m AS (SELECT m.label, m.block, m.c, q.d AS dc, k.length AS len FROM mid m JOIN dist q ON q.label = m.label AND q.block = m.block AND q.node = m.c JOIN nodes k ON k.label = m.label AND k.block = m.block AND k.node = m.c), lc AS (SELECT l.label, l.block, l.name, l.d, m.c, m.dc, m.len, max(u.anc) AS meet FROM lf l JOIN m ON m.label = l.label AND m.block = l.block JOIN up u ON u.label = l.label AND u.block = l.block AND u.node = l.node JOIN up v ON v.label = l.label AND v.block = l.block AND v.node = m.c AND v.anc = u.anc GROUP BY ALL) SELECT lc.label, lc.block, name, meet = c AS below, round(CASE WHEN meet = c THEN lc.d - dc + len / 2 ELSE lc.d + dc - 2 * q.d - len / 2 END, 6) AS dist FROM lc JOIN dist q ON q.label = lc.label AND q.block = lc.block AND q.node = lc.meet",
     "node_shapes": f"WITH {TL}, ch AS (SELECT label, block, parent AS node, count(*) AS c FROM nodes WHERE parent IS NOT NULL GROUP BY ALL), dp AS (SELECT u.label, u.block, u.anc AS node, max(length(n.key)) AS deep FROM up u JOIN nodes n USING (label, block, node) WHERE n.name IS NOT NULL GROUP BY ALL) SELECT n.label, n.block, n.node, coalesce(c, 0) AS children, coalesce(c, 0) + CASE WHEN n.parent IS NULL THEN 0 ELSE 1 END AS degree, CASE WHEN n.parent IS NULL THEN 0 ELSE 1 END AS siblings, length(n.key) - 1 AS depth, deep - length(n.key) AS height FROM nodes n LEFT JOIN ch USING (label, block, node) JOIN dp USING (label, block, node)",
     "leaf_positions": f"WITH {T} SELECT label, block, name, (row_number() OVER (PARTITION BY label, block ORDER BY name) - 1)::INT AS position FROM nodes WHERE name IS NOT NULL",

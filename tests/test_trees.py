@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions import ordinals
 from cladeframe.functions.lineage import materialise
-from cladeframe.operators import decompose, splits, trees
+from cladeframe.operators import decompose, resolutions, splits, trees
 from cladeframe.sources import newick
 
 
@@ -196,3 +196,51 @@ def test_ordinals_within_hot_keys(spark):
             assert (r.i, r.s) == (n, s)
             by[r.k if keys else 0] = (n + 1, s + r.v)
     assert ordinals.ordinal(rows.limit(0), [], ["o"], "i").count() == 0
+
+
+def test_all_binary_trees_are_different_and_whole(spark):
+    sets = spark.createDataFrame([(n, f"t{i}") for n in range(1, 8) for i in range(n)] + [(2, None), (3, "t0")], "set_id int, name string")
+    got = {}
+    for r in resolutions.all_trees(sets).collect():
+        got.setdefault(r.set_id, []).append(frozenset(r.clades))
+    for n in range(1, 8):
+        assert len(got[n]) == len(set(got[n])) == resolutions.count_of_trees(n)
+        for t in got[n]:
+            assert len(t) == 2 * n - 1 and all(not a & b or a & b in (a, b) for a in t for b in t)
+    assert resolutions.count_of_trees(8) == 135135
+    with pytest.raises(Exception, match="too many"):
+        resolutions.all_trees(spark.createDataFrame([(0, f"t{i}") for i in range(13)], "set_id int, name string")).collect()
+
+
+def test_resolutions_and_unions_of_polytomies(spark):
+    t = parse(spark, "((a,b,c),(d,e),f,g);", "((a,b),c);")
+    got = {}
+    for r in resolutions.all_resolutions(t).collect():
+        got.setdefault((r.tree_id, r.number), set()).add((r.node_id, r.children))
+    assert len(got) == 3 * 15 and len({frozenset(v) for v in got.values()}) == 45 and all(k[0] == 0 for k in got)
+    assert all(len(v) == 1 + 2 for v in got.values())
+    u = resolutions.unions(t).collect()
+    k = {r.node_id: r for r in splits.keyed(t.where("tree_id = 0")).collect()}
+    assert len(u) == 3 + 10 and {r.tree_id for r in u} == {0}
+    for r in u:
+        kids = sorted((x for x in k.values() if x.parent_id == r.node_id), key=lambda x: x.child_ord)
+        own = [x for i, x in enumerate(kids) if r.children >> i & 1]
+        x, y = 0, 0
+        for c in own:
+            x, y = x ^ c.clade.x, y ^ c.clade.y
+        assert (r.clade.x, r.clade.y, r.leaves) == (x, y, sum(c.leaves for c in own))
+
+
+def test_rootings_match_rerooted_trees(spark):
+    rng = random.Random(12)
+    t = random_trees(spark, rng, (9,))
+    far = {(r.a, r.b): r.d for r in trees.leaf_distances(t).collect()}
+    rows = {r.node_id: r for r in t.collect()}
+    s, up = leaf_sets(rows.values())
+    ids = {r.name: n for n, r in rows.items() if r.is_leaf}
+    for r in resolutions.directed(t).orderBy("node_id").collect()[::5]:
+        rooted = materialise(trees.from_parents(trees.reroot(t, spark.createDataFrame([(0, r.node_id)], "tree_id int, node_id int"))))
+        deep = {x.name: x.dist for x in trees.root_distance(rooted).where("is_leaf").collect()}
+        below, above = [deep[n] for n in s[r.node_id]], [deep[n] for n in ids if n not in s[r.node_id]]
+        assert (r.below_leaves, r.above_leaves) == (len(below), len(above))
+        assert r.below_far == pytest.approx(max(below)) and r.above_far == (pytest.approx(max(above)) if above else None)
