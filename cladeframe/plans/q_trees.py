@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.lineage import materialise
+from cladeframe.functions.ordinals import ordinal
 from cladeframe.operators import decompose, placement, resolutions, splits, trees
 from cladeframe.sources import documents, newick
 
@@ -417,11 +418,12 @@ def stockholm_scan(spark, d):
 
     lower = dense(spark, d).withColumn("ch", F.when(F.col("pos") % 5 == 4, F.when(F.col("ch") == "-", ".").otherwise(F.lower("ch"))).otherwise(F.col("ch")))
     rows = sites.to_rows(lower, KEYS)
+    # Lines are rows; no file is ever one row.
     line = lambda a, n: F.concat(F.col("name").cast("string"), F.lit(" "), F.substr("seq", F.lit(a), F.lit(n)))
-    part = lambda a, n: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", line(a, n).alias("l")))), lambda s: s["l"]), "\n")
-    file = rows.groupBy(*KEYS).agg(part(1, 32).alias("a"), part(33, 64).alias("b"))
-    body = F.concat(F.lit("# STOCKHOLM 1.0\n\n"), "a", F.lit("\n\n"), "b", F.lit("\n//\nignored text"))
-    seqs, cols = text.stockholm(text.numbered(file.select(F.concat_ws(":", *KEYS).alias("file"), body.alias("text"))))
+    body = rows.select(F.concat_ws(":", *KEYS).alias("file"), F.inline(F.array(F.struct(F.lit(2).alias("part"), "name", line(1, 32).alias("line")), F.struct(F.lit(4).alias("part"), "name", line(33, 64).alias("line")))))
+    other = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(0).cast("long").alias("name"), F.lit(t).alias("line")) for p, t in ((0, "# STOCKHOLM 1.0"), (1, ""), (3, ""), (5, "//"), (6, "ignored text"))])
+    around = rows.select(F.concat_ws(":", *KEYS).alias("file")).distinct().select("file", F.inline(other))
+    seqs, cols = text.stockholm(ordinal(body.unionByName(around), ["file"], ["part", "name"], "ln").select("file", "ln", "line"))
     kept = cols.where("label >= 0").groupBy("file").agg(F.count("*").alias("original"))
     return seqs.join(kept, "file").select("file", F.col("name").cast("long").alias("name"), "seq", "original")
 

@@ -8,14 +8,26 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladeframe.functions.lineage import materialise
+from cladeframe.functions.ordinals import running
 from cladeframe.functions.sequences import normalise
 
+STRETCH = 1 << 14
+
 
 def lines(spark: SparkSession, path: str, files: str | None = None) -> DataFrame:
-    """(file, ln, line) of text files. A file is read whole by one task, which is what numbers its lines."""
+    """(file, ln, line) of text files, ln from 0. Files of any size are divided among tasks.
+
+    The reader tells of every line in which block of its file it begins, and reads a block in order. Lines are counted by
+    block; a line's number is its place in its block after all lines of the blocks before.
+    """
     r = spark.read
-    t = (r.option("pathGlobFilter", files) if files else r).text(path, wholetext=True)
-    return numbered(t.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
+    t = (r.option("pathGlobFilter", files) if files else r).text(path)
+    t = materialise(t.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")))
+    blocks = t.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    w = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    offset = blocks.select("file", "start", "first", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    return t.join(offset, ["file", "start"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("ln"), "line")
 
 
 def numbered(texts: DataFrame) -> DataFrame:
@@ -26,10 +38,10 @@ def numbered(texts: DataFrame) -> DataFrame:
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """SRC1: (name, seq, file_pos) of FASTA files, split at record starts by the reader itself.
 
-    Files of any size are divided among tasks: a record ends where a line begins with ">". file_pos orders records of
-    one read. Text before the first header, or an empty header, is an error; an empty file has no rows.
+    Files of any size are divided among tasks: a record ends where a line begins with ">". file_pos, of file, block and
+    place, orders records of one read. Text before the first header, or an empty header, is an error; an empty file has no rows.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("value").alias("r"), F.monotonically_increasing_id().alias("file_pos"), F.col("_metadata.file_block_start").alias("_start"))
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("value").alias("r"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")).alias("file_pos"))
     return fasta_records(raw)
 
 
@@ -56,22 +68,28 @@ def stockholm(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Blocks are runs of "key text" lines between blank or # lines; reading ends at //. "." becomes "-". A column is an
     insertion (label -1) where the first row of its block has a lower-case letter, "*" or "."; the others are
-    numbered from 0.
+    numbered from 0. Lines of one file are divided among tasks; rows of a name and columns of a block meet in one.
     """
-    w = Window.partitionBy("file").orderBy("ln")
-    x = rows.withColumn("over", F.max((F.trim("line") == "//").cast("int")).over(w)).where("over = 0")
-    data = ~F.col("line").rlike(r"^\s*(#|$)")
-    x = x.withColumn("data", data).withColumn("starts", (F.col("data") & ~F.coalesce(F.lag("data").over(w), F.lit(False))).cast("int"))
-    x = x.withColumn("block", F.sum("starts").over(w)).where("data")
-    x = x.select("file", "ln", "block", F.regexp_extract("line", r"^\s*(\S+)\s+(\S+)", 1).alias("name"), F.regexp_extract("line", r"^\s*(\S+)\s+(\S+)", 2).alias("part"))
+    end = rows.where(F.trim("line") == "//").groupBy("file").agg(F.min("ln").alias("end"))
+    x = rows.join(end, "file", "left").where("end is null or ln < end").select("file", F.col("ln").cast("long").alias("ln"), "line", (~F.col("line").rlike(r"^\s*(#|$)")).alias("data"))
+    x = materialise(x.withColumn("stretch", F.floor(F.col("ln") / STRETCH).cast("long")))
+    # A block starts at a data line after another kind of line. What stands before a stretch of lines comes by a join.
+    before = x.where((F.col("ln") + 1) % STRETCH == 0).select("file", (F.col("stretch") + 1).alias("stretch"), F.col("data").alias("edge"))
+    w = Window.partitionBy("file", "stretch").orderBy("ln")
+    lagged = x.withColumn("prev", F.lag("data").over(w)).join(before, ["file", "stretch"], "left")
+    starts = lagged.withColumn("starts", (F.col("data") & ~F.coalesce("prev", F.when(F.col("ln") % STRETCH == 0, F.col("edge")), F.lit(False))).cast("int"))
+    x = running(starts.where("data"), ["file"], ["ln"], F.col("starts"), "block").withColumn("block", F.col("block") + F.col("starts"))
+    x = materialise(x.select("file", "ln", "block", F.regexp_extract("line", r"^\s*(\S+)\s+(\S+)", 1).alias("name"), F.regexp_extract("line", r"^\s*(\S+)\s+(\S+)", 2).alias("part")))
     chunks = F.array_sort(F.collect_list(F.struct("ln", "part")))
     seqs = x.groupBy("file", "name").agg(F.replace(F.array_join(F.transform(chunks, lambda c: c["part"]), ""), F.lit("."), F.lit("-")).alias("seq"))
     first = x.groupBy("file", "block").agg(F.min_by("part", "ln").alias("part"))
-    cols = first.select("file", "block", F.posexplode(F.filter(F.split("part", ""), lambda c: c != "")).alias("k", "c"))
-    v = Window.partitionBy("file").orderBy("block", "k")
-    cols = cols.withColumn("pos", F.row_number().over(v) - 1).withColumn("own", ~F.col("c").rlike("[a-z*.]"))
-    label = F.when(F.col("own"), F.sum(F.col("own").cast("int")).over(v) - 1).otherwise(-1)
-    return seqs, cols.select("file", "pos", label.cast("int").alias("label"))
+    # Columns before a block, and how many of them are no insertions, are running sums over blocks.
+    size = running(first, ["file"], ["block"], F.length("part"), "before")
+    size = running(size, ["file"], ["block"], F.regexp_count("part", F.lit("[^a-z*.]")), "own_before")
+    cols = size.select("file", "block", "before", "own_before", F.posexplode(F.filter(F.split("part", ""), lambda c: c != "")).alias("k", "c")).withColumn("own", ~F.col("c").rlike("[a-z*.]"))
+    v = Window.partitionBy("file", "block").orderBy("k")
+    label = F.when(F.col("own"), F.col("own_before") + F.sum(F.col("own").cast("int")).over(v) - 1).otherwise(-1)
+    return seqs, cols.select("file", (F.col("before") + F.col("k")).cast("int").alias("pos"), label.cast("int").alias("label"))
 
 
 def search_hits(rows: DataFrame) -> DataFrame:
@@ -107,7 +125,7 @@ def taxonomy(spark: SparkSession, path: str) -> DataFrame:
 def mapping(spark: SparkSession, path: str) -> DataFrame:
     """SRC15: (name, tax_id), the last of a name's rows."""
     t = spark.read.csv(path, header=True)
-    m = t.select(F.col(f"`{t.columns[0]}`").alias("name"), F.col(f"`{t.columns[1]}`").alias("tax_id"), F.monotonically_increasing_id().alias("at"))
+    m = t.select(F.col(f"`{t.columns[0]}`").alias("name"), F.col(f"`{t.columns[1]}`").alias("tax_id"), F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
     return m.groupBy("name").agg(F.max_by("tax_id", "at").alias("tax_id"))
 
 

@@ -63,6 +63,36 @@ def test_other_formats(spark, tmp_path):
     assert rows_of(lengths, "edge_num", "length") == [(0, 0.5), (1, 2.0), (2, 0.001)]
 
 
+def test_lines_and_alignments_of_divided_files(spark, tmp_path, monkeypatch):
+    """Files cut to many small blocks have the same lines, and an alignment over them the same rows and columns."""
+    from cladeframe.sources import text as source
+
+    r = random.Random(2)
+    names, blocks = [f"s{i}" for i in range(40)], []
+    for _ in range(6):
+        n = r.randint(3, 40)
+        blocks.append({x: "".join(r.choice("ACGTacgt.-*") for _ in range(n)) for x in names})
+    body = "# STOCKHOLM 1.0\n\n" + "\n\n".join("\n".join(f"{x} {b[x]}" for x in names) for b in blocks) + "\n//\nlate AAA\n"
+    (tmp_path / "a.sto").write_text(body)
+    (tmp_path / "b.sto").write_text("x AC\ny a-\n")
+    monkeypatch.setattr(source, "STRETCH", 16)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = materialise(text.lines(spark, str(tmp_path / "*.sto")).withColumn("file", F.regexp_extract("file", r"([^/]+)$", 1)))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.line for r in got.where("file = 'a.sto'").orderBy("ln").collect()] == body.split("\n")[:-1]
+    assert [r.ln for r in got.where("file = 'b.sto'").orderBy("ln").collect()] == [0, 1]
+    seqs, cols = text.stockholm(got)
+    assert {(r.file, r.name): r.seq for r in seqs.collect()} == {**{("a.sto", x): "".join(b[x] for b in blocks).replace(".", "-") for x in names}, ("b.sto", "x"): "AC", ("b.sto", "y"): "a-"}
+    first, want, k = "".join(b["s0"] for b in blocks), [], 0
+    for c in first:
+        want.append(k if c in "ACGT-" else -1)
+        k += c in "ACGT-"
+    assert [r.label for r in cols.where("file = 'a.sto'").orderBy("pos").collect()] == want
+    assert [r.pos for r in cols.where("file = 'a.sto'").orderBy("pos").collect()] == list(range(len(first)))
+
+
 def test_search_reports_stay_rows(spark):
     from cladeframe.plans import q_trees
 
