@@ -55,6 +55,16 @@ def forest(spark: SparkSession, sf_dir: str, order: str = "vec_id") -> DataFrame
     return materialise(trees.from_parents(parents(spark, sf_dir, order)))
 
 
+def forests(spark: SparkSession, sf_dir: str, *orders: str) -> list[DataFrame]:
+    """The forests of several orders, whose node tables are made together."""
+    all_ = None
+    for o in orders:
+        p = parents(spark, sf_dir, o).withColumn("tree_id", F.struct("tree_id.label", "tree_id.block", F.lit(o).alias("o")))
+        all_ = p if all_ is None else all_.unionByName(p)
+    made = materialise(trees.from_parents(all_))
+    return [made.where(F.col("tree_id.o") == o).withColumn("tree_id", F.struct("tree_id.label", "tree_id.block")) for o in orders]
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fragment, subset, bitscore, evalue): users against event types."""
     e = table(spark, sf_dir, "events").where("user_id is not null")

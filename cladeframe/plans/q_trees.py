@@ -10,7 +10,7 @@ from cladeframe.functions.ordinals import ordinal
 from cladeframe.operators import decompose, placement, resolutions, splits, trees
 from cladeframe.sources import documents, newick
 
-from .fixtures import SQL_DENSE, SQL_DIST, SQL_LEAVES, forest, placements, sql_tree, table
+from .fixtures import SQL_DENSE, SQL_DIST, SQL_LEAVES, forest, forests, placements, sql_tree, table
 
 def _id():
     return [F.col("tree_id.label").alias("label"), F.col("tree_id.block").alias("block")]
@@ -131,7 +131,7 @@ def newick_round_trip(spark, d):
 
 def split_relabel(spark, d):
     """Edges of the tree over ranks by id, matched to those of the same block's tree over ranks by first component."""
-    a, b = forest(spark, d), forest(spark, d, "x0")
+    a, b = forests(spark, d, "vec_id", "x0")
     moved = splits.relabel_edges(numbered(a), numbered(b))
     return moved.select(*_id(), F.pmod("edge_num", F.lit(4096)).cast("int").alias("node"), F.pmod("to_edge", F.lit(4096)).cast("int").alias("other"))
 
@@ -144,7 +144,7 @@ def numbered(nodes):
 
 def merged_placements(spark, d):
     """Every leaf placed on its own edge of the tree by id, moved to the tree by first component, distal lengths clipped."""
-    a, b = numbered(forest(spark, d)), numbered(forest(spark, d, "x0"))
+    a, b = map(numbered, forests(spark, d, "vec_id", "x0"))
     p = a.where("is_leaf and edge_num is not null").select(F.col("tree_id").alias("doc_id"), F.col("name").cast("long").alias("fragment"), "edge_num", F.lit(0.1).alias("distal_length"))
     got = placement.merge_documents(p, a, b)
     return got.select("doc_id.label", "doc_id.block", "fragment", F.pmod("edge_num", F.lit(4096)).cast("int").alias("edge"), F.round("distal_length", 6).alias("distal"))
@@ -197,30 +197,31 @@ def insertion_trees(spark, d):
 
 def transferred_labels(spark, d):
     """Names of the inner nodes of the trees by id, given to the nodes of the trees by first component with the same split."""
-    old = forest(spark, d).withColumn("name", F.when(F.col("is_leaf"), F.col("name")).otherwise(F.concat(F.lit("N"), "node")))
-    got = splits.transfer_labels(old, forest(spark, d, "x0"))
+    old, new = forests(spark, d, "vec_id", "x0")
+    old = old.withColumn("name", F.when(F.col("is_leaf"), F.col("name")).otherwise(F.concat(F.lit("N"), "node")))
+    got = splits.transfer_labels(old, new)
     return got.where("not is_leaf and name is not null").select(*_id(), "node", "name")
 
 
 def missed_labels(spark, d):
-    old = forest(spark, d).withColumn("name", F.when(F.col("is_leaf"), F.col("name")).otherwise(F.concat(F.lit("N"), "node")))
-    return splits.missed_labels(old, forest(spark, d, "x0")).select(*_id(), "name")
+    old, new = forests(spark, d, "vec_id", "x0")
+    old = old.withColumn("name", F.when(F.col("is_leaf"), F.col("name")).otherwise(F.concat(F.lit("N"), "node")))
+    return splits.missed_labels(old, new).select(*_id(), "name")
 
 
 def shared_splits(spark, d):
-    return splits.shared_splits(forest(spark, d), forest(spark, d, "x0")).select(*_id(), "shared", "only_a", "only_b")
+    return splits.shared_splits(*forests(spark, d, "vec_id", "x0")).select(*_id(), "shared", "only_a", "only_b")
 
 
 def edge_support(spark, d):
     """Support of each block's inner edges among the block's three trees: by id, by first and by second component."""
-    fam = lambda o, k: forest(spark, d, o).withColumn("family", F.col("tree_id")).withColumn("tree_id", F.lit(k))
-    ref = fam("vec_id", 0)
-    got = splits.edge_support(ref, ref.unionByName(fam("x0", 1)).unionByName(fam("x1", 2)))
+    ref, one, two_ = [t.withColumn("family", F.col("tree_id")).withColumn("tree_id", F.lit(k)) for k, t in enumerate(forests(spark, d, "vec_id", "x0", "x1"))]
+    got = splits.edge_support(ref, ref.unionByName(one).unionByName(two_))
     return got.join(ref.select("family", "node_id", "node"), ["family", "node_id"]).select(F.col("family.label").alias("label"), F.col("family.block").alias("block"), "node", F.round("support", 6).alias("support"))
 
 
 def incompatible_splits(spark, d):
-    return splits.incompatible_clusters(forest(spark, d), forest(spark, d, "x0")).select(*_id(), "incompatible")
+    return splits.incompatible_clusters(*forests(spark, d, "vec_id", "x0")).select(*_id(), "incompatible")
 
 
 def same_leaf_sets(spark, d):
@@ -369,6 +370,20 @@ def jplace_documents(spark, d):
     return back.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_distinct("fragment").alias("fragments"), F.round(F.sum("lwr"), 2).alias("lwr"), F.round(F.sum("distal_length"), 2).alias("distal"))
 
 
+def jplace_rows(spark, d):
+    """Documents with several records of one fragment each, written as JSON and read back: all rows."""
+    p = placements(spark, d).select(F.col("edge_num").cast("string").alias("doc_id"), F.format_string("f%d", F.col("fragment") % 50).alias("fragment"), F.col("fragment").alias("record"), F.col("fragment").cast("int").alias("edge_num"), F.lit(-1.5).alias("likelihood"), "lwr", "distal_length", F.lit(0.25).alias("pendant_length"))
+    back = documents.from_jplace(documents.to_jplace(p))
+    return back.select("doc_id", "fragment", "edge_num", "likelihood", "lwr", "distal_length", "pendant_length", "copies")
+
+
+def jplace_faults(spark, d):
+    """Documents of which some are cut off or lack their fields, and what is said of them."""
+    o = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("doc_id"), F.col("s_suppkey").alias("k"))
+    body = F.when(F.col("k") % 5 == 0, '{"tree": "t", "placements": [{"p": [[1').when(F.col("k") % 7 == 0, '{"tree": "t", "placements": []}').when(F.col("k") % 11 == 0, F.lit(None).cast("string")).otherwise('{"tree": "t", "fields": ["edge_num"], "placements": []}')
+    return documents.faults(o.select("doc_id", body.alias("json")))
+
+
 def event_properties(spark, d):
     e = table(spark, d, "events")
     return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
@@ -385,8 +400,8 @@ def tree_from_clusters(spark, d):
 
 
 def shared_clades(spark, d):
-    n = forest(spark, d)
-    return _named(n, splits.shared_clades(n, forest(spark, d, "x0")), "leaves")
+    n, other = forests(spark, d, "vec_id", "x0")
+    return _named(n, splits.shared_clades(n, other), "leaves")
 
 
 def collapsed_trees(spark, d):
@@ -476,7 +491,7 @@ def genealogical_index(spark, d):
 NAMES = """node_shapes leaf_positions genealogical_index tree_from_clusters shared_clades collapsed_trees fasta_round_trip stockholm_scan search_report_scan viterbi_align edge_leaf_counts root_distances centroid_edge longest_edge clade_edge product_edge bisected_leaves adjacent_edges leaf_distance tree_diameter nearest_taxa lca_pairs lca_of_sets
 merged_placements edge_taxa classified_placements insertion_trees transferred_labels missed_labels long_branches pruned_trees binary_trees scaled_lengths labelled_nodes newick_round_trip split_relabel shared_splits edge_support incompatible_splits same_leaf_sets decomposed_trees
 decomposed_by_diameter decomposed_by_distance placement_hierarchy midpoint_edges rerooted_trees rerooted_distances all_rootings all_binary_trees child_unions resolved_pieces placement_normalise placement_threshold best_placements distal_clip taxonomic_rollup classified_fragments
-jplace_documents event_properties""".split()
+jplace_documents jplace_rows jplace_faults event_properties""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 T, TL, TD = sql_tree(), f"{sql_tree()}, {SQL_LEAVES}", f"{sql_tree()}, {SQL_DIST}"
@@ -603,6 +618,8 @@ ORACLES = {
     "taxonomic_rollup": f"WITH {W}, t AS (SELECT fragment, unnest(['s' || s_suppkey, 'n' || n_nationkey, 'r' || n_regionkey, 'root']) AS tax_id, p FROM p JOIN supplier ON s_suppkey = edge_num JOIN nation ON n_nationkey = s_nationkey) SELECT fragment, tax_id, round(sum(p), 6) AS p FROM t GROUP BY ALL",
     "classified_fragments": f"WITH {W}, t AS (SELECT fragment, unnest([{{'i': 's' || s_suppkey, 'r': 'supplier'}}, {{'i': 'n' || n_nationkey, 'r': 'nation'}}, {{'i': 'r' || n_regionkey, 'r': 'region'}}, {{'i': 'root', 'r': 'root'}}]) AS x, round(p, 6) AS p FROM p JOIN supplier ON s_suppkey = edge_num JOIN nation ON n_nationkey = s_nationkey) SELECT fragment, x.i AS id, upper(x.i) AS name, x.r AS rank FROM t GROUP BY ALL HAVING round(sum(p), 5) >= 0.7",
     "jplace_documents": "SELECT l_suppkey::VARCHAR AS doc_id, count(*) AS rows, count(DISTINCT l_orderkey) AS fragments, round(sum(l_extendedprice), 2) AS lwr, round(sum(l_quantity), 2) AS distal FROM lineitem GROUP BY ALL",
+    "jplace_rows": "SELECT l_suppkey::VARCHAR AS doc_id, 'f' || l_orderkey % 50 AS fragment, l_orderkey::INT AS edge_num, -1.5::DOUBLE AS likelihood, l_extendedprice AS lwr, l_quantity AS distal_length, 0.25::DOUBLE AS pendant_length, 1.0::DOUBLE AS copies FROM lineitem",
+    "jplace_faults": "SELECT s_suppkey::VARCHAR AS doc_id, CASE WHEN s_suppkey % 5 = 0 THEN 'malformed' WHEN s_suppkey % 7 = 0 THEN 'no fields' ELSE 'no text' END AS fault FROM supplier WHERE s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 OR s_suppkey % 11 = 0",
     "event_properties": "SELECT event_id, (props ->> 'k')::BIGINT AS k FROM events",
 }
 ORACLES = {k: v for k, v in ORACLES.items() if v}

@@ -18,7 +18,7 @@ def read(spark: SparkSession, path: str, pattern: str = "*.{json,jplace}") -> Da
 def from_jplace(docs: DataFrame) -> DataFrame:
     """SRC11: (doc_id, json) to (doc_id, fragment, edge_num, likelihood, lwr, distal_length, pendant_length, copies).
 
-    Columns of p are found by their names in `fields`. Malformed documents give no rows. A fragment's multiplicity
+    Columns of p are found by their names in `fields`. Malformed documents give no rows: `faults` tells of them. A fragment's multiplicity
     (nm) is `copies`, 1 where there is none.
     """
     x = docs.select("doc_id", F.from_json("json", SCHEMA).alias("d")).where("d.placements is not null and d.fields is not null")
@@ -30,10 +30,22 @@ def from_jplace(docs: DataFrame) -> DataFrame:
     return x.select("doc_id", F.col("name.n").alias("fragment"), at("edge_num").cast("int").alias("edge_num"), at("likelihood").alias("likelihood"), at("like_weight_ratio").alias("lwr"), at("distal_length").alias("distal_length"), at("pendant_length").alias("pendant_length"), F.col("name.k").alias("copies"))
 
 
+def faults(docs: DataFrame) -> DataFrame:
+    """(doc_id, fault) of documents (doc_id, json) that from_jplace cannot read: no text, malformed, no placements, no fields."""
+    d = docs.select("doc_id", "json", F.from_json("json", SCHEMA + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("d"))
+    fault = F.when(F.col("json").isNull(), "no text").when(F.col("d").isNull() | F.col("d._bad").isNotNull(), "malformed").when(F.col("d.placements").isNull(), "no placements").when(F.col("d.fields").isNull(), "no fields")
+    return d.select("doc_id", fault.alias("fault")).where("fault is not null")
+
+
 def to_jplace(placements: DataFrame, trees: DataFrame | None = None, keys: str = "doc_id") -> DataFrame:
-    """SNK8: (doc_id, json) from placements, with the documents' trees (doc_id, newick) if given; fragments by name."""
+    """SNK8: (doc_id, json) from placements, with the documents' trees (doc_id, newick) if given; fragments by name.
+
+    Rows with a column `record` that differs are records of their own, even if their fragments have one name; without that
+    column all rows of a name are one record.
+    """
     row = F.array(F.col("edge_num").cast("double"), "likelihood", "lwr", "distal_length", "pendant_length")
-    per = placements.groupBy(keys, "fragment").agg(F.array_sort(F.collect_list(row)).alias("p"))
+    own = ["record"] if "record" in placements.columns else []
+    per = placements.groupBy(keys, "fragment", *own).agg(F.array_sort(F.collect_list(row)).alias("p"))
     docs = per.groupBy(keys).agg(F.array_sort(F.collect_list(F.struct("fragment", "p"))).alias("all"))
     docs = docs.join(trees, keys, "left") if trees is not None else docs.withColumn("newick", F.lit(None).cast("string"))
     body = F.struct(
