@@ -145,16 +145,18 @@ def plan(rows: DataFrame, powers: dict[str, float] = POWERS, keep: float = KEEP,
     return cut(probabilities(raked, keep).select("source", "lang", "topic", F.round(F.col("w") / F.col("tokens"), 6).alias("weight"), "p"))
 
 
-def mix(docs: DataFrame, powers: dict[str, float] = POWERS, keep: float = KEEP, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, powers: dict[str, float] = POWERS, keep: float = KEEP, rounds: int = ROUNDS, seed: int = SEED, exact: bool = False) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, tokens, weight, p, kept.
 
-    weight is the cell's raked share of tokens over its share in the corpus; kept is decided by a hash of doc_id, so
+    With `exact` the probabilities are calibrated under their bound of 1, so that the sample meets the targets and keeps as
+    much as that allows; else raked weights are scaled to keep `keep` of all tokens and cut off at 1. weight is the cell's raked share of tokens over its share in the corpus; kept is decided by a hash of doc_id, so
     copies of an id share one fate and every run gives the same sample. Null source or lang counts as `unknown`, a
     null text has no tokens. Documents without tokens whose cell has none are not kept (weight and p 0). An empty
     table gives an empty result; other columns are ignored.
     """
     rows = cut(described(docs))
-    out = rows.join(plan(rows, powers, keep, rounds), ["source", "lang", "topic"], "left").fillna({"weight": 0.0, "p": 0.0})
+    cell = calibrated(rows, powers, keep, rounds).withColumns({c: F.round(c, 6) for c in ("weight", "p")}) if exact else plan(rows, powers, keep, rounds)
+    out = rows.join(cell, ["source", "lang", "topic"], "left").fillna({"weight": 0.0, "p": 0.0})
     out = out.withColumn("kept", unit_hash(F.col("doc_id"), seed=seed) < F.col("p"))
     return out.select("doc_id", "source", "lang", "topic", "tokens", "weight", "p", "kept")
 
@@ -177,7 +179,7 @@ def keep_sampled(docs: DataFrame, powers: dict[str, float] = POWERS, keep: float
 
 
 def op5_proportional_fitting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents"), exact=True)
 
 
 def op5_sql() -> str:
@@ -187,12 +189,23 @@ def op5_sql() -> str:
             f"JOIN (SELECT {dim}, sum(w) AS now FROM {before} GROUP BY {dim}) n USING ({dim}) JOIN goal_{dim} g USING ({dim}))"
         )
 
-    steps, before, k = [], "c0", 0
+    full = "w >= cap * (1 - 1e-12)"
+
+    def bounded(k: int, dim: str, before: str) -> str:
+        return (
+            f"b{k} AS MATERIALIZED (SELECT b.k, b.share, b.source, b.lang, b.topic, b.tokens, b.cap, CASE WHEN target > held + free AND {full} THEN w ELSE "
+            f"least(cap, w * CASE WHEN target > held + free THEN coalesce((target - held) / nullif(free, 0), 1) ELSE target / (held + free) END) END AS w FROM {before} b "
+            f"JOIN (SELECT k, {dim}, sum(CASE WHEN {full} THEN w ELSE 0 END) AS held, sum(CASE WHEN {full} THEN 0 ELSE w END) AS free FROM {before} GROUP BY k, {dim}) n USING (k, {dim}) JOIN goal_{dim} g USING ({dim}))"
+        )
+
+    steps, before, k, most = [], "c0", 0, []
     for _ in range(ROUNDS):
         for dim in POWERS:
             k += 1
-            steps.append(margin(k, dim, before))
+            steps += [margin(k, dim, before), bounded(k, dim, f"b{k - 1}")]
             before = f"c{k}"
+    most = ", ".join(f"(SELECT min(n / target) FROM share_{d} JOIN goal_{d} USING ({d}))" for d in POWERS)
+    off = " UNION ALL ".join(f"SELECT k, max(abs(now / target - 1)) AS off FROM (SELECT k, {d}, sum(w) AS now FROM b{k} GROUP BY k, {d}) JOIN goal_{d} USING ({d}) GROUP BY k" for d in POWERS)
     goals = ", ".join(
         f"share_{d} AS (SELECT {d}, sum(tokens) AS n, pow(sum(tokens), {a}) AS p FROM c0 GROUP BY {d}), "
         f"goal_{d} AS MATERIALIZED (SELECT {d}, p / (SELECT sum(p) FROM share_{d}) * (SELECT sum(n) FROM share_{d}) AS target FROM share_{d})"
@@ -207,12 +220,14 @@ rows_ AS MATERIALIZED (
     WHEN contains(t, 'rights reserved') OR contains(t, 'icense') THEN 'legal' WHEN contains(t, 'password=') OR contains(t, 'token = ') OR contains(t, 'AKIA') THEN 'credentials'
     WHEN length(t) < 600 THEN 'brief' WHEN length(t) > 6000 THEN 'long' ELSE 'prose' END AS topic FROM d),
 c0 AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens, sum(tokens)::DOUBLE AS w FROM rows_ GROUP BY ALL HAVING sum(tokens) > 0),
-{goals}, {", ".join(steps)},
-r AS MATERIALIZED (SELECT *, w / tokens AS ratio FROM {before}),
-ends AS (SELECT min(ratio) AS low, max(ratio) AS high, sum(tokens) AS all_n FROM r),
-grid AS (SELECT all_n, ({KEEP} / high) * pow(high / low / {KEEP}, k / {SCALES}.0) AS c FROM ends, (SELECT unnest(range(0, {SCALES} + 1)) AS k)),
-best AS (SELECT max(c) AS c FROM (SELECT c, any_value(all_n) AS all_n, sum(tokens * least(1.0, c * ratio)) AS kept FROM r, grid GROUP BY c) WHERE kept <= all_n * {KEEP} + 1e-6),
-p AS (SELECT source, lang, topic, round(w / tokens, 6) AS weight, round(least(1.0, coalesce((SELECT c FROM best), 1.0) * ratio), 6) AS p FROM r)
+{goals},
+b0 AS MATERIALIZED (SELECT k, share, source, lang, topic, tokens, tokens / share AS cap, least(tokens, tokens / share) AS w
+  FROM c0, (SELECT k, least({KEEP}, {most}) * pow({STEP}, k) AS share FROM (SELECT unnest(range({BOUNDS})) AS k))),
+{", ".join(steps)},
+best AS (SELECT min(k) AS k FROM (SELECT k, max(off) AS off FROM ({off}) GROUP BY k) WHERE off <= {TOLERANCE}),
+fitted AS (SELECT source, lang, topic, w / tokens AS weight, share FROM b{k} JOIN best USING (k)
+  UNION ALL SELECT source, lang, topic, w / tokens, least({KEEP}, 1 / (SELECT max(w / tokens) FROM {before})) FROM {before} WHERE (SELECT k FROM best) IS NULL),
+p AS (SELECT source, lang, topic, round(weight, 6) AS weight, round(least(1.0, weight * share), 6) AS p FROM fitted)
 SELECT doc_id, source, lang, topic, tokens, coalesce(weight, 0.0) AS weight, coalesce(p, 0.0) AS p,
        ('0x' || substr(md5('{SEED}|' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < coalesce(p, 0.0) AS kept
 FROM rows_ LEFT JOIN p USING (source, lang, topic)

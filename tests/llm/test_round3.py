@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cladeframe.llm import fill_in_middle, html_text, quality, queries, secrets, shingle_join, spelling
+from cladeframe.llm import common, fill_in_middle, html_text, mixing, quality, queries, secrets, shingle_join, spelling
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -312,3 +312,17 @@ def test_masking_keeps_columns_of_any_name(spark):
     findings = spark.createDataFrame([(key, "api_key = ", " here", 1), ("words", "the ", " of", 0)] * 40 + [(f"{key[:-2]}{i}", "api_key = ", " x", 1) for i in range(40)] + [(f"word{i}", "the ", " of", 0) for i in range(40)], "value string, lead string, trail string, y int")
     got = secrets.redact(docs, secrets.fit(docs, findings=findings)).first()
     assert key not in got.text and (got["_hits"], got["_found"], got["_cladeframe_hits"], got["a.b"]) == ("kept", "also", "own", 1) and got.n_chars == len(got.text)
+
+
+# ---------------------------------------------------------------- mixing
+
+
+def test_the_query_samples_by_the_targets(spark):
+    d = "/root/testdata/sf0.01"
+    got = queries.op5_proportional_fitting(spark, d).toPandas()
+    assert got.p.max() <= 1 and got.weight.min() >= 0
+    for dim, a in mixing.POWERS.items():
+        want, expected = got.groupby(dim).tokens.sum() ** a, (got.tokens * got.p).groupby(got[dim]).sum()
+        assert np.allclose(expected / expected.sum(), want / want.sum(), rtol=5e-3)
+    kept = mixing.keep_sampled(common.table(spark, d, "documents"), exact=True)
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == set(got[got.kept].doc_id)
