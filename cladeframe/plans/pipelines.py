@@ -38,8 +38,10 @@ class Options:
         """FLT10, FLT14"""
         if self.molecule not in ("dna", "rna", "amino"):
             raise ValueError(f"unknown molecule {self.molecule}")
-        if self.strategy not in ("centroid", "longest"):
+        if self.strategy not in decompose.STRATEGIES:
             raise ValueError(f"unknown strategy {self.strategy}")
+        if self.widest is not None and self.strategy not in ("midpoint", "centroid"):
+            raise ValueError("a largest diameter can be given with the strategies midpoint and centroid only")
         for k in ("alignment_size", "placement_size", "least_subset", "chunk_size"):
             v = getattr(self, k)
             if v is not None and v < 1:

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions import sequences as seq
+from cladeframe.functions.lineage import materialise
 from cladeframe.operators import distance, merge, profile, routing, sites
 
+from . import outputs
 from .fixtures import KEYS, SQL_DENSE, SQL_GAPPY, SQL_VALUES, dense, gappy, hits, table, values
 
 HITS = "hits AS (SELECT user_id AS fragment, event_type AS subset, max(value) AS bitscore, min(value) AS evalue FROM events WHERE user_id IS NOT NULL GROUP BY ALL)"
@@ -177,6 +179,13 @@ def extended_merge(spark, d):
     return m.select("name", "pos", "ch")
 
 
+def alignment_outputs(spark, d):
+    """The files of the merged alignment: all columns, columns that are no insertions, and the insertions' ranges."""
+    s, co = _extended(spark, d)
+    cols = materialise(merge.merged_columns(co.select("anchor", "ord").distinct()))
+    return outputs.alignment_files(materialise(merge.merge(s.drop("label", "pos"), "input").select("name", "pos", "ch")), cols)
+
+
 def merged_columns(spark, d):
     _, co = _extended(spark, d)
     return merge.merged_columns(co.select("anchor", "ord").distinct())
@@ -247,7 +256,7 @@ def routed_rows(spark, d):
 
 NAMES = """best_hit_routing unscored_fragments fragment_chunks all_scores score_lines name_collisions collision_free_queries whitespace_names fragment_split
 length_quantile_band length_quantiles hash_sample last_value_wins degapped_rows gap_columns compact_subsets compacted_rows kept_columns removed_columns added_column
-fragment_names subset_sizes alignment_shapes mask_insertions insertion_ranges relabelled_columns extended_merge merged_columns pairwise_p_distance subset_p_distance p_distance_gap_as_state
+fragment_names subset_sizes alignment_shapes mask_insertions insertion_ranges relabelled_columns extended_merge alignment_outputs merged_columns pairwise_p_distance subset_p_distance p_distance_gap_as_state
 hamming_of_neighbours translated codon_checks backtranslate model_scores routed_rows""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
@@ -302,6 +311,7 @@ ORACLES = {
     "insertion_ranges": f"WITH {SQL_GAPPY}, {COLS}, isl AS (SELECT label, block, pos, pos - row_number() OVER (PARTITION BY label, block ORDER BY pos) AS g FROM cols WHERE residues < 2), rg AS (SELECT label, block, g, min(pos) AS a, max(pos) AS b FROM isl GROUP BY ALL) SELECT label AS grp, block, string_agg(a || '-' || b, ',' ORDER BY a) AS ranges FROM rg GROUP BY ALL",
     "relabelled_columns": f"WITH {SQL_GAPPY}, {COLS}, {LABELS} SELECT label AS grp, block, pos, (CASE WHEN l < 0 THEN -1 ELSE l * 2 + 5 END)::INT AS label FROM labelled",
     "extended_merge": f"WITH {EXT} SELECT s.name, mc.pos, s.ch FROM sites s JOIN co USING (label, block, pos) JOIN mc ON mc.anchor = co.anchor AND mc.ord = co.ord WHERE s.ch <> '-'",
+    "alignment_outputs": f"WITH {EXT}, rs AS (SELECT s.name, mc.pos, s.ch FROM sites s JOIN co USING (label, block, pos) JOIN mc ON mc.anchor = co.anchor AND mc.ord = co.ord WHERE s.ch <> '-'), nms AS (SELECT DISTINCT name FROM rs), full_ AS (SELECT n.name, c.pos, c.ord, coalesce(rs.ch, '-') AS ch FROM nms n CROSS JOIN mc c LEFT JOIN rs ON rs.name = n.name AND rs.pos = c.pos), isl AS (SELECT pos, pos - row_number() OVER (ORDER BY pos) AS g FROM mc WHERE ord > 0), rg AS (SELECT min(pos) AS a, max(pos) AS b FROM isl GROUP BY g) SELECT 'alignment.fasta' AS file, name::VARCHAR AS name, string_agg(ch, '' ORDER BY pos) AS value FROM full_ GROUP BY name UNION ALL SELECT 'alignment_masked.fasta', name::VARCHAR, string_agg(ch, '' ORDER BY pos) FROM full_ WHERE ord = 0 GROUP BY name UNION ALL SELECT 'insertion_columns.txt', NULL, coalesce(string_agg(a || '-' || b, ',' ORDER BY a), '') FROM rg",
     "merged_columns": f"WITH {EXT} SELECT anchor, ord, pos FROM mc",
     "fragment_names": "SELECT doc_id, 'frag_' || doc_id AS name, (n_chars * 13 % 1000001) / 1000000.0 AS prior FROM documents",
     "subset_sizes": "WITH t AS (SELECT p_partkey, p_partkey % 997 + 1 AS n, CASE WHEN p_size % 3 > 0 THEN p_size END AS a, CASE WHEN p_size % 5 > 0 THEN p_partkey % 60 END AS p FROM part), u AS (SELECT *, CASE WHEN a IS NOT NULL THEN a WHEN p IS NOT NULL THEN p ELSE n // 10 END AS b FROM t), v AS (SELECT *, CASE WHEN p IS NOT NULL THEN p WHEN b > n // 10 THEN b ELSE n // 10 END AS q FROM u) SELECT p_partkey, n, CASE WHEN (CASE WHEN q < b THEN q ELSE b END) > n THEN n ELSE (CASE WHEN q < b THEN q ELSE b END) END AS alignment, CASE WHEN q > n THEN n ELSE q END AS placement FROM v",

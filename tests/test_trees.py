@@ -244,3 +244,20 @@ def test_rootings_match_rerooted_trees(spark):
         below, above = [deep[n] for n in s[r.node_id]], [deep[n] for n in ids if n not in s[r.node_id]]
         assert (r.below_leaves, r.above_leaves) == (len(below), len(above))
         assert r.below_far == pytest.approx(max(below)) and r.above_far == (pytest.approx(max(above)) if above else None)
+
+
+def test_files_of_a_placement_run(spark, tmp_path):
+    from cladeframe.plans import outputs, pipelines
+
+    merged = spark.createDataFrame([("b", 0, "A"), ("b", 1, "c"), ("a", 2, "G"), ("c", 1, "t")], "name string, pos int, ch string")
+    cols = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (1, 0, 2)], "anchor int, ord int, pos int")
+    p = spark.createDataFrame([("d", "a", 3, -1.0, 1.0, 0.5, 0.25)], "doc_id string, fragment string, edge_num int, likelihood double, lwr double, distal_length double, pendant_length double")
+    labels = spark.createDataFrame([("x y", "nodeN000001x_y")], "name string, safe string")
+    outputs.write(outputs.placement_files(merged, cols, p, labels), str(tmp_path))
+    outputs.write(outputs.alignment_files(merged, cols).where("file = 'insertion_columns.txt'"), str(tmp_path))
+    text = lambda name: "".join(q.read_text() for q in sorted((tmp_path / name).glob("part-*")))
+    assert text("alignment.fasta") == ">a\n--G\n>b\nAc-\n>c\n-t-\n" and text("alignment_masked.fasta") == ">a\n-G\n>b\nA-\n>c\n--\n"
+    assert text("insertion_columns.txt") == "1-1\n" and text("rename.tsv") == "nodeN000001x_y\tx y\n" and '"n":["a"]' in text("placement.json")
+    with pytest.raises(ValueError, match="midpoint and centroid"):
+        pipelines.Options(strategy="longest", widest=0.1).check()
+    assert pipelines.Options(strategy="midpoint", widest=0.1).check().strategy == "midpoint"
