@@ -215,8 +215,8 @@ def joined(left: DataFrame, found: DataFrame) -> DataFrame:
 def links(rows: DataFrame, own: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """Verified links (a, b) that connect all sets of own with a similarity of at least 4/5.
 
-    A bucket is sorted by size, and each set in it paired with the one before. Of its pairs with close parities every set
-    verifies the closest, and those with the hubs of its large buckets, which joins most of a large group at a linear cost.
+    A bucket is sorted by size, and each set in it paired with the one before. Of these pairs every set verifies that which
+    meets in most buckets, and those with the hubs of its large buckets, which joins most of a large group at a linear cost.
     While that finds many links, and the buckets would still make many pairs of different components, all their sets are
     compared with further hubs. Then all pairs in one bucket that are in different components are compared, so no two
     linked sets stay apart.
@@ -225,12 +225,12 @@ def links(rows: DataFrame, own: DataFrame, docs: DataFrame, id_col: str = "doc_i
     w, every = Window.partitionBy("h").orderBy("n", "sig"), Window.partitionBy("h")
     met = spread.withColumn("o", F.lag(F.struct("sig", "n")).over(w)).withColumn("c", F.count("*").over(every))
     met = cut(met.where("c > 1").select("h", "sig", "n", F.col("o.sig").alias("b"), F.col("o.n").alias("m"), "c"))
-    near = met.where(F.col("b").isNotNull() & similar("n", "m")).select(F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b")).distinct()
-    both = near.withColumn("hub", F.lit(False)).unionByName(first_hubs(met).withColumn("hub", F.lit(True))).groupBy("a", "b").agg(F.max("hub").alias("hub"))
-    both = cut(close(both, own))
-    ends = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart", "hub"))
-    best = ends.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(both.where("hub").select("a", "b")).distinct()
+    near = met.where(F.col("b").isNotNull() & similar("n", "m")).select(F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b"))
+    near = cut(near.groupBy("a", "b").agg(F.count("*").alias("c")))
+    ends = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
+    best = ends.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
+    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(first_hubs(met)).distinct()
+    tried = close(tried, own).select("a", "b")
     first = verified(tried, own, docs, id_col, text_col, words)
     comps = connected_components(first).withColumnRenamed("node", "sig")
     met = met.select("h", "sig", "n").join(comps, "sig", "left").withColumn("component", F.coalesce("component", "sig"))

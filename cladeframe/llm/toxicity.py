@@ -66,6 +66,16 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return whole.astype(np.int64), out, begin
 
 
+def features_of(words: list[str], at_once: int = 16_384) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_features of a vocabulary, made in parts: what it needs besides its result does not grow with the vocabulary."""
+    parts, begin = [], [np.zeros(1, dtype=np.int64)]
+    for s in range(0, len(words), at_once):
+        whole, gram, own = word_features(words[s : s + at_once])
+        parts.append((whole.astype(np.int32), gram.astype(np.int32)))
+        begin.append(own[1:] + begin[-1][-1])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate(begin)
+
+
 def grams_of(gram: np.ndarray, begin: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gram rows of the words `own` in a row, and where each word's begin."""
     n = begin[own + 1] - begin[own]
@@ -173,6 +183,8 @@ class Net:
     def _strided(self, inputs, live, stride, at_once):
         """Logits of the windows that start every `stride` words of a run of projected words."""
         p, half, gates = self.p, np.float32(0.5), np.ascontiguousarray(inputs.T)
+        for d in (0, 1):
+            gates[d * G : d * G + 2 * HIDDEN] *= half  # sigmoid(x) is (tanh(x / 2) + 1) / 2: halves are taken here and in u once
         n = (len(live) - WINDOW) // stride + 1
         out, most = np.zeros(n), min(at_once, n)
         # Everything that a step makes goes to arrays that are made once: fresh ones cost more than the arithmetic.
@@ -186,23 +198,23 @@ class Net:
                 x, state, step, part, seen, most = x[:, :c].copy(), state[:, :c].copy(), step[:, :c].copy(), part[:, :c].copy(), seen[:, :, :c].copy(), c
             zr, new, z, r = x[: 2 * HIDDEN], x[2 * HIDDEN :], x[:HIDDEN], x[HIDDEN : 2 * HIDDEN]
             for d in (0, 1):
-                u = np.ascontiguousarray(p[f"u{d}"].T)
+                u = np.ascontiguousarray(p[f"u{d}"].T) * half
                 read = np.ascontiguousarray(np.stack([p["v"][d * HIDDEN : (d + 1) * HIDDEN], p["w"][d * HIDDEN : (d + 1) * HIDDEN]]))
                 state[:] = 0
                 for t in range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1):
                     g = gates[d * G : (d + 1) * G, view(t)]
                     np.matmul(u, state, out=x)
                     zr += g[: 2 * HIDDEN]
-                    zr *= half
                     np.tanh(zr, out=zr)
-                    zr *= half
-                    zr += half
-                    new *= r
+                    r *= new  # new is half of what the reset gate lets through, and r that gate as tanh
+                    new += r
                     new += g[2 * HIDDEN :]
                     np.tanh(new, out=new)
                     np.subtract(state, new, out=step)
                     step *= z
+                    step += state
                     step += new
+                    step *= half
                     if full:
                         state, step = step, state
                     else:
@@ -284,8 +296,7 @@ class Net:
             return self
         if not vocab:
             return self
-        whole, gram, begin = word_features(list(vocab))
-        gram = gram.astype(np.int32)
+        whole, gram, begin = features_of(list(vocab))
         self.start_from_odds(whole, gram, begin, coded, y)
         m, v, k = {n: np.zeros_like(q) for n, q in self.p.items()}, {n: np.zeros_like(q) for n, q in self.p.items()}, 0
         epochs = max(epochs, -(-LEAST_STEPS // max(1, -(-len(coded) // batch))))
