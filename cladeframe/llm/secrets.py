@@ -219,7 +219,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_d
     if findings is None:
         n = docs.select(id_col).count()
         some = docs.where(unit_hash(F.col(id_col), seed=31) < F.lit(train_docs / max(1, n)))
-        c = some.select(F.explode(candidates(text_col)).alias("c")).select("c.value", "c.lead", "c.f")
+        c = some.select(F.explode_outer(candidates(text_col)).alias("c")).where("c is not null").select("c.value", "c.lead", "c.f")
         labelled = c.withColumn("y", format_label(F.col("value"), F.col("lead")))
         made = made_findings(docs, id_col, MADE).withColumn("f", features(F.col("value"), F.col("lead"), F.col("trail")))
         labelled = labelled.unionByName(made.select("value", "lead", "f", "y"))
@@ -260,6 +260,7 @@ def op10_random_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per candidate: doc_id, its place among the document's candidates, a masked value, score, secret."""
     docs = table(spark, sf_dir, "documents")
     found = scan(docs.select("doc_id", "text"), fit(docs))
-    each = found.select("doc_id", F.posexplode("found").alias("place", "c"))
+    # Not posexplode: for that Spark would look for candidates a second time, to filter rows without any.
+    each = found.select("doc_id", F.posexplode_outer("found").alias("place", "c")).where("place is not null")
     masked = F.concat(F.substring("c.value", 1, 4), F.lit("..."), F.length("c.value").cast("string"))
     return each.select("doc_id", "place", masked.alias("masked"), F.md5("c.value").alias("value_md5"), "c.score", "c.secret")
