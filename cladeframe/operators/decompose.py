@@ -68,7 +68,7 @@ def decompose(nodes: DataFrame, most: int, strategy: str = "centroid", least: in
         if farthest is not None:
             left, mean = apart(now, left)
             big = big.unionByName(size.join(mean.where(F.col("d") > farthest).select("tree_id"), "tree_id"))
-        big = materialise(big.distinct())
+        big = materialise(big.distinct()) if strategy == "midpoint" else big.distinct()
         off = -F.col("len") if strategy == "longest" else F.abs(F.col("n") / 2 - F.col("m"))
         cuts = edges_of(now, big, least).groupBy("tree_id").agg(F.min_by(F.struct("node_id", "lo", "hi"), F.struct(off.alias("off"), "node_id")).alias("e")).select("tree_id", "e.*")
         if strategy == "midpoint":
