@@ -3,15 +3,16 @@
 Documents are counted to cells of (source, language, topic). The tokens of the cells are raked to target marginals of
 each dimension in turn. A cell's documents are then sampled with a probability in proportion to its raked over its
 own tokens, scaled so that a given share of all tokens is kept; no document is repeated. Everything is DataFrame
-operations: margins are partial aggregates, and documents meet their cell in an equi-join, so a source with a third
-of all rows costs no task more than another.
+operations: cells are partial aggregates, and documents meet their cell in an equi-join, so a source with a third
+of all rows costs no task more than another. Margins are windows over the cells, not joins with them: a join in each of
+the many steps broadcasts a table, and those fill the driver's memory.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table, unit_hash
@@ -52,19 +53,25 @@ def targets(cell: DataFrame, dim: str, power: float) -> DataFrame:
     return share.select(dim, (F.col("p") / F.lit(total["p"]) * F.lit(total["n"])).alias("target"))
 
 
+def aimed(cell: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
+    """cell with the target of each of its categories beside it (null without one), so that raking needs no joins."""
+    for dim, goal in goals.items():
+        cell = cell.join(goal.select(dim, F.col("target").alias(f"target_{dim}")), dim, "left")
+    return cut(cell)
+
+
 def rake(cell: DataFrame, goals: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """cell with w: tokens fitted to the goals of each dimension, one after the other, `rounds` times.
 
     goals[dim] is (dim, target). A category without a goal keeps its weight.
     """
-    at = cell.withColumn("w", F.col("tokens"))
-    goals = {d: cut(g) for d, g in goals.items()}
+    at = aimed(cell.withColumn("w", F.col("tokens")), goals)
     for _ in range(rounds):
-        for dim, goal in goals.items():
-            factor = at.groupBy(dim).agg(F.sum("w").alias("now")).join(goal, dim).select(dim, (F.col("target") / F.col("now")).alias("f"))
-            at = at.join(factor, dim, "left").withColumn("w", F.col("w") * F.coalesce("f", F.lit(1.0))).drop("f")
+        for dim in goals:
+            factor = F.col(f"target_{dim}") / F.sum("w").over(Window.partitionBy(dim))
+            at = at.withColumn("w", F.col("w") * F.coalesce(factor, F.lit(1.0)))
         at = cut(at)
-    return at
+    return at.drop(*[f"target_{d}" for d in goals])
 
 
 def probabilities(raked: DataFrame, keep: float = KEEP, scales: int = SCALES) -> DataFrame:
@@ -88,20 +95,19 @@ def bounded_rake(cell: DataFrame, goals: dict[str, DataFrame], shares: list[floa
     In every step the cells at their bound are held and the others of their category take what is missing.
     """
     at = cell.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("cap", F.col("tokens") / F.col("share"))
-    at = at.withColumn("w", F.least("tokens", "cap"))
-    goals = {d: cut(g) for d, g in goals.items()}
+    at = aimed(at.withColumn("w", F.least("tokens", "cap")), goals)
     full = F.col("w") >= F.col("cap") * (1 - 1e-12)
     for _ in range(rounds):
-        for dim, goal in goals.items():
-            held, free = F.coalesce(F.sum(F.when(full, F.col("w"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0))
-            now = at.groupBy("share", dim).agg(held.alias("held"), free.alias("free")).join(goal, dim)
-            now = now.withColumn("up", F.col("target") > F.col("held") + F.col("free"))
-            more = F.coalesce((F.col("target") - F.col("held")) / F.nullif("free", F.lit(0.0)), F.lit(1.0))
-            now = now.select("share", dim, "up", F.when(F.col("up"), more).otherwise(F.col("target") / (F.col("held") + F.col("free"))).alias("f"))
-            at = at.join(now, ["share", dim], "left")
-            at = at.withColumn("w", F.when(F.col("up") & full, F.col("w")).otherwise(F.least("cap", F.col("w") * F.coalesce("f", F.lit(1.0))))).drop("up", "f")
+        for dim in goals:
+            own, target = Window.partitionBy("share", dim), F.col(f"target_{dim}")
+            held, free = F.sum(F.when(full, F.col("w"))).over(own), F.sum(F.when(~full, F.col("w"))).over(own)
+            at = at.withColumns({"held": F.coalesce(held, F.lit(0.0)), "free": F.coalesce(free, F.lit(0.0))})
+            up = target > F.col("held") + F.col("free")
+            more = F.coalesce((target - F.col("held")) / F.nullif("free", F.lit(0.0)), F.lit(1.0))
+            f = F.when(up, more).otherwise(target / (F.col("held") + F.col("free")))
+            at = at.withColumn("w", F.when(up & full, F.col("w")).otherwise(F.least("cap", F.col("w") * F.coalesce(f, F.lit(1.0))))).drop("held", "free")
         at = cut(at)
-    return at
+    return at.drop(*[f"target_{d}" for d in goals])
 
 
 def calibrated(rows: DataFrame, powers: dict[str, float] = POWERS, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:

@@ -326,3 +326,28 @@ def test_the_query_samples_by_the_targets(spark):
         assert np.allclose(expected / expected.sum(), want / want.sum(), rtol=5e-3)
     kept = mixing.keep_sampled(common.table(spark, d, "documents"), exact=True)
     assert {r.doc_id for r in kept.select("doc_id").collect()} == set(got[got.kept].doc_id)
+
+
+def test_raking_steps_join_nothing(spark, monkeypatch):
+    """Each of 30 joins broadcast a table, and those filled the driver; margins are as a plain loop has them."""
+    rng, cut, plans = np.random.default_rng(5), mixing.cut, []
+    rows = [(f"s{i}", f"l{j}", f"t{k}", float(rng.integers(1, 99))) for i in range(4) for j in range(3) for k in range(2)]
+    cell = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    goals = {d: cut(mixing.targets(cell, d, 0.5)).where(F.col(d) != "s3") for d in ("source", "lang", "topic")}  # s3 has no goal
+    monkeypatch.setattr(mixing, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    got = {s: mixing.bounded_rake(cell, goals, [0.9, 0.5], 3).where(F.col("share") == s).toPandas() for s in (0.9, 0.5)}
+    mixing.rake(cell, goals, 3)
+    assert len(plans) >= 9 and sum("Join" in p for p in plans) <= 3  # goals are joined once a fit
+    want = {d: {r[d]: r.target for r in g.collect()} for d, g in goals.items()}
+    for share, found in got.items():
+        w, cap = {r[:3]: min(r[3], r[3] / share) for r in rows}, {r[:3]: r[3] / share for r in rows}
+        for _ in range(3):
+            for at, d in enumerate(("source", "lang", "topic")):
+                for name, target in want[d].items():
+                    own = [c for c in w if c[at] == name]
+                    held = {c for c in own if w[c] >= cap[c] * (1 - 1e-12)}
+                    h, f = sum(w[c] for c in held), sum(w[c] for c in own if c not in held)
+                    up = target > h + f
+                    by = ((target - h) / f if f else 1.0) if up else target / (h + f)
+                    w |= {c: min(cap[c], w[c] * by) for c in own if not (up and c in held)}
+        assert len(found) == len(rows) and all(abs(r.w / w[r.source, r.lang, r.topic] - 1) < 1e-9 for r in found.itertuples())
