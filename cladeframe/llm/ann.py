@@ -241,7 +241,7 @@ def nearest(
     home = cut(search(asks))
     floor = F.when(F.size("scores") > k, F.element_at("scores", -1)).otherwise(F.lit(-math.inf))
     onward = asks.drop("floor").join(home.select("k1", "k2", floor.alias("floor")), ["k1", "k2"]).select("k1", "k2", "vec", "cell", "block", "floor")
-    found = home.unionByName(search(onward.mapInPandas(more_cells, sent)))
+    found = home.unionByName(cut(search(onward.mapInPandas(more_cells, sent))))  # read twice below, searched once
     each = found.select("k1", "k2", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("k1", "k2", F.col("x.ids").alias("id"), F.col("x.scores").alias("score"))
     order = (F.desc("score"), F.asc("id"))
     each = each.withColumn("place", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(*order))).where(F.col("place") <= k + 1)

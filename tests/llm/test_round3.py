@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cladeframe.llm import common, fill_in_middle, html_text, mixing, quality, queries, secrets, shingle_join, spelling
+from cladeframe.llm import ann, common, fill_in_middle, html_text, mixing, quality, queries, secrets, shingle_join, spelling
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -351,3 +351,13 @@ def test_raking_steps_join_nothing(spark, monkeypatch):
                     by = ((target - h) / f if f else 1.0) if up else target / (h + f)
                     w |= {c: min(cap[c], w[c] * by) for c in own if not (up and c in held)}
         assert len(found) == len(rows) and all(abs(r.w / w[r.source, r.lang, r.topic] - 1) < 1e-9 for r in found.itertuples())
+
+
+# ---------------------------------------------------------------- nearest neighbours
+
+
+def test_nearest_searches_cells_once(spark):
+    """What later steps read twice is written: the plan of the result holds no search, which would run for every reader."""
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(np.random.default_rng(3).standard_normal((300, 6)))], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=5, cell_rows=100)
+    assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 15 * 5
