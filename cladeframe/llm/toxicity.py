@@ -153,12 +153,14 @@ class Net:
         logit = ctx @ self.p["w"] + self.p["b"][0]
         return (logit, (h, a, ctx, s0, s1)) if keep else logit
 
-    def scan(self, rows, texts, stride: int = STRIDE, at_once: int = 2048):
+    def scan(self, rows, texts, stride: int = STRIDE, at_once: int = 4096):
         """For each text, as row numbers of its words: the highest logit of its windows, and where that one starts.
 
         Texts are laid end to end, each padded to the end of its last window, so that step t of all windows is one
-        strided view; windows over a seam are computed and ignored.
+        strided view; windows over a seam are computed and ignored. Texts go by length, so few runs have padding.
         """
+        by_size = np.argsort([len(t) for t in texts], kind="stable")
+        texts = [texts[i] for i in by_size]
         best, place = np.full(len(texts), -np.inf), np.zeros(len(texts), dtype=np.int64)
         many = [n_windows(len(t), stride) for t in texts]
         i = 0
@@ -178,7 +180,8 @@ class Net:
                 place[k] = stride * int(np.argmax(own))
                 best[k] = own[place[k] // stride]
             i = j
-        return best, place
+        back = np.argsort(by_size)
+        return best[back], place[back]
 
     def _strided(self, inputs, live, stride, at_once):
         """Logits of the windows that start every `stride` words of a run of projected words."""
@@ -188,22 +191,21 @@ class Net:
         n = (len(live) - WINDOW) // stride + 1
         out, most = np.zeros(n), min(at_once, n)
         # Everything that a step makes goes to arrays that are made once: fresh ones cost more than the arithmetic.
-        x, state, step, part = np.empty((G, most), np.float32), np.empty((HIDDEN, most), np.float32), np.empty((HIDDEN, most), np.float32), np.empty((2, most), np.float32)
+        x, state, step = np.empty((G + 2, most), np.float32), np.empty((HIDDEN, most), np.float32), np.empty((HIDDEN, most), np.float32)
         seen = np.empty((2, WINDOW, most), np.float32)  # of every state its part of the attention and of the logit
+        # One product of a state gives what its next step needs and what is read from it.
+        both = [np.concatenate([p[f"u{d}"].T * half, [p[k][d * HIDDEN : (d + 1) * HIDDEN] for k in ("v", "w")]]).astype(np.float32) for d in (0, 1)]
         for s in range(0, n, at_once):
             c = min(at_once, n - s)
             view = lambda t: slice(s * stride + t, s * stride + t + (c - 1) * stride + 1, stride)
             full = live[s * stride : s * stride + (c - 1) * stride + WINDOW].all()
             if c < most:
-                x, state, step, part, seen, most = x[:, :c].copy(), state[:, :c].copy(), step[:, :c].copy(), part[:, :c].copy(), seen[:, :, :c].copy(), c
-            zr, new, z, r = x[: 2 * HIDDEN], x[2 * HIDDEN :], x[:HIDDEN], x[HIDDEN : 2 * HIDDEN]
+                x, state, step, seen, most = x[:, :c].copy(), state[:, :c].copy(), step[:, :c].copy(), seen[:, :, :c].copy(), c
+            zr, new, z, r, part = x[: 2 * HIDDEN], x[2 * HIDDEN : G], x[:HIDDEN], x[HIDDEN : 2 * HIDDEN], x[G:]
             for d in (0, 1):
-                u = np.ascontiguousarray(p[f"u{d}"].T) * half
-                read = np.ascontiguousarray(np.stack([p["v"][d * HIDDEN : (d + 1) * HIDDEN], p["w"][d * HIDDEN : (d + 1) * HIDDEN]]))
-                state[:] = 0
+                state[:], x[:] = 0, 0
                 for t in range(WINDOW) if d == 0 else range(WINDOW - 1, -1, -1):
                     g = gates[d * G : (d + 1) * G, view(t)]
-                    np.matmul(u, state, out=x)
                     zr += g[: 2 * HIDDEN]
                     np.tanh(zr, out=zr)
                     r *= new  # new is half of what the reset gate lets through, and r that gate as tanh
@@ -219,7 +221,7 @@ class Net:
                         state, step = step, state
                     else:
                         np.copyto(state, step, where=live[view(t)])
-                    np.matmul(read, state, out=part)
+                    np.matmul(both[d], state, out=x)
                     if d == 0:
                         seen[:, t] = part
                     else:

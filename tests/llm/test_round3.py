@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cladeframe.llm import ann, common, fill_in_middle, html_text, mixing, quality, queries, secrets, shingle_join, spelling
+from cladeframe.llm import ann, common, fill_in_middle, html_text, mixing, quality, queries, secrets, shingle_join, spelling, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -361,3 +361,22 @@ def test_nearest_searches_cells_once(spark):
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(np.random.default_rng(3).standard_normal((300, 6)))], "vec_id long, embedding array<double>")
     got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=5, cell_rows=100)
     assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 15 * 5
+
+
+# ---------------------------------------------------------------- toxicity
+
+
+def test_scan_multiplies_once_a_step_and_pads_few_runs(monkeypatch):
+    """All windows as one by one, in the order given, from one product a step; only runs that hold short texts have padding."""
+    net, rng = toxicity.Net(), np.random.default_rng(8)
+    rows = rng.standard_normal((40, 2 * toxicity.G)).astype(np.float32)
+    texts = [rng.integers(0, 40, n) for n in (300, 3, 500, 0, 24, 450, 7, 350, 25)]
+    runs, products, strided, matmul = [], [], net._strided, np.matmul
+    monkeypatch.setattr(net, "_strided", lambda inputs, live, *a: runs.append(bool(live.all())) or strided(inputs, live, *a))
+    monkeypatch.setattr(np, "matmul", lambda *a, **b: products.append(1) or matmul(*a, **b))
+    best, place = net.scan(rows, texts, at_once=600)
+    monkeypatch.undo()
+    assert len(runs) >= 4 and runs.count(False) == 1 and len(products) == 2 * toxicity.WINDOW * len(runs)
+    for t, b, at in (x for x in zip(texts, best, place) if len(x[0])):
+        plain = [float(net.forward(rows, np.where(w >= 0, t[np.maximum(w, 0)], -1)[None])[0]) for w in toxicity.windows(len(t))]
+        assert abs(b - max(plain)) < 1e-4 and abs(plain[at] - b) < 1e-4
