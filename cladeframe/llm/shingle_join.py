@@ -3,10 +3,11 @@
 A text is the set of its five-word shingles' hashes. Sets are put into one order, shingles that a sample finds common
 last. If two sets have a Jaccard similarity of at least 4/5, each holds at least 4/5 of the other's size in common
 shingles, so their first n - ceil(4n/5) + 1 shingles share one: texts meet in a shuffle on these and no pair is missed,
-whatever the order. The sample decides on speed only. Common prefixes of many near copies do not make all their pairs:
-of the neighbours in the buckets every text verifies its nearest, and in large buckets all meet the same few hubs; then come
-only pairs that the links found so far leave apart. Before sets are compared, parities of theirs must be close: a lower bound
-of their true difference.
+whatever the order. The sample decides on speed only. Where they meet first, enough of both must follow for the
+similarity, so places in the sets rule most other pairs out. All pairs of a small bucket come from its one shuffle.
+Common prefixes of many near copies do not make all their pairs: of these pairs every text verifies its nearest, and in
+large buckets all meet the same few hubs; then come only pairs that the links found so far leave apart. Before sets are
+compared, parities of theirs must be close: a lower bound of their true difference.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SENT_ROWS = 1_000_000
 ROWS_AT_ONCE = 512
 HUBS = 4
 LARGE = 8
+PLACES = 16
+SLOTS = 16
 PAIRS_A_ROW = 64
 SETS_A_LINK = 256
 
@@ -74,13 +77,13 @@ def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def parities(s: np.ndarray) -> np.ndarray:
-    """At least 1024 and 2n bits, as longs: the parity of the set's shingles by their lower bits.
+    """At least 256 and n bits, as longs: the parity of the set's shingles by their lower bits.
 
     Two sets differ in no fewer shingles than bits. The number of bits is a power of two, so the two halves of the
     longs, one laid over the other by exclusive or, are the parities of half as many bits.
     """
-    bits = 1024
-    while bits < 2 * len(s):
+    bits = 256
+    while bits < len(s):
         bits *= 2
     odd = np.bincount((s.view(np.uint64) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
@@ -94,8 +97,8 @@ def pieces(batches):
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int = 5) -> DataFrame:
-    """(id, t, fp, sig, n, prefix, bits, short) of all rows: hash of the text, SimHash of three-word shingles, hash and
-    size of the set; prefix, parities and their 1024-bit form only where a task meets a set for the first time."""
+    """(id, t, fp, sig, n, prefix, bits) of all rows: hash of the text, SimHash of three-word shingles, hash and size of
+    the set; prefix and parities only where a task meets a set for the first time."""
     common, counts = common_shingles(docs, text_col, words)
 
     def run(batches):
@@ -106,22 +109,21 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int = 5) -> Dat
                 s = shingles(text, words)
                 sig, fp = signature(s), int(np.uint64(simhash.fingerprint(text)).view(np.int64))
                 if sig in met:
-                    out.append((key, t, fp, sig, len(s), [], None, None))
+                    out.append((key, t, fp, sig, len(s), [], None))
                 else:
                     met.add(sig)
-                    bits = parities(s)
-                    out.append((key, t, fp, sig, len(s), prefix(s, common, counts), bits, np.bitwise_xor.reduce(bits.reshape(-1, 16), axis=0)))
-            yield pd.DataFrame(out, columns=["id", "t", "fp", "sig", "n", "prefix", "bits", "short"]).astype({"id": pdf["id"].dtype})
+                    out.append((key, t, fp, sig, len(s), prefix(s, common, counts), parities(s)))
+            yield pd.DataFrame(out, columns=["id", "t", "fp", "sig", "n", "prefix", "bits"]).astype({"id": pdf["id"].dtype})
 
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    return own.mapInPandas(run, f"id {kind}, t long, fp long, sig long, n int, prefix array<long>, bits array<long>, short array<long>")
+    return own.mapInPandas(run, f"id {kind}, t long, fp long, sig long, n int, prefix array<long>, bits array<long>")
 
 
 def one_each(rows: DataFrame) -> DataFrame:
-    """(sig, id, rep, n, bits, short) of every set: the smallest id of its rows, and (id, t) of one of them."""
-    some = lambda c: F.first(c, ignorenulls=True).alias(c)
-    return rows.groupBy("sig").agg(F.min("id").alias("id"), F.min(F.struct("id", "t")).alias("rep"), F.any_value("n").alias("n"), some("bits"), some("short"))
+    """(sig, id, rep, n, bits) of every set: the smallest id of its rows, and (id, t) of one of them."""
+    bits = F.first("bits", ignorenulls=True).alias("bits")
+    return rows.groupBy("sig").agg(F.min("id").alias("id"), F.min(F.struct("id", "t")).alias("rep"), F.any_value("n").alias("n"), bits)
 
 
 def differing(x, y):
@@ -131,18 +133,41 @@ def differing(x, y):
     return F.aggregate(F.zip_with(fold(x), fold(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, p: n + p)
 
 
-def similar(n: str, m: str):
-    return (5 * F.least(n, m)) >= (4 * F.greatest(n, m))
+def short(bits: str, longs: int = 16):
+    """Parities folded to 1024 bits, if they are more."""
+    fold = F.transform(F.sequence(F.lit(0), F.lit(longs - 1)), lambda k: F.aggregate(F.filter(bits, lambda x, i: i % longs == k), F.lit(0).cast("long"), lambda n, x: n.bitwiseXOR(x)))
+    return F.when(F.size(bits) <= longs, F.col(bits)).otherwise(fold)
+
+
+def enough(n, r, m, s):
+    """Sets of n and m shingles that meet first where r and s of them are left can have a similarity of 4/5."""
+    return 9 * F.least(r, s) >= 4 * (n + m)
 
 
 def close(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """Those of pairs (a, b, …) with apart, of sets of similar size whose parities do not rule a similarity of 4/5 out.
+    """Those of pairs (a, b) of sets whose parities do not rule a similarity of 4/5 out.
 
-    Such sets differ in at most a ninth of their sizes' sum. apart: the bits that differ over that sum.
+    Such sets differ in at most a ninth of their sizes' sum.
     """
     bits = own.select("sig", "n", "bits")
-    both = pairs.join(bits.toDF("a", "na", "ba"), "a").join(bits.toDF("b", "nb", "bb"), "b").withColumn("d", differing("ba", "bb"))
-    return both.where(9 * F.col("d") <= F.col("na") + F.col("nb")).select(*pairs.columns, (F.col("d") / (F.col("na") + F.col("nb"))).alias("apart"))
+    both = pairs.join(bits.toDF("a", "na", "ba"), "a").join(bits.toDF("b", "nb", "bb"), "b")
+    return both.where(9 * differing("ba", "bb") <= F.col("na") + F.col("nb")).select("a", "b")
+
+
+def marked(docs: DataFrame, key, keys: DataFrame, name: str) -> DataFrame:
+    """docs with a boolean column `name`: false only where column key (long) is not in column key of keys.
+
+    Keys are bits of a bitmap of SLOTS bits a key, which is broadcast in pieces of 4 KB; about one row in SLOTS is true
+    without being in keys. Joins on the key then need to shuffle the rows that are true, and no others.
+    """
+    slots = SLOTS * max(1, keys.count())
+    slot, piece, bits = (free_name(docs, f"{name}_{c}") for c in ("slot", "piece", "bits"))
+    own = keys.select((F.pmod("key", F.lit(slots)) + 1).alias(slot))
+    maps = own.groupBy(F.bitmap_bucket_number(slot).alias(piece)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias(bits))
+    found = docs.withColumn(slot, F.pmod(key, F.lit(slots)) + 1).withColumn(piece, F.bitmap_bucket_number(slot)).join(F.broadcast(maps), piece, "left")
+    byte = F.conv(F.hex(F.expr(f"substring(`{bits}`, cast(bitmap_bit_position(`{slot}`) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    bit = F.call_function("getbit", byte, (F.bitmap_bit_position(slot) % 8).cast("int"))
+    return found.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop(slot, piece, bits)
 
 
 def verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int = 5) -> DataFrame:
@@ -150,8 +175,11 @@ def verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, id_col: str, tex
     pairs = cut(pairs.select("a", "b"))
     ends = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     need = cut(own.join(ends, "sig", "left_semi").select("rep.id", "rep.t"))
-    if need.count() <= SENT_ROWS:  # 16 bytes a row; beyond that the texts are shuffled
+    texts = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_t"), F.col(text_col).alias("text"))
+    if need.count() <= SENT_ROWS:  # 16 bytes a row; beyond that the texts that may be needed are shuffled
         need = F.broadcast(need)
+    else:
+        texts = marked(texts, F.xxhash64("own_id", "own_t"), need.select(F.xxhash64("id", "t").alias("key")), "mark").where("mark")
 
     def run(batches):
         met = set()
@@ -160,7 +188,6 @@ def verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, id_col: str, tex
             fresh = [(sig, s) for s in sets if not ((sig := signature(s)) in met or met.add(sig))]
             yield pd.DataFrame(fresh, columns=["sig", "u"]).astype({"sig": "int64"})
 
-    texts = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_t"), F.col(text_col).alias("text"))
     texts = texts.join(need, (F.col("own_t") == F.col("t")) & F.col("own_id").eqNullSafe(F.col("id")), "left_semi")
     sets = cut(texts.select("text").mapInPandas(run, "sig long, u array<long>").dropDuplicates(["sig"]))
     both = pairs.join(sets.toDF("a", "ua"), "a").join(sets.toDF("b", "ub"), "b")
@@ -169,7 +196,27 @@ def verified(pairs: DataFrame, own: DataFrame, docs: DataFrame, id_col: str, tex
 
 
 def may_link():
-    return similar("n", "m") & (9 * differing("sa", "sb") <= F.col("n") + F.col("m"))
+    n, r, m, s = map(F.col, ("n", "r", "m", "s"))
+    return enough(n, r, m, s) & (9 * differing("sa", "sb") <= n + m)
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """(h, sig, n, r, o) of the sets that meet others in bucket h: sizes, the most shingles left from h on, and others.
+
+    o: all sets before this one in a bucket of at most LARGE sets, only the last in a larger one, if they may be similar.
+    h is null in the small buckets, whose pairs are complete. A place in the prefix is shuffled as one of PLACES parts
+    of it, in one number with the size, so r is at most a part too large.
+    """
+    spread = rows.select("sig", "n", F.size("prefix").alias("k"), F.posexplode("prefix").alias("p", "h"))
+    spread = spread.select("h", "sig", F.expr(f"n * {PLACES}L + ({PLACES}L * p) div k").alias("at")).repartition("h").dropDuplicates(["h", "sig", "at"])
+    met = spread.withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1").withColumn("n", F.expr(f"at div {PLACES}"))
+    met = met.withColumn("r", F.expr(f"n - ((at % {PLACES}) * (n - (4 * n + 4) div 5 + 1) + {PLACES - 1}) div {PLACES}"))
+    w = Window.partitionBy("h").orderBy("n", "sig").rowsBetween(1 - LARGE, -1)
+    met = met.withColumn("o", F.collect_list(F.struct("sig", "n", "r")).over(w))
+    met = met.withColumn("o", F.when(F.col("c") <= LARGE, F.col("o")).otherwise(F.slice("o", -1, 1)))
+    others = F.transform(F.filter("o", lambda x: enough(F.col("n"), F.col("r"), x["n"], x["r"])), lambda x: x["sig"])
+    met = met.select(F.when(F.col("c") > LARGE, F.col("h")).alias("h"), "sig", "n", "r", others.alias("o"))
+    return met.where(F.col("h").isNotNull() | (F.size("o") > 0))
 
 
 def mixed(met: DataFrame) -> DataFrame:
@@ -184,21 +231,22 @@ def crossing(left: DataFrame) -> int:
     return n.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
 
 
-def first_hubs(met: DataFrame) -> DataFrame:
-    """Pairs (a, b) of every set in a bucket of more than LARGE sets with HUBS sets of it, if of similar size. Hubs are drawn
-    by hash, so a group that meets in many buckets has the same hubs in all of them, and few different pairs."""
-    large = met.where(F.col("c") > LARGE)
-    hubs = large.groupBy("h").agg(F.array_distinct(F.array(*[F.min_by(F.struct("sig", "n"), F.xxhash64(F.lit(-1 - i), "sig")) for i in range(HUBS)])).alias("hubs"))
-    pairs = large.select("h", F.col("sig").alias("a"), "n").join(hubs, "h").select("a", "n", F.explode("hubs").alias("o")).select("a", "n", F.col("o.sig").alias("b"), F.col("o.n").alias("m"))
-    return pairs.where((F.col("a") != F.col("b")) & similar("n", "m")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def first_hubs(large: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every set in a large bucket with HUBS sets of it, if they may be similar. Hubs are drawn by hash,
+    so a group that meets in many buckets has the same hubs in all of them, and few different pairs."""
+    drawn = [F.min_by(F.struct("sig", "n", "r"), F.xxhash64(F.lit(-1 - i), "sig")) for i in range(HUBS)]
+    hubs = large.groupBy("h").agg(F.array_distinct(F.array(*drawn)).alias("hubs"))
+    pairs = large.select("h", F.col("sig").alias("a"), "n", "r").join(hubs, "h").withColumn("o", F.explode("hubs"))
+    pairs = pairs.where((F.col("a") != F.col("o.sig")) & enough(F.col("n"), F.col("r"), F.col("o.n"), F.col("o.r"))).select("a", F.col("o.sig").alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def to_hubs(left: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of every set with HUBS sets of its bucket, drawn anew each turn, if it is in another component."""
-    drawn = [F.min_by(F.struct("sig", "n", "component", "short"), F.xxhash64(F.lit(turn * HUBS + i), "sig")) for i in range(HUBS)]
+    drawn = [F.min_by(F.struct("sig", "n", "r", "component", "short"), F.xxhash64(F.lit(turn * HUBS + i), "sig")) for i in range(HUBS)]
     hubs = left.groupBy("h").agg(F.array_distinct(F.array(*drawn)).alias("hubs"))
-    met = left.toDF("h", "a", "n", "ca", "sa").join(hubs, "h").withColumn("o", F.explode("hubs"))
-    met = met.select("a", "n", "ca", "sa", F.col("o.sig").alias("b"), F.col("o.n").alias("m"), F.col("o.component").alias("cb"), F.col("o.short").alias("sb"))
+    met = left.toDF("h", "a", "n", "r", "ca", "sa").join(hubs, "h").withColumn("o", F.explode("hubs"))
+    met = met.select("a", "n", "r", "ca", "sa", F.col("o.sig").alias("b"), F.col("o.n").alias("m"), F.col("o.r").alias("s"), F.col("o.component").alias("cb"), F.col("o.short").alias("sb"))
     met = met.where((F.col("ca") != F.col("cb")) & may_link())
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -208,42 +256,45 @@ def joined(left: DataFrame, found: DataFrame) -> DataFrame:
     own = left.select("sig", "component").distinct()
     ends = found.join(own.toDF("a", "u"), "a").join(own.toDF("b", "v"), "b").select("u", "v")
     moved = connected_components(ends, "u", "v").toDF("component", "to")
-    moved = left.join(moved, "component", "left").select("h", "sig", "n", F.coalesce("to", "component").alias("component"), "short")
+    moved = left.join(moved, "component", "left").select("h", "sig", "n", "r", F.coalesce("to", "component").alias("component"), "short")
     return cut(mixed(cut(moved)))
 
 
 def links(rows: DataFrame, own: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """Verified links (a, b) that connect all sets of own with a similarity of at least 4/5.
 
-    A bucket is sorted by size, and each set in it paired with the one before. Of these pairs every set verifies that which
-    meets in most buckets, and those with the hubs of its large buckets, which joins most of a large group at a linear cost.
-    While that finds many links, and the buckets would still make many pairs of different components, all their sets are
+    Of the pairs that meet in small buckets, and of neighbours in large ones, every set verifies that which meets in most
+    buckets, and those with the hubs of its large buckets, which joins most of a large group at a linear cost. While that
+    finds many links, and the large buckets would still make many pairs of different components, all their sets are
     compared with further hubs. Then all pairs in one bucket that are in different components are compared, so no two
     linked sets stay apart.
     """
-    spread = rows.select("sig", "n", F.explode("prefix").alias("h")).repartition("h").dropDuplicates(["h", "sig", "n"])
-    w, every = Window.partitionBy("h").orderBy("n", "sig"), Window.partitionBy("h")
-    met = spread.withColumn("o", F.lag(F.struct("sig", "n")).over(w)).withColumn("c", F.count("*").over(every))
-    met = cut(met.where("c > 1").select("h", "sig", "n", F.col("o.sig").alias("b"), F.col("o.n").alias("m"), "c"))
-    near = met.where(F.col("b").isNotNull() & similar("n", "m")).select(F.least("sig", "b").alias("a"), F.greatest("sig", "b").alias("b"))
+    met = cut(buckets(rows))
+    near = met.select("sig", F.explode("o").alias("o")).select(F.least("sig", "o").alias("a"), F.greatest("sig", "o").alias("b"))
     near = cut(near.groupBy("a", "b").agg(F.count("*").alias("c")))
     ends = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
     best = ends.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(first_hubs(met)).distinct()
-    tried = close(tried, own).select("a", "b")
-    first = verified(tried, own, docs, id_col, text_col, words)
-    comps = connected_components(first).withColumnRenamed("node", "sig")
-    met = met.select("h", "sig", "n").join(comps, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    left = cut(mixed(cut(met)).join(own.select("sig", "short"), "sig").select("h", "sig", "n", "component", "short"))
+    large = met.where(F.col("h").isNotNull()).select("h", "sig", "n", "r")
+    tried = cut(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(first_hubs(large)).distinct())
+    first = verified(close(tried, own), own, docs, id_col, text_col, words)
+    comps = cut(connected_components(first).withColumnRenamed("node", "sig"))
+    left = cut(mixed(cut(large.join(comps, "sig", "left").withColumn("component", F.coalesce("component", "sig")))))
+    shorts = own.join(left.select("sig").distinct(), "sig", "left_semi").select("sig", short("bits").alias("short"))
+    left = cut(left.join(shorts, "sig").select("h", "sig", "n", "r", "component", "short"))
     found, known, turn, few = first, first, 0, left.select("sig").distinct().count() / SETS_A_LINK
     while found.count() > few and crossing(left) > PAIRS_A_ROW * left.count():
         pairs = close(to_hubs(left, turn).join(known, ["a", "b"], "left_anti"), own)
         found = verified(pairs, own, docs, id_col, text_col, words)
         known, left, turn = known.unionByName(found), joined(left, found), turn + 1
-    x, y = left.toDF("h", "a", "n", "ca", "sa"), left.toDF("h", "b", "m", "cb", "sb")
+    if turn:
+        comps = cut(connected_components(known).withColumnRenamed("node", "sig"))
+    small = near.select("a", "b").join(comps.toDF("a", "ca"), "a", "left").join(comps.toDF("b", "cb"), "b", "left")
+    small = small.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    x, y = left.toDF("h", "a", "n", "r", "ca", "sa"), left.toDF("h", "b", "m", "s", "cb", "sb")
     apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link()
-    rest = close(x.join(y, "h").where(apart).select("a", "b").distinct(), own).join(known, ["a", "b"], "left_anti")
-    return known.unionByName(verified(rest, own, docs, id_col, text_col, words))
+    rest = x.join(y, "h").where(apart).select("a", "b").unionByName(small).distinct()
+    rest = cut(rest.join(tried.unionByName(known), ["a", "b"], "left_anti"))
+    return known.unionByName(verified(close(rest, own), own, docs, id_col, text_col, words))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -261,6 +312,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     own = cut(own.select("sig", "id").join(comps, "sig", "left").withColumn("component", F.coalesce("component", "sig")))
     kept = own.groupBy("component").agg(F.min("id").alias("kept"))
     gone = rows.join(own.select("sig", "component").join(kept, "component"), "sig").where("id <> kept")
-    text = free_name(docs, "_text")
+    text, mark = free_name(docs, "_text"), free_name(docs, "_mark")
     gone = cut(gone.select(F.col("id").alias(id_col), F.col("t").alias(text)).distinct())
-    return docs.withColumn(text, F.xxhash64(text_col)).join(gone, [id_col, text], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    hashed = docs.withColumn(text, F.xxhash64(text_col))
+    hashed = marked(hashed, F.xxhash64(id_col, text), gone.select(F.xxhash64(id_col, text).alias("key")), mark)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    unsure = hashed.where(F.col(mark)).join(gone, [id_col, text], "left_anti").select(*columns)
+    return hashed.where(~F.col(mark)).select(*columns).unionByName(unsure)

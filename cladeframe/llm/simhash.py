@@ -61,24 +61,36 @@ def ball(fp: str, half: int):
     return F.concat(own, flips)
 
 
+def unflipped(place: str):
+    """The fingerprint whose ball has column variant at this place of it."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(place) - 1)
+    return F.when(F.col(place) == 0, F.col("variant")).otherwise(F.col("variant").bitwiseXOR(one))
+
+
 def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """Verified links (a, b, distance) that connect all of (id, fp) within `radius` bits.
 
-    In each bucket neighbours in id order are linked; since a bucket is a clique, these chains connect exactly what
-    all pairs would, and no fingerprint gets more than two links from a bucket. At radius 1 a bucket is no clique: its
-    members are linked to the fingerprint that the bucket is named by, if there is one.
+    In each bucket neighbours in order are linked; since a bucket is a clique, these chains connect exactly what all
+    pairs would, and no fingerprint gets more than two links from a bucket. A value is shuffled with its place in the
+    ball only, which tells the fingerprint; ids follow for the links. At radius 1 a bucket is no clique: its members are
+    linked to the fingerprint that the bucket is named by, if there is one.
     """
     if radius not in (0, 1, 2):
         raise ValueError("radius must be 0, 1 or 2")
     half = (radius + 1) // 2
-    spread = distinct.select("id", "fp", F.explode(ball("fp", half)).alias("variant"))
     if radius == 1:
+        spread = distinct.select("id", "fp", F.explode(ball("fp", half)).alias("variant"))
         centre = distinct.select(F.col("id").alias("a"), F.col("fp").alias("variant"))
         return spread.where("variant <> fp").join(centre, "variant").select("a", F.col("id").alias("b"), F.lit(1).alias("distance"))
-    w = Window.partitionBy("variant").orderBy("id")
-    met = spread.withColumn("a", F.lag("id").over(w)).withColumn("fa", F.lag("fp").over(w)).where(F.col("a").isNotNull())
-    met = met.withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("fa"))))
-    return met.where(F.col("distance") <= radius).select("a", F.col("id").alias("b"), "distance").distinct()
+    named = distinct.where(F.col("id").isNotNull())
+    first = named.groupBy("fp").agg(F.min("id").alias("id"))
+    same = named.join(first.toDF("fp", "a"), "fp").where("a <> id").select("a", F.col("id").alias("b"), F.lit(0).alias("distance"))
+    met = first.select(F.posexplode(ball("fp", half)).alias("flip", "variant"))
+    met = met.withColumn("before", F.lag("flip").over(Window.partitionBy("variant").orderBy("flip"))).where(F.col("before").isNotNull())
+    pairs = met.select(unflipped("before").alias("fa"), unflipped("flip").alias("fb")).distinct()
+    pairs = pairs.withColumn("distance", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")))).where(F.col("distance") <= radius)
+    pairs = pairs.join(first.toDF("fa", "a"), "fa").join(first.toDF("fb", "b"), "fb")
+    return pairs.select("a", "b", "distance").unionByName(same)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, words: int = 3) -> DataFrame:
