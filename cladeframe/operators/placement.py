@@ -5,7 +5,7 @@ placements: (fragment, edge_num, likelihood, lwr, distal_length, pendant_length)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions.lineage import materialise
@@ -87,12 +87,20 @@ def insertion_tree(main: DataFrame, placements: DataFrame) -> DataFrame:
     return every.withColumn("child_ord", (F.row_number().over(kids) - 1).cast("int"))
 
 
+def added(p: Column) -> Column:
+    """The sum of shares, alike in any order: whole steps of 2^-36 and what is left add up without loss, then one rounding."""
+    p, step = p.cast("double"), 2.0**36
+    high = F.floor(p * step) / step
+    return F.sum(high) + F.sum(p - high)
+
+
 def rollup(shares: DataFrame, closure: DataFrame, least: float | None = 0.95) -> DataFrame:
     """AG5: (fragment, tax_id, p): shares (fragment, tax_id, p) added to the taxon and all above it.
 
-    closure: (tax_id, anc), each taxon itself included. least None keeps all.
+    closure: (tax_id, anc), each taxon itself included. least None keeps all. Sums don't depend on the order of rows, so
+    a fragment at the bound is not kept in one run and dropped in the next.
     """
-    up = shares.join(closure, "tax_id").groupBy("fragment", F.col("anc").alias("tax_id")).agg(F.sum("p").alias("p"))
+    up = shares.join(closure, "tax_id").groupBy("fragment", F.col("anc").alias("tax_id")).agg(added(F.col("p")).alias("p"))
     return up if least is None else up.where(F.col("p") >= least)
 
 

@@ -1,6 +1,7 @@
 """Operators on small hand-made or random inputs, against plain Python."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -418,6 +419,18 @@ def brute_align(s, w, alphabet, open_=4.0, extend=1.0):
     return go(0, 0, "m")
 
 
+def test_rollup_adds_shares_alike_in_any_order(spark):
+    """Three shares of 0.699995 together: which double their sum is must not depend on the order of rows."""
+    p = [0.1, 0.2, 0.399995]
+    rows = [(k, f"s{i}", p[i]) for k, order in enumerate(itertools.permutations(range(3))) for i in order]
+    rows += [(9, "s0", float("inf")), (9, "s1", 0.5), (10, "s0", None), (11, "s0", 1e30), (11, "s1", 1e30)]
+    closure = spark.createDataFrame([(f"s{i}", "r") for i in range(3)], "tax_id string, anc string")
+    shares = spark.createDataFrame(rows, "fragment int, tax_id string, p double").coalesce(1)
+    got = dict(rows_of(placement.rollup(shares, closure, None), "fragment", "p"))
+    assert {got.pop(k) for k in range(6)} == {math.fsum(p)}
+    assert got == {9: float("inf"), 10: None, 11: 2e30}
+
+
 def test_viterbi_is_optimal():
     r = np.random.default_rng(0)
     for _ in range(40):
