@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeframe.functions.lineage import materialise
 from cladeframe.functions.sequences import GAP
 
 DNA = "ACGT"
@@ -26,13 +28,86 @@ def build(sites: DataFrame, keys: list[str], alphabet: str = DNA, pseudo: float
     return each.select(*keys, "pos", "ch", F.log2(odds).alias("w"))
 
 
-def score(sites: DataFrame, model: DataFrame, shared: list[str], model_keys: list[str]) -> DataFrame:
+def _parts(packed: DataFrame, keys: list[str], most: int, cells: int, name: str) -> DataFrame:
+    """(…keys, name): into how many parts a group's rows go, so that a part has about `most` rows and `cells` sites at most."""
+    n = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum(F.size("at")) / cells), F.lit(1))
+    return packed.groupBy(*keys).agg(n.alias(name))
+
+
+def score(sites: DataFrame, model: DataFrame, shared: list[str], model_keys: list[str], within: float | None = None) -> DataFrame:
     """X2, JN2: (…shared, …model_keys, name, score): every row against every model of the same `shared` keys.
 
-    Rows meet models by (shared, pos, ch): an equi-join, summed with map-side combination.
+    A row and a model without a common (pos, ch) give no score. Rows and models are packed (a list each) and dealt into
+    parts; every part of rows meets every part of models in a task of its own, so sites of pairs are never shuffled and
+    memory is bounded by a pair of parts. The scores are quadratic by nature; within: only those that are less than this
+    below a row's best in its pair of parts, for those who want best models.
+    """
+    keys = shared or ["_all"]
+    sites, model = (d if shared else d.withColumn("_all", F.lit(0)) for d in (sites.where(F.col("ch") != GAP), model))
+    sites, model = sites.dropna(subset=keys), model.dropna(subset=keys)
+    # Characters are code points of less than 21 bits.
+    code = F.shiftleft(F.col("pos").cast("long"), 21) + F.ascii("ch")
+    rows = materialise(sites.groupBy(*keys, "name").agg(F.sort_array(F.collect_list(code)).alias("at")))
+    cells = F.sort_array(F.collect_list(F.when(code.isNotNull(), F.struct(code.alias("c"), F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w")))))
+    models = model.groupBy(*keys, *model_keys).agg(cells.alias("m"))
+    models = materialise(models.select(*keys, *model_keys, F.transform("m", lambda c: c["c"]).alias("at"), F.transform("m", lambda c: c["w"]).alias("w")))
+    parts = materialise(_parts(rows, keys, 4096, 1 << 19, "_nr").join(_parts(models, keys, 512, 1 << 17, "_nm"), keys))
+
+    def dealt(packed: DataFrame, by: list[str], own: str, other: str) -> DataFrame:
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_n{other}") - 1))
+        at = packed.join(parts, keys).withColumn(f"_{own}", F.pmod(F.xxhash64(*by), f"_n{own}")).withColumn(f"_{other}", each)
+        return at.drop("_nr", "_nm").groupBy(*keys, "_r", "_m")
+
+    def tile(left: pa.Table, right: pa.Table) -> pa.Table:
+        (rn, rc), (mn, mc), (_, mw) = _flat(left["at"]), _flat(right["at"]), _flat(right["w"])
+        i, j, x = tile_scores(rn, rc, mn, mc, mw, within)
+        i, j = pa.array(i), pa.array(j)
+        return pa.table({**{k: left[k].take(i) for k in shared}, **{k: right[k].take(j) for k in model_keys}, "name": left["name"].take(i), "score": pa.array(x)})
+
+    kind = lambda df, c: f"`{c}` {df.schema[c].dataType.simpleString()}"
+    schema = ", ".join([*[kind(rows, k) for k in shared], *[kind(models, k) for k in model_keys], kind(rows, "name"), "score double"])
+    return dealt(rows, ["name"], "r", "m").cogroup(dealt(models, model_keys, "m", "r")).applyInArrow(tile, schema)
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of lists of numbers, and their values one after another."""
+    c = lists.combine_chunks()
+    return c.value_lengths().to_numpy(), c.flatten().to_numpy()
+
+
+def tile_scores(rn: np.ndarray, rc: np.ndarray, mn: np.ndarray, mc: np.ndarray, mw: np.ndarray, within: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, model, score) of rows (lengths, codes) and models (lengths, codes, weights) with a common code.
+
+    A row's weights are added in the order of its codes, whichever rows and models it meets.
     """
-    met = sites.where(F.col("ch") != GAP).join(model, [*shared, "pos", "ch"])
-    return met.groupBy(*shared, *model_keys, "name").agg(F.sum("w").alias("score"))
+    known, col = np.unique(mc, return_inverse=True)
+    at = np.searchsorted(known, rc)
+    real = np.isin(rc, known)
+    at, n = at[real], np.bincount(np.repeat(np.arange(len(rn)), rn)[real], minlength=len(rn))
+    start, of = np.cumsum(n) - n, np.repeat(np.arange(len(mn)), mn)
+    order = np.argsort(-n, kind="stable")[: np.count_nonzero(n)]
+    out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    width = max(1, (1 << 22) // max(1, len(known)))
+    for low in range(0, len(mn), width):
+        wide, own = min(width, len(mn) - low), (of >= low) & (of < low + width)
+        w, there = np.zeros((len(known), wide)), np.zeros((len(known), wide), bool)
+        np.add.at(w, (col[own], of[own] - low), mw[own])
+        there[col[own], of[own] - low] = True
+        step = max(1, (1 << 17) // wide)
+        for r in (order[a : a + step] for a in range(0, len(order), step)):
+            s, met, all_met = np.zeros((len(r), wide)), np.zeros((len(r), wide), bool), False
+            for k in range(n[r[0]]):
+                live = np.count_nonzero(n[r] > k)
+                here = at[start[r[:live]] + k]
+                s[:live] += w[here]
+                if not all_met:
+                    met[:live] |= there[here]
+                    all_met = met.all()
+            if within is not None:
+                met &= ~(s < np.where(met, s, -np.inf).max(axis=1, keepdims=True) - within)
+            i, j = np.nonzero(met)
+            out.append((r[i], j + low, s[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def viterbi(seq: str, weights: np.ndarray, alphabet: str, open_: float = 4.0, extend: float = 1.0) -> tuple[float, list[int]]:

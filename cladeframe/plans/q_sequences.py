@@ -249,7 +249,8 @@ def model_scores(spark, d):
 def routed_rows(spark, d):
     """X2, WN3: the block whose profile scores a row best."""
     s = dense(spark, d)
-    got = profile.score(s.withColumnRenamed("block", "own"), profile.build(s, KEYS), ["label"], ["block"])
+    # Scores that may be alike once rounded all come back.
+    got = profile.score(s.withColumnRenamed("block", "own"), profile.build(s, KEYS), ["label"], ["block"], within=2e-6)
     best = routing.best_hit(got.withColumn("bitscore", F.round("score", 6)), ["block"], fragment="name")
     return best.select("name", "label", "block", "bitscore")
 

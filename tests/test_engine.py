@@ -431,6 +431,28 @@ def test_rollup_adds_shares_alike_in_any_order(spark):
     assert got == {9: float("inf"), 10: None, 11: 2e30}
 
 
+def test_scores_meet_packed_rows_not_their_sites(spark):
+    """Rows and models of several alignments against plain sums; only packed rows and models are joined and shuffled."""
+    r = np.random.default_rng(3)
+    site = [(int(a), f"n{i}", int(p), str(r.choice(list("ACGT-")))) for a in range(2) for i in range(30) for p in r.choice(9, r.integers(0, 9), replace=False)]
+    site += [(0, "twice", 1, "A"), (0, "twice", 1, "A"), (0, "else", 5000000, "C"), (0, None, 2, "A"), (None, "n1", 1, "A"), (7, "alone", 1, "A")]
+    model = [(int(a), int(b), int(p), c, float(r.normal())) for a in range(2) for b in range(7) for p in r.choice(9, 4, replace=False) for c in "ACGT"]
+    model += [(0, 8, 5000000, "C", float("-inf")), (0, 9, 0, "A", 1.0), (9, 1, 1, "A", 1.0)]
+    got = profile.score(spark.createDataFrame(site, "label int, name string, pos int, ch string"), spark.createDataFrame(model, "label int, block int, pos int, ch string, w double"), ["label"], ["block"])
+    assert "ch#" not in "".join(line for line in got._jdf.queryExecution().toString().split("== Physical Plan ==")[1].splitlines() if "Join" in line or "Exchange" in line)
+    want = {}
+    for a, name, p, c in site:
+        for b, k, q, d, w in model:
+            if c != "-" and a is not None and (a, p, c) == (b, q, d):
+                want[a, k, name] = want.get((a, k, name), 0.0) + w
+    have = {(x["label"], x["block"], x["name"]): x["score"] for x in got.collect()}
+    assert have == pytest.approx(want) and got.count() == len(want)
+    best = profile.score(spark.createDataFrame(site, "label int, name string, pos int, ch string"), spark.createDataFrame(model, "label int, block int, pos int, ch string, w double"), ["label"], ["block"], within=0.0)
+    top = {(a, name): max(v for (b, _, m), v in want.items() if (b, m) == (a, name)) for a, _, name in want}
+    assert {(x["label"], x["name"]): x["score"] for x in best.collect()} == pytest.approx(top)
+    assert profile.score(spark.createDataFrame([("x", 0, "A")], "name string, pos int, ch string"), spark.createDataFrame([(1, 0, "A", 2.0)], "block int, pos int, ch string, w double"), [], ["block"]).collect() == [(1, "x", 2.0)]
+
+
 def test_viterbi_is_optimal():
     r = np.random.default_rng(0)
     for _ in range(40):
