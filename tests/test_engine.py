@@ -453,6 +453,21 @@ def test_scores_meet_packed_rows_not_their_sites(spark):
     assert profile.score(spark.createDataFrame([("x", 0, "A")], "name string, pos int, ch string"), spark.createDataFrame([(1, 0, "A", 2.0)], "block int, pos int, ch string, w double"), [], ["block"]).collect() == [(1, "x", 2.0)]
 
 
+def test_scores_of_a_part_do_not_depend_on_what_else_is_in_it():
+    """Models of so many different sites that a part is scored in slices; rows of any length, and none."""
+    r = np.random.default_rng(4)
+    rows = [np.sort(r.choice(60000, n, replace=False)) for n in (0, 1, 40, 700, 3)]
+    models = [np.sort(r.choice(60000, 600, replace=False)) for _ in range(150)]
+    w = [r.normal(size=600) for _ in models]
+    flat = lambda x: (np.array([len(a) for a in x]), np.concatenate(x) if x else np.zeros(0, int))
+    assert len(np.unique(flat(models)[1])) * 150 > 1 << 22
+    got = {(i, j): x for i, j, x in zip(*profile.tile_scores(*flat(rows), *flat(models), np.concatenate(w), None))}
+    one = {(i, j): x for i, a in enumerate(rows) for j, b in enumerate(models) for *_, x in zip(*profile.tile_scores(*flat([a]), *flat([b]), w[j], None))}
+    assert got == one and len(got) > 150
+    assert got == pytest.approx({(i, j): w[j][np.isin(models[j], rows[i])].sum() for i, j in got})
+    assert [len(c) for c in profile.tile_scores(*flat(rows), np.zeros(0, int), np.zeros(0, int), np.zeros(0), 1.0)] == [0, 0, 0]
+
+
 def test_viterbi_is_optimal():
     r = np.random.default_rng(0)
     for _ in range(40):
