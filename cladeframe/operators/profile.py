@@ -7,7 +7,6 @@ are sums over matching sites. These are approximations, not the numbers of those
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,61 +114,102 @@ def viterbi(seq: str, weights: np.ndarray, alphabet: str, open_: float = 4.0, ex
 
     Returns the score and for each letter its site, or -1 for an insertion. Ties prefer match, then deletion.
     """
-    n, m = len(seq), len(weights)
-    at = [alphabet.find(c) for c in seq]
-    low = -1e30
-    match, ins, dele = (np.full((n + 1, m + 1), low) for _ in range(3))
-    match[0, 0] = 0
-    for i in range(1, n + 1):
-        ins[i, 0] = -open_ - extend * (i - 1)
-    dele[0, 1:] = -open_ - extend * np.arange(m)
-    for i in range(1, n + 1):
-        w = weights[:, at[i - 1]] if at[i - 1] >= 0 else np.zeros(m)
-        best = np.maximum(np.maximum(match[i - 1], dele[i - 1]), ins[i - 1])
-        match[i, 1:] = best[:-1] + w
-        ins[i, 1:] = np.maximum(np.maximum(match[i - 1, 1:], dele[i - 1, 1:]) - open_, ins[i - 1, 1:] - extend)
-        # A deletion run ending at j starts at some k < j: a running maximum of what it leaves, with the extension undone.
-        start = np.maximum(match[i], ins[i])[:-1] - open_ + extend * np.arange(1, m + 1)
-        dele[i, 1:] = np.maximum.accumulate(start) - extend * np.arange(1, m + 1)
-    tables, sites, i, j = (match, dele, ins), [], n, m
-    state = int(np.argmax([t[n, m] for t in tables]))
-    score = float(tables[state][n, m])
-    while i or j:
-        if state == 0:
-            sites.append(j - 1)
-            i, j = i - 1, j - 1
-            state = int(np.argmax([t[i, j] for t in tables]))
-        elif state == 2:
-            sites.append(-1)
-            here, i = ins[i, j], i - 1
-            state = int(np.argmax([match[i, j] - open_, dele[i, j] - open_, ins[i, j] - extend])) if i or j else 0
-        else:
-            here, j = dele[i, j], j - 1
-            state = 0 if i == 0 and j == 0 else int(np.argmax([match[i, j] - open_, dele[i, j] - extend, ins[i, j] - open_]))
-    return score, sites[::-1]
+    scores, paths = viterbi_of_all([seq], weights, alphabet, open_, extend)
+    return float(scores[0]), paths[0].tolist()
+
+
+def viterbi_of_all(seqs: list[str], weights: np.ndarray, alphabet: str, open_: float = 4.0, extend: float = 1.0) -> tuple[np.ndarray, list[np.ndarray]]:
+    """viterbi of many sequences and one profile: sequences of like length go together, a byte for each of their cells."""
+    n, m = np.array([len(s) for s in seqs], int), len(weights)
+    order, scores, paths = np.argsort(n, kind="stable"), np.zeros(len(seqs)), [None] * len(seqs)
+    while len(order):
+        # So many of the longest that their cells, and what a step holds of them, fit in 16 MB; one, if it alone does not.
+        few = order[-max(1, (1 << 24) // ((n[order[-1]] + 128) * (m + 1))) :]
+        order = order[: -len(few)]
+        scores[few], found = _viterbi_batch([seqs[k] for k in few], n[few], weights, alphabet, open_, extend)
+        for k, path in zip(few, found):
+            paths[k] = path
+    return scores, paths
+
+
+def _viterbi_batch(seqs: list[str], n: np.ndarray, weights: np.ndarray, alphabet: str, open_: float, extend: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    size, most, m, low = len(seqs), int(n.max()), len(weights), -1e30
+    letters, first = np.unique(np.array([ord(c) for c in alphabet], "uint32"), return_index=True)
+    codes = np.frombuffer("".join(seqs).encode("utf-32-le"), "<u4")
+    place = np.minimum(np.searchsorted(letters, codes), len(letters) - 1)
+    at = np.full((size, most), len(alphabet))
+    at[np.arange(most) < n[:, None]] = np.where(letters[place] == codes, first[place], len(alphabet))
+    of = np.vstack([weights.T, np.zeros(m)])  # letters beside the alphabet weigh nothing
+
+    def first_best(a, b, c):
+        return np.where((a >= b) & (a >= c), 0, np.where(b >= c, 1, 2)).astype("uint8")
+
+    match, ins, dele = (np.full((size, m + 1), low) for _ in range(3))
+    match[:, 0] = 0
+    dele[:, 1:] = -open_ - extend * np.arange(m)
+    run = extend * np.arange(1, m + 1)
+    # Where a match, insertion or deletion at a cell comes from (0 match, 1 deletion, 2 insertion): two bits each.
+    back = np.zeros((most + 1, size, m + 1), "uint8")
+    back[0] = 1 << 4
+    scores, state = np.zeros(size), np.zeros(size, "uint8")
+    for i in range(most + 1):
+        if i:
+            w, top = of[at[:, i - 1]], np.maximum(match, dele)
+            best = np.maximum(top, ins)
+            back[i, :, 1:] = first_best(match, dele, ins)[:, :-1]
+            back[i] |= first_best(match - open_, dele - open_, ins - extend) << 2
+            now, ins = np.full((size, m + 1), low), np.maximum(top - open_, ins - extend)
+            ins[:, 0] = -open_ - extend * (i - 1)
+            now[:, 1:] = best[:, :-1] + w
+            match, dele = now, np.full((size, m + 1), low)
+            # A deletion run ending at j starts at some k < j: a running maximum of what it leaves, with the extension undone.
+            dele[:, 1:] = np.maximum.accumulate(np.maximum(match, ins)[:, :-1] - open_ + run, axis=1) - run
+            back[i, :, 1:] |= first_best(match - open_, dele - extend, ins - open_)[:, :-1] << 4
+        done = np.flatnonzero(n == i)
+        last = [t[done, m] for t in (match, dele, ins)]
+        state[done] = first_best(*last)
+        scores[done] = np.choose(state[done], last)
+    sites, i, j = np.full((size, most), -1), n.copy(), np.full(size, m)
+    while len(k := np.flatnonzero((i > 0) | (j > 0))):
+        now, cell = state[k], back[i[k], k, j[k]]
+        on = now == 0
+        sites[k[on], i[k[on]] - 1] = j[k[on]] - 1
+        state[k] = (cell >> np.array([0, 4, 2], "uint8")[now]) & 3
+        i[k] -= now != 1
+        j[k] -= now != 2
+    return scores, [sites[k, : n[k]] for k in range(size)]
 
 
 def align(fragments: DataFrame, model: DataFrame, model_key: str, alphabet: str = DNA) -> DataFrame:
     """X3: (model_key, name, score, pos, site): residues of fragments (model_key, name, seq) on their model's sites.
 
-    Every fragment is a row of its own: its model's weights are joined to it as one array, so fragments of a popular
-    model spread over tasks.
+    The fragments of a model are dealt into parts of bounded size, so those of a popular model spread over tasks; a part
+    meets its model, which is one list, once.
     """
-    packed = model.groupBy(model_key).agg(F.sort_array(F.collect_list(F.struct("pos", "ch", "w"))).alias("m"))
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for key, name, seq, m in zip(pdf[model_key], pdf["name"], pdf["seq"], pdf["m"]):
-                sites = sorted({r["pos"] for r in m})
-                place = {p: k for k, p in enumerate(sites)}
-                w = np.zeros((len(sites), len(alphabet)))
-                for r in m:
-                    w[place[r["pos"]], alphabet.index(r["ch"])] = r["w"]
-                score, path = viterbi(seq, w, alphabet)
-                out += [(key, name, score, k, sites[s] if s >= 0 else -1) for k, s in enumerate(path)]
-            yield pd.DataFrame(out, columns=[model_key, "name", "score", "pos", "site"])
-
-    kind = lambda c: fragments.schema[c].dataType.simpleString()
-    rows = fragments.select(model_key, "name", "seq").join(packed, model_key)
-    return rows.mapInPandas(run, f"{model_key} {kind(model_key)}, name {kind('name')}, score double, pos int, site int")
+    rows = materialise(fragments.select(model_key, "name", "seq").dropna(subset=[model_key]))
+    cell = F.sort_array(F.collect_list(F.struct("pos", "ch", "w")))
+    packed = model.groupBy(model_key).agg(cell.alias("m"))
+    packed = packed.select(model_key, "m.pos", "m.ch", "m.w")
+    parts = F.greatest(F.ceil(F.count("*") / 2048), F.ceil(F.sum(F.length("seq")) / (1 << 18)), F.lit(1))
+    parts = materialise(rows.groupBy(model_key).agg(parts.alias("_n")))
+    dealt = rows.join(parts, model_key).withColumn("_part", F.pmod(F.xxhash64("name", "seq"), "_n")).drop("_n")
+    models = packed.join(parts, model_key).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).drop("_n")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        seqs = [s or "" for s in left["seq"].to_pylist()] if right.num_rows else []
+        here, score, pos, site = ([np.zeros(0, kind)] for kind in ("int64", "float64", "int32", "int32"))
+        if seqs:
+            sites, at = np.unique(_flat(right["pos"])[1], return_inverse=True)
+            w = np.zeros((len(sites), len(alphabet)))
+            w[at, [alphabet.index(c) for c in right["ch"][0].as_py()]] = _flat(right["w"])[1]
+            scores, paths = viterbi_of_all(seqs, w, alphabet)
+            n = [len(p) for p in paths]
+            here, score, pos = [np.repeat(np.arange(len(seqs)), n)], [np.repeat(scores, n)], [np.arange(k, dtype="int32") for k in n]
+            path = np.concatenate(paths)
+            site = [np.where(path >= 0, sites[path], -1).astype("int32")]
+        here = pa.array(np.concatenate(here))
+        return pa.table({model_key: left[model_key].take(here), "name": left["name"].take(here), "score": np.concatenate(score), "pos": np.concatenate(pos), "site": np.concatenate(site)})
+
+    kind = lambda c: f"`{c}` {rows.schema[c].dataType.simpleString()}"
+    keys = [model_key, "_part"]
+    return dealt.groupBy(*keys).cogroup(models.groupBy(*keys)).applyInArrow(run, f"{kind(model_key)}, {kind('name')}, score double, pos int, site int")

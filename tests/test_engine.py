@@ -479,6 +479,35 @@ def test_viterbi_is_optimal():
         assert on == sorted(set(on))
 
 
+def test_viterbi_holds_a_byte_for_a_cell():
+    import tracemalloc
+
+    r = np.random.default_rng(6)
+    w, s = r.normal(0, 2, (1200, 4)), "".join(r.choice(list("ACGT"), 1200))
+    tracemalloc.start()
+    _, path = profile.viterbi(s, w, "ACGT")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(path) == 1200 and peak < 8e6  # three tables of doubles take 35 MB
+
+
+def test_fragments_of_a_popular_model_are_aligned_in_parts(spark):
+    """A part meets its model once; no fragment's row carries the model. Rows as of one fragment at a time."""
+    r = np.random.default_rng(7)
+    frag = [("pop", f"n{i}", "".join(r.choice(list("ACGTN"), r.integers(0, 12)))) for i in range(4500)] + [("few", "a", "ACG"), ("none", "b", "ACG"), (None, "c", "ACG"), ("few", "a", "ACG")]
+    w = {"pop": r.normal(0, 2, (8, 4)), "few": r.normal(0, 2, (3, 4)), "idle": r.normal(0, 2, (2, 4))}
+    model = [(k, 10 * p, "ACGT"[c], float(x[p, c])) for k, x in w.items() for p in range(len(x)) for c in range(4)]
+    got = profile.align(spark.createDataFrame(frag, "key string, name string, seq string"), spark.createDataFrame(model, "key string, pos int, ch string, w double"), "key")
+    plan = got._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "CoGroups" in plan and "MapInPandas" not in plan
+    want = []
+    for k, name, seq in frag:
+        if k in w:
+            score, path = profile.viterbi(seq, w[k], "ACGT")
+            want += [(k, name, score, i, 10 * p if p >= 0 else -1) for i, p in enumerate(path)]
+    assert rows_of(got, "key", "name", "score", "pos", "site") == sorted(want)
+
+
 def test_pipelines_end_to_end(spark):
     r = np.random.default_rng(5)
     root = r.choice(list("ACGT"), 60)
