@@ -50,7 +50,8 @@ def score(sites: DataFrame, model: DataFrame, shared: list[str], model_keys: lis
     cells = F.sort_array(F.collect_list(F.when(code.isNotNull(), F.struct(code.alias("c"), F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w")))))
     models = model.groupBy(*keys, *model_keys).agg(cells.alias("m"))
     models = materialise(models.select(*keys, *model_keys, F.transform("m", lambda c: c["c"]).alias("at"), F.transform("m", lambda c: c["w"]).alias("w")))
-    parts = materialise(_parts(rows, keys, 4096, 1 << 19, "_nr").join(_parts(models, keys, 512, 1 << 17, "_nm"), keys))
+    # A task returns what a pair of parts gives at once: fewer rows meet where all scores stay.
+    parts = materialise(_parts(rows, keys, 2048 if within is None else 4096, 1 << 19, "_nr").join(_parts(models, keys, 512, 1 << 17, "_nm"), keys))
 
     def dealt(packed: DataFrame, by: list[str], own: str, other: str) -> DataFrame:
         each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_n{other}") - 1))
@@ -85,7 +86,7 @@ def tile_scores(rn: np.ndarray, rc: np.ndarray, mn: np.ndarray, mc: np.ndarray,
     at, n = at[real], np.bincount(np.repeat(np.arange(len(rn)), rn)[real], minlength=len(rn))
     start, of = np.cumsum(n) - n, np.repeat(np.arange(len(mn)), mn)
     order = np.argsort(-n, kind="stable")[: np.count_nonzero(n)]
-    out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    out = [(np.zeros(0, "int32"), np.zeros(0, "int32"), np.zeros(0))]
     width = max(1, (1 << 22) // max(1, len(known)))
     for low in range(0, len(mn), width):
         wide, own = min(width, len(mn) - low), (of >= low) & (of < low + width)
@@ -105,7 +106,7 @@ def tile_scores(rn: np.ndarray, rc: np.ndarray, mn: np.ndarray, mc: np.ndarray,
             if within is not None:
                 met &= ~(s < np.where(met, s, -np.inf).max(axis=1, keepdims=True) - within)
             i, j = np.nonzero(met)
-            out.append((r[i], j + low, s[i, j]))
+            out.append((r[i].astype("int32"), (j + low).astype("int32"), s[i, j]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
